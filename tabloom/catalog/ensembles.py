@@ -124,11 +124,11 @@ def bag_then_blend(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-CONTRIB_SQL = f"""{TRIALS_SQL}, totals AS (SELECT submission, CAST(round(round(sum(valid / 10), 3) * 1000) AS INTEGER) AS contributivity FROM trials GROUP BY 1)"""
+CONTRIB_SQL = f"""{TRIALS_SQL}, totals AS (SELECT submission, CAST(round(round(sum(valid / 7), 3) * 1000) AS INTEGER) AS contributivity FROM trials GROUP BY 1)"""
 
 
 def _totals(spark: SparkSession, sf: str) -> DataFrame:
-    contrib = trials(spark, sf).select("submission", (F.col("valid") / 10).alias("contributivity"))
+    contrib = trials(spark, sf).select("submission", (F.col("valid") / 7).alias("contributivity"))
     return B.contributivity_totals(contrib)
 
 

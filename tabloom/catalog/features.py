@@ -376,7 +376,8 @@ def calendar(spark: SparkSession, sf: str) -> DataFrame:
 )
 def add_holidays(spark: SparkSession, sf: str) -> DataFrame:
     rows = kit_rows(spark, sf).select("id", "place", "ordered")
-    return E.add_holidays(rows, calendar(spark, sf), "ordered", "place").drop("ordered")
+    days = E.holiday_table(calendar(spark, sf), "place")
+    return E.add_holidays(rows, days, "ordered", "place").drop("ordered")
 
 
 # --- stages and the chain --------------------------------------------------------------

@@ -281,8 +281,8 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "encode_labels",
     f"""WITH {KIT_SQL},
-        first AS (SELECT segment, min(id) AS at FROM train GROUP BY 1),
-        codes AS (SELECT segment, CAST(row_number() OVER (ORDER BY at) - 1 AS INTEGER) AS code FROM first)
+        first AS (SELECT segment, min(id) AS seen FROM train GROUP BY 1),
+        codes AS (SELECT segment, CAST(row_number() OVER (ORDER BY seen) - 1 AS INTEGER) AS code FROM first)
         SELECT id, code AS segment FROM kit LEFT JOIN codes USING (segment)""",
 )
 def encode_labels(spark: SparkSession, sf: str) -> DataFrame:

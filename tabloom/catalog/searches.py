@@ -384,13 +384,13 @@ def patience_stop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "final_blend_cost",
-    f"""WITH {TRIALS_SQL}, m AS (SELECT submission FROM trials GROUP BY 1 HAVING round(round(sum(valid / 10), 3) * 1000) > 0),
+    f"""WITH {TRIALS_SQL}, m AS (SELECT submission FROM trials GROUP BY 1 HAVING round(round(sum(valid / 7), 3) * 1000) > 0),
         c AS (SELECT coalesce(sum(seconds), 0) * 27 / 3600 AS t FROM trials WHERE fold = 1 AND submission IN (SELECT submission FROM m))
         SELECT round(t, 4) AS train_hours, round(2 * 90.0::DOUBLE * 30 / 3 / 3600, 4) AS blend_hours, 1.5::DOUBLE + t + 2 * 90.0::DOUBLE * 30 / 3 / 3600 > 10 AS over_budget FROM c""",
 )
 def final_blend_cost(spark: SparkSession, sf: str) -> DataFrame:
     t = trials(spark, sf)
-    totals = contributivity_totals(t.select("submission", (F.col("valid") / 10).alias("contributivity")))
+    totals = contributivity_totals(t.select("submission", (F.col("valid") / 7).alias("contributivity")))
     out = L.final_blend_cost(
         totals.where("contributivity > 0"), t.where("fold = 1").select("submission", "seconds"), 1.5, 90.0, 3, 30, 10.0
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,9 +13,23 @@ from tabloom.session import settle
 BROADCAST_ROWS = 500_000
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A table computed once, with its row count."""
+
+    table: DataFrame
+    rows: int
+
+
+def fitted(df: DataFrame) -> Fitted:
+    """Compute and count a table that is joined more than once."""
+    table = settle(df)
+    return Fitted(table, table.count())
+
+
 def attach(
     big: DataFrame,
-    small: DataFrame,
+    small: DataFrame | Fitted,
     on: list[str],
     how: str = "left",
     weight: str | None = None,
@@ -28,8 +43,9 @@ def attach(
     the data) are broadcast, the others are hash joined, and null keys take no
     part in the shuffle.
     """
-    small = settle(small)
-    if small.count() <= max_rows:
+    known = small if isinstance(small, Fitted) else fitted(small)
+    small = known.table
+    if known.rows <= max_rows:
         return big.join(F.broadcast(small), on, how)
     if weight is None:
         return big.join(small, on, how)

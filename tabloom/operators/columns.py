@@ -35,36 +35,41 @@ def col_in_train_only(train: DataFrame, test: DataFrame, keep: list[str]) -> tup
     return train.drop(*gone), test.drop(*gone)
 
 
-def spread(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``(feature, lo, hi, filled)`` as text, one pass without distinct counts.
+def _ends(df: DataFrame, cols: list[str], by: str | None = None) -> list:
+    """Minimum and maximum of every column per split, in one pass.
 
-    A column has one distinct value exactly when its minimum equals its maximum.
+    A column has one distinct value exactly when the two agree, so no distinct
+    counts are needed.
     """
-    row = df.agg(
-        *[F.min(f"`{c}`").cast("string").alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(f"`{c}`").cast("string").alias(f"hi{i}") for i, c in enumerate(cols)],
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")
-            )
-            for i, c in enumerate(cols)
-        ]
-    )
-    return row.select(F.explode(entries).alias("e")).select("e.*")
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.min(f"`{c}`").alias(f"lo{i}"), F.max(f"`{c}`").alias(f"hi{i}")]
+    return (df.groupBy(by) if by else df.groupBy()).agg(*aggs).collect()  # a row per split
+
+
+def constant_over(df: DataFrame, cols: list[str]) -> list[str]:
+    """Columns with one distinct value, nulls ignored."""
+    if not cols:
+        return []
+    row = _ends(df, cols)[0]
+    return [c for i, c in enumerate(cols) if row[f"lo{i}"] is not None and row[f"lo{i}"] == row[f"hi{i}"]]
 
 
 def constant_columns(train: DataFrame, test: DataFrame, cols: list[str]) -> list[str]:
     """Columns whose single non-null value is the same in both tables."""
     if not cols:
         return []
-    tr, te = ({r["feature"]: r for r in spread(d, cols).collect()} for d in (train, test))
+    tagged = train.select(*[f"`{c}`" for c in cols], F.lit(0).alias("_split")).unionByName(
+        test.select(*[f"`{c}`" for c in cols], F.lit(1).alias("_split"))
+    )
+    rows = _ends(tagged, cols, "_split")
+    if len(rows) < 2:
+        return []
     return [
         c
-        for c in cols
-        if tr[c]["lo"] is not None
-        and tr[c]["lo"] == tr[c]["hi"] == te[c]["lo"] == te[c]["hi"]
+        for i, c in enumerate(cols)
+        if rows[0][f"lo{i}"] is not None
+        and len({r[f"{e}{i}"] for r in rows for e in ("lo", "hi")}) == 1
     ]
 
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.hashing import md5_mod
-from tabloom.functions.joins import attach
+from tabloom.functions.joins import Fitted, attach, fitted
 from tabloom.functions.names import category_name, safe_name, unique_names
 from tabloom.meta import Kit, as_role
-from tabloom.operators.columns import constant_columns
+from tabloom.operators.columns import constant_over
+from tabloom.operators.profile import unique_counts, value_counts
+from tabloom.session import settle
 
 # Limits of the category encoders.
 MAX_CATEGORIES = 20
@@ -42,17 +44,34 @@ def _on_both(kit: Kit, col: str, new: list[Column]) -> Kit:
     return kit.replace(_swap(kit.train, col, new), _swap(kit.test, col, new))
 
 
-def n_categories(kit: Kit, col: str, limit: int = MAX_CATEGORIES) -> int:
-    """Distinct values in train, null counted; stops counting above ``limit``."""
-    return kit.train.select(F.col(f"`{col}`")).distinct().limit(limit + 1).count()
+def category_values(kit: Kit, cols: list[str], limit: int = MAX_CATEGORIES) -> dict[str, list | None]:
+    """Values over both tables of the columns with at most ``limit`` train values.
 
+    One pass over the rows serves all columns. Wider columns, or those with
+    more values than get columns of their own, map to None.
+    """
+    if not cols:
+        return {}
+    side = lambda df, n: value_counts(df, cols).withColumn("_train", F.lit(n))
+    seen = settle(
+        side(kit.train, 1).unionByName(side(kit.test, 0)).groupBy("feature", "value").agg(F.max("_train").alias("_train"))
+    )
+    sizes = seen.groupBy("feature").agg(F.sum("_train").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    few = [r["feature"] for r in sizes if r["t"] <= limit and r["n"] <= MAX_VALUE_COLUMNS]
+    out: dict[str, list | None] = {c: None for c in cols}
+    out |= {c: [] for c in few}
+    for r in seen.where(F.col("feature").isin(few)).orderBy("feature", F.col("value").asc_nulls_first()).collect():
+        out[r["feature"]].append(r["value"])
+    return out
 
-def encode_onehot(kit: Kit, col: str) -> Kit:
+
+def encode_onehot(kit: Kit, col: str, values: list | None = None) -> Kit:
     """0/1 columns per category over train and test; null is a category.
 
-    Of exactly two categories only the second gets a column.
+    Of exactly two categories only the second gets a column. ``values`` saves
+    a pass when the categories are known.
     """
-    values = _small_values(kit.both(), col, MAX_VALUE_COLUMNS)
+    values = _small_values(kit.both(), col, MAX_VALUE_COLUMNS) if values is None else values
     if len(values) == 2:
         values = values[1:]
     names = unique_names([category_name(col, v) for v in values])
@@ -70,11 +89,13 @@ def category_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
 
 def encode_count(kit: Kit, col: str) -> Kit:
     """The category's row count over train and test; unseen and null give their own."""
-    counts = category_counts(kit.both(), col, "_n")
-    nulls = kit.both().where(F.col(f"`{col}`").isNull()).count()
+    counts = settle(category_counts(kit.both(), col, "_n"))
+    null_row = counts.where(F.col(f"`{col}`").isNull()).first()
+    nulls = null_row["_n"] if null_row else 0
+    known = fitted(counts.where(F.col(f"`{col}`").isNotNull()))
 
     def apply(df: DataFrame) -> DataFrame:
-        hit = attach(df, counts.where(F.col(f"`{col}`").isNotNull()), [col], weight="_n")
+        hit = attach(df, known, [col], weight="_n")
         n = F.when(F.col(f"`{col}`").isNull(), F.lit(nulls)).otherwise(F.coalesce("_n", F.lit(0)))
         return _swap(hit.withColumn("_m", n.cast("long")), col, []).select(
             *[c for c in df.columns if c != col], as_role(F.col("_m"), col)
@@ -100,7 +121,7 @@ def target_means(
     return per.select(col, code.alias("_code"), "_n"), float(prior)
 
 
-def _with_code(df: DataFrame, codes: DataFrame, prior: float, col: str, out: str) -> DataFrame:
+def _with_code(df: DataFrame, codes: Fitted, prior: float, col: str, out: str) -> DataFrame:
     keep = df.columns
     hit = attach(df, codes, [col], weight="_n")
     return hit.select(*keep, as_role(F.coalesce("_code", F.lit(prior)), out))
@@ -109,6 +130,7 @@ def _with_code(df: DataFrame, codes: DataFrame, prior: float, col: str, out: str
 def encode_target(kit: Kit, col: str, y: Column, **settings) -> Kit:
     """Replace the category by train's smoothed target mean; unseen gets the prior."""
     codes, prior = target_means(kit.train, col, y, **settings)
+    codes = fitted(codes)
 
     def apply(df: DataFrame) -> DataFrame:
         coded = _with_code(df, codes, prior, col, "_enc")
@@ -144,7 +166,8 @@ def encode_target_out_of_fold(train: DataFrame, col: str, y: str, fold: str, smo
 
 def target_encode_columns(kit: Kit, cols: list[str], limit: int = MAX_TARGET_CATEGORIES) -> list[str]:
     """The columns with fewer distinct train values than ``limit``."""
-    return [c for c in cols if n_categories(kit, c, limit) < limit]
+    sizes = {r["feature"]: r["n_unique"] for r in unique_counts(kit.train, cols).collect()}  # a row per column
+    return [c for c in cols if sizes[c] < limit]
 
 
 def add_target_encoding(kit: Kit, cols: list[str], y: Column, **settings) -> Kit:
@@ -152,14 +175,15 @@ def add_target_encoding(kit: Kit, cols: list[str], y: Column, **settings) -> Kit
     train, test = kit.train, kit.test
     for c in target_encode_columns(kit, cols):
         codes, prior = target_means(kit.train, c, y, **settings)
+        codes = fitted(codes)
         train = _with_code(train, codes, prior, c, f"{c}_target_encode")
         test = _with_code(test, codes, prior, c, f"{c}_target_encode")
     return kit.replace(train, test)
 
 
-def encode_binary(kit: Kit, col: str) -> Kit:
+def encode_binary(kit: Kit, col: str, values: list | None = None) -> Kit:
     """Ordinal code of the sorted values from 1, as bit columns; unknown is 0."""
-    values = _small_values(kit.both(), col, MAX_VALUE_COLUMNS)
+    values = _small_values(kit.both(), col, MAX_VALUE_COLUMNS) if values is None else values
     width = max(1, math.ceil(math.log2(len(values) + 1)))
     known = F.array(*[F.lit(v) for v in values if v is not None])
     offset = 1 if None in values else 0
@@ -186,16 +210,22 @@ def encode_hashing(kit: Kit, col: str, n: int = HASH_COLUMNS, drop_constant: boo
     return _on_both(kit, col, new)
 
 
-def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | None = None) -> Kit:
-    """The chosen encoder; columns with more than 20 values are hashed."""
-    if n_categories(kit, col) > MAX_CATEGORIES:
+def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | None = None, values: dict | None = None) -> Kit:
+    """The chosen encoder; columns with more than 20 train values are hashed.
+
+    ``values`` is the result of ``category_values`` for all columns.
+    """
+    found = (values or category_values(kit, [col]))[col]
+    if found is None:
         return encode_hashing(kit, col)
     if strategy == "target":
         return encode_target(kit, col, y)
     if strategy.startswith("hashing"):
         n = int(strategy.split("_")[1]) if "_" in strategy else HASH_COLUMNS
         return encode_hashing(kit, col, n)
-    return {"onehot": encode_onehot, "count": encode_count, "binary": encode_binary}[strategy](kit, col)
+    if strategy == "count":
+        return encode_count(kit, col)
+    return {"onehot": encode_onehot, "binary": encode_binary}[strategy](kit, col, found)
 
 
 # --- text ------------------------------------------------------------------
@@ -346,20 +376,24 @@ def encode_date(kit: Kit, col: str, strategy: str = "cyclical", drop_constant: b
 
 def drop_constant_date_parts(kit: Kit, parts: list[str]) -> Kit:
     """Drop parts with one distinct value over train and test, nulls ignored."""
-    both = kit.both().select(*parts)
-    gone = constant_columns(both, both, parts)
+    gone = constant_over(kit.both().select(*parts), parts)
     return kit.replace(kit.train.drop(*gone), kit.test.drop(*gone))
 
 
-def add_holidays(df: DataFrame, calendar: DataFrame, date: str, location: str, out: str = "is_holiday") -> DataFrame:
+def holiday_table(calendar: DataFrame, location: str) -> Fitted:
+    """Distinct ``(location, _day)`` rows of a calendar ``(location, day)``."""
+    return fitted(
+        calendar.select(
+            F.col("location").alias(location), F.col("day").cast("date").alias("_day"), F.lit(1).alias("_flag")
+        ).distinct()
+    )
+
+
+def add_holidays(df: DataFrame, days: Fitted, date: str, location: str, out: str = "is_holiday") -> DataFrame:
     """0/1 flag: the day is a public holiday at the location.
 
-    ``calendar(location, day)`` is an input table.
+    The calendar behind ``days`` is an input table.
     """
-    days = calendar.select(
-        F.col("location").alias(location), F.col("day").cast("date").alias("_day"), F.lit(1).alias("_flag")
-    ).distinct()
     keep = df.columns
     hit = attach(df.withColumn("_day", F.col(f"`{date}`").cast("date")), days, [location, "_day"])
     return hit.select(*keep, as_role(F.coalesce("_flag", F.lit(0)), out, "bin"))
-

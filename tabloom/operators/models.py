@@ -29,7 +29,6 @@ from tabloom.operators.scale import (
     log_target,
     restore_target,
     spline_exprs,
-    standard_exprs,
     standardize_target,
     target_stats,
     unlog_target,
@@ -222,16 +221,23 @@ def _fourier(spec: Spec, train: DataFrame, features: list[str]) -> tuple[list[Co
     rng = np.random.default_rng(spec.seed)
     w = rng.normal(scale=np.sqrt(2 * gamma), size=(n_out, len(features)))
     b = rng.uniform(0, 2 * np.pi, size=n_out)
-    z = [e.cast("double") for e in standard_exprs(train, features).values()]
+    stats = train.agg(
+        *[F.avg(f"`{f}`").alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.stddev_pop(f"`{f}`").alias(f"s{i}") for i, f in enumerate(features)],
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    # (x - m) / s . w + b, with the scaling folded into the weights
+    dev = np.array([stats[f"s{i}"] or 1.0 for i in range(len(features))], dtype=float)
+    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(len(features))], dtype=float)
+    w = w / dev
+    b = b - w @ mean
     norm = float(np.sqrt(2.0 / n_out))
     exprs = []
     for j in range(n_out):
-        dot = F.lit(float(b[j]))
-        for k, e in enumerate(z):
-            dot = dot + e * F.lit(float(w[j, k]))
-        exprs.append(F.cos(dot) * F.lit(norm))
+        terms = " + ".join(f"cast(`{f}` as double) * {float(v)!r}D" for f, v in zip(features, w[j]))
+        exprs.append(F.expr(f"{norm!r}D * cos({float(b[j])!r}D + {terms})"))
     p.setdefault("maxIter", 20)
-    p["regParam"] = 1.0 / (c * max(train.count(), 1))
+    p["regParam"] = 1.0 / (c * max(stats["n"], 1))
     return exprs, p
 
 

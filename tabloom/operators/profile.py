@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import md5_normal, md5_unit, pick_by_share
-from tabloom.functions.joins import attach
+from tabloom.functions.joins import Fitted, attach
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -129,7 +129,7 @@ def label_codes(train: DataFrame, target: str, id_col: str) -> DataFrame:
     return first.select(target, (F.row_number().over(w) - 1).alias("code"))
 
 
-def encode_labels(df: DataFrame, codes: DataFrame, target: str) -> DataFrame:
+def encode_labels(df: DataFrame, codes: DataFrame | Fitted, target: str) -> DataFrame:
     """Replace the label by its code; labels train never had become null."""
     return attach(df, codes, [target]).drop(target).withColumnRenamed("code", target)
 

@@ -100,15 +100,20 @@ def scale_quantile(train: DataFrame, other: DataFrame, cols: list[str], n: int =
     return _replace(other, {c: mapper(grids[c])(F.col(f"`{c}`").cast("double")) for c in todo})
 
 
-def _bump(u: Column) -> Column:
-    """The cardinal cubic B-spline on [0, 4], piece by piece."""
-    v, w, z = u - 1, u - 2, 4 - u
-    return (
-        F.when((u < 0) | (u > 4), F.lit(0.0))
-        .when(u < 1, u * u * u / 6)
-        .when(u < 2, (-3 * v * v * v + 3 * v * v + 3 * v + 1) / 6)
-        .when(u < 3, (3 * w * w * w - 6 * w * w + 4) / 6)
-        .otherwise(z * z * z / 6)
+def _bump(t: str, j: int) -> Column:
+    """The cardinal cubic B-spline on [0, 4], shifted to start at knot ``j - 3``.
+
+    Given as SQL text: one call builds the whole piecewise polynomial.
+    """
+    at = lambda k: f"({t} - {float(j - 3 + k)!r}D)"
+    cube = lambda e: f"{e} * {e} * {e}"
+    v, w, z = at(1), at(2), f"(0D - {at(4)})"
+    return F.expr(
+        f"CASE WHEN {at(0)} < 0D OR {at(4)} > 0D THEN 0D "
+        f"WHEN {at(1)} < 0D THEN {cube(at(0))} / 6D "
+        f"WHEN {at(2)} < 0D THEN (-3D * {cube(v)} + 3D * {v} * {v} + 3D * {v} + 1D) / 6D "
+        f"WHEN {at(3)} < 0D THEN (3D * {cube(w)} - 6D * {w} * {w} + 4D) / 6D "
+        f"ELSE {cube(z)} / 6D END"
     )
 
 
@@ -139,9 +144,9 @@ def spline_exprs(train: DataFrame, cols: list[str], knots: int = 5) -> dict[str,
             continue
         lo, hi = (float(v) for v in ends[c])
         step = (hi - lo) / (knots - 1)
-        x = F.least(F.greatest(F.col(f"`{c}`").cast("double"), F.lit(lo)), F.lit(hi))
-        t = (x - F.lit(lo)) / F.lit(step)
-        out[c] = [_bump(t - F.lit(float(j - 3))) for j in range(knots + 2)]
+        x = f"least(greatest(cast(`{c}` as double), {lo!r}D), {hi!r}D)"
+        t = f"(({x} - {lo!r}D) / {step!r}D)"
+        out[c] = [_bump(t, j) for j in range(knots + 2)]
     return out
 
 

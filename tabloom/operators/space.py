@@ -72,6 +72,10 @@ def drop_column_dims(priors: list[tuple[str, float | None]]) -> list[Dim]:
     ]
 
 
+def _replace_at(array: Column, i: int, value: Column) -> Column:
+    return F.transform(array, lambda x, j: F.when(j == i, value).otherwise(x))
+
+
 def grid_space(start: DataFrame, space: Space, free: list[str], index: str = "indices") -> DataFrame:
     """All settings of the free dimensions, the others as in ``start``.
 
@@ -83,11 +87,7 @@ def grid_space(start: DataFrame, space: Space, free: list[str], index: str = "in
         if d.name not in free:
             continue
         out = out.withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(len(d.values) - 1))))
-        pos = F.lit(i)
-        out = out.withColumn(
-            index,
-            F.transform(index, lambda x, j, pos=pos: F.when(j == pos, F.col("_v")).otherwise(x)),
-        ).drop("_v")
+        out = out.withColumn(index, _replace_at(F.col(index), i, F.col("_v"))).drop("_v")
     return out
 
 

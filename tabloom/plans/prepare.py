@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.joins import fitted
 from tabloom.meta import Kit, Meta, as_role, columns_of, features_of, roles_of, with_roles
 from tabloom.operators import columns as C
 from tabloom.operators import encode as E
 from tabloom.operators import impute as I
 from tabloom.operators import profile as P
 from tabloom.operators.training import Task
-from tabloom.session import settle
+from tabloom.session import stored
 from tabloom.sources.kits import drop_null_targets, rename_kit
 
 # The default chain; ``columnwise`` stands for the per-column steps.
@@ -33,6 +34,7 @@ class ChainSettings:
     imputer_settings: dict = field(default_factory=dict)
     target_encoded: list[str] = field(default_factory=list)
     calendar: DataFrame | None = None
+    store_input: bool = True
     chain: tuple[str, ...] = DEFAULT_CHAIN
 
 
@@ -52,7 +54,8 @@ def _holidays(kit: Kit, s: ChainSettings) -> Kit:
     dates, places = _kept(kit, "date"), _kept(kit, "location")
     if s.calendar is None or len(dates) != 1 or len(places) != 1:
         return kit
-    flag = lambda df: E.add_holidays(df, s.calendar, dates[0], places[0])
+    days = E.holiday_table(s.calendar, places[0])
+    flag = lambda df: E.add_holidays(df, days, dates[0], places[0])
     return kit.replace(flag(kit.train), flag(kit.test))
 
 
@@ -63,15 +66,17 @@ def _date(kit: Kit, s: ChainSettings) -> Kit:
 
 
 def _impute(kit: Kit, s: ChainSettings, role: str) -> Kit:
+    """Only columns with gaps are fitted."""
     num, cat = _kept(kit, "num"), _kept(kit, "cat")
     cols = cat if role == "cat" else num
     if not cols:
         return kit
-    if s.imputer == "statistic":
-        return I.impute_mode(kit, cols) if role == "cat" else I.impute_median(kit, cols)
     counts = P.missing_counts(kit.train, kit.test, cols).collect()  # one row per column
     gaps = {r["feature"]: r["missing"] for r in counts}
-    return I.impute_models(kit, [c for c in cols if gaps.get(c)], num, cat, **s.imputer_settings)
+    gappy = [c for c in cols if gaps.get(c)]
+    if s.imputer == "statistic":
+        return I.impute_mode(kit, gappy) if role == "cat" else I.impute_median(kit, gappy)
+    return I.impute_models(kit, gappy, num, cat, **s.imputer_settings)
 
 
 def _encode_cat(kit: Kit, s: ChainSettings) -> Kit:
@@ -79,8 +84,10 @@ def _encode_cat(kit: Kit, s: ChainSettings) -> Kit:
     flagged = [c for c in s.target_encoded if c in kit.train.columns]
     if flagged:
         kit = E.add_target_encoding(kit, flagged, y)
-    for c in _kept(kit, "cat"):
-        kit = E.encode_category(kit, c, s.category.get(c, "onehot"), y)
+    cats = _kept(kit, "cat")
+    values = E.category_values(kit, cats)
+    for c in cats:
+        kit = E.encode_category(kit, c, s.category.get(c, "onehot"), y, values)
     return kit
 
 
@@ -109,13 +116,21 @@ def _step(kit: Kit, name: str, s: ChainSettings) -> Kit:
     raise ValueError(f"unknown preparation step {name}")
 
 
+def stored_kit(kit: Kit) -> Kit:
+    return kit.replace(stored(kit.train, "train"), stored(kit.test, "test"))
+
+
 def preprocess_chain(kit: Kit, settings: ChainSettings | None = None) -> Kit:
     """Run the ordered list of steps; the result is one lazy plan per table.
 
+    The fitting steps pass over the tables several times, so unless they are
+    plain scans already (``store_input`` off) they are stored once before.
     Location columns that no step consumed are dropped; the remaining features
     are numbers.
     """
     s = settings or ChainSettings()
+    if s.store_input:
+        kit = stored_kit(kit)
     for entry in s.chain:
         for name in COLUMNWISE if entry == "columnwise" else (entry,):
             kit = _step(kit, name, s)
@@ -173,8 +188,8 @@ def code_targets(kit: Kit) -> Kit:
     values = dict(meta.target_values)
     for t in meta.target_cols:
         if meta.is_classification:
-            codes = settle(P.label_codes(train, t, meta.id_col))
-            values[t] = [str(r[t]) for r in codes.orderBy("code").collect()]  # one row per class
+            codes = fitted(P.label_codes(train, t, meta.id_col))
+            values[t] = [str(r[t]) for r in codes.table.orderBy("code").collect()]  # one row per class
             train = P.encode_labels(train, codes, t)
             if t in test.columns:
                 test = P.encode_labels(test, codes, t)
@@ -189,18 +204,19 @@ def code_targets(kit: Kit) -> Kit:
 
 def setup(kit: Kit) -> Kit:
     """Read kit to clean, profiled kit with coded targets."""
-    return code_targets(profile_kit(clean_kit(kit)))
+    return code_targets(profile_kit(stored_kit(clean_kit(kit))))
 
 
 def make_task(kit: Kit, target: str | None = None) -> Task:
     """A prepared kit as a training task; tables are written once, then read per fold."""
     t = target or kit.meta.target_cols[0]
     cols = numeric_features(kit)
-    shape = lambda df: settle(
+    shape = lambda df, have: stored(
         df.select(
-            kit.meta.id_col, F.col(t).cast("double").alias(t),
+            kit.meta.id_col, *([F.col(t).cast("double").alias(t)] if have else []),
             *[as_role(F.col(f"`{c}`").cast("double"), c) for c in cols],
-        )
+        ),
+        "task",
     )
     classes = len(kit.meta.target_values.get(t, [])) if kit.meta.is_classification else 0
-    return Task(shape(kit.train), shape(kit.test), kit.meta.id_col, t, cols, kit.meta.score_name, classes)
+    return Task(shape(kit.train, True), shape(kit.test, t in kit.test.columns), kit.meta.id_col, t, cols, kit.meta.score_name, classes)

@@ -18,7 +18,10 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "tabloom") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # saves several JVM calls per column expression built in Python
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.scheduler.mode", "FAIR")
         .getOrCreate()
     )
@@ -56,3 +59,14 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a table that several passes read as Parquet in the shared folder.
+
+    Later passes prune columns and skip the work that built the table; column
+    roles are kept in the file's schema.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
