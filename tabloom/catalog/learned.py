@@ -71,12 +71,9 @@ NUM = ["q", "d", "tax"]
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with numeric features, a price and coded return flags."""
-    tax = table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).agg(
-        F.max("l_tax").alias("tax")
-    )
     code = F.when(F.col("flag") == "R", 1.0).otherwise(0.0)
     three = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("flag")) - 1
-    return items(spark, sf).join(tax, "row_id").withColumns({"is_r": code, "flag3": three.cast("double")})
+    return items(spark, sf).withColumns({"is_r": code, "flag3": three.cast("double")})
 
 
 def _holdout_predictions(spark, sf, spec: M.Spec, target: str, classes: int = 0) -> DataFrame:

@@ -110,7 +110,7 @@ def all_rows(kit: Kit, *cols: str) -> DataFrame:
 ITEMS_SQL = """
 items AS (
   SELECT l_orderkey * 10 + l_linenumber AS row_id, max(l_extendedprice) AS price,
-         max(l_quantity) AS q, max(l_discount) AS d, max(l_returnflag) AS flag
+         max(l_quantity) AS q, max(l_discount) AS d, max(l_tax) AS tax, max(l_returnflag) AS flag
   FROM lineitem GROUP BY 1)"""
 
 
@@ -121,6 +121,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
         F.max("l_extendedprice").alias("price"),
         F.max("l_quantity").alias("q"),
         F.max("l_discount").alias("d"),
+        F.max("l_tax").alias("tax"),
         F.max("l_returnflag").alias("flag"),
     )
 

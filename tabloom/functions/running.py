@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +15,21 @@ BLOCK_ROWS = 2_000_000
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows in the largest key, rows in all); one pass with map-side counts."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    row = per_key.agg(F.max("_n").alias("m"), F.sum("_n").alias("t")).first()
-    return (row["m"] or 0, row["t"] or 0)
+@dataclass(frozen=True)
+class Sizes:
+    """Rows per key: a settled table ``(keys, _rows)``, the largest and the total."""
+
+    table: DataFrame
+    largest: int
+    total: int
+    keys: int
+
+
+def key_sizes(df: DataFrame, keys: list[str]) -> Sizes:
+    """One pass with map-side counts."""
+    table = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    row = table.agg(F.max("_rows").alias("m"), F.sum("_rows").alias("t"), F.count(F.lit(1)).alias("k")).first()
+    return Sizes(table, row["m"] or 0, row["t"] or 0, row["k"])
 
 
 def running(
@@ -26,29 +37,29 @@ def running(
     keys: list[str],
     order: list[Column],
     out: dict[str, tuple[str, str | Column]],
-    size: tuple[int, int] | None = None,
+    sizes: Sizes | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``out[name] = (fn, column)`` accumulated per key in ``order``.
 
-    ``order`` must be total within a key. While the largest key has at most
+    ``order`` must be total within a key; ``sizes`` may bound ``df`` from above. While the largest key has at most
     ``block_rows`` rows a plain window does it. Otherwise rows are range
     partitioned on (keys, order) and frozen, each piece is accumulated by its
     own task, and the totals of earlier pieces are added. Every partition but
     the first opens with at most one key begun earlier, so the table of carried
     totals has fewer rows than there are partitions and is safe to broadcast.
     """
-    biggest, total = size or largest_group(df, keys)
+    sizes = sizes or key_sizes(df, keys)
     src = {f"_src_{n}": (c if isinstance(c, Column) else F.col(c)) for n, (_, c) in out.items()}
     df = df.withColumns(src)
     frame = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if biggest <= block_rows:
+    if sizes.largest <= block_rows:
         w = frame(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumns(
             {n: _AGG[f](f"_src_{n}").over(w) for n, (f, _) in out.items()}
         ).drop(*src)
 
-    pieces = max(2, math.ceil(total / block_rows))
+    pieces = max(2, math.ceil(sizes.total / block_rows))
     by = [F.col(k) for k in keys] + list(order)
     ranged = settle(
         df.repartitionByRange(pieces, *by).withColumn("_piece", F.spark_partition_id())

@@ -230,51 +230,67 @@ def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | No
 
 # --- text ------------------------------------------------------------------
 
-# Modulus (a Mersenne prime), gram base and salts of the text hash.
-HASH_PRIME = 2**31 - 1
-GRAM_BASE = 1_000_003
-SALT_A, SALT_B = 48_271, 69_621
+# Odd multipliers of the gram hash and of the hash family.
+GRAM_BASE = 0x9E3779B97F4A7C15
+FAMILY_STEP = 0xD1342543DE82EF95
+CHUNK = 1 << 16
+_WORD = 2**64
 
 
-def gram_hashes(text: str, lo: int, hi: int) -> np.ndarray:
-    """Hashes of all character n-grams of length ``lo`` to ``hi``."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    out = []
-    for n in range(lo, hi + 1):
-        if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n, dtype=np.int64)
-        for j in range(n):
-            h = (h * GRAM_BASE + codes[j : len(codes) - n + 1 + j]) % HASH_PRIME
-        out.append(np.unique(h))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
-
-
-def hash_family(n: int) -> tuple[list[int], list[int]]:
-    """Multipliers and offsets of ``n`` linear hashes over the prime field."""
-    a, b = [], []
-    x, y = 1, 1
+def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers (odd) and offsets of ``n`` linear hashes over 64-bit words."""
+    a, b, x = [], [], 1
     for _ in range(n):
-        x, y = x * SALT_A % HASH_PRIME, y * SALT_B % HASH_PRIME
-        a.append(x)
-        b.append(y)
-    return a, b
+        x = (x * FAMILY_STEP + 12345) % _WORD
+        a.append(x | 1)
+        x = (x * FAMILY_STEP + 12345) % _WORD
+        b.append(x)
+    return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+
+
+def gram_hashes(text: str, lo: int, hi: int) -> list[np.ndarray]:
+    """Per length ``lo`` to ``hi``, the hashes of all character n-grams.
+
+    A gram's hash extends the hash of the gram one character shorter, so each
+    length costs one pass over the text. Arithmetic wraps at 64 bits.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    base, out = np.uint64(GRAM_BASE), []
+    h = np.zeros(len(codes) + 1, dtype=np.uint64)
+    for n in range(1, hi + 1):
+        if len(codes) < n:
+            break
+        h = (h[:-1] + codes[n - 1 :] + np.uint64(1)) * base
+        h ^= h >> np.uint64(29)
+        if n >= lo:
+            out.append(h)
+    return out
 
 
 def minhash(text: str, n: int, lo: int, hi: int, minmax: bool) -> list[float]:
-    """The hash signature of one text, scaled to [0, 1); all zeros without grams."""
-    grams = gram_hashes(text, lo, hi)
-    if len(grams) == 0:
-        return [0.0] * n
+    """The hash signature of one whole text, scaled to [0, 1); zeros without grams.
+
+    With ``minmax`` the first half holds minima and the second half maxima of
+    the same hashes. Grams are hashed in chunks that stay in cache.
+    """
     mins = (n + 1) // 2 if minmax else n
     a, b = hash_family(mins)
-    low, high = [], []
-    for ai, bi in zip(a, b):
-        h = (grams * ai + bi) % HASH_PRIME
-        low.append(int(h.min()) / HASH_PRIME)
-        if minmax and len(high) < n - mins:
-            high.append(int(h.max()) / HASH_PRIME)
-    return low + high
+    low = np.full(mins, _WORD - 1, dtype=np.uint64)
+    high = np.zeros(mins, dtype=np.uint64)
+    some = False
+    for grams in gram_hashes(text, lo, hi):
+        some = True
+        for i in range(0, len(grams), CHUNK):
+            part = grams[i : i + CHUNK]
+            for k in range(mins):
+                h = part * a[k] + b[k]
+                low[k] = min(low[k], h.min())
+                if minmax:
+                    high[k] = max(high[k], h.max())
+    if not some:
+        return [0.0] * n
+    words = np.concatenate([low, high[: n - mins]]) if minmax else low
+    return ((words >> np.uint64(11)).astype(np.float64) / 2.0**53).tolist()
 
 
 def text_signature(col: Column, n: int = 30, grams: str = "2-4", minmax: bool = False) -> Column:

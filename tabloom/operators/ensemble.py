@@ -26,23 +26,9 @@ def bag(preds: DataFrame, keys: tuple[str, ...] = ("submission", "row_id")) -> D
     return preds.groupBy(*keys).agg(*aggs)
 
 
-def to_ranks(preds: DataFrame, keys: tuple[str, ...] = S.KEYS) -> DataFrame:
-    """Predictions replaced by their average rank within submission and fold.
-
-    Ranks come from the distinct values; a value shared by very many rows is
-    joined back by broadcast, so it does not pile up in one task.
-    """
-    ranks = S.rank_within(preds, keys).withColumnRenamed("_v", "p")
-    cols = preds.columns
-    return (
-        attach(preds, ranks, [*keys, "p"], weight="_n")
-        .withColumn("p", F.col("rank"))
-        .select(*cols)
-    )
-
-
 def bag_ranks(preds: DataFrame) -> DataFrame:
-    return bag(to_ranks(preds))
+    """Bag of the ranks within submission and fold, for rank-based scores."""
+    return bag(S.rank_rows(preds))
 
 
 def bagged_scores(preds: DataFrame, name: str, folds: list[int]) -> DataFrame:
@@ -170,8 +156,8 @@ def blend(preds: DataFrame, name: str, max_steps: int = 100) -> DataFrame:
     them; other scores run one job per step over all folds and candidates.
     """
     spark = preds.sparkSession
-    names = sorted(r[0] for r in preds.select("submission").distinct().collect())
-    folds = sorted(r[0] for r in preds.select("fold").distinct().collect())
+    pairs = preds.select("submission", "fold").distinct().collect()  # a row per submission and fold
+    names, folds = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})
     rows: list[tuple] = []
     if name in ("rmse", "r2"):
         m = len(names)

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.joins import attach
-from tabloom.functions.running import BLOCK_ROWS, largest_group, running
+from tabloom.functions.joins import Fitted, attach
+from tabloom.functions.running import BLOCK_ROWS, Sizes, key_sizes, running
 
 KEYS = ("submission", "fold")
 EPS = 1e-15
@@ -96,44 +96,54 @@ def multiclass_nll(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     )
 
 
-def _histogram(preds: DataFrame, keys: tuple[str, ...], value: Column, aggs: dict[str, Column]):
-    """Rows combined per distinct value, with the sizes ``running`` asks for.
+def _histogram(preds: DataFrame, keys: tuple[str, ...], value: Column, aggs: dict[str, Column]) -> DataFrame:
+    """Rows combined per distinct value, partly before the shuffle."""
+    return preds.groupBy(*keys, value.alias("_v")).agg(*[e.alias(n) for n, e in aggs.items()])
 
-    The row counts bound the distinct counts, so one light pass decides.
-    """
-    size = largest_group(preds, list(keys))
-    hist = preds.groupBy(*keys, value.alias("_v")).agg(*[e.alias(n) for n, e in aggs.items()])
-    if size[0] > BLOCK_ROWS:
-        size = largest_group(hist, list(keys))
-    return hist, size
+
+def _hist_sizes(hist: DataFrame, keys: tuple[str, ...], rows: Sizes) -> Sizes:
+    """Row counts bound the distinct counts; count those only when it matters."""
+    return rows if rows.largest <= BLOCK_ROWS else key_sizes(hist, list(keys))
 
 
 def medae(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Median absolute error from the histogram of errors."""
+    """Median absolute error."""
     return grouped_median(preds, keys, F.abs(F.col("y") - F.col("p")), "score")
 
 
-def grouped_median(df: DataFrame, keys: tuple[str, ...], value: Column, out: str) -> DataFrame:
-    """Exact median per key; a key's values need not fit one task."""
-    hist, size = _histogram(df.where(value.isNotNull()), keys, value, {"_n": F.count(F.lit(1))})
-    n = df.where(value.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    run = running(hist, list(keys), [F.col("_v")], {"_upto": ("sum", "_n")}, size)
-    lo, hi = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
-    holds = lambda r: (F.col("_upto") - F.col("_n") <= r) & (r < F.col("_upto"))
-    return (
-        attach(run, n, list(keys), "inner", weight="_all")
-        .groupBy(*keys)
-        .agg(
-            ((F.max(F.when(holds(lo), F.col("_v"))) + F.max(F.when(holds(hi), F.col("_v")))) / 2).alias(out)
+def grouped_median(
+    df: DataFrame, keys: tuple[str, ...], value: Column, out: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Exact median per key.
+
+    While keys fit a task, one shuffle and sort find the middle rows. Beyond
+    that, ranks run over the histogram of values in range-partitioned pieces.
+    """
+    rows = df.where(value.isNotNull()).select(*keys, value.alias("_v"))
+    sizes = key_sizes(rows, list(keys))
+    lo, hi = F.floor((F.col("_rows") - 1) / 2), F.ceil((F.col("_rows") - 1) / 2)
+    if sizes.largest <= block_rows:
+        w = Window.partitionBy(*keys)
+        placed = rows.withColumns(
+            {"_at": F.row_number().over(w.orderBy("_v")) - 1, "_rows": F.count(F.lit(1)).over(w)}
         )
+        return placed.where(F.col("_at").isin(lo, hi)).groupBy(*keys).agg(F.avg("_v").alias(out))
+    hist = _histogram(rows, keys, F.col("_v"), {"_n": F.count(F.lit(1))})
+    run = running(
+        hist, list(keys), [F.col("_v")], {"_upto": ("sum", "_n")}, key_sizes(hist, list(keys)), block_rows
     )
+    known = Fitted(sizes.table, sizes.keys)
+    holds = lambda r: (F.col("_upto") - F.col("_n") <= r) & (r < F.col("_upto"))
+    middle = (F.max(F.when(holds(lo), F.col("_v"))) + F.max(F.when(holds(hi), F.col("_v")))) / 2
+    return attach(run, known, list(keys), "inner", weight="_rows").groupBy(*keys).agg(middle.alias(out))
 
 
 def auc(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Area under the ROC curve; a positive and a negative with equal score count half."""
     pos, neg = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
-    hist, size = _histogram(preds, keys, F.col("p"), {"_pos": pos, "_neg": neg})
-    run = running(hist, list(keys), [F.col("_v")], {"_below": ("sum", "_neg")}, size)
+    hist = _histogram(preds, keys, F.col("p"), {"_pos": pos, "_neg": neg})
+    sizes = _hist_sizes(hist, keys, key_sizes(preds, list(keys)))
+    run = running(hist, list(keys), [F.col("_v")], {"_below": ("sum", "_neg")}, sizes)
     wins = F.sum(F.col("_pos") * (F.col("_below") - F.col("_neg") / 2.0))
     return run.groupBy(*keys).agg(
         F.try_divide(wins, F.sum("_pos").cast("double") * F.sum("_neg")).alias("score")
@@ -144,15 +154,16 @@ def gini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return auc(preds, keys).withColumn("score", 2 * F.col("score") - 1)
 
 
-def _lorenz(preds: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
+def _lorenz(preds: DataFrame, keys: tuple[str, ...], by: str, rows: Sizes) -> DataFrame:
     """``(keys, _area)``: area between the curve of captured ``y`` and the diagonal.
 
     Rows are taken from the highest ``by`` down; equal values form one straight
     segment.
     """
     aggs = {"_n": F.count(F.lit(1)), "_s": F.sum(F.col("y").cast("double"))}
-    hist, size = _histogram(preds, keys, F.col(by), aggs)
-    run = running(hist, list(keys), [F.col("_v").desc()], {"_cum": ("sum", "_s")}, size)
+    hist = _histogram(preds, keys, F.col(by), aggs)
+    sizes = _hist_sizes(hist, keys, rows)
+    run = running(hist, list(keys), [F.col("_v").desc()], {"_cum": ("sum", "_s")}, sizes)
     strip = F.col("_n") * (F.col("_cum") - F.col("_s") / 2.0)
     return run.groupBy(*keys).agg(
         (F.try_divide(F.sum(strip), F.sum("_n") * F.sum("_s")) - 0.5).alias("_area")
@@ -161,8 +172,9 @@ def _lorenz(preds: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
 
 def ngini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Gini of the predicted order over gini of the perfect order."""
-    got = _lorenz(preds, keys, "p")
-    best = _lorenz(preds, keys, "y").withColumnRenamed("_area", "_best")
+    rows = key_sizes(preds, list(keys))
+    got = _lorenz(preds, keys, "p", rows)
+    best = _lorenz(preds, keys, "y", rows).withColumnRenamed("_area", "_best")
     return got.join(best, list(keys)).select(
         *keys, F.try_divide(F.col("_area"), F.col("_best")).alias("score")
     )
@@ -190,9 +202,20 @@ def score_table(preds: DataFrame, names: list[str], keys: tuple[str, ...] = KEYS
     return out
 
 
-def rank_within(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``(keys, _v, rank)``: the average rank of each distinct prediction."""
-    hist, size = _histogram(preds, keys, F.col("p"), {"_n": F.count(F.lit(1))})
-    run = running(hist, list(keys), [F.col("_v")], {"_upto": ("sum", "_n")}, size)
-    return run.select(*keys, "_v", "_n", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank"))
+def rank_rows(preds: DataFrame, keys: tuple[str, ...] = KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``preds`` with ``p`` replaced by its average rank within the key.
 
+    While keys fit a task one window does it. Beyond that, ranks come from the
+    distinct predictions; a value shared by very many rows is joined back by
+    broadcast, so it does not pile up in one task.
+    """
+    cols, ks = preds.columns, list(keys)
+    rows = key_sizes(preds, ks)
+    if rows.largest <= block_rows:
+        w = Window.partitionBy(*ks).orderBy("p")
+        peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        return preds.withColumn("p", F.rank().over(w) + (peers - 1) / 2.0).select(*cols)
+    hist = _histogram(preds, keys, F.col("p"), {"_n": F.count(F.lit(1))})
+    run = running(hist, ks, [F.col("_v")], {"_upto": ("sum", "_n")}, key_sizes(hist, ks), block_rows)
+    ranks = run.select(*keys, F.col("_v").alias("p"), "_n", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank"))
+    return attach(preds, ranks, [*keys, "p"], weight="_n").withColumn("p", F.col("rank")).select(*cols)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.running import running
+from tabloom.session import settle
 
 KEY = "submission"
 
@@ -120,7 +121,7 @@ def select_within_sigma(
     trials: DataFrame, score: str, folds: list[int], top_n: int | None, n_sigma: float, lower: bool
 ) -> DataFrame:
     """Trials within ``n_sigma`` standard errors of the mean of the best ones."""
-    errors = trial_errors(trials, score, folds)
+    errors = settle(trial_errors(trials, score, folds))  # a row per trial, read twice
     cutoff = sigma_cutoff(errors, score, top_n, n_sigma, lower)
     if cutoff is None:
         return errors.limit(0).select(KEY, score)
