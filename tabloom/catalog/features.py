@@ -129,7 +129,7 @@ CORR_SQL = " UNION ALL ".join(
 
 @query(
     "select_kbest_pearson",
-    f"SELECT feature, round(r, 6) AS score FROM ({CORR_SQL}) ORDER BY r DESC, feature LIMIT 2",
+    f"SELECT feature, round(r, 6) + 0 AS score FROM ({CORR_SQL}) ORDER BY r DESC, feature LIMIT 2",
 )
 def select_kbest_pearson(spark: SparkSession, sf: str) -> DataFrame:
     return _r(C.select_kbest(table(spark, sf, "lineitem"), REG, "l_extendedprice", False, 1, -1), "score")

@@ -21,7 +21,7 @@ def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 @query(
     "scale_standard",
     f"""{Q}, s AS (SELECT avg(balance) AS m, stddev_pop(balance) AS d, avg(nationkey) AS nm, stddev_pop(nationkey) AS nd FROM train)
-        SELECT id, round((balance - m) / d, 6) AS balance, round((nationkey - nm) / nd, 6) AS nationkey FROM kit, s""",
+        SELECT id, round((balance - m) / d, 6) + 0 AS balance, round((nationkey - nm) / nd, 6) + 0 AS nationkey FROM kit, s""",
 )
 def scale_standard(spark: SparkSession, sf: str) -> DataFrame:
     kit = order_kit(spark, sf)
@@ -75,7 +75,7 @@ def log_target(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "standardize_target",
     f"""{Q}, s AS (SELECT avg(price) AS m, stddev_pop(price) AS d FROM train)
-        SELECT id, round((price - m) / d * 2, 6) AS y, round((price - m) / d * 2 / 2 * d + m, 4) AS restored FROM train, s""",
+        SELECT id, round((price - m) / d * 2, 6) + 0 AS y, round((price - m) / d * 2 / 2 * d + m, 4) AS restored FROM train, s""",
 )
 def standardize_target(spark: SparkSession, sf: str) -> DataFrame:
     train = order_kit(spark, sf).train

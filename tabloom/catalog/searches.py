@@ -77,7 +77,7 @@ BIAS_SQL = """fm AS (SELECT fold, avg(valid) AS m FROM full_trials GROUP BY 1),
 
 @query(
     "fold_bias",
-    f"WITH {FULL_SQL}, {BIAS_SQL} SELECT fold, submission, round(valid, 6) AS valid, round(valid - bias, 6) AS valid_unbiased FROM full_trials JOIN bias USING (fold)",
+    f"WITH {FULL_SQL}, {BIAS_SQL} SELECT fold, submission, round(valid, 6) AS valid, round(valid - bias, 6) + 0 AS valid_unbiased FROM full_trials JOIN bias USING (fold)",
 )
 def fold_bias(spark: SparkSession, sf: str) -> DataFrame:
     out = T.unbiased(T.full_folds(trials(spark, sf), FOLDS), "valid")
