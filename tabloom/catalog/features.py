@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -396,11 +398,15 @@ def custom_stage(spark: SparkSession, sf: str) -> DataFrame:
     return ClipToRange(cols=["balance", "nationkey"]).fit(kit.train.select(*cols)).transform(kit.test.select(*cols))
 
 
+# 25 nations are more than 20 values, so places are hashed; empty buckets get no column.
+PLACE_BUCKETS = sorted({int(md5(f"NATION_{i}".encode()).hexdigest()[:8], 16) % 20 for i in range(25)})
+
+
 @query(
     "preprocess_chain",
     f"""{Q}, m AS (SELECT median(balance) AS b FROM kit),
         p AS (SELECT priority FROM kit WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, priority LIMIT 1),
-        f AS (SELECT id, is_test, coalesce(balance, b) AS balance, nationkey, coalesce(kit.priority, p.priority) AS priority, segment, ordered FROM kit, m, p)
+        f AS (SELECT id, is_test, coalesce(balance, b) AS balance, nationkey, coalesce(kit.priority, p.priority) AS priority, segment, place, ordered FROM kit, m, p)
         SELECT id, is_test, balance, CAST(nationkey AS DOUBLE) AS nationkey, CAST(year(ordered) AS INTEGER) AS ordered_year, """
     + ", ".join(
         f"round({fn}({SQL_PARTS[q].format(c='ordered')} / {E.PERIODS[q]!r}::DOUBLE * 2 * pi()), 9) + 0 AS ordered_{q}_{fn}"
@@ -410,6 +416,8 @@ def custom_stage(spark: SparkSession, sf: str) -> DataFrame:
     + ", ".join(f"CAST(priority = '{v}' AS INTEGER) AS \"priority_{v.replace('-', '_')}\"" for v in PRIORITIES)
     + ", " + ", ".join(
         f"CAST(segment = '{v}' AS INTEGER) AS segment_{v}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    ) + ", " + ", ".join(
+        f"CAST({sql_mod(20, 'place')} = {i} AS INTEGER) AS place_col_{i}" for i in PLACE_BUCKETS
     ) + " FROM f",
 )
 def preprocess_chain(spark: SparkSession, sf: str) -> DataFrame:

@@ -199,15 +199,23 @@ def encode_binary(kit: Kit, col: str, values: list | None = None) -> Kit:
 
 
 def encode_hashing(kit: Kit, col: str, n: int = HASH_COLUMNS, drop_constant: bool = True) -> Kit:
-    """Category hashed to one of ``n`` indicator columns; constant ones go."""
+    """Category hashed to one of ``n`` indicator columns; constant ones go.
+
+    The bucket is computed in a projection of its own, once per row.
+    """
     bucket = md5_mod(n, F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("nan")))
-    names = [f"{safe_name(col)}_col_{i}" for i in range(n)]
+    hit = set(range(n))
     if drop_constant:
-        seen = kit.both().select(bucket.alias("b")).distinct().collect()  # at most n rows
-        hit = {r["b"] for r in seen}
-        names = [nm for i, nm in enumerate(names) if i in hit and len(hit) > 1]
-    new = [as_role((bucket == int(nm.rsplit("_", 1)[1])).cast("int"), nm) for nm in names]
-    return _on_both(kit, col, new)
+        values = kit.both().select(F.col(f"`{col}`")).distinct()
+        hit = {r["b"] for r in values.select(bucket.alias("b")).distinct().collect()}  # at most n rows
+        hit = hit if len(hit) > 1 else set()
+    new = [as_role((F.col("_bucket") == i).cast("int"), f"{safe_name(col)}_col_{i}") for i in sorted(hit)]
+
+    def apply(df: DataFrame) -> DataFrame:
+        keep = [F.col(f"`{c}`") for c in df.columns if c != col]
+        return df.withColumn("_bucket", bucket).select(*keep, *new)
+
+    return kit.replace(apply(kit.train), apply(kit.test))
 
 
 def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | None = None, values: dict | None = None) -> Kit:
@@ -356,38 +364,43 @@ def date_parts(c: Column) -> dict[str, Column]:
 
 
 def date_columns(col: str, strategy: str = "cyclical") -> dict[str, Column]:
-    """Named expressions of the strategy: ``raw``, ``cyclical`` or ``cyclical-ohe``."""
-    src = F.col(f"`{col}`")
-    parts = date_parts(src)
-    out = {f"{col}_year": F.year(src)}
-
-    def wave(p: str) -> None:
-        angle = parts[p] / F.lit(PERIODS[p]) * 2 * F.lit(math.pi)
-        out[f"{col}_{p}_cos"] = F.cos(angle)
-        out[f"{col}_{p}_sin"] = F.sin(angle)
+    """Named expressions over the parts ``_<part>`` of the strategy.
 
+    Strategies are ``raw``, ``cyclical`` and ``cyclical-ohe``.
+    """
+    out = {f"{col}_year": F.col("_year")}
     if strategy == "raw":
-        out |= {f"{col}_{p}": e for p, e in parts.items()}
-    elif strategy == "cyclical":
-        for p in parts:
-            wave(p)
-    elif strategy == "cyclical-ohe":
-        for p in parts:
-            if p not in ONEHOT_PARTS:
-                wave(p)
+        return out | {f"{col}_{p}": F.col(f"_{p}") for p in PERIODS}
+    if strategy not in ("cyclical", "cyclical-ohe"):
+        raise ValueError(f"unknown date encoding {strategy}")
+    for p, period in PERIODS.items():
+        if strategy == "cyclical" or p not in ONEHOT_PARTS:
+            for fn in ("cos", "sin"):
+                out[f"{col}_{p}_{fn}"] = F.expr(f"{fn}(_{p} / {period!r}D * 2 * {math.pi!r}D)")
+    if strategy == "cyclical-ohe":
         for p, values in ONEHOT_PARTS.items():
             for v in values:
-                out[f"{col}_{p}_{v}"] = (parts[p] == v).cast("int")
-    else:
-        raise ValueError(f"unknown date encoding {strategy}")
+                out[f"{col}_{p}_{v}"] = F.expr(f"cast(_{p} = {v} as int)")
     return out
 
 
 def encode_date(kit: Kit, col: str, strategy: str = "cyclical", drop_constant: bool = True) -> Kit:
-    """Replace a date column by its parts, then drop the constant ones."""
-    new = [as_role(e, n) for n, e in date_columns(col, strategy).items()]
-    out = _on_both(kit, col, new)
-    return drop_constant_date_parts(out, list(date_columns(col, strategy))) if drop_constant else out
+    """Replace a date column by its parts, then drop the constant ones.
+
+    Parts are taken once in a projection of their own; waves and indicators
+    build on them.
+    """
+    src = F.col(f"`{col}`")
+    exprs = date_columns(col, strategy)
+    new = [as_role(e, n) for n, e in exprs.items()]
+
+    def apply(df: DataFrame) -> DataFrame:
+        parts = {"_year": F.year(src)} | {f"_{p}": e for p, e in date_parts(src).items()}
+        keep = [F.col(f"`{c}`") for c in df.columns if c != col]
+        return df.withColumns(parts).select(*keep, *new)
+
+    out = kit.replace(apply(kit.train), apply(kit.test))
+    return drop_constant_date_parts(out, list(exprs)) if drop_constant else out
 
 
 def drop_constant_date_parts(kit: Kit, parts: list[str]) -> Kit:

@@ -80,11 +80,13 @@ def _impute(kit: Kit, s: ChainSettings, role: str) -> Kit:
 
 
 def _encode_cat(kit: Kit, s: ChainSettings) -> Kit:
+    """Categories, locations and binary columns that hold text."""
     y = F.col(kit.meta.target_cols[0]).cast("double")
     flagged = [c for c in s.target_encoded if c in kit.train.columns]
     if flagged:
         kit = E.add_target_encoding(kit, flagged, y)
-    cats = _kept(kit, "cat")
+    types = dict(kit.train.dtypes)
+    cats = _kept(kit, "cat", "location") + [c for c in _kept(kit, "bin") if types[c] == "string"]
     values = E.category_values(kit, cats)
     for c in cats:
         kit = E.encode_category(kit, c, s.category.get(c, "onehot"), y, values)
@@ -125,8 +127,7 @@ def preprocess_chain(kit: Kit, settings: ChainSettings | None = None) -> Kit:
 
     The fitting steps pass over the tables several times, so unless they are
     plain scans already (``store_input`` off) they are stored once before.
-    Location columns that no step consumed are dropped; the remaining features
-    are numbers.
+    The resulting features are numbers.
     """
     s = settings or ChainSettings()
     if s.store_input:
@@ -134,8 +135,7 @@ def preprocess_chain(kit: Kit, settings: ChainSettings | None = None) -> Kit:
     for entry in s.chain:
         for name in COLUMNWISE if entry == "columnwise" else (entry,):
             kit = _step(kit, name, s)
-    left = columns_of(kit.train, "location", "text")
-    return kit.replace(kit.train.drop(*left), kit.test.drop(*left))
+    return kit
 
 
 def numeric_features(kit: Kit) -> list[str]:

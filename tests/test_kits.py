@@ -125,7 +125,7 @@ def test_setup_and_start(spark, tmp_path, target, prediction, score):
     spec = Spec("rf", {"numTrees": 3, "maxDepth": 3}, score)
     task, means = setup_and_start(kit, store, R.ChainSettings(calendar=days, text={"_note_4": {"n": 4}}), spec, (0, 1))
     assert "is_holiday" in task.features and "_const_8" not in task.features
-    assert not any(c.startswith("_where") for c in task.features)
+    assert "_where_6_FR" in task.features and "_flag_3_yes" in task.features
     assert sum(c.startswith("_wide_cat_7_col_") for c in task.features) > 10
     got = means.collect()
     assert len(got) == 1 and got[0]["mean_valid"] is not None
