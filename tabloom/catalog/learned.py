@@ -17,7 +17,7 @@ from tabloom.operators.folds import fold_of
 from tabloom.plans import prepare as R
 from tabloom.plans.race import Base, Race, RaceSettings, grow_folds, run_arms, select_and_train
 from tabloom.plans.start import setup_and_start
-from tabloom.session import work_dir
+from tabloom.session import stored, work_dir
 
 # --- neighbours: every vector is predicted from the other folds -----------------------------
 
@@ -51,17 +51,15 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 )
 def knn_classifier(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    near = K.nearest_neighbours(v, v, 7, metric="l2", group="fold")
-    labels = v.select(F.col("row_id").alias("neighbour"), F.col("label").alias("y"))
-    return K.knn_classifier(near, labels, "distance").withColumn("p", F.round("p", 6))
+    near = K.nearest_neighbours(v, v, 7, metric="l2", group="fold", label="label")
+    return K.knn_classifier(near, "distance").withColumn("p", F.round("p", 6))
 
 
 @query("knn_regressor", f"WITH {_near_sql(5, L1)} SELECT row_id, round(avg(label), 6) AS p FROM near GROUP BY 1")
 def knn_regressor(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    near = K.nearest_neighbours(v, v, 5, metric="l1", group="fold")
-    labels = v.select(F.col("row_id").alias("neighbour"), F.col("label").cast("double").alias("y"))
-    return K.knn_regressor(near, labels, "uniform").withColumn("p", F.round("p", 6))
+    near = K.nearest_neighbours(v, v, 5, metric="l1", group="fold", label="label")
+    return K.knn_regressor(near, "uniform").withColumn("p", F.round("p", 6))
 
 
 # --- fits on line items ---------------------------------------------------------------------
@@ -73,7 +71,7 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with numeric features, a price and coded return flags."""
     code = F.when(F.col("flag") == "R", 1.0).otherwise(0.0)
     three = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("flag")) - 1
-    return items(spark, sf).withColumns({"is_r": code, "flag3": three.cast("double")})
+    return stored(items(spark, sf).withColumns({"is_r": code, "flag3": three.cast("double")}), "items")
 
 
 def _holdout_predictions(spark, sf, spec: M.Spec, target: str, classes: int = 0) -> DataFrame:

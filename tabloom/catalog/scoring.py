@@ -24,6 +24,7 @@ from tabloom.functions.joins import attach
 from tabloom.operators import impute as I
 from tabloom.operators import scores as S
 from tabloom.operators.folds import fold_of, repeated_kfold
+from tabloom.plans.prepare import stored_kit
 
 EPS = "1e-15::DOUBLE"
 LL = f"avg(ln(least(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, {EPS}), 1 - {EPS})))"
@@ -161,8 +162,10 @@ def group_mean_cv(spark: SparkSession, sf: str) -> DataFrame:
     A fold's training mean is the group's total minus its own fold's, so one
     small table serves all thirty folds.
     """
+    cut = ["id", "price", "priority", "segment"]
     kit = order_kit(spark, sf)
-    rows = I.impute_mode(kit, ["priority"]).train.select("id", "price", "priority", "segment")
+    kit = stored_kit(kit.replace(kit.train.select(*cut), kit.test.select(*cut)))
+    rows = I.impute_mode(kit, ["priority"]).train
     folded = repeated_kfold(rows, "id").withColumn("r", F.floor(F.col("fold") / 10))
     own = folded.groupBy("priority", "segment", "r", "fold").agg(F.sum("price").alias("s"), F.count(F.lit(1)).alias("n"))
     tot = own.groupBy("priority", "segment", "r").agg(F.sum("s").alias("st"), F.sum("n").alias("nt"))

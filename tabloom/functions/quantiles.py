@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_DISTINCT = 200_000
+EXACT_DISTINCT = 20_000
 ACCURACY = 10_000
 
 

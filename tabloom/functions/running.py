@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.session import settle
 
 BLOCK_ROWS = 2_000_000
+MAX_PIECES = 20_000
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -59,7 +60,7 @@ def running(
             {n: _AGG[f](f"_src_{n}").over(w) for n, (f, _) in out.items()}
         ).drop(*src)
 
-    pieces = max(2, math.ceil(sizes.total / block_rows))
+    pieces = min(MAX_PIECES, max(2, math.ceil(sizes.total / block_rows)))
     by = [F.col(k) for k in keys] + list(order)
     ranged = settle(
         df.repartitionByRange(pieces, *by).withColumn("_piece", F.spark_partition_id())

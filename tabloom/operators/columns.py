@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.names import stripped_name
@@ -192,16 +190,12 @@ def mutual_information(
         .groupBy("feature", "_y", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    nb = cells.groupBy("feature", "b").agg(F.sum("n").alias("nb"))
-    ny = cells.groupBy("feature", "_y").agg(F.sum("n").alias("ny"))
-    nt = cells.groupBy("feature").agg(F.sum("n").alias("nt"))
+    # bins x classes cells per feature
+    over = lambda *by: F.sum("n").over(Window.partitionBy("feature", *by))
+    parts = cells.withColumns({"nb": over("b"), "ny": over("_y"), "nt": over()})
     p = F.col("n") / F.col("nt")
-    return (
-        cells.join(nb, ["feature", "b"])
-        .join(ny, ["feature", "_y"])
-        .join(nt, "feature")
-        .groupBy("feature")
-        .agg(F.sum(p * F.log(F.col("n") * F.col("nt") / (F.col("nb") * F.col("ny")))).alias("mi"))
+    return parts.groupBy("feature").agg(
+        F.sum(p * F.log(F.col("n") * F.col("nt") / (F.col("nb") * F.col("ny")))).alias("mi")
     )
 
 
@@ -238,8 +232,3 @@ def keep_features(kit: Kit, features: list[str], keep: list[str]) -> Kit:
     """Drop the features outside ``keep`` from both tables."""
     gone = [c for c in features if c not in keep]
     return kit.replace(kit.train.drop(*gone), kit.test.drop(*gone))
-
-
-def l1_strength(c: float, n: int) -> float:
-    """MLlib's mean-loss penalty for an inverse strength ``c`` on a summed loss."""
-    return 1.0 / (c * max(n, 1)) if math.isfinite(c) else 0.0

@@ -92,26 +92,29 @@ def nearest_neighbours(
     vector: str = "vec",
     metric: str = "l2",
     group: str | None = None,
+    label: str | None = None,
     max_pivots: int = MAX_PIVOTS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``(row_id, neighbour, dist, rank)``: the k nearest training rows per query.
+    """``(row_id, neighbour, dist, y, rank)``: the k nearest training rows per query.
 
     Ties are settled by the neighbour's id. With ``group`` a query skips
-    training rows of its own group (its own fold, say).
+    training rows of its own group (its own fold, say). ``label`` travels with
+    the training rows as ``y``, so votes need no join.
     """
     order = METRICS[metric]
     shape = lambda df: df.select(
         F.col(id_col).cast("long").alias("row_id"),
         F.col(vector).cast("array<double>").alias("vec"),
         (F.col(group).cast("int") if group else F.lit(-1)).alias("grp"),
+        (F.col(label).cast("double") if label and label in df.columns else F.lit(None).cast("double")).alias("y"),
     )
     base = shape(train)
     if not group:
         base = base.withColumn("grp", F.lit(-2))
     n = base.count()
     if n == 0:
-        return shape(query).limit(0).selectExpr("row_id", "row_id AS neighbour", "0D AS dist", "0 AS rank")
+        return shape(query).limit(0).selectExpr("row_id", "row_id AS neighbour", "0D AS dist", "y", "0 AS rank")
     n_pivots = min(max_pivots, max(1, math.isqrt(n)))
     picked = base.orderBy(md5_int("pivot", F.col("row_id")), "row_id").limit(n_pivots).collect()
     pivots = np.array([r["vec"] for r in picked], dtype=float)
@@ -141,14 +144,14 @@ def nearest_neighbours(
     at = lambda sizes: F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("cell") + 1)
     every = lambda sizes: F.explode(F.sequence(F.lit(0), at(sizes) - 1))
     one_of = lambda sizes, salt: F.pmod(md5_int(salt, F.col("row_id")), at(sizes)).cast("int")
-    t = placed.select("cell", one_of(t_blocks, "t").alias("tb"), every(q_blocks).alias("qb"), "row_id", "vec", "grp")
+    t = placed.select("cell", one_of(t_blocks, "t").alias("tb"), every(q_blocks).alias("qb"), "row_id", "vec", "grp", "y")
     q = visits.select("cell", every(t_blocks).alias("tb"), one_of(q_blocks, "q").alias("qb"), "row_id", "vec", "grp")
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"row_id": [], "neighbour": [], "dist": []}
+        out = {"row_id": [], "neighbour": [], "dist": [], "y": []}
         if len(left) and len(right):
             points = np.stack(right["vec"].to_numpy()).astype(float)
-            ids, grps = right["row_id"].to_numpy(), right["grp"].to_numpy()
+            ids, grps, ys = (right[c].to_numpy() for c in ("row_id", "grp", "y"))
             for qid, vec, g in zip(left["row_id"], left["vec"], left["grp"]):
                 d = _distances(points, np.asarray(vec, dtype=float), order)
                 ok = np.flatnonzero(grps != g)
@@ -156,13 +159,14 @@ def nearest_neighbours(
                 out["row_id"] += [qid] * len(best)
                 out["neighbour"] += ids[best].tolist()
                 out["dist"] += d[best].tolist()
-        return pd.DataFrame(out).astype({"row_id": "int64", "neighbour": "int64", "dist": "float64"})
+                out["y"] += ys[best].tolist()
+        return pd.DataFrame(out).astype({"row_id": "int64", "neighbour": "int64", "dist": "float64", "y": "float64"})
 
     by = ["cell", "tb", "qb"]
     found = (
         q.groupBy(*by)
         .cogroup(t.groupBy(*by))
-        .applyInPandas(block, "row_id long, neighbour long, dist double")
+        .applyInPandas(block, "row_id long, neighbour long, dist double, y double")
     )
     best = Window.partitionBy("row_id").orderBy("dist", "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -179,20 +183,17 @@ def _weights(neighbours: DataFrame, weights: str) -> DataFrame:
     )
 
 
-def knn_classifier(neighbours: DataFrame, labels: DataFrame, weights: str = "uniform") -> DataFrame:
-    """``(row_id, class, p)``: weighted share of each class among the neighbours.
-
-    ``labels(neighbour, y)`` is unique per training row.
-    """
-    voted = _weights(neighbours, weights).join(labels, "neighbour")
-    per = voted.groupBy("row_id", F.col("y").alias("class")).agg(F.sum("w").alias("_w"))
+def knn_classifier(neighbours: DataFrame, weights: str = "uniform") -> DataFrame:
+    """``(row_id, class, p)``: weighted share of each class code among the neighbours."""
+    voted = _weights(neighbours, weights)
+    per = voted.groupBy("row_id", F.col("y").cast("int").alias("class")).agg(F.sum("w").alias("_w"))
     total = F.sum("_w").over(Window.partitionBy("row_id"))
     return per.select("row_id", "class", (F.col("_w") / total).alias("p"))
 
 
-def knn_regressor(neighbours: DataFrame, labels: DataFrame, weights: str = "uniform") -> DataFrame:
+def knn_regressor(neighbours: DataFrame, weights: str = "uniform") -> DataFrame:
     """``(row_id, p)``: weighted mean of the neighbours' targets."""
-    voted = _weights(neighbours, weights).join(labels, "neighbour")
+    voted = _weights(neighbours, weights)
     return voted.groupBy("row_id").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("p"))
 
 

@@ -72,9 +72,9 @@ class Model:
 
 
 def assembled(df: DataFrame, exprs: list[Column], label: Column, extra: list[Column] = ()) -> DataFrame:
-    """``(_x, _y, extra)``, written to the shared folder: fits pass over it often."""
+    """``(_x, _y, extra)``: a projection; the fits cache what they iterate over."""
     arr = F.array(*[e.cast("double") for e in exprs])
-    return settle(df.select(array_to_vector(arr).alias("_x"), label.cast("double").alias("_y"), *extra))
+    return df.select(array_to_vector(arr).alias("_x"), label.cast("double").alias("_y"), *extra)
 
 
 def _doubles(features: list[str]) -> list[Column]:

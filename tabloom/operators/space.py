@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import md5_unit, pick_by_share
-from tabloom.functions.joins import attach
 
 HASH_DIGITS = 10
 
@@ -165,7 +164,3 @@ def arm_settings(arms: DataFrame, space: Space, base: str) -> DataFrame:
         .select(trial_name(base, idx).alias("submission"), trial_hash(idx).alias("hash"), idx.alias("indices"))
         .dropDuplicates(["submission"])
     )
-
-
-def with_settings(trials: DataFrame, settings: DataFrame) -> DataFrame:
-    return attach(trials, settings, ["submission"])

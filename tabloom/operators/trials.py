@@ -6,7 +6,7 @@ fold sizes, and hyperparameter columns prefixed ``hyper_``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.running import running
@@ -35,9 +35,9 @@ def trial_summary(scores: DataFrame, hypers: DataFrame, sizes: DataFrame, score:
 
 def full_folds(trials: DataFrame, folds: list[int]) -> DataFrame:
     """Rows of the wanted folds, of trials that have every one of them."""
+    n = F.count("fold").over(Window.partitionBy(KEY))  # a trial's rows: one per fold
     wanted = trials.where(F.col("fold").isin(folds))
-    full = wanted.groupBy(KEY).agg(F.count("fold").alias("_n")).where(F.col("_n") == len(folds))
-    return wanted.join(full.select(KEY), KEY, "left_semi")
+    return wanted.withColumn("_n", n).where(F.col("_n") == len(folds)).drop("_n")
 
 
 def _per_trial(trials: DataFrame, agg, folds: list[int] | None) -> DataFrame:
@@ -91,8 +91,7 @@ def select_top_n(means: DataFrame, score: str, n: int, lower: bool) -> DataFrame
     """Best ``n`` trials, with the worst selected score beside each."""
     top = means.orderBy(*_order(score, lower)).limit(n).select(KEY, score)
     worst = F.max(score) if lower else F.min(score)
-    cutoff = top.agg(worst).first()[0]
-    return top.withColumn("cutoff", F.lit(cutoff).cast("double"))
+    return top.withColumn("cutoff", worst.over(Window.partitionBy(F.lit(0))))  # n rows
 
 
 def select_by_cutoff(means: DataFrame, score: str, cutoff: float, lower: bool) -> DataFrame:

@@ -50,11 +50,13 @@ def class_output(
             raise ValueError(f"{score_name} needs the positive class of {target}")
         hit = preds.where(F.col("class") == positive)
         return _onto(ids.select(id_col), hit.select(id_col, F.col("p").alias(target)), id_col)
-    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
-    best = preds.groupBy(id_col).agg(
-        F.max_by("class", F.struct(F.col("p"), -place)).alias(target)
+    wide = preds.groupBy(id_col).agg(
+        *[F.max(F.when(F.col("class") == c, F.col("p"))).alias(f"_{i}") for i, c in enumerate(classes)]
     )
-    return _onto(ids.select(id_col), best, id_col)
+    probs = F.array(*[f"_{i}" for i in range(len(classes))])
+    place = F.array_position(probs, F.array_max(probs)).cast("int")
+    label = F.element_at(F.array(*[F.lit(c) for c in classes]), place)
+    return _onto(ids.select(id_col), wide.select(id_col, label.alias(target)), id_col)
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv", order: str | None = None) -> None:
@@ -68,8 +70,8 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv", order: str | N
 def write_trials(trials: DataFrame, path: str, base: str = "base") -> None:
     """The trial summary as Parquet, one folder per base predictor.
 
-    Rows of a base are spread over files by submission, so a base holding most
-    of the trials is not written by one task.
+    Every task writes its own rows, so a base holding most of the trials is not
+    written by one task.
     """
     trials.write.mode("overwrite").partitionBy(base).parquet(path)
 
