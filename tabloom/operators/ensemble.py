@@ -1,7 +1,8 @@
 """Bagging over folds and forward-greedy blending of submissions.
 
 Predictions are long: ``(submission, fold, row_id, y, p)``. A held-out row
-occurs once per fold that held it out, a test row once per fold.
+occurs once per fold that held it out, a test row once per fold. With a ``class``
+column a row has one prediction per class, and classes are averaged separately.
 """
 
 from __future__ import annotations
@@ -18,8 +19,14 @@ from tabloom.operators import scores as S
 from tabloom.session import settle
 
 
-def bag(preds: DataFrame, keys: tuple[str, ...] = ("submission", "row_id")) -> DataFrame:
+def _cell(preds: DataFrame) -> list[str]:
+    """What a single number is predicted for: a row, or a row and class."""
+    return ["row_id", "class"] if "class" in preds.columns else ["row_id"]
+
+
+def bag(preds: DataFrame, keys: tuple[str, ...] = ("submission",)) -> DataFrame:
     """Average of a row's predictions over the folds that have one."""
+    keys = (*keys, *_cell(preds))
     aggs = [F.avg("p").alias("p")]
     if "y" in preds.columns and "y" not in keys:
         aggs.insert(0, F.first("y", ignorenulls=True).alias("y"))
@@ -41,7 +48,7 @@ def bagged_scores(preds: DataFrame, name: str, folds: list[int]) -> DataFrame:
     upto = preds.where(F.col("fold").isin(folds)).withColumn(
         "n_folds", F.explode(F.sequence(place.cast("int"), F.lit(len(folds))))
     )
-    rows = upto.groupBy("submission", "n_folds", "row_id").agg(
+    rows = upto.groupBy("submission", "n_folds", *_cell(preds)).agg(
         F.first("y").alias("y"), F.avg("p").alias("p")
     )
     return S.score(rows, name, ("submission", "n_folds"))
@@ -64,7 +71,7 @@ def blend_step(
     times = F.lit(0)
     for c in sorted(set(chosen)):
         times = F.when(F.col("submission") == c, F.lit(chosen.count(c))).otherwise(times)
-    row = Window.partitionBy(*keys, "row_id")
+    row = Window.partitionBy(*keys, *_cell(preds))
     base = F.sum(F.col("p") * times).over(row)
     mixed = preds.withColumn("p", (base + F.col("p")) / F.lit(len(chosen) + 1.0))
     return S.score(mixed, name, (*keys, "submission"))
@@ -84,13 +91,14 @@ def best_candidate(step: DataFrame, name: str, keys: tuple[str, ...] = ("fold",)
 
 def wide_predictions(preds: DataFrame, names: list[str]) -> DataFrame:
     """``(fold, row_id, y, ps)`` with one array entry per submission."""
+    cell = _cell(preds)
     return (
-        preds.groupBy("fold", "row_id")
+        preds.groupBy("fold", *cell)
         .agg(
             F.first("y").alias("y"),
             *[F.max(F.when(F.col("submission") == n, F.col("p"))).alias(f"_{i}") for i, n in enumerate(names)],
         )
-        .select("fold", "row_id", "y", F.array(*[f"_{i}" for i in range(len(names))]).alias("ps"))
+        .select("fold", *cell, "y", F.array(*[f"_{i}" for i in range(len(names))]).alias("ps"))
     )
 
 
@@ -182,6 +190,7 @@ def _greedy_by_jobs(preds: DataFrame, name: str, names: list[str], folds: list[i
     best = {f: float("inf") for f in folds}
     open_folds = set(folds)
     slots = F.array(*[F.lit(n) for n in names])
+    cell = _cell(preds)
     for t in range(1, max_steps + 1):
         if not open_folds:
             break
@@ -192,9 +201,9 @@ def _greedy_by_jobs(preds: DataFrame, name: str, names: list[str], folds: list[i
         base = F.aggregate(F.zip_with("ps", times, lambda p, c: p * c), F.lit(0.0), lambda a, b: a + b)
         mixed = (
             state.where(F.col("fold").isin(sorted(open_folds)))
-            .select("fold", "row_id", "y", "ps", base.alias("_base"))
+            .select("fold", *cell, "y", "ps", base.alias("_base"))
             .select(
-                "fold", "row_id", "y",
+                "fold", *cell, "y",
                 F.explode(
                     F.transform(
                         F.arrays_zip(slots.alias("n"), F.col("ps").alias("q")),
@@ -204,7 +213,7 @@ def _greedy_by_jobs(preds: DataFrame, name: str, names: list[str], folds: list[i
                     )
                 ).alias("e"),
             )
-            .select("fold", "row_id", "y", "e.submission", "e.p")
+            .select("fold", *cell, "y", "e.submission", "e.p")
         )
         scored = S.score(mixed, name, ("fold", "submission"))
         for r in best_candidate(scored, name).collect():
@@ -220,8 +229,8 @@ def _greedy_by_jobs(preds: DataFrame, name: str, names: list[str], folds: list[i
 # --- using weights ---------------------------------------------------------
 
 
-def apply_blend(preds: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("fold", "row_id")) -> DataFrame:
-    """``(keys, y, p)``: weighted mean of the chosen submissions per fold.
+def apply_blend(preds: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(fold, row_id, y, p)``: weighted mean of the chosen submissions per fold.
 
     The weight table has at most a row per submission and fold; its size is
     checked before it is broadcast.
@@ -231,12 +240,12 @@ def apply_blend(preds: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("
     aggs = [F.try_divide(F.sum(F.col("weight") * F.col("p")), F.sum("weight")).alias("p")]
     if "y" in preds.columns:
         aggs.insert(0, F.first("y").alias("y"))
-    return hit.groupBy(*keys).agg(*aggs)
+    return hit.groupBy("fold", *_cell(preds)).agg(*aggs)
 
 
 def blend_then_bag(preds: DataFrame, weights: DataFrame) -> DataFrame:
     """``(row_id, y, p)``: blended in every fold, then averaged over folds."""
-    return bag(apply_blend(preds, weights), ("row_id",))
+    return bag(apply_blend(preds, weights), ())
 
 
 def bag_then_blend(preds: DataFrame, name: str, max_steps: int = 100) -> tuple[DataFrame, DataFrame]:

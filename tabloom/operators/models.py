@@ -254,15 +254,6 @@ def predict_targets(models: dict[str, Model], df: DataFrame) -> DataFrame:
     return out
 
 
-def positive(probs: str = "probs") -> Column:
-    return F.col(probs)[1]
-
-
-def arg_max(probs: str = "probs") -> Column:
-    """Code of the most probable class, the first on ties."""
-    return (F.array_position(F.col(probs), F.array_max(probs)) - 1).cast("int")
-
-
 # --- model-based feature selection -------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 Numeric scores read columns ``y`` and ``p``; probability scores read ``y`` in
 {0, 1} and ``p`` = P(y = 1); label scores read true label ``y`` and predicted
-label ``p``.
+label ``p``. Predictions with a ``class`` column have one row per class code and
+its probability; label scores then compare the most probable class.
 """
 
 from __future__ import annotations
@@ -69,6 +70,7 @@ SIMPLE: dict[str, Callable[[Column, Column], Column]] = {
     "f1-micro": _hits,
     "mcc": _mcc,
 }
+LABEL_SCORES = ("accuracy", "f1-micro", "mcc")
 LOWER_IS_BETTER = {"rmse", "mae", "mare", "mape", "rmsle", "medae", "smape", "nll"}
 
 
@@ -78,13 +80,32 @@ def lower_is_better(name: str) -> bool:
 
 def score(preds: DataFrame, name: str, keys: tuple[str, ...] = KEYS, digits: int | None = None) -> DataFrame:
     """``(keys, score)``."""
-    if name in SIMPLE:
+    if "class" in preds.columns:
+        out = _score_blocks(preds, name, keys)
+    elif name in SIMPLE:
         out = preds.groupBy(*keys).agg(SIMPLE[name](F.col("y"), F.col("p")).alias("score"))
     else:
         out = {"medae": medae, "auc": auc, "gini": gini, "ngini": ngini}[name](preds, keys)
     return out.withColumn("score", F.round("score", digits)) if digits is not None else out
 
 
+def top_class(preds: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``(keys, row_id, y, p)`` with ``p`` the most probable class, the lowest code on ties."""
+    order = F.struct(F.col("p").alias("a"), (-F.col("class")).alias("b"))
+    return preds.groupBy(*keys, "row_id").agg(
+        F.first("y").alias("y"), F.max_by("class", order).cast("double").alias("p")
+    )
+
+
+def _score_blocks(preds: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    if name in ("nll", "loglik", "kappa"):
+        out = multiclass_nll(preds, keys)
+        return out if name == "nll" else out.withColumn("score", -F.col("score"))
+    if name not in LABEL_SCORES:
+        raise ValueError(f"{name} does not read class blocks")
+    return top_class(preds, keys).groupBy(*keys).agg(SIMPLE[name](F.col("y"), F.col("p")).alias("score"))
+
+
 def multiclass_nll(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Mean negative log probability of the true class.
 

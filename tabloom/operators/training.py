@@ -15,7 +15,8 @@ from tabloom.operators import scores as S
 from tabloom.operators.folds import held_out
 from tabloom.operators.models import Spec, fit
 
-PREDICTIONS = "submission string, fold int, split string, row_id long, y double, p double"
+ROWS = "split string, row_id long, y double, class int, p double"
+PREDICTIONS = f"submission string, fold int, {ROWS}"
 SCORES = "submission string, fold int, step string, score_name string, value double, seconds double, n_rows long"
 
 
@@ -31,6 +32,11 @@ class Task:
     score_name: str
     classes: int = 0
 
+    @property
+    def blocks(self) -> bool:
+        """Whether a row has a prediction per class, so that averages keep them apart."""
+        return self.classes > 2 or (self.classes == 2 and self.score_name in S.LABEL_SCORES)
+
 
 @dataclass
 class Store:
@@ -56,8 +62,9 @@ class Store:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def predictions(self, split: str = "valid") -> DataFrame:
-        return self.read("predictions", PREDICTIONS).where(F.col("split") == split).drop("split")
+    def predictions(self, task: Task, split: str = "valid") -> DataFrame:
+        rows = self.read("predictions", PREDICTIONS).where(F.col("split") == split).drop("split")
+        return rows if task.blocks else rows.drop("class")
 
     def scores(self) -> DataFrame:
         return self.read("scores", SCORES)
@@ -66,20 +73,16 @@ class Store:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}")
 
 
-def output_column(task: Task) -> Column:
-    """The stored number: the regression value, P(class 1), or the class code."""
-    if task.classes == 0:
-        return F.col("p")
-    if task.classes == 2:
-        return F.col("probs")[1]
-    return (F.array_position("probs", F.array_max("probs")) - 1).cast("double")
-
+def output_rows(out: DataFrame, task: Task, keep: list[Column]) -> DataFrame:
+    """The kept columns with ``class`` and ``p``.
 
-def scored_rows(preds: DataFrame, task: Task) -> DataFrame:
-    """Predictions in the form the score reads: labels for label scores."""
-    if task.classes == 2 and task.score_name in ("accuracy", "f1-micro", "mcc"):
-        return preds.withColumn("p", (F.col("p") >= 0.5).cast("double"))
-    return preds
+    Regression: the value. Two classes and a probability score: P(class 1).
+    Otherwise a row per class with its probability.
+    """
+    if task.blocks:
+        return out.select(*keep, F.posexplode("probs").alias("class", "p"))
+    p = F.col("p") if task.classes == 0 else F.col("probs")[1]
+    return out.select(*keep, F.lit(None).cast("int").alias("class"), p.alias("p"))
 
 
 def _fold_rows(task: Task, fold: int, n_parts: int) -> tuple[DataFrame, DataFrame]:
@@ -97,19 +100,18 @@ def _train_one(store: Store, task: Task, spec: Spec, submission: str, fold: int,
     start = time.monotonic()
     part, rows = _fold_rows(task, fold, n_parts)
     model = fit(spec, part, task.features, task.target, task.classes, task.id_col)
-    out = model.predict(rows).select(
-        "split",
+    keep = [
+        F.col("split"),
         F.col(task.id_col).cast("long").alias("row_id"),
         F.col(task.target).cast("double").alias("y"),
-        output_column(task).alias("p"),
-    )
-    store.write(out, "predictions", submission, fold)
+    ]
+    store.write(output_rows(model.predict(rows), task, keep), "predictions", submission, fold)
     seconds = time.monotonic() - start
-    saved = store.spark.read.schema("split string, row_id long, y double, p double").parquet(
-        store.folder("predictions", submission, fold)
-    )
-    scored = S.score(scored_rows(saved.where("y is not null"), task), task.score_name, ("split",))
-    sizes = saved.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    saved = store.spark.read.schema(ROWS).parquet(store.folder("predictions", submission, fold))
+    saved = saved if task.blocks else saved.drop("class")
+    scored = S.score(saved.where("y is not null"), task.score_name, ("split",))
+    per_row = task.classes if task.blocks else 1
+    sizes = saved.groupBy("split").agg((F.count(F.lit(1)) / per_row).cast("long").alias("n_rows"))
     table = scored.join(sizes, "split").select(
         F.col("split").alias("step"),
         F.lit(task.score_name).alias("score_name"),
@@ -164,11 +166,11 @@ def mean_valid(scores: DataFrame) -> DataFrame:
 
 
 def retrain_full(task: Task, spec: Spec) -> DataFrame:
-    """``(row_id, p)`` for the test table from a fit on every training row."""
+    """``(row_id, class, p)`` for the test table from a fit on every training row."""
     model = fit(spec, task.train, task.features, task.target, task.classes, task.id_col)
-    return model.predict(task.test).select(
-        F.col(task.id_col).cast("long").alias("row_id"), output_column(task).alias("p")
-    )
+    keep = [F.col(task.id_col).cast("long").alias("row_id")]
+    out = output_rows(model.predict(task.test), task, keep)
+    return out if task.blocks else out.drop("class")
 
 
 def search(

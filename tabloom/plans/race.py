@@ -21,7 +21,7 @@ from tabloom.operators import scores as S
 from tabloom.operators import space as H
 from tabloom.operators import trials as T
 from tabloom.operators.models import Spec
-from tabloom.operators.training import Store, Task, scored_rows, search, train_folds
+from tabloom.operators.training import Store, Task, search, train_folds
 
 LOG = (
     "run string, action_id long, name string, base string, fold_lo int, fold_hi int, "
@@ -161,10 +161,9 @@ class Race:
 
     def blend_now(self, names: list[str], folds: list[int], kind: str) -> tuple[dict[str, int], float, DataFrame]:
         """Blend the submissions on the folds: (contributivities, score, weights)."""
-        preds = self.store.predictions("valid").where(
+        rows = self.store.predictions(self.task, "valid").where(
             F.col("submission").isin(names) & F.col("fold").isin(folds)
         )
-        rows = scored_rows(preds, self.task)
         steps, metric = self.settings.blend_steps, self.task.score_name
         if kind == "bag_then_blend":
             weights, out = B.bag_then_blend(rows, metric, steps)
@@ -232,14 +231,15 @@ class Race:
         if not names:
             return {}
         train_folds(self.store, self.task, self._specs_of(names), self.final_folds, parallel=self.settings.parallel)
-        pick = lambda split: self.store.predictions(split).where(
+        pick = lambda split: self.store.predictions(self.task, split).where(
             F.col("submission").isin(names) & F.col("fold").isin(self.final_folds)
         )
-        valid, test = scored_rows(pick("valid"), self.task), pick("test")
+        valid, test = pick("valid"), pick("test")
+        cell = ["row_id", "class"] if self.task.blocks else ["row_id"]
         start = datetime.now(timezone.utc)
         totals, score, weights = self.blend_now(names, self.final_folds, "blend")
         self._note("final_blend_then_bag", None, self.final_folds, start, score, totals)
-        out = {"blend_then_bag": B.blend_then_bag(test, weights).select("row_id", "p")}
+        out = {"blend_then_bag": B.blend_then_bag(test, weights).select(*cell, "p")}
 
         start = datetime.now(timezone.utc)
         w2, bagged = B.bag_then_blend(valid, self.task.score_name, self.settings.blend_steps)
@@ -247,7 +247,7 @@ class Race:
         self._note("final_bag_then_blend", None, self.final_folds, start, score2, None)
         out["bag_then_blend"] = B.apply_blend(
             B.bag(test).withColumn("fold", F.lit(0)), w2
-        ).select("row_id", "p")
+        ).select(*cell, "p")
 
         means = (
             self.store.scores()
@@ -256,7 +256,7 @@ class Race:
             .agg(F.avg("value").alias("score"))
             .withColumn("base", F.split("submission", "_hyperopt_")[0])
         )
-        out["best_single"] = B.best_single(test, means, self.task.score_name).select("base", "row_id", "p")
+        out["best_single"] = B.best_single(test, means, self.task.score_name).select("base", *cell, "p")
         return out
 
     def go(self, finish: bool = True) -> dict[str, DataFrame]:
@@ -314,5 +314,5 @@ def run_arms(race: Race, arms: DataFrame, base: str) -> tuple[DataFrame, DataFra
     specs = race._specs(b, settings)
     train_folds(race.store, race.task, specs, race.final_folds, parallel=race.settings.parallel)
     _, _, weights = race.blend_now(sorted(specs), race.final_folds, "blend")
-    test = race.store.predictions("test").where(F.col("submission").isin(sorted(specs)))
+    test = race.store.predictions(race.task, "test").where(F.col("submission").isin(sorted(specs)))
     return weights, B.blend_then_bag(test, weights)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.catalog.learned import _forest, _spec, _task
+from tabloom.operators import ensemble as B
 from tabloom.operators import runlog as L
 from tabloom.operators import space as H
 from tabloom.operators import training as T
@@ -52,7 +53,7 @@ def test_trained_pairs_are_skipped(spark, task):
     specs = {"a": Spec("rf", {"numTrees": 2, "maxDepth": 2})}
     T.train_folds(store, task, specs, [0])
     assert T.pending(store, [("a", 0), ("a", 1)]) == [("a", 1)]
-    held = store.predictions("valid").select("row_id").distinct().count()
+    held = store.predictions(task, "valid").select("row_id").distinct().count()
     assert 0 < held < task.train.count() / 5
 
 
@@ -117,3 +118,28 @@ def test_regressors_beat_the_mean(spark, kind, params, score):
     out = fit(Spec(kind, params, score), df, ["x", "z"], "y", 0, "id").predict(df)
     err, base = out.agg(F.avg((F.col("y") - F.col("p")) ** 2), F.var_pop("y")).first()
     assert err < base * 0.6
+
+
+@pytest.mark.parametrize("classes,score", [(3, "accuracy"), (3, "nll"), (2, "accuracy"), (2, "auc")])
+def test_class_blends(spark, classes, score):
+    """Probabilities are averaged per class and scored after averaging."""
+    df = spark.range(600).select(
+        "id", (F.col("id") % 20 / 10.0).alias("x"), (F.col("id") % 7 * 1.0).alias("z"),
+    )
+    y = (F.col("x") > 0.7).cast("int") + ((F.col("x") > 1.3).cast("int") if classes == 3 else F.lit(0))
+    rows = df.withColumn("y", y.cast("double"))
+    task = T.Task(rows.where("id < 500"), rows.where("id >= 500").drop("y"), "id", "y", ["x", "z"], score, classes)
+    store = T.Store(spark, work_dir(spark, "classes"))
+    specs = {"deep": Spec("rf", {"numTrees": 3, "maxDepth": 4}, score), "flat": Spec("rf", {"numTrees": 1, "maxDepth": 1}, score)}
+    means = {r["submission"]: r["mean_valid"] for r in T.train_folds(store, task, specs, [0, 1]).collect()}
+    assert set(means) == {"deep", "flat"}
+    race = Race(store, task, {}, RaceSettings(blend_steps=3))
+    for kind in ("blend", "bag_then_blend"):
+        totals, got, weights = race.blend_now(["deep", "flat"], [0, 1], kind)
+        assert totals["deep"] > 0 and (got < 0.6 if score == "nll" else got > 0.85)
+    test = store.predictions(task, "test")
+    out = B.apply_blend(B.bag(test).withColumn("fold", F.lit(0)), weights)
+    per_row = out.groupBy("row_id").agg(F.sum("p").alias("s"), F.count("p").alias("n")).collect()
+    assert len(per_row) == 100
+    if task.blocks:
+        assert all(r["n"] == classes and abs(r["s"] - 1) < 1e-9 for r in per_row)
