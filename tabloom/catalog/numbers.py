@@ -9,6 +9,7 @@ from tabloom.catalog.registry import query
 from tabloom.catalog.views import ITEMS_SQL, KIT_SQL, items, order_kit, sql_mod, sql_normal, sql_unit, table
 from tabloom.operators import folds as D
 from tabloom.operators import scale as N
+from tabloom.session import stored
 
 Q = "WITH " + KIT_SQL
 I = "WITH " + ITEMS_SQL
@@ -60,7 +61,7 @@ def _spline_sql(j: int) -> str:
         SELECT row_id, {', '.join(_spline_sql(j) for j in range(7))} FROM x""",
 )
 def spline_basis(spark: SparkSession, sf: str) -> DataFrame:
-    rows = items(spark, sf).select("row_id", "q")
+    rows = stored(items(spark, sf).select("row_id", "q"), "items")
     return _r(N.spline_basis(rows, rows, ["q"], knots=5), *[f"q_sp_{j}" for j in range(7)])
 
 

@@ -198,12 +198,12 @@ def random_trials(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "random_trials_new",
     f"""WITH {DRAWS_SQL}, {SETTINGS_SQL}, d AS (SELECT DISTINCT substr(sha256(f || ',' || s || ',' || l), 1, 10) AS hash, f, s, l FROM draws)
-        SELECT hash, {INT_FSL} FROM d WHERE hash NOT IN (SELECT hash FROM hashed WHERE l_suppkey < 2)""",
+        SELECT hash, {INT_FSL} FROM d WHERE hash NOT IN (SELECT hash FROM hashed WHERE s = 0)""",
 )
 def random_trials_new(spark: SparkSession, sf: str) -> DataFrame:
-    """Draws that the first two suppliers have not trained."""
+    """Draws whose setting is not among the trained ones, those with status F."""
     draws = H.draw_settings(table(spark, sf, "orders").select("o_orderkey"), SPACE, "o_orderkey", seed=9)
-    done = _settings(spark, sf).where("l_suppkey < 2")
+    done = _settings(spark, sf).where(F.col("indices")[1] == 0)
     return _flat(H.new_settings(draws, done), "hash")
 
 
@@ -222,13 +222,13 @@ def remaining_trials(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SETTINGS_SQL}, sel AS (SELECT 's' || l_suppkey || '_hyperopt_' || hash AS submission, f, s, l FROM hashed),
         mixed AS (SELECT submission AS parent, f, 1 AS s, l, 'hyb_hyperopt_' || substr(sha256(f || ',1,' || l), 1, 10) AS submission FROM sel)
         SELECT submission, min(parent) AS parent, CAST(any_value(f) AS INTEGER) AS f, CAST(any_value(s) AS INTEGER) AS s, CAST(any_value(l) AS INTEGER) AS l
-        FROM mixed WHERE submission NOT IN (SELECT 'hyb_hyperopt_' || hash FROM hashed WHERE l_suppkey = 0) GROUP BY 1""",
+        FROM mixed WHERE submission NOT IN (SELECT 'hyb_hyperopt_' || hash FROM hashed WHERE f = 0) GROUP BY 1""",
 )
 def hybrid_trials(spark: SparkSession, sf: str) -> DataFrame:
     """Predictor settings of every supplier's trials with one encoder setting."""
     rows = _settings(spark, sf)
     sel = rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("_hyperopt_"), "hash").alias("submission"), "indices")
-    done = rows.where("l_suppkey = 0").select(F.concat(F.lit("hyb_hyperopt_"), "hash").alias("submission"))
+    done = rows.where(F.col("indices")[0] == 0).select(F.concat(F.lit("hyb_hyperopt_"), "hash").alias("submission"))
     return _flat(H.hybrid_trials(sel, [0, 1, 0], SPACE, "predictor", "hyb", done), "submission", "parent")
 
 

@@ -241,7 +241,7 @@ def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | No
 # Odd multipliers of the gram hash and of the hash family.
 GRAM_BASE = 0x9E3779B97F4A7C15
 FAMILY_STEP = 0xD1342543DE82EF95
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 _WORD = 2**64
 
 
@@ -279,24 +279,26 @@ def minhash(text: str, n: int, lo: int, hi: int, minmax: bool) -> list[float]:
     """The hash signature of one whole text, scaled to [0, 1); zeros without grams.
 
     With ``minmax`` the first half holds minima and the second half maxima of
-    the same hashes. Grams are hashed in chunks that stay in cache.
+    the same hashes. Grams are hashed in chunks, all hashes of a chunk at once,
+    so memory does not grow with the text times ``n``.
     """
     mins = (n + 1) // 2 if minmax else n
     a, b = hash_family(mins)
     low = np.full(mins, _WORD - 1, dtype=np.uint64)
     high = np.zeros(mins, dtype=np.uint64)
-    some = False
-    for grams in gram_hashes(text, lo, hi):
-        some = True
-        for i in range(0, len(grams), CHUNK):
-            part = grams[i : i + CHUNK]
-            for k in range(mins):
-                h = part * a[k] + b[k]
-                low[k] = min(low[k], h.min())
-                if minmax:
-                    high[k] = max(high[k], h.max())
-    if not some:
+    lengths = gram_hashes(text, lo, hi)
+    if not lengths:
         return [0.0] * n
+    grams = np.concatenate(lengths)
+    buffer = np.empty((mins, min(CHUNK, len(grams))), dtype=np.uint64)
+    for i in range(0, len(grams), CHUNK):
+        part = grams[i : i + CHUNK]
+        h = buffer[:, : len(part)]
+        np.multiply(a[:, None], part[None, :], out=h)
+        h += b[:, None]
+        np.minimum(low, h.min(axis=1), out=low)
+        if minmax:
+            np.maximum(high, h.max(axis=1), out=high)
     words = np.concatenate([low, high[: n - mins]]) if minmax else low
     return ((words >> np.uint64(11)).astype(np.float64) / 2.0**53).tolist()
 
@@ -318,10 +320,16 @@ def text_signature(col: Column, n: int = 30, grams: str = "2-4", minmax: bool =
 
 
 def encode_text_minhash(kit: Kit, col: str, n: int = 30, grams: str = "2-4", minmax: bool = False) -> Kit:
-    """Replace a text column by ``n`` numeric columns."""
+    """Replace a text column by ``n`` numeric columns.
+
+    Hashing is the heavy part, so a table of fewer files than cores is spread
+    first; a large one stays where it is.
+    """
 
     def apply(df: DataFrame) -> DataFrame:
-        signed = df.withColumn("_sig", text_signature(F.col(f"`{col}`"), n, grams, minmax))
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        spread = df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+        signed = spread.withColumn("_sig", text_signature(F.col(f"`{col}`"), n, grams, minmax))
         new = [as_role(F.col("_sig")[i], f"{safe_name(col)}_{i}") for i in range(n)]
         return signed.select(*[F.col(f"`{c}`") for c in df.columns if c != col], *new)
 

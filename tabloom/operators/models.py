@@ -53,16 +53,22 @@ class Spec:
 
 @dataclass
 class Model:
-    """Feature expressions, fitted parts and how to read their output."""
+    """Feature expressions, fitted parts and how to read their output.
+
+    ``place`` holds columns the feature expressions build on.
+    """
 
     features: list[Column]
     stages: list[PipelineModel]
     read: object
     n_out: int = 1
+    place: dict[str, Column] = field(default_factory=dict)
 
     def predict(self, df: DataFrame) -> DataFrame:
         keep = df.columns
-        out = df.select("*", F.array(*self.features).alias("_fa")).withColumn(
+        out = (df.withColumns(self.place) if self.place else df).withColumn(
+            "_fa", F.array(*self.features)
+        ).withColumn(
             "_x", array_to_vector("_fa")
         )
         for s in self.stages:
@@ -113,7 +119,7 @@ def fit(
 def _fit_regressor(spec: Spec, train, features, target, classes, id_col) -> Model:
     exprs, y = _doubles(features), F.col(target)
     undo = lambda p: p
-    p = dict(spec.params)
+    p, place = dict(spec.params), {}
     if spec.kind in ("gbt", "rf"):
         if spec.score_name in LOG_SCORES:
             y, undo = log_target(y), unlog_target
@@ -131,15 +137,16 @@ def _fit_regressor(spec: Spec, train, features, target, classes, id_col) -> Mode
         est = LinearRegression(featuresCol="_x", labelCol="_y", loss="huber", epsilon=1.35, **rest)
         extra = []
     elif spec.kind == "spline":
-        groups = spline_exprs(train, features, p.pop("knots", 5))
+        place, groups = spline_exprs(train, features, p.pop("knots", 5))
         exprs = [e.cast("double") for g in groups.values() for e in g]
+        train = train.withColumns(place) if place else train
         p.setdefault("regParam", 0.01)
         est, extra = LinearRegression(featuresCol="_x", labelCol="_y", **p), []
     else:
         raise ValueError(f"no regressor {spec.kind}")
     data = assembled(train, exprs, y, extra)
     fitted = Pipeline(stages=[_renamed(est, 0)]).fit(data)
-    return Model(exprs, [fitted], undo(F.col("_predictionCol0")))
+    return Model(exprs, [fitted], undo(F.col("_predictionCol0")), place=place)
 
 
 def _fit_classifier(spec: Spec, train, features, target, classes, id_col) -> Model:
@@ -150,14 +157,17 @@ def _fit_classifier(spec: Spec, train, features, target, classes, id_col) -> Mod
         est = RandomForestClassifier(featuresCol="_x", labelCol="_y", seed=spec.seed, **p)
         return _one_model(est, train, exprs, y, classes)
     if spec.kind == "spline":
-        groups = spline_exprs(train, features, p.pop("knots", 5))
+        place, groups = spline_exprs(train, features, p.pop("knots", 5))
         exprs = [e.cast("double") for g in groups.values() for e in g]
+        train = train.withColumns(place) if place else train
         layers = [len(exprs), *p.pop("hidden", (20,)), classes]
         p.setdefault("maxIter", 50)
         est = MultilayerPerceptronClassifier(
             featuresCol="_x", labelCol="_y", layers=layers, seed=spec.seed, **p
         )
-        return _one_model(est, train, exprs, y, classes)
+        model = _one_model(est, train, exprs, y, classes)
+        model.place = place
+        return model
     if spec.kind == "gbt":
         extra, stop = _boost_rows(train, id_col, p.pop("early_stop", False))
         make = lambda: [

@@ -117,9 +117,14 @@ def _bump(t: str, j: int) -> Column:
     )
 
 
-def spline_exprs(train: DataFrame, cols: list[str], knots: int = 5) -> dict[str, list[Column]]:
+def spline_exprs(
+    train: DataFrame, cols: list[str], knots: int = 5
+) -> tuple[dict[str, Column], dict[str, list[Column]]]:
     """Cubic B-spline basis (knots + 2 columns) over train's range per column.
 
+    Returns each column's position on its knots, to be added first, and the
+    basis expressions over those positions.
+
     Knots are evenly spaced, so every basis function is one shifted bump and
     stays a plain column expression. Values outside the range are clamped.
     Columns with at most two distinct values pass through.
@@ -137,28 +142,28 @@ def spline_exprs(train: DataFrame, cols: list[str], knots: int = 5) -> dict[str,
             for c in cols
         ]
     ).first()
-    out = {}
-    for c in cols:
+    place, out = {}, {}
+    for i, c in enumerate(cols):
         if not more[c]:
             out[c] = [F.col(f"`{c}`")]
             continue
         lo, hi = (float(v) for v in ends[c])
         step = (hi - lo) / (knots - 1)
         x = f"least(greatest(cast(`{c}` as double), {lo!r}D), {hi!r}D)"
-        t = f"(({x} - {lo!r}D) / {step!r}D)"
-        out[c] = [_bump(t, j) for j in range(knots + 2)]
-    return out
+        place[f"_t_{i}"] = F.expr(f"({x} - {lo!r}D) / {step!r}D")
+        out[c] = [_bump(f"_t_{i}", j) for j in range(knots + 2)]
+    return place, out
 
 
 def spline_basis(train: DataFrame, other: DataFrame, cols: list[str], knots: int = 5) -> DataFrame:
-    exprs = spline_exprs(train, cols, knots)
+    place, exprs = spline_exprs(train, cols, knots)
     new = []
     for c in other.columns:
         if c not in exprs or len(exprs[c]) == 1:
             new.append(F.col(f"`{c}`"))
         else:
             new += [as_role(e, f"{c}_sp_{j}") for j, e in enumerate(exprs[c])]
-    return other.select(*new)
+    return (other.withColumns(place) if place else other).select(*new)
 
 
 # --- targets ---------------------------------------------------------------
