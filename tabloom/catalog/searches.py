@@ -342,14 +342,12 @@ def round_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SPEED_SQL = f"""{PAIR_SQL}, speeds AS (SELECT run, base, count(*) AS n,
-  CASE WHEN count(*) < 2 THEN 1.7976931348623157e308::DOUBLE ELSE CAST(arg_max(k, round_idx) + 100 AS DOUBLE) / sum(search_seconds) END AS speed FROM pairs GROUP BY 1, 2)"""
+  CASE WHEN count(*) < 2 THEN 1.7976931348623157e308::DOUBLE ELSE CAST(arg_max(CASE base WHEN 'base0' THEN k WHEN 'base1' THEN k % 7 ELSE 0 END, round_idx) + 100 AS DOUBLE) / sum(search_seconds) END AS speed FROM pairs GROUP BY 1, 2)"""
 
 
 def _speeds(spark: SparkSession, sf: str) -> DataFrame:
     log = run_log(spark, sf)
-    blends = log.select(F.col("action_id").alias("blend_id"), F.col("contributivities")["base0_hyperopt_x"].alias("contributivity"))
-    pairs = L.pair_search_with_blend(log).join(blends, "blend_id")
-    return L.improvement_speed(pairs)
+    return L.improvement_speed(L.round_contributivity(L.pair_search_with_blend(log), log))
 
 
 @query(

@@ -119,6 +119,18 @@ def round_state(log: DataFrame, n: int, blend: str = "blend") -> DataFrame:
     )
 
 
+def round_contributivity(pairs: DataFrame, log: DataFrame) -> DataFrame:
+    """Adds the searched base's contributivity in the round's own blend.
+
+    Blend ids are unique, so the join has no hot key; the base is the member's
+    name up to ``_hyperopt_``.
+    """
+    maps = log.select("run", F.col("action_id").alias("blend_id"), F.col("contributivities").alias("_m"))
+    own = F.map_filter("_m", lambda k, v: F.split(k, "_hyperopt_")[0] == F.col("base"))
+    total = F.aggregate(F.map_values(own), F.lit(0), lambda a, b: a + b)
+    return pairs.join(maps, ["run", "blend_id"]).withColumn("contributivity", total).drop("_m")
+
+
 def improvement_speed(pairs: DataFrame, floor: int = 100) -> DataFrame:
     """``(run, base, n, speed)``: contributivity now per second of search so far.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import md5_normal, md5_unit
+from tabloom.functions.joins import attach
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.meta import as_role
 
@@ -267,6 +268,6 @@ def silverman_bandwidth(draws: DataFrame, keys: list[str], value: str, dims: int
 def kernel_mixture(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     """An equal-weight component per draw: ``(keys, w, mu, sigma)`` in long form."""
     bw = silverman_bandwidth(draws, keys, value)
-    return draws.join(bw, keys).select(
+    return attach(draws, bw, keys, "inner", weight="n").select(
         *keys, (1.0 / F.col("n")).alias("w"), F.col(value).alias("mu"), F.col("bandwidth").alias("sigma")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import md5_unit, pick_by_share
 
 HASH_DIGITS = 10
+SPARE_DRAWS = 16
 
 
 @dataclass(frozen=True)
@@ -116,10 +117,16 @@ def new_settings(settings: DataFrame, done: DataFrame) -> DataFrame:
 def random_trials(
     spark: SparkSession, space: Space, n: int, seed: int, done: DataFrame | None = None, free: list[str] | None = None
 ) -> DataFrame:
-    """Settings of ``n`` seeded draws that are new: ``(hash, indices)``."""
-    drawn = draw_settings(spark.range(n), space, "id", seed, free)
-    none = drawn.select("hash").limit(0)
-    return new_settings(drawn, none if done is None else done)
+    """The first ``n`` distinct new settings among seeded draws: ``(hash, indices)``.
+
+    Draws that were trained already do not use up the number; there are spare
+    draws for them, and a small space may have fewer than ``n`` settings left.
+    """
+    drawn = draw_settings(spark.range(n * SPARE_DRAWS), space, "id", seed, free)
+    firsts = drawn.groupBy("hash").agg(F.min("id").alias("id"), F.first("indices").alias("indices"))
+    if done is not None:
+        firsts = firsts.join(done.select("hash").distinct(), "hash", "left_anti")
+    return firsts.orderBy("id").limit(n).select("hash", "indices")
 
 
 def remaining_trials(wanted: DataFrame, done: DataFrame, n_trials: int, subtract: bool) -> DataFrame:

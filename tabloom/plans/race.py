@@ -111,13 +111,10 @@ class Race:
         return rows.orderBy(u, "o").limit(1).collect()[0]["o"]
 
     def choose_base(self, round_idx: int) -> str:
-        members = self.blended()
-        spark = self.store.spark
-        sums = {b: sum(v for k, v in members.items() if k.split("_hyperopt_")[0] == b) for b in self.bases}
-        now = spark.createDataFrame([(b, int(c)) for b, c in sums.items()], "base string, contributivity int")
-        pairs = self.rounds().join(F.broadcast(now), "base")  # a row per base
+        """The base that improved the blend fastest; untried ones come first."""
+        pairs = L.round_contributivity(self.rounds(), self.log())
         speeds = L.improvement_speed(pairs, self.settings.floor).select("base", "speed")
-        every = spark.createDataFrame([(b,) for b in self.bases], "base string")
+        every = self.store.spark.createDataFrame([(b,) for b in self.bases], "base string")
         full = every.join(speeds, "base", "left").select(
             F.lit(self.run).alias("run"), "base", F.coalesce("speed", F.lit(1.7976931348623157e308)).alias("speed")
         )
@@ -225,9 +222,16 @@ class Race:
         cost = L.final_blend_cost(names, first, spent / 3600, last, s.n_search_folds, s.n_final_folds, s.max_hours)
         return cost.first()["over_budget"]
 
-    def finish(self) -> dict[str, DataFrame]:
-        """Train the blend on all folds, then the three outputs for the test table."""
-        names = sorted(self.blended())
+    def members_at(self, n: int) -> list[str]:
+        """Members of the blend after the n-th round."""
+        return sorted(r["submission"] for r in L.round_state(self.log(), n, self.settings.blend).collect())
+
+    def finish(self, round_idx: int | None = None) -> dict[str, DataFrame]:
+        """Train the blend on all folds, then the three outputs for the test table.
+
+        ``round_idx`` goes back to the blend of an earlier round.
+        """
+        names = sorted(self.blended()) if round_idx is None else self.members_at(round_idx)
         if not names:
             return {}
         train_folds(self.store, self.task, self._specs_of(names), self.final_folds, parallel=self.settings.parallel)

@@ -44,6 +44,7 @@ def test_race_resumes_where_it_stopped(spark, task):
     n_test = task.test.count()
     assert out["blend_then_bag"].count() == n_test and out["bag_then_blend"].count() == n_test
     assert out["best_single"].select("row_id").distinct().count() == n_test
+    assert again.members_at(1) == sorted(first.members_at(1)) and again.members_at(2) == sorted(again.blended())
     names = {r["name"] for r in store.read("log", "run string, name string").collect()}
     assert {"search", "blend", "final_blend_then_bag", "final_bag_then_blend"} <= names
 
@@ -81,6 +82,15 @@ def test_grid_and_draws_stay_in_the_space(spark):
     assert space.decode([2, 1]) == {"a": 3, "b": "y"}
 
 
+def test_random_trials_skip_what_is_done(spark):
+    space = H.Space([H.Dim("a", (1, 2, 3), 2), H.Dim("b", ("x", "y"), "x")])
+    first = H.random_trials(spark, space, 4, seed=1)
+    assert first.count() == 4 and first.select("hash").distinct().count() == 4
+    rest = H.random_trials(spark, space, 4, seed=2, done=first)
+    assert rest.count() == 2 and rest.join(first, "hash").count() == 0
+    assert H.random_trials(spark, space, 4, seed=3, done=first.unionByName(rest)).count() == 0
+
+
 def test_drop_flags_use_priors():
     dims = H.drop_column_dims([("x", 0.3), ("y", None)])
     assert dims[0].shares == [(0, 0.7), (1, 0.3)] and dims[1].shares == [(0, 1.0), (1, 1.0)]
