@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tabloom.llm import mixing, quality_rules  # noqa: F401
+from tabloom.llm import license_scan, mixing, quality_rules  # noqa: F401
 from tabloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
