@@ -15,6 +15,7 @@ within buckets of about ``bucket_docs`` documents and over the buckets.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +37,7 @@ class MixSettings:
     shard_slots: int = 4096  # about so many blocks make an output shard
     bucket_docs: int = 1000
     rounds: int = 16  # of the permutation
+    task_slots: int = 100_000
     seed: int = 7
 
 
@@ -196,6 +198,10 @@ def plan_mix(docs: DataFrame, settings: MixSettings = MixSettings(), text_col: s
     counted = _shard_counts(sources, settings).withColumn(
         "_from", F.coalesce(F.sum("n").over(done), F.lit(0))
     )
+    expected = F.sum(F.col("target") / F.col("source_size") * F.col("n_blocks"))
+    n_slots = sources.where("source_size > 0").agg(expected).first()[0] or 0
+    # few rows that become many: dealt to as many tasks as their slots need
+    counted = counted.repartition(max(1, math.ceil(n_slots / settings.task_slots)), "rank", "shard")
     slots = (
         attach(
             counted,
