@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.joins import attach
 from tabloom.operators import scores as S
-from tabloom.session import settle
+from tabloom.session import stored
+
+#: a step must better the score by this share of it
+MIN_GAIN = 1e-9
 
 
 def _cell(preds: DataFrame) -> list[str]:
@@ -95,28 +98,40 @@ def wide_predictions(preds: DataFrame, names: list[str]) -> DataFrame:
     return (
         preds.groupBy("fold", *cell)
         .agg(
-            F.first("y").alias("y"),
+            F.first("y", ignorenulls=True).alias("y"),
             *[F.max(F.when(F.col("submission") == n, F.col("p"))).alias(f"_{i}") for i, n in enumerate(names)],
         )
         .select("fold", *cell, "y", F.array(*[f"_{i}" for i in range(len(names))]).alias("ps"))
     )
 
 
-def gram_table(wide: DataFrame, m: int) -> DataFrame:
-    """``(fold, i, j, v)``: inner products of the m predictions and the target.
+def complete_members(wide: DataFrame, names: list[str]) -> dict[int, list[int]]:
+    """Per fold, the places of the submissions that predict every cell of it.
+
+    A submission that lacks a prediction, or whose prediction is null or NaN,
+    is no candidate in that fold: an average over other rows than those of its
+    rivals could not be compared.
+    """
+    has = [F.count_if(F.col("ps")[i].isNotNull() & ~F.isnan(F.col("ps")[i])).alias(f"_{i}") for i in range(len(names))]
+    rows = wide.groupBy("fold").agg(F.count(F.lit(1)).alias("_n"), *has).collect()  # a row per fold
+    return {r["fold"]: [i for i in range(len(names)) if r[f"_{i}"] == r["_n"]] for r in rows}
+
+
+def residual_table(wide: DataFrame, m: int) -> DataFrame:
+    """``(fold, i, j, v)``: inner products of the residuals ``p - y`` of m members.
 
-    Index m is the target. Each Arrow batch is reduced to one matrix per fold,
-    so the shuffle carries matrices and not rows or pairs of rows.
+    Each Arrow batch is reduced to one matrix per fold, so the shuffle carries
+    matrices and not rows or pairs of rows.
     """
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for fold, part in pdf.groupby("fold"):
-                x = np.column_stack([np.stack(part["ps"].to_numpy()), part["y"].to_numpy(dtype=float)])
+                x = np.stack(part["ps"].to_numpy()).astype(float) - part["y"].to_numpy(dtype=float)[:, None]
                 sums[fold] = sums.get(fold, 0.0) + x.T @ x
         for fold, g in sums.items():
-            i, j = np.triu_indices(m + 1)
+            i, j = np.triu_indices(m)
             yield pd.DataFrame({"fold": fold, "i": i, "j": j, "v": g[i, j]})
 
     part = wide.select("fold", F.col("y").cast("double").alias("y"), "ps").mapInPandas(
@@ -125,23 +140,25 @@ def gram_table(wide: DataFrame, m: int) -> DataFrame:
     return part.groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
 
 
-def _greedy_on_gram(g: np.ndarray, m: int, steps: int) -> list[int]:
-    """Indices chosen to minimise squared error of the running average."""
-    total, cross, yy = g[:m, :m], g[:m, m], g[m, m]
+def _greedy_on_residuals(r: np.ndarray, members: list[int], steps: int | None) -> list[int]:
+    """Indices chosen to minimise the squared error of the running average.
+
+    The error of an average of t members is s'Rs / t^2 with s their counts, so
+    nothing is subtracted and a large target costs no digits.
+    """
+    r = r[np.ix_(members, members)]
     picks: list[int] = []
-    s_dot = np.zeros(m)
-    s_sq = s_cross = 0.0
-    best = np.inf
-    for t in range(1, steps + 1):
-        sq = s_sq + 2 * s_dot + np.diag(total)
-        err = sq / t**2 - 2 * (s_cross + cross) / t + yy
+    s_dot = np.zeros(len(members))
+    s_sq, best = 0.0, np.inf
+    while members and (steps is None or len(picks) < steps):
+        sq = s_sq + 2 * s_dot + np.diag(r)
+        err = sq / (len(picks) + 1) ** 2
         k = int(np.argmin(err))
-        if err[k] >= best - 1e-12 * max(abs(best), 1.0):
+        if not err[k] < best - MIN_GAIN * abs(best if np.isfinite(best) else 0.0):
             break
-        best = err[k]
-        picks.append(k)
-        s_sq, s_cross = sq[k], s_cross + cross[k]
-        s_dot = s_dot + total[:, k]
+        best, s_sq = err[k], sq[k]
+        picks.append(members[k])
+        s_dot = s_dot + r[:, k]
     return picks
 
 
@@ -156,73 +173,72 @@ def _shares(fold: int, names: list[str], picks: list[str], n_folds: int) -> list
 WEIGHTS = "fold int, submission string, weight double, contributivity double"
 
 
-def blend(preds: DataFrame, name: str, max_steps: int = 100) -> DataFrame:
+def blend(preds: DataFrame, name: str, max_steps: int | None = None) -> DataFrame:
     """``(fold, submission, weight, contributivity)`` by greedy selection per fold.
 
-    Selection is with replacement and stops when no candidate improves. For
-    squared error one pass builds the Gram matrices and the choice is made on
-    them; other scores run one job per step over all folds and candidates.
+    Selection is with replacement and goes on until no candidate betters the
+    score; ``max_steps`` may end it earlier. Candidates of a fold are the
+    submissions that predict all of it. For squared error one pass builds the
+    residual matrices and the choice is made on them; other scores run one job
+    per step over all folds and candidates.
     """
     spark = preds.sparkSession
     pairs = preds.select("submission", "fold").distinct().collect()  # a row per submission and fold
     names, folds = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})
+    wide = stored(wide_predictions(preds, names), "wide")
+    members = complete_members(wide, names)
     rows: list[tuple] = []
     if name in ("rmse", "r2"):
         m = len(names)
-        cells = gram_table(wide_predictions(preds, names), m).collect()
-        grams = {f: np.zeros((m + 1, m + 1)) for f in folds}
-        for c in cells:
+        known = [F.when(F.col("fold").isin([f for f in folds if i in members[f]]), F.col("ps")[i]) for i in range(m)]
+        filled = wide.withColumn("ps", F.array(*[F.coalesce(k, F.col("y").cast("double")) for k in known]))
+        grams = {f: np.zeros((m, m)) for f in folds}
+        for c in residual_table(filled, m).collect():  # members squared per fold
             grams[c["fold"]][c["i"], c["j"]] = grams[c["fold"]][c["j"], c["i"]] = c["v"]
-        for f in folds:
-            picks = [names[k] for k in _greedy_on_gram(grams[f], m, max_steps)]
-            rows += _shares(f, names, picks, len(folds))
+        picked = {f: [names[k] for k in _greedy_on_residuals(grams[f], members[f], max_steps)] for f in folds}
     else:
-        for f, picks in _greedy_by_jobs(preds, name, names, folds, max_steps).items():
-            rows += _shares(f, names, picks, len(folds))
+        picked = _greedy_by_jobs(wide, name, names, members, max_steps)
+    for f in folds:
+        rows += _shares(f, names, picked[f], len(folds)) if picked[f] else []
     return spark.createDataFrame(rows, WEIGHTS)
 
 
-def _greedy_by_jobs(preds: DataFrame, name: str, names: list[str], folds: list[int], max_steps: int) -> dict[int, list[str]]:
+def _greedy_by_jobs(
+    wide: DataFrame, name: str, names: list[str], members: dict[int, list[int]], max_steps: int | None
+) -> dict[int, list[str]]:
     """One job per step scores every candidate of every fold still open."""
     sign = 1.0 if S.lower_is_better(name) else -1.0
-    state = settle(wide_predictions(preds, names))
-    picks: dict[int, list[str]] = {f: [] for f in folds}
-    best = {f: float("inf") for f in folds}
-    open_folds = set(folds)
-    slots = F.array(*[F.lit(n) for n in names])
-    cell = _cell(preds)
-    for t in range(1, max_steps + 1):
-        if not open_folds:
-            break
-        times = F.lit(None)
-        for f in sorted(open_folds):
-            arr = F.array(*[F.lit(float(picks[f].count(n))) for n in names])
-            times = F.when(F.col("fold") == f, arr).otherwise(times)
-        base = F.aggregate(F.zip_with("ps", times, lambda p, c: p * c), F.lit(0.0), lambda a, b: a + b)
+    picks: dict[int, list[str]] = {f: [] for f in members}
+    best = {f: float("inf") for f in members}
+    open_folds = {f for f, ms in members.items() if ms}
+    cell = [c for c in wide.columns if c in ("row_id", "class")]
+    t = 0
+    while open_folds and (max_steps is None or t < max_steps):
+        t += 1
+        by_fold = lambda value: F.coalesce(*[F.when(F.col("fold") == f, value(f)) for f in sorted(open_folds)])
+        times = by_fold(lambda f: F.array(*[F.lit(float(picks[f].count(n))) for n in names]))
+        slots = by_fold(lambda f: F.array(*[F.lit(i) for i in members[f]]))
+        base = F.aggregate(
+            F.zip_with("ps", times, lambda p, c: F.when(c > 0, p * c).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b
+        )
         mixed = (
-            state.where(F.col("fold").isin(sorted(open_folds)))
-            .select("fold", *cell, "y", "ps", base.alias("_base"))
+            wide.where(F.col("fold").isin(sorted(open_folds)))
+            .select("fold", *cell, "y", "ps", base.alias("_base"), F.explode(slots).alias("_i"))
             .select(
                 "fold", *cell, "y",
-                F.explode(
-                    F.transform(
-                        F.arrays_zip(slots.alias("n"), F.col("ps").alias("q")),
-                        lambda e: F.struct(
-                            e["n"].alias("submission"), ((F.col("_base") + e["q"]) / F.lit(float(t))).alias("p")
-                        ),
-                    )
-                ).alias("e"),
+                F.array(*[F.lit(n) for n in names])[F.col("_i")].alias("submission"),
+                ((F.col("_base") + F.col("ps")[F.col("_i")]) / F.lit(float(t))).alias("p"),
             )
-            .select("fold", *cell, "y", "e.submission", "e.p")
         )
-        scored = S.score(mixed, name, ("fold", "submission"))
-        for r in best_candidate(scored, name).collect():
-            f, value = r["fold"], sign * r["score"]
-            if value >= best[f] - 1e-12:
+        scored = S.score(mixed, name, ("fold", "submission")).where("score is not null")
+        found = {r["fold"]: r for r in best_candidate(scored, name).collect()}  # a row per fold
+        for f in sorted(open_folds):
+            value = sign * found[f]["score"] if f in found else float("inf")
+            if not value < best[f] - MIN_GAIN * abs(best[f] if best[f] != float("inf") else 0.0):
                 open_folds.discard(f)
             else:
                 best[f] = value
-                picks[f].append(r["submission"])
+                picks[f].append(found[f]["submission"])
     return picks
 
 
@@ -243,14 +259,24 @@ def apply_blend(preds: DataFrame, weights: DataFrame) -> DataFrame:
     return hit.groupBy("fold", *_cell(preds)).agg(*aggs)
 
 
-def blend_then_bag(preds: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(row_id, y, p)``: blended in every fold, then averaged over folds."""
-    return bag(apply_blend(preds, weights), ())
+def blend_then_bag(preds: DataFrame, weights: DataFrame, name: str | None = None) -> DataFrame:
+    """``(row_id, y, p)``: blended in every fold, then averaged over folds.
+
+    For a score that reads ranks only, the ranks within each fold are averaged:
+    folds whose predictions lie on other scales then count alike.
+    """
+    blended = apply_blend(preds, weights)
+    return bag(S.rank_rows(blended, ("fold",)) if name in S.RANK_SCORES else blended, ())
+
+
+def bag_for(preds: DataFrame, name: str) -> DataFrame:
+    """Bag of a submission's folds, of ranks if the score reads ranks only."""
+    return bag_ranks(preds) if name in S.RANK_SCORES else bag(preds)
 
 
-def bag_then_blend(preds: DataFrame, name: str, max_steps: int = 100) -> tuple[DataFrame, DataFrame]:
+def bag_then_blend(preds: DataFrame, name: str, max_steps: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Bag each submission, then one greedy blend of the bags: (weights, output)."""
-    bags = settle(bag(preds).withColumn("fold", F.lit(0)))
+    bags = stored(bag_for(preds, name).withColumn("fold", F.lit(0)), "bags")
     weights = blend(bags, name, max_steps)
     return weights, apply_blend(bags, weights).drop("fold")
 
@@ -282,11 +308,11 @@ def base_contributivity(
 
 
 def best_single(preds: DataFrame, means: DataFrame, name: str) -> DataFrame:
-    """Bagged predictions of the best trial of every base.
+    """Bagged predictions of the best trial of every base, ranks for rank scores.
 
     ``means(base, submission, score)``; ties go to the first name.
     """
     sign = F.lit(1.0 if S.lower_is_better(name) else -1.0)
     order = F.struct((sign * F.col("score")).alias("s"), F.col("submission").alias("n"))
     best = means.groupBy("base").agg(F.min_by("submission", order).alias("submission"))
-    return attach(bag(preds), best, ["submission"], "inner")
+    return attach(bag_for(preds, name), best, ["submission"], "inner")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.joins import Fitted, attach
-from tabloom.functions.running import BLOCK_ROWS, Sizes, key_sizes, running
+from tabloom.functions.running import BLOCK_ROWS, key_sizes, running
+from tabloom.session import stored
 
 KEYS = ("submission", "fold")
 EPS = 1e-15
@@ -42,13 +43,6 @@ def _log_likelihood(y: Column, p: Column) -> Column:
     return F.avg(F.log(F.least(F.greatest(of_true, F.lit(EPS)), F.lit(1 - EPS))))
 
 
-def _mcc(y: Column, p: Column) -> Column:
-    n = lambda a, b: F.count_if((y == a) & (p == b)).cast("double")
-    tp, tn, fp, fn = n(1, 1), n(0, 0), n(0, 1), n(1, 0)
-    norm = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
-    return F.coalesce(F.try_divide(tp * tn - fp * fn, norm), F.lit(0.0))
-
-
 def _hits(y: Column, p: Column) -> Column:
     return F.avg(y.eqNullSafe(p).cast("double"))
 
@@ -58,7 +52,8 @@ SIMPLE: dict[str, Callable[[Column, Column], Column]] = {
     "mae": lambda y, p: F.avg(F.abs(y - p)),
     "mare": _relative,
     "mape": _relative,
-    "rmsle": lambda y, p: _rmse(F.log1p(y), F.log1p(p)),
+    # a prediction below zero counts as zero, where the logarithm still holds
+    "rmsle": lambda y, p: _rmse(F.log1p(y), F.log1p(F.greatest(p, F.lit(0.0)))),
     "smape": _smape,
     "r2": _r2,
     "nll": lambda y, p: -_log_likelihood(y, p),
@@ -68,9 +63,9 @@ SIMPLE: dict[str, Callable[[Column, Column], Column]] = {
     # Every row has one true and one predicted label, so the pooled counts of
     # false positives and false negatives agree and F1 is the share of hits.
     "f1-micro": _hits,
-    "mcc": _mcc,
 }
 LABEL_SCORES = ("accuracy", "f1-micro", "mcc")
+RANK_SCORES = ("auc", "gini", "ngini")
 LOWER_IS_BETTER = {"rmse", "mae", "mare", "mape", "rmsle", "medae", "smape", "nll"}
 
 
@@ -78,14 +73,31 @@ def lower_is_better(name: str) -> bool:
     return name in LOWER_IS_BETTER
 
 
+def whole(value: Column, name: str) -> Column:
+    """``value``, or null if a row of the group lacks a usable pair.
+
+    Averages skip nulls, so a missing prediction would better a score. Label
+    scores count a missing label as a miss instead.
+    """
+    if name in LABEL_SCORES:
+        return value
+    both = F.col("y").isNotNull() & F.col("p").isNotNull()
+    return F.when(F.count_if(both) == F.count(F.lit(1)), value)
+
+
+def simple(name: str) -> Column:
+    """The aggregate of one of the ``SIMPLE`` scores over columns y and p."""
+    return whole(SIMPLE[name](F.col("y"), F.col("p")), name)
+
+
 def score(preds: DataFrame, name: str, keys: tuple[str, ...] = KEYS, digits: int | None = None) -> DataFrame:
-    """``(keys, score)``."""
+    """``(keys, score)``; null where a prediction or target is missing."""
     if "class" in preds.columns:
         out = _score_blocks(preds, name, keys)
     elif name in SIMPLE:
-        out = preds.groupBy(*keys).agg(SIMPLE[name](F.col("y"), F.col("p")).alias("score"))
+        out = preds.groupBy(*keys).agg(simple(name).alias("score"))
     else:
-        out = {"medae": medae, "auc": auc, "gini": gini, "ngini": ngini}[name](preds, keys)
+        out = {"mcc": mcc, "medae": medae, "auc": auc, "gini": gini, "ngini": ngini}[name](preds, keys)
     return out.withColumn("score", F.round("score", digits)) if digits is not None else out
 
 
@@ -103,7 +115,28 @@ def _score_blocks(preds: DataFrame, name: str, keys: tuple[str, ...]) -> DataFra
         return out if name == "nll" else out.withColumn("score", -F.col("score"))
     if name not in LABEL_SCORES:
         raise ValueError(f"{name} does not read class blocks")
-    return top_class(preds, keys).groupBy(*keys).agg(SIMPLE[name](F.col("y"), F.col("p")).alias("score"))
+    return score(top_class(preds, keys), name, keys)
+
+
+def mcc(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Matthews correlation over any number of classes, from confusion counts.
+
+    With s rows, c hits, and t and p the rows per true and predicted class:
+    (c s - sum t p) / sqrt((s^2 - sum p^2) (s^2 - sum t^2)); 0 if undefined. A
+    missing label is a class of its own.
+    """
+    cells = preds.groupBy(*keys, "y", "p").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    sides = F.array(
+        F.struct(F.col("y").alias("k"), F.col("_n").alias("t"), F.lit(0.0).alias("g"), F.when(F.col("y").eqNullSafe(F.col("p")), F.col("_n")).otherwise(0.0).alias("c")),
+        F.struct(F.col("p").alias("k"), F.lit(0.0).alias("t"), F.col("_n").alias("g"), F.lit(0.0).alias("c")),
+    )
+    per = cells.select(*keys, F.explode(sides).alias("e")).groupBy(*keys, "e.k").agg(
+        F.sum("e.t").alias("t"), F.sum("e.g").alias("g"), F.sum("e.c").alias("c")
+    )
+    s, sq = F.sum("t"), lambda x: F.sum(F.col(x) * F.col(x))
+    norm = F.sqrt(s * s - sq("g")) * F.sqrt(s * s - sq("t"))
+    value = F.try_divide(F.sum("c") * s - F.sum(F.col("t") * F.col("g")), norm)
+    return per.groupBy(*keys).agg(F.coalesce(value, F.lit(0.0)).alias("score"))
 
 
 def multiclass_nll(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -122,14 +155,17 @@ def _histogram(preds: DataFrame, keys: tuple[str, ...], value: Column, aggs: dic
     return preds.groupBy(*keys, value.alias("_v")).agg(*[e.alias(n) for n, e in aggs.items()])
 
 
-def _hist_sizes(hist: DataFrame, keys: tuple[str, ...], rows: Sizes) -> Sizes:
-    """Row counts bound the distinct counts; count those only when it matters."""
-    return rows if rows.largest <= BLOCK_ROWS else key_sizes(hist, list(keys))
+def _stored_histogram(preds: DataFrame, keys: tuple[str, ...], value: Column, aggs: dict[str, Column]) -> DataFrame:
+    """A histogram computed once, so that sizes and sums read it and not the predictions."""
+    return stored(_histogram(preds, keys, value, aggs), "histogram")
 
 
 def medae(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Median absolute error."""
-    return grouped_median(preds, keys, F.abs(F.col("y") - F.col("p")), "score")
+    """Median absolute error; null where a prediction or target is missing."""
+    gaps = stored(preds.select(*keys, F.abs(F.col("y") - F.col("p")).alias("_gap")), "gaps")
+    holes = gaps.groupBy(*keys).agg(F.count_if(F.col("_gap").isNull()).alias("_holes"))
+    out = grouped_median(gaps, keys, F.col("_gap"), "score")
+    return attach(holes, out, list(keys)).select(*keys, F.when(F.col("_holes") == 0, F.col("score")).alias("score"))
 
 
 def grouped_median(
@@ -162,40 +198,40 @@ def grouped_median(
 def auc(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Area under the ROC curve; a positive and a negative with equal score count half."""
     pos, neg = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
-    hist = _histogram(preds, keys, F.col("p"), {"_pos": pos, "_neg": neg})
-    sizes = _hist_sizes(hist, keys, key_sizes(preds, list(keys)))
-    run = running(hist, list(keys), [F.col("_v")], {"_below": ("sum", "_neg")}, sizes)
+    hist = _stored_histogram(preds, keys, F.col("p"), {"_pos": pos, "_neg": neg, "_n": F.count(F.lit(1))})
+    run = running(hist, list(keys), [F.col("_v")], {"_below": ("sum", "_neg")}, key_sizes(hist, list(keys)))
     wins = F.sum(F.col("_pos") * (F.col("_below") - F.col("_neg") / 2.0))
-    return run.groupBy(*keys).agg(
-        F.try_divide(wins, F.sum("_pos").cast("double") * F.sum("_neg")).alias("score")
-    )
+    area = F.try_divide(wins, F.sum("_pos").cast("double") * F.sum("_neg"))
+    sound = (F.count_if(F.col("_v").isNull()) == 0) & (F.sum("_n") == F.sum("_pos") + F.sum("_neg"))
+    return run.groupBy(*keys).agg(F.when(sound, area).alias("score"))
 
 
 def gini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return auc(preds, keys).withColumn("score", 2 * F.col("score") - 1)
 
 
-def _lorenz(preds: DataFrame, keys: tuple[str, ...], by: str, rows: Sizes) -> DataFrame:
+def _lorenz(hist: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
     """``(keys, _area)``: area between the curve of captured ``y`` and the diagonal.
 
     Rows are taken from the highest ``by`` down; equal values form one straight
     segment.
     """
-    aggs = {"_n": F.count(F.lit(1)), "_s": F.sum(F.col("y").cast("double"))}
-    hist = _histogram(preds, keys, F.col(by), aggs)
-    sizes = _hist_sizes(hist, keys, rows)
-    run = running(hist, list(keys), [F.col("_v").desc()], {"_cum": ("sum", "_s")}, sizes)
+    part = hist.groupBy(*keys, F.col(by).alias("_v")).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    run = running(part, list(keys), [F.col("_v").desc()], {"_cum": ("sum", "_s")}, key_sizes(hist, list(keys)))
     strip = F.col("_n") * (F.col("_cum") - F.col("_s") / 2.0)
-    return run.groupBy(*keys).agg(
-        (F.try_divide(F.sum(strip), F.sum("_n") * F.sum("_s")) - 0.5).alias("_area")
-    )
+    area = F.try_divide(F.sum(strip), F.sum("_n") * F.sum("_s")) - 0.5
+    return run.groupBy(*keys).agg(F.when(F.count_if(F.col("_v").isNull()) == 0, area).alias("_area"))
 
 
 def ngini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Gini of the predicted order over gini of the perfect order."""
-    rows = key_sizes(preds, list(keys))
-    got = _lorenz(preds, keys, "p", rows)
-    best = _lorenz(preds, keys, "y", rows).withColumnRenamed("_area", "_best")
+    """Gini of the predicted order over gini of the perfect order.
+
+    Both curves read one histogram of the pairs (prediction, target).
+    """
+    aggs = {"_n": F.count(F.lit(1)), "_s": F.sum(F.col("y").cast("double"))}
+    hist = stored(preds.groupBy(*keys, "p", "y").agg(*[e.alias(n) for n, e in aggs.items()]), "histogram")
+    got = _lorenz(hist, keys, "p")
+    best = _lorenz(hist, keys, "y").withColumnRenamed("_area", "_best")
     return got.join(best, list(keys)).select(
         *keys, F.try_divide(F.col("_area"), F.col("_best")).alias("score")
     )
@@ -213,7 +249,7 @@ def score_table(preds: DataFrame, names: list[str], keys: tuple[str, ...] = KEYS
     out = None
     if plain:
         wide = preds.groupBy(*keys).agg(
-            *[SIMPLE[n](F.col("y"), F.col("p")).alias(n) for n in plain]
+            *[simple(n).alias(n) for n in plain]
         )
         out = wide.unpivot(list(keys), plain, "score_name", "score")
     for n in names:
@@ -226,13 +262,14 @@ def score_table(preds: DataFrame, names: list[str], keys: tuple[str, ...] = KEYS
 def rank_rows(preds: DataFrame, keys: tuple[str, ...] = KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``preds`` with ``p`` replaced by its average rank within the key.
 
+    The predictions are computed once; their sizes and ranks read that file.
     While keys fit a task one window does it. Beyond that, ranks come from the
     distinct predictions; a value shared by very many rows is joined back by
     broadcast, so it does not pile up in one task.
     """
     cols, ks = preds.columns, list(keys)
-    rows = key_sizes(preds, ks)
-    if rows.largest <= block_rows:
+    preds = stored(preds, "ranked")
+    if key_sizes(preds, ks).largest <= block_rows:
         w = Window.partitionBy(*ks).orderBy("p")
         peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return preds.withColumn("p", F.rank().over(w) + (peers - 1) / 2.0).select(*cols)

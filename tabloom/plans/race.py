@@ -50,7 +50,7 @@ class RaceSettings:
     max_hours: float = 48.0
     floor: int = 100
     blend: str = "blend"
-    blend_steps: int = 100
+    blend_steps: int | None = None  # until no candidate betters the score
     seed: int = 43
     parallel: int = 4
     elements: tuple[str, ...] = ("predictor",)
@@ -166,7 +166,7 @@ class Race:
             weights, out = B.bag_then_blend(rows, metric, steps)
         else:
             weights = B.blend(rows, metric, steps)
-            out = B.blend_then_bag(rows, weights)
+            out = B.blend_then_bag(rows, weights, metric)
         totals = {r["submission"]: r["contributivity"] for r in B.contributivity_totals(weights).collect()}
         score = S.score(out.withColumn("_k", F.lit(0)), metric, ("_k",)).collect()[0]["score"]
         return totals, score, weights
@@ -243,14 +243,14 @@ class Race:
         start = datetime.now(timezone.utc)
         totals, score, weights = self.blend_now(names, self.final_folds, "blend")
         self._note("final_blend_then_bag", None, self.final_folds, start, score, totals)
-        out = {"blend_then_bag": B.blend_then_bag(test, weights).select(*cell, "p")}
+        out = {"blend_then_bag": B.blend_then_bag(test, weights, self.task.score_name).select(*cell, "p")}
 
         start = datetime.now(timezone.utc)
         w2, bagged = B.bag_then_blend(valid, self.task.score_name, self.settings.blend_steps)
         score2 = S.score(bagged.withColumn("_k", F.lit(0)), self.task.score_name, ("_k",)).collect()[0]["score"]
         self._note("final_bag_then_blend", None, self.final_folds, start, score2, None)
         out["bag_then_blend"] = B.apply_blend(
-            B.bag(test).withColumn("fold", F.lit(0)), w2
+            B.bag_for(test, self.task.score_name).withColumn("fold", F.lit(0)), w2
         ).select(*cell, "p")
 
         means = (
@@ -319,4 +319,4 @@ def run_arms(race: Race, arms: DataFrame, base: str) -> tuple[DataFrame, DataFra
     train_folds(race.store, race.task, specs, race.final_folds, parallel=race.settings.parallel)
     _, _, weights = race.blend_now(sorted(specs), race.final_folds, "blend")
     test = race.store.predictions(race.task, "test").where(F.col("submission").isin(sorted(specs)))
-    return weights, B.blend_then_bag(test, weights)
+    return weights, B.blend_then_bag(test, weights, race.task.score_name)
