@@ -229,22 +229,23 @@ def add_target_encoding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "encode_target_out_of_fold",
-    f"""{Q}, t AS (SELECT id, segment, price, {sql_mod(10, "id || '_0'")} AS fold FROM train),
-        g AS (SELECT segment, fold, sum(price) AS s, count(*) AS n FROM t GROUP BY 1, 2),
+    f"""{Q}, t AS (SELECT id, priority, price, {sql_mod(10, "id || '_0'")} AS fold FROM train),
+        g AS (SELECT priority, fold, sum(price) AS s, count(*) AS n FROM t WHERE priority IS NOT NULL GROUP BY 1, 2),
         f AS (SELECT fold, sum(price) AS s, count(*) AS n FROM t GROUP BY 1),
-        c AS (SELECT segment, sum(price) AS s, count(*) AS n FROM t GROUP BY 1),
+        c AS (SELECT priority, sum(s) AS s, sum(n) AS n FROM g GROUP BY 1),
         a AS (SELECT sum(price) AS s, count(*) AS n FROM t),
-        x AS (SELECT g.segment, g.fold, (a.s - f.s) / (a.n - f.n) AS prior, (c.s - g.s) / (c.n - g.n) AS mean,
+        x AS (SELECT t.id, t.priority, fold, (a.s - f.s) / (a.n - f.n) AS prior, (c.s - g.s) / (c.n - g.n) AS mean,
                      1 / (1 + exp(-((c.n - g.n) - 1) / 10.0::DOUBLE)) AS w
-              FROM g JOIN f USING (fold) JOIN c USING (segment), a)
-        SELECT id, segment, fold, round(prior * (1 - w) + mean * w, 4) AS segment_target_encode FROM t JOIN x USING (segment, fold)""",
+              FROM t JOIN f USING (fold) LEFT JOIN g USING (priority, fold) LEFT JOIN c USING (priority), a)
+        SELECT id, priority, fold, round(coalesce(prior * (1 - w) + mean * w, prior), 4) AS priority_target_encode FROM x""",
 )
 def encode_target_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """On a column with gaps, which get the prior of the other folds."""
     from tabloom.operators.folds import fold_of
 
-    t = order_kit(spark, sf).train.select("id", "segment", "price", fold_of(F.col("id"), 0).alias("fold"))
-    out = E.encode_target_out_of_fold(t, "segment", "price", "fold").drop("price")
-    return _r(out, "segment_target_encode", digits=4)
+    t = order_kit(spark, sf).train.select("id", "priority", "price", fold_of(F.col("id"), 0).alias("fold"))
+    out = E.encode_target_out_of_fold(t, "priority", "price", "fold").drop("price")
+    return _r(out, "priority_target_encode", digits=4)
 
 
 @query(
@@ -362,7 +363,8 @@ DAYS = ["01-01", "05-01", "07-04", "12-25", "12-26"]
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
     """Five fixed days a year per nation, for the years the orders span."""
-    years = F.sequence(F.lit(1995), F.lit(2001))
+    span = table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi")).first()
+    years = F.sequence(F.lit(span["lo"] or 1970), F.lit(span["hi"] or 1970))
     days = F.array(*[F.lit(d) for d in DAYS])
     return (
         table(spark, sf, "nation")

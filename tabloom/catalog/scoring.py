@@ -98,6 +98,33 @@ def score_mcc(spark: SparkSession, sf: str) -> DataFrame:
     return S.score(binary, "mcc", digits=4)
 
 
+@query(
+    "score_mcc_classes",
+    f"""WITH {LABEL_SQL}, n AS (SELECT submission, fold, count(*) AS s, count(*) FILTER (y = p) AS c FROM preds GROUP BY 1, 2),
+        k AS (SELECT submission, fold, l, count(*) FILTER (y = l) AS t, count(*) FILTER (p = l) AS g
+              FROM preds, (SELECT unnest(['A', 'N', 'R']) AS l) GROUP BY 1, 2, 3),
+        x AS (SELECT submission, fold, sum(t * g) AS tg, sum(t * t) AS tt, sum(g * g) AS gg FROM k GROUP BY 1, 2)
+        SELECT submission, fold, round(CAST(c * s - tg AS DOUBLE) / (sqrt(CAST(s * s - gg AS DOUBLE)) * sqrt(CAST(s * s - tt AS DOUBLE))), 4) AS score
+        FROM n JOIN x USING (submission, fold)""",
+)
+def score_mcc_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Three labels at once."""
+    return S.score(label_preds(spark, sf), "mcc", digits=4)
+
+
+@query(
+    "score_rmsle_holes",
+    f"""WITH {PRED_SQL}, bad AS (SELECT submission, fold, y, CASE WHEN row_id % 7 = 0 THEN -5 ELSE p END AS p, fold = 3 AND row_id % 5 = 0 AS hole FROM preds)
+        SELECT submission, fold, CASE WHEN count(*) FILTER (hole) = 0 THEN round(sqrt(avg(power(ln(1 + y) - ln(1 + greatest(p, 0)), 2))), 4) END AS score
+        FROM bad GROUP BY 1, 2""",
+)
+def score_rmsle_holes(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions below zero count as zero; a fold that lacks some has no score."""
+    hole = (F.col("fold") == 3) & (F.col("row_id") % 5 == 0)
+    p = F.when(F.col("row_id") % 7 == 0, F.lit(-5.0)).otherwise(F.col("p"))
+    return S.score(price_preds(spark, sf).withColumn("p", F.when(~hole, p)), "rmsle", digits=4)
+
+
 @query(
     "score_nll_multiclass",
     f"""WITH {ITEMS_SQL} SELECT 'q' AS submission, {sql_mod(10, "row_id || '_0'")} AS fold,

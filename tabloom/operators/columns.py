@@ -98,52 +98,62 @@ def variance_threshold(df: DataFrame, cols: list[str], threshold: float = 0.0) -
 
 
 def correlation_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """``(feature, r, f)``: Pearson correlation and the F value of a linear fit."""
+    """``(feature, r, f)``: Pearson correlation and the F value of a linear fit.
+
+    A feature is judged on the rows that have it and the target.
+    """
+    pair = lambda c: F.col(f"`{c}`").isNotNull() & F.col(target).isNotNull()
     row = df.agg(
-        *[F.corr(F.col(f"`{c}`").cast("double"), F.col(target).cast("double")).alias(c) for c in cols],
-        F.count(F.lit(1)).alias("_n"),
+        *[F.corr(F.col(f"`{c}`").cast("double"), F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(cols)],
+        *[F.count_if(pair(c)).alias(f"n{i}") for i, c in enumerate(cols)],
     )
-    long = row.unpivot(["_n"], cols, "feature", "r")
+    entries = [
+        F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("_n")) for i, c in enumerate(cols)
+    ]
+    long = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     r2 = F.col("r") * F.col("r")
     return long.select("feature", "r", F.try_divide(r2 * (F.col("_n") - 2), 1 - r2).alias("f"))
 
 
 def _per_class(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """``(feature, class, n, s, ss)``: one grouped pass, a row per class and feature."""
-    sums = df.groupBy(F.col(target).alias("class")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(f"`{c}`").cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
-        *[
-            F.sum(F.col(f"`{c}`").cast("double") * F.col(f"`{c}`").cast("double")).alias(f"q{i}")
-            for i, c in enumerate(cols)
-        ],
-    )
+    """``(feature, class, n, s, m, v)``: one grouped pass, a row per class and feature.
+
+    Cells that are there: their number, sum, mean and sum of squared deviations
+    from the class mean. Rows without a class are left out.
+    """
+    x = lambda c: F.when(F.isnan(F.col(f"`{c}`").cast("double")), None).otherwise(F.col(f"`{c}`").cast("double"))
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(x(c)).alias(f"n{i}"), F.sum(x(c)).alias(f"s{i}"), F.avg(x(c)).alias(f"m{i}")]
+        aggs.append((F.var_pop(x(c)) * F.count(x(c))).alias(f"v{i}"))
+    sums = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("class")).agg(*aggs)
     entries = F.array(
         *[
-            F.struct(
-                F.lit(c).alias("feature"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("ss")
-            )
+            F.struct(F.lit(c).alias("feature"), *[F.col(f"{k}{i}").alias(k) for k in "nsmv"])
             for i, c in enumerate(cols)
         ]
     )
-    return sums.select("class", "n", F.explode(entries).alias("e")).select("class", "n", "e.*")
+    return sums.select("class", F.explode(entries).alias("e")).select("class", "e.*").where("n > 0")
 
 
 def anova_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """``(feature, f)``: one-way analysis of variance over the classes."""
+    """``(feature, f)``: one-way analysis of variance over the classes.
+
+    Between-class squares are taken from the gaps of class means, and squares
+    within a class by its running variance, so a large mean costs no digits.
+    """
     per = _per_class(df, cols, target)
-    tot = per.groupBy("feature").agg(
+    whole = per.groupBy("feature").agg((F.sum("s") / F.sum("n")).alias("_mean"))
+    gap = F.col("m") - F.col("_mean")
+    tot = per.join(F.broadcast(whole), "feature").groupBy("feature").agg(  # one row per feature
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("k"),
-        F.sum("s").alias("s"),
-        F.sum("ss").alias("ss"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"),
+        F.sum(F.col("n") * gap * gap).alias("ssb"),
+        F.sum("v").alias("ssw"),
     )
-    base = F.col("s") * F.col("s") / F.col("n")
-    ssb, ssw = F.col("between") - base, F.col("ss") - F.col("between")
     return tot.select(
         "feature",
-        F.try_divide(ssb / (F.col("k") - 1), ssw / (F.col("n") - F.col("k"))).alias("f"),
+        F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))).alias("f"),
     )
 
 

@@ -13,26 +13,23 @@ from pyspark.sql import types as T
 from tabloom.functions.hashing import md5_mod
 from tabloom.functions.joins import Fitted, attach, fitted
 from tabloom.functions.names import category_name, safe_name, unique_names
+from tabloom.functions.running import running
 from tabloom.meta import Kit, as_role
 from tabloom.operators.columns import constant_over
 from tabloom.operators.profile import unique_counts, value_counts
-from tabloom.session import settle
+from tabloom.session import settle, stored
 
 # Limits of the category encoders.
 MAX_CATEGORIES = 20
-MAX_VALUE_COLUMNS = 2000
 HASH_COLUMNS = 20
 MAX_TARGET_CATEGORIES = 300
 SMOOTHING = 10.0
 MIN_LEAF = 1
 
 
-def _small_values(df: DataFrame, col: str, limit: int) -> list:
-    """Distinct values, null first, or an error above ``limit``."""
-    rows = df.select(F.col(f"`{col}`").alias("v")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values; use hashing")
-    found = [r["v"] for r in rows]
+def _values(df: DataFrame, col: str) -> list:
+    """Distinct values, null first: each gets a column, so the caller bounds them."""
+    found = [r["v"] for r in df.select(F.col(f"`{col}`").alias("v")).distinct().collect()]
     return ([None] if None in found else []) + sorted(v for v in found if v is not None)
 
 
@@ -44,11 +41,14 @@ def _on_both(kit: Kit, col: str, new: list[Column]) -> Kit:
     return kit.replace(_swap(kit.train, col, new), _swap(kit.test, col, new))
 
 
-def category_values(kit: Kit, cols: list[str], limit: int = MAX_CATEGORIES) -> dict[str, list | None]:
+def category_values(
+    kit: Kit, cols: list[str], limit: int = MAX_CATEGORIES, spelled: list[str] | None = None
+) -> dict[str, list | None]:
     """Values over both tables of the columns with at most ``limit`` train values.
 
-    One pass over the rows serves all columns. Wider columns, or those with
-    more values than get columns of their own, map to None.
+    One pass over the rows serves all columns. Wider columns map to None,
+    however many values the test table has. Only the columns ``spelled`` (all
+    by default) have their values listed; other narrow ones map to an empty list.
     """
     if not cols:
         return {}
@@ -56,11 +56,12 @@ def category_values(kit: Kit, cols: list[str], limit: int = MAX_CATEGORIES) -> d
     seen = settle(
         side(kit.train, 1).unionByName(side(kit.test, 0)).groupBy("feature", "value").agg(F.max("_train").alias("_train"))
     )
-    sizes = seen.groupBy("feature").agg(F.sum("_train").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    few = [r["feature"] for r in sizes if r["t"] <= limit and r["n"] <= MAX_VALUE_COLUMNS]
+    sizes = seen.groupBy("feature").agg(F.sum("_train").alias("t")).collect()  # a row per column
+    few = [r["feature"] for r in sizes if r["t"] <= limit]
     out: dict[str, list | None] = {c: None for c in cols}
     out |= {c: [] for c in few}
-    for r in seen.where(F.col("feature").isin(few)).orderBy("feature", F.col("value").asc_nulls_first()).collect():
+    listed = few if spelled is None else [c for c in few if c in spelled]
+    for r in seen.where(F.col("feature").isin(listed)).orderBy("feature", F.col("value").asc_nulls_first()).collect():
         out[r["feature"]].append(r["value"])
     return out
 
@@ -71,7 +72,7 @@ def encode_onehot(kit: Kit, col: str, values: list | None = None) -> Kit:
     Of exactly two categories only the second gets a column. ``values`` saves
     a pass when the categories are known.
     """
-    values = _small_values(kit.both(), col, MAX_VALUE_COLUMNS) if values is None else values
+    values = _values(kit.both(), col) if values is None else values
     if len(values) == 2:
         values = values[1:]
     names = unique_names([category_name(col, v) for v in values])
@@ -143,25 +144,26 @@ def encode_target_out_of_fold(train: DataFrame, col: str, y: str, fold: str, smo
     """Target means that leave out the row's own fold, so no row sees its target.
 
     Category totals minus the category's totals in the fold; both tables have
-    at most categories x folds rows.
+    at most categories x folds rows. A missing category, and one that no other
+    fold has, get the prior of the other folds.
     """
     part = train.groupBy(col, fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
-    whole = part.groupBy(col).agg(F.sum("_s").alias("_st"), F.sum("_n").alias("_nt"))
-    base = part.groupBy(fold).agg(F.sum("_s").alias("_sf"), F.sum("_n").alias("_nf"))
-    tot = part.agg(F.sum("_s").alias("s"), F.sum("_n").alias("n")).first()
-    prior = F.try_divide(F.lit(float(tot["s"])) - F.col("_sf"), F.lit(tot["n"]) - F.col("_nf"))
-    n = F.col("_nt") - F.col("_n")
+    base = fitted(part.groupBy(fold).agg(F.sum("_s").alias("_sf"), F.sum("_n").alias("_nf")))
+    tot = base.table.agg(F.sum("_sf").alias("s"), F.sum("_nf").alias("n")).first()
+    if not tot["n"]:
+        raise ValueError("target encoding needs a non-empty target")
+    known = part.where(F.col(f"`{col}`").isNotNull())
+    whole = known.groupBy(col).agg(F.sum("_s").alias("_st"), F.sum("_n").alias("_nt"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    mean_of_all = F.lit(float(tot["s"]) / tot["n"])
+    prior = F.coalesce(F.try_divide(F.lit(float(tot["s"])) - zero("_sf"), F.lit(tot["n"]) - F.col("_nf")), mean_of_all)
+    n = zero("_nt") - zero("_n")
     w = F.lit(1.0) / (1 + F.exp(-(n - MIN_LEAF) / F.lit(float(smoothing))))
-    mean = F.coalesce(F.try_divide(F.col("_st") - F.col("_s"), n), prior)
-    table = (
-        part.join(whole, col)
-        .join(F.broadcast(base), fold)  # one row per fold
-        .select(col, fold, "_n", (prior * (1 - w) + mean * w).alias("_code"))
-    )
-    keep = train.columns
-    return attach(train, table, [col, fold], weight="_n").select(
-        *keep, as_role(F.col("_code"), f"{col}_target_encode")
-    )
+    mean = F.try_divide(zero("_st") - zero("_s"), n)
+    code = F.when(mean.isNull(), prior).otherwise(prior * (1 - w) + mean * w)
+    table = known.join(whole, col).select(col, fold, "_n", "_s", "_nt", "_st")
+    hit = attach(attach(train, table, [col, fold], weight="_n"), base, [fold])
+    return hit.select(*train.columns, as_role(code, f"{col}_target_encode"))
 
 
 def target_encode_columns(kit: Kit, cols: list[str], limit: int = MAX_TARGET_CATEGORIES) -> list[str]:
@@ -181,21 +183,29 @@ def add_target_encoding(kit: Kit, cols: list[str], y: Column, **settings) -> Kit
     return kit.replace(train, test)
 
 
-def encode_binary(kit: Kit, col: str, values: list | None = None) -> Kit:
-    """Ordinal code of the sorted values from 1, as bit columns; unknown is 0."""
-    values = _small_values(kit.both(), col, MAX_VALUE_COLUMNS) if values is None else values
-    width = max(1, math.ceil(math.log2(len(values) + 1)))
-    known = F.array(*[F.lit(v) for v in values if v is not None])
-    offset = 1 if None in values else 0
+def encode_binary(kit: Kit, col: str) -> Kit:
+    """Ordinal code of the sorted values from 1, as bit columns; unknown is 0.
+
+    The codes are a table, so any number of values will do: the rank of a value
+    is a running count over the distinct values.
+    """
     src = F.col(f"`{col}`")
-    code = F.when(src.isNull(), F.lit(offset)).otherwise(
-        F.array_position(known, src) + F.when(F.array_position(known, src) > 0, offset).otherwise(0)
-    )
+    values = kit.both().select(src.alias(col)).distinct().withColumn("_one", F.lit(1))
+    values = stored(values.withColumn("_all", F.lit(0)), "values")
+    order = [src.asc_nulls_first()]
+    codes = fitted(running(values, ["_all"], order, {"_code": ("sum", "_one")}).select(col, "_code"))
+    width = max(1, math.ceil(math.log2(codes.rows + 1)))
+    null_code = codes.table.where(src.isNull()).first()
+    of_null = F.lit(null_code["_code"] if null_code else 0)
+    code = F.when(src.isNull(), of_null).otherwise(F.coalesce("_code", F.lit(0))).cast("long")
     new = [
-        as_role(F.getbit(code.cast("long"), F.lit(width - 1 - i)).cast("int"), f"{safe_name(col)}_{i}")
-        for i in range(width)
+        as_role(F.getbit(code, F.lit(width - 1 - i)).cast("int"), f"{safe_name(col)}_{i}") for i in range(width)
     ]
-    return _on_both(kit, col, new)
+
+    def apply(df: DataFrame) -> DataFrame:
+        return _swap(attach(df, codes, [col]), col, new).drop("_code")
+
+    return kit.replace(apply(kit.train), apply(kit.test))
 
 
 def encode_hashing(kit: Kit, col: str, n: int = HASH_COLUMNS, drop_constant: bool = True) -> Kit:
@@ -218,12 +228,15 @@ def encode_hashing(kit: Kit, col: str, n: int = HASH_COLUMNS, drop_constant: boo
     return kit.replace(apply(kit.train), apply(kit.test))
 
 
-def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | None = None, values: dict | None = None) -> Kit:
-    """The chosen encoder; columns with more than 20 train values are hashed.
+def encode_category(
+    kit: Kit, col: str, strategy: str = "onehot", y: Column | None = None, values: dict | None = None,
+    limit: int = MAX_CATEGORIES,
+) -> Kit:
+    """The chosen encoder; columns with more than ``limit`` train values are hashed.
 
     ``values`` is the result of ``category_values`` for all columns.
     """
-    found = (values or category_values(kit, [col]))[col]
+    found = (values or category_values(kit, [col], limit))[col]
     if found is None:
         return encode_hashing(kit, col)
     if strategy == "target":
@@ -231,9 +244,9 @@ def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | No
     if strategy.startswith("hashing"):
         n = int(strategy.split("_")[1]) if "_" in strategy else HASH_COLUMNS
         return encode_hashing(kit, col, n)
-    if strategy == "count":
-        return encode_count(kit, col)
-    return {"onehot": encode_onehot, "binary": encode_binary}[strategy](kit, col, found)
+    if strategy == "onehot":
+        return encode_onehot(kit, col, found)
+    return {"count": encode_count, "binary": encode_binary}[strategy](kit, col)
 
 
 # --- text ------------------------------------------------------------------
@@ -242,6 +255,7 @@ def encode_category(kit: Kit, col: str, strategy: str = "onehot", y: Column | No
 GRAM_BASE = 0x9E3779B97F4A7C15
 FAMILY_STEP = 0xD1342543DE82EF95
 CHUNK = 1 << 12
+BATCH_CHARS = 1 << 18
 _WORD = 2**64
 
 
@@ -303,6 +317,45 @@ def minhash(text: str, n: int, lo: int, hi: int, minmax: bool) -> list[float]:
     return ((words >> np.uint64(11)).astype(np.float64) / 2.0**53).tolist()
 
 
+def minhash_batch(texts: list[str], n: int, lo: int, hi: int, minmax: bool) -> np.ndarray:
+    """Signatures of many texts at once: a row of ``n`` numbers each.
+
+    Short texts are joined, hashed together and reduced by their offsets; a
+    long one is hashed alone in chunks, so memory stays bounded.
+    """
+    out = np.zeros((len(texts), n))
+    mins = (n + 1) // 2 if minmax else n
+    a, b = hash_family(mins)
+    short: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        grams = [np.concatenate(g) if (g := gram_hashes(texts[i], lo, hi)) else np.zeros(0, np.uint64) for i in short]
+        counts = np.array([len(g) for g in grams])
+        has = np.flatnonzero(counts)
+        if len(has):
+            flat = np.concatenate([grams[k] for k in has])
+            starts = np.concatenate([[0], np.cumsum(counts[has])[:-1]])
+            rows = np.array(short)[has]
+            for j in range(mins):
+                h = flat * a[j] + b[j]
+                out[rows, j] = (np.minimum.reduceat(h, starts) >> np.uint64(11)).astype(np.float64) / 2.0**53
+                if minmax and mins + j < n:
+                    out[rows, mins + j] = (np.maximum.reduceat(h, starts) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+    for i, t in enumerate(texts):
+        if len(t) > BATCH_CHARS:
+            out[i] = minhash(t, n, lo, hi, minmax)
+            continue
+        if size + len(t) > BATCH_CHARS:
+            flush()
+            short, size = [], 0
+        short.append(i)
+        size += len(t)
+    flush()
+    return out
+
+
 def text_signature(col: Column, n: int = 30, grams: str = "2-4", minmax: bool = False) -> Column:
     """Array of ``n`` minimum hashes over the whole text's character n-grams.
 
@@ -314,7 +367,7 @@ def text_signature(col: Column, n: int = 30, grams: str = "2-4", minmax: bool =
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def sign(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: minhash("" if t is None else t, n, lo, hi, minmax))
+        return pd.Series(list(minhash_batch(texts.tolist(), n, lo, hi, minmax)))
 
     return sign(F.coalesce(col.cast("string"), F.lit("nan")))
 
@@ -322,13 +375,14 @@ def text_signature(col: Column, n: int = 30, grams: str = "2-4", minmax: bool =
 def encode_text_minhash(kit: Kit, col: str, n: int = 30, grams: str = "2-4", minmax: bool = False) -> Kit:
     """Replace a text column by ``n`` numeric columns.
 
-    Hashing is the heavy part, so a table of fewer files than cores is spread
-    first; a large one stays where it is.
+    Hashing is the heavy part, so a table in fewer partitions than cores is
+    spread first; one with more stays where it is. Either way the rows are the
+    same.
     """
 
     def apply(df: DataFrame) -> DataFrame:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        spread = df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+        spread = df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
         signed = spread.withColumn("_sig", text_signature(F.col(f"`{col}`"), n, grams, minmax))
         new = [as_role(F.col("_sig")[i], f"{safe_name(col)}_{i}") for i in range(n)]
         return signed.select(*[F.col(f"`{c}`") for c in df.columns if c != col], *new)

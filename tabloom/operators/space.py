@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import md5_unit, pick_by_share
+from tabloom.session import settle
 
 HASH_DIGITS = 10
-SPARE_DRAWS = 16
 
 
 @dataclass(frozen=True)
@@ -114,19 +114,48 @@ def new_settings(settings: DataFrame, done: DataFrame) -> DataFrame:
     )
 
 
+def slice_size(space: Space, free: list[str] | None = None) -> int:
+    """Settings that draws can reach: values without a share are never drawn."""
+    size = 1
+    for d in space.dims:
+        if free is None or d.name in free:
+            size *= sum(share > 0 for _, share in d.shares)
+    return size
+
+
 def random_trials(
     spark: SparkSession, space: Space, n: int, seed: int, done: DataFrame | None = None, free: list[str] | None = None
 ) -> DataFrame:
     """The first ``n`` distinct new settings among seeded draws: ``(hash, indices)``.
 
-    Draws that were trained already do not use up the number; there are spare
-    draws for them, and a small space may have fewer than ``n`` settings left.
+    Draws that were trained already do not use up the number. Draws are doubled
+    until there are ``n`` new settings; once doubling brings none, the settings
+    left have hardly any share, and the rest is taken from the grid of the free
+    dimensions by hash. Fewer than ``n`` come back only if no more are left.
     """
-    drawn = draw_settings(spark.range(n * SPARE_DRAWS), space, "id", seed, free)
-    firsts = drawn.groupBy("hash").agg(F.min("id").alias("id"), F.first("indices").alias("indices"))
-    if done is not None:
-        firsts = firsts.join(done.select("hash").distinct(), "hash", "left_anti")
-    return firsts.orderBy("id").limit(n).select("hash", "indices")
+    trained = None if done is None else settle(done.select("hash").distinct())
+    new = lambda df: df if trained is None else df.join(trained, "hash", "left_anti")
+    size, draws, before = slice_size(space, free), 2 * n, -1
+    while True:
+        drawn = draw_settings(spark.range(draws), space, "id", seed, free)
+        firsts = drawn.groupBy("hash").agg(F.min("id").alias("id"), F.first("indices").alias("indices"))
+        found = settle(new(firsts).orderBy("id").limit(n))
+        have = found.count()
+        if have >= min(n, size) or (have == before and draws >= 64 * n):
+            break
+        before, draws = have, draws * 2
+    out = found.select("hash", "indices")
+    if have >= min(n, size):
+        return out
+    varied = [d for d in space.dims if free is None or d.name in free]
+    reached = [F.array(*[F.lit(i) for i, share in d.shares if share > 0]) for d in varied]
+    grid = spark.range(1).select(index_array([F.lit(i) for i in space.defaults()]).alias("indices"))
+    for d, values in zip(varied, reached):
+        at = space.names().index(d.name)
+        grid = grid.withColumn("_v", F.explode(values)).withColumn("indices", _replace_at(F.col("indices"), at, F.col("_v"))).drop("_v")
+    rest = new(grid.withColumn("hash", trial_hash(F.col("indices")))).join(found.select("hash"), "hash", "left_anti")
+    by_hash = rest.orderBy(F.xxhash64(F.lit(seed), "hash"), "hash").limit(n - have)
+    return out.unionByName(by_hash.select("hash", "indices"))
 
 
 def remaining_trials(wanted: DataFrame, done: DataFrame, n_trials: int, subtract: bool) -> DataFrame:

@@ -17,6 +17,7 @@ from tabloom.operators.models import Spec, fit
 
 ROWS = "split string, row_id long, y double, class int, p double"
 PREDICTIONS = f"submission string, fold int, {ROWS}"
+FAILURES = "submission string, fold int, error string"
 SCORES = "submission string, fold int, step string, score_name string, value double, seconds double, n_rows long"
 
 
@@ -57,9 +58,12 @@ class Store:
         df.write.mode("overwrite").parquet(self.folder(table, submission, fold))
 
     def read(self, table: str, schema: str) -> DataFrame:
+        """The table, empty while nothing was written; any other read error is raised."""
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def predictions(self, task: Task, split: str = "valid") -> DataFrame:
@@ -143,16 +147,27 @@ def train_folds(
     """Train submissions on folds and return ``(submission, mean_valid)``.
 
     Pairs already scored are skipped. Fits run as concurrent Spark jobs from a
-    few driver threads, which hold no data.
+    few driver threads, which hold no data. A fit that fails is noted in the
+    table ``failures`` and has no score; the others go on. If all fail, the
+    first error is raised.
     """
     wanted = [(s, f) for s in specs for f in folds]
     todo = wanted if force else pending(store, wanted)
 
-    def run(pair: tuple[str, int]) -> None:
-        _train_one(store, task, specs[pair[0]], pair[0], pair[1], n_parts)
+    def run(pair: tuple[str, int]) -> Exception | None:
+        try:
+            _train_one(store, task, specs[pair[0]], pair[0], pair[1], n_parts)
+        except Exception as e:  # noqa: BLE001  whatever a trial's settings bring about
+            return e
+        return None
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        list(pool.map(inheritable_thread_target(store.spark)(run), todo))
+        errors = list(pool.map(inheritable_thread_target(store.spark)(run), todo))
+    failed = [(s, f, f"{type(e).__name__}: {e}"[:1000]) for (s, f), e in zip(todo, errors) if e is not None]
+    if failed:
+        store.append(failed, "failures", FAILURES)
+    if todo and len(failed) == len(todo):
+        raise next(e for e in errors if e is not None)
     done = store.scores().where(F.col("submission").isin(list(specs)) & F.col("fold").isin(folds))
     return mean_valid(done)
 

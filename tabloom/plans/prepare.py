@@ -14,7 +14,7 @@ from tabloom.operators import encode as E
 from tabloom.operators import impute as I
 from tabloom.operators import profile as P
 from tabloom.operators.training import Task
-from tabloom.session import stored
+from tabloom.session import stored, work_dir
 from tabloom.sources.kits import drop_null_targets, rename_kit
 
 # The default chain; ``columnwise`` stands for the per-column steps.
@@ -36,6 +36,7 @@ class ChainSettings:
     calendar: DataFrame | None = None
     store_input: bool = True
     chain: tuple[str, ...] = DEFAULT_CHAIN
+    max_categories: int = E.MAX_CATEGORIES  # a column with more train values is hashed, whatever was chosen
 
 
 def _kept(kit: Kit, *roles: str) -> list[str]:
@@ -87,7 +88,8 @@ def _encode_cat(kit: Kit, s: ChainSettings) -> Kit:
         kit = E.add_target_encoding(kit, flagged, y)
     types = dict(kit.train.dtypes)
     cats = _kept(kit, "cat", "location") + [c for c in _kept(kit, "bin") if types[c] == "string"]
-    values = E.category_values(kit, cats)
+    spelled = [c for c in cats if s.category.get(c, "onehot") == "onehot"]
+    values = E.category_values(kit, cats, s.max_categories, spelled)
     for c in cats:
         kit = E.encode_category(kit, c, s.category.get(c, "onehot"), y, values)
     return kit
@@ -152,28 +154,38 @@ def clean_kit(kit: Kit) -> Kit:
     return kit.replace(clean(kit.train), clean(kit.test))
 
 
+LISTED_VALUES = 300
+
+
 def profile_kit(kit: Kit) -> Kit:
     """Add missing and unique counts and category values to the description.
 
-    Category values are listed for columns few enough to be spelled out; the
-    long frame of ``feature_values`` serves any cardinality.
+    All values of categorical and binary columns are kept as a table, whose
+    path is in the profile. Columns with at most ``LISTED_VALUES`` values over
+    both tables have them listed in the profile as well.
     """
     roles = {c: r for c, r in kit.meta.roles.items() if c != kit.meta.id_col}
     cols = [c for c in roles if c in kit.train.columns or c in kit.test.columns]
     missing = P.missing_counts(kit.train, kit.test, cols).collect()
     counted = [c for c in cols if roles[c] in ("num", "cat") and c in kit.train.columns]
     unique = P.unique_counts(kit.train, counted).collect() if counted else []
-    small = {r["feature"] for r in unique if r["n_unique"] <= E.MAX_TARGET_CATEGORIES}
-    cats = [c for c in small if roles[c] == "cat" and c in kit.test.columns]
+    cats = [c for c in cols if roles[c] in ("cat", "bin") and c in kit.train.columns and c in kit.test.columns]
     values: dict[str, list[str]] = {}
+    path = None
     if cats:
-        for r in P.feature_values(kit.train, kit.test, cats).orderBy("feature", "value").collect():
+        path = work_dir(kit.train.sparkSession, "feature_values")
+        P.feature_values(kit.train, kit.test, cats).write.parquet(path)
+        table = kit.train.sparkSession.read.parquet(path)
+        sizes = table.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per column
+        listed = [r["feature"] for r in sizes if r["n"] <= LISTED_VALUES]
+        for r in table.where(F.col("feature").isin(listed)).orderBy("feature", "value").collect():
             values.setdefault(r["feature"], []).append(r["value"])
     m = kit.meta
     profile = {
         "missing_data_count": {r["feature"]: r["missing"] for r in missing},
         "unique_value_count": {r["feature"]: r["n_unique"] for r in unique},
         "feature_values": values,
+        "feature_values_table": path,
     }
     meta = Meta(
         m.title, m.id_col, m.target_cols, m.prediction_type, m.score_name, m.roles, m.casts,

@@ -135,7 +135,8 @@ def test_gram_and_job_selection_agree(spark, sf):
     preds = price_preds(spark, sf).cache()
     names = sorted(r[0] for r in preds.select("submission").distinct().collect())
     folds = sorted(r[0] for r in preds.select("fold").distinct().collect())
-    by_jobs = B._greedy_by_jobs(preds, "rmse", names, folds, 4)
+    members = {f: list(range(len(names))) for f in folds}
+    by_jobs = B._greedy_by_jobs(B.wide_predictions(preds, names), "rmse", names, members, 4)
     by_gram = B.blend(preds, "rmse", max_steps=4).collect()
     for r in by_gram:
         picks = by_jobs[r["fold"]]
