@@ -28,8 +28,8 @@ HEADLINE = [
     "spline_basis",
     "repeated_kfold",
     "knn_classifier",
-    "gbt_regressor",
-    "rf_classifier",
+    "gbt_regressor_large",
+    "rf_classifier_large",
     "score_rmse",
     "score_medae",
     "score_auc",
@@ -44,6 +44,15 @@ HEADLINE = [
     "random_trials",
     "pair_search_with_blend",
     "patience_stop",
+    "blend_by_jobs",
+    "bag_then_blend",
+    "train_folds",
+    "search",
+    "impute_num_model",
+    "impute_cat_model",
+    "kernel_svm_classifier",
+    "setup_and_start",
+    "race",
 ]
 
 

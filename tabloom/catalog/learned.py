@@ -75,11 +75,11 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _holdout_predictions(spark, sf, spec: M.Spec, target: str, classes: int = 0) -> DataFrame:
-    """Fit on nine folds of the first repeat, predict the tenth."""
-    rows = _rows(spark, sf).withColumn("fold", fold_of(F.col("row_id"), 0))
-    model = M.fit(spec, rows.where("fold <> 0"), NUM, target, classes, "row_id")
-    out = model.predict(rows.where("fold = 0"))
-    return out.select("row_id", F.col(target).alias("y"), "p" if classes == 0 else "probs")
+    """Fit on nine folds of the first repeat, predict all rows; ``held`` marks those of the tenth."""
+    rows = _rows(spark, sf).withColumn("held", fold_of(F.col("row_id"), 0) == 0)
+    model = M.fit(spec, rows.where("not held"), NUM, target, classes, "row_id")
+    out = model.predict(rows)
+    return out.select("row_id", "held", F.col(target).alias("y"), "p" if classes == 0 else "probs")
 
 
 def _fit_query(name: str, kind: str, params: dict, target: str, classes: int = 0, score: str = "rmse") -> None:
@@ -89,20 +89,20 @@ def _fit_query(name: str, kind: str, params: dict, target: str, classes: int = 0
     query(name)(run)
 
 
-_fit_query("gbt_classifier", "gbt", {"maxIter": 5, "maxDepth": 3, "early_stop": True}, "is_r", 2)
+_fit_query("gbt_classifier_large", "gbt", {"maxIter": 5, "maxDepth": 3, "early_stop": True}, "is_r", 2)
 _fit_query("gbt_classifier_multiclass", "gbt", {"maxIter": 3, "maxDepth": 3}, "flag3", 3)
-_fit_query("gbt_regressor", "gbt", {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}, "price")
+_fit_query("gbt_regressor_large", "gbt", {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}, "price")
 _fit_query("gbt_regressor_absolute", "gbt", {"maxIter": 4, "maxDepth": 3}, "price", score="mae")
 _fit_query("gbt_regressor_log", "gbt", {"maxIter": 4, "maxDepth": 3}, "price", score="rmsle")
-_fit_query("rf_classifier", "rf", {"numTrees": 8, "maxDepth": 4}, "flag3", 3)
-_fit_query("rf_regressor", "rf", {"numTrees": 8, "maxDepth": 5}, "price")
+_fit_query("rf_classifier_large", "rf", {"numTrees": 8, "maxDepth": 4}, "flag3", 3)
+_fit_query("rf_regressor_large", "rf", {"numTrees": 8, "maxDepth": 5}, "price")
 _fit_query("kernel_svm_classifier", "kernel_svm", {"components": 16, "gamma": 0.2, "maxIter": 10}, "is_r", 2)
 _fit_query("kernel_svm_regressor", "kernel_svm", {"components": 16, "gamma": 0.2, "maxIter": 20}, "price")
 _fit_query("spline_mlp_classifier", "spline", {"knots": 5, "hidden": (8,), "maxIter": 15}, "flag3", 3)
 _fit_query("spline_regressor", "spline", {"knots": 5}, "price")
 
 
-@query("multi_target_regressor")
+@query("multi_target_regressor_large")
 def multi_target_regressor(spark: SparkSession, sf: str) -> DataFrame:
     """Quality and toxicity of the labelled documents from their length and language."""
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", (F.col("lang") == "en").cast("double").alias("en"))
@@ -168,19 +168,19 @@ def _store(spark: SparkSession) -> T.Store:
     return T.Store(spark, work_dir(spark, "results"))
 
 
-@query("train_folds")
+@query("train_folds_large")
 def train_folds(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark)
     specs = {"a": _spec({"maxIter": 2, "maxDepth": 2}), "b": M.Spec("spline", {"knots": 3}, "rmse")}
     return T.train_folds(store, _task(spark, sf), specs, [0, 1])
 
 
-@query("retrain_full")
+@query("retrain_full_large")
 def retrain_full(spark: SparkSession, sf: str) -> DataFrame:
     return T.retrain_full(_task(spark, sf), _spec({"maxIter": 3, "maxDepth": 3}))
 
 
-@query("search")
+@query("search_large")
 def search(spark: SparkSession, sf: str) -> DataFrame:
     drawn = H.random_trials(spark, SPACE, 3, seed=5).collect()
     specs = {f"gbt_hyperopt_{r['hash']}": _spec(SPACE.decode(r["indices"])) for r in drawn}
@@ -188,7 +188,7 @@ def search(spark: SparkSession, sf: str) -> DataFrame:
     return means
 
 
-@query("select_and_train")
+@query("select_and_train_large")
 def select_and_train_query(spark: SparkSession, sf: str) -> DataFrame:
     """Two settings on one fold; the better one goes on to a second."""
     store, task = _store(spark), _task(spark, sf)
@@ -197,7 +197,7 @@ def select_and_train_query(spark: SparkSession, sf: str) -> DataFrame:
     return select_and_train(store, task, specs, [0], [0, 1], top_n=1)
 
 
-@query("growing_folds")
+@query("growing_folds_large")
 def growing_folds(spark: SparkSession, sf: str) -> DataFrame:
     store, task = _store(spark), _task(spark, sf)
     specs = {"deep": _forest({"maxDepth": 5}), "flat": _forest({"maxDepth": 1})}
@@ -210,7 +210,7 @@ def _race(spark: SparkSession, sf: str) -> Race:
         "gbt": Base("gbt", SPACE, _spec),
         "rf": Base("rf", H.Space([H.Dim("maxDepth", (2, 4, 6), 4)]), _forest),
     }
-    settings = RaceSettings(n_rounds=2, n_trials=2, n_search_folds=2, n_final_folds=3, blend_steps=5)
+    settings = RaceSettings(n_rounds=2, n_trials=2, n_search_folds=2, n_final_folds=3)
     return Race(_store(spark), _task(spark, sf), bases, settings)
 
 

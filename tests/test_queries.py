@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from tabloom.catalog import ORACLES, QUERIES
 from tests.compare import connect, differences
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"race", "arm_race", "search", "growing_folds", "select_and_train", "train_folds", "setup_and_start"}
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +26,6 @@ def test_matches_sql(spark, sf, con, name):
     assert differences(QUERIES[name](spark, sf), con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
