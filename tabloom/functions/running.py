@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.session import settle
+from tabloom.session import settle, stored
 
 BLOCK_ROWS = 2_000_000
 MAX_PIECES = 20_000
@@ -62,8 +62,8 @@ def running(
 
     pieces = min(MAX_PIECES, max(2, math.ceil(sizes.total / block_rows)))
     by = [F.col(k) for k in keys] + list(order)
-    ranged = settle(
-        df.repartitionByRange(pieces, *by).withColumn("_piece", F.spark_partition_id())
+    ranged = stored(
+        df.repartitionByRange(pieces, *by).withColumn("_piece", F.spark_partition_id()), "pieces"
     )
     w = frame(Window.partitionBy(*keys, "_piece").orderBy(*order))
     local = ranged.withColumns({n: _AGG[f](f"_src_{n}").over(w) for n, (f, _) in out.items()})

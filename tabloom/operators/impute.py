@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.joins import Fitted, attach, fitted
 from tabloom.functions.quantiles import exact_quantiles
+from tabloom.functions.running import running
 from tabloom.meta import Kit
 from tabloom.operators.profile import is_missing, value_counts
-from tabloom.session import settle
+from tabloom.session import stored
+
+#: indicator columns that a categorical input of a model is hashed to
+INPUT_BUCKETS = 32
 
 
 def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
@@ -70,7 +74,10 @@ def impute_mode(kit: Kit, cols: list[str]) -> Kit:
 
 
 def _neighbours(both: DataFrame, num: list[str], cat: list[str]):
-    """Other columns as model inputs: medians, modes and one-hot vectors."""
+    """Other columns as model inputs: medians, modes, and categories hashed to indicators.
+
+    Hashing needs no list of values, so an input of any cardinality will do.
+    """
     fills: dict[str, object] = dict(medians(both, num)) if num else {}
     num = [c for c in num if fills[c] is not None]
     if cat:
@@ -86,15 +93,9 @@ def _neighbours(both: DataFrame, num: list[str], cat: list[str]):
     ]
     stages = []
     if cat:
-        idx = [f"_i{i}" for i in range(len(cat))]
-        hot = [f"_h{i}" for i in range(len(cat))]
-        stages = [
-            StringIndexer(
-                inputCols=[f"_c{i}" for i in range(len(cat))], outputCols=idx, handleInvalid="keep"
-            ),
-            OneHotEncoder(inputCols=idx, outputCols=hot, handleInvalid="keep", dropLast=False),
-        ]
-    inputs = [f"_n{i}" for i in range(len(num))] + [f"_h{i}" for i in range(len(cat))]
+        names = [f"_c{i}" for i in range(len(cat))]
+        stages = [FeatureHasher(inputCols=names, outputCol="_h", numFeatures=INPUT_BUCKETS * len(names))]
+    inputs = [f"_n{i}" for i in range(len(num))] + (["_h"] if cat else [])
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_x"))
     return stages, num_cols + cat_cols
 
@@ -123,7 +124,7 @@ def impute_num_model(
             featuresCol="_x", labelCol="_y", predictionCol="_p",
             maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
         ),
-        classes=None,
+        codes=None,
     )
 
 
@@ -140,42 +141,46 @@ def impute_cat_model(
 
     A column with a single label gets the literal ``missing`` instead.
     """
-    labels = [
-        r["value"]
-        for r in value_counts(kit.train, [col]).where("value is not null").orderBy("value").collect()
-    ]
-    if len(labels) <= 1:
+    counts = value_counts(kit.train, [col]).where("value is not null")
+    # numbered by value; the forest knows the numbers, and a table gives the labels back
+    values = stored(counts.select("value", F.lit(0).alias("_all"), F.lit(1).alias("_one")), "labels")
+    codes = fitted(
+        running(values, ["_all"], [F.col("value")], {"_n": ("sum", "_one")}).select(
+            F.col("value").alias("_label"), (F.col("_n") - 1).cast("double").alias("_code")
+        )
+    )
+    if codes.rows <= 1:
         return _fill_both(kit, {col: "missing"})
     model = RandomForestClassifier(
-        featuresCol="_x", labelCol="_y", probabilityCol="_p", numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees, maxDepth=depth, seed=seed
     )
-    return _impute_model(kit, col, num, [c for c in cat if c != col], model, labels)
+    return _impute_model(kit, col, num, [c for c in cat if c != col], model, codes)
 
 
-def _impute_model(kit: Kit, col: str, num: list[str], cat: list[str], model, classes: list[str] | None) -> Kit:
+def _impute_model(kit: Kit, col: str, num: list[str], cat: list[str], model, codes: Fitted | None) -> Kit:
     gaps = kit.both().agg(F.max(is_missing(kit.train, col).cast("int"))).first()[0]
     if not gaps:
         return kit
     stages, inputs = _neighbours(kit.both(), num, cat)
-    if classes is None:
-        label = F.col(f"`{col}`").cast("double")
+    known = kit.train.where(~is_missing(kit.train, col))
+    if codes is None:
+        known = known.select(F.col(f"`{col}`").cast("double").alias("_y"), *inputs)
     else:
-        label = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(f"`{col}`")) - 1).cast("double")
-    known = settle(kit.train.where(~is_missing(kit.train, col)).select(label.alias("_y"), *inputs))
-    prep = Pipeline(stages=stages).fit(kit.both().select(*inputs))
-    fitted = model.fit(prep.transform(known).select("_x", "_y"))
+        labelled = known.select(F.col(f"`{col}`").cast("string").alias("_label"), *inputs)
+        known = attach(labelled, codes, ["_label"], "inner").withColumnRenamed("_code", "_y").drop("_label")
+    prep = Pipeline(stages=stages).fit(kit.train.limit(0).select(*inputs))
+    fitted_model = model.fit(stored(prep.transform(known).select("_x", "_y"), "known"))
 
     def apply(df: DataFrame) -> DataFrame:
         keep = df.columns
         field = df.schema[col]
-        scored = fitted.transform(prep.transform(df.select(*[F.col(f"`{c}`") for c in keep], *inputs)))
-        if classes is None:
-            guess = F.col("_p")
+        scored = fitted_model.transform(prep.transform(df.select(*[F.col(f"`{c}`") for c in keep], *inputs)))
+        if codes is None:
+            guess, kind = F.col("_p"), "double"
         else:
-            probs = vector_to_array("_p")
-            best = F.array_position(probs, F.array_max(probs)).cast("int")
-            guess = F.element_at(F.array(*[F.lit(c) for c in classes]), best)
-        kind = "double" if classes is None else "string"
+            # only gaps have a code to look up
+            coded = scored.withColumn("_code", F.when(is_missing(df, col), F.col("_p")))
+            scored, guess, kind = attach(coded, codes, ["_code"]), F.col("_label"), "string"
         new = F.when(is_missing(df, col), guess).otherwise(F.col(f"`{col}`")).cast(kind)
         return scored.select(
             *[new.alias(c, metadata=field.metadata) if c == col else F.col(f"`{c}`") for c in keep]
@@ -195,7 +200,7 @@ def impute_models(kit: Kit, gappy: list[str], num: list[str], cat: list[str], **
             if c in num
             else impute_cat_model(kit, c, num, cat, **{k: v for k, v in settings.items() if k != "rate"})
         )
-        kit = kit.replace(settle(kit.train), settle(kit.test))
+        kit = kit.replace(stored(kit.train, "imputed"), stored(kit.test, "imputed"))
     return kit
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import md5_int
-from tabloom.session import settle
+from tabloom.session import stored
 
 MAX_PIVOTS = 512
 BLOCK_ROWS = 4_000
@@ -119,7 +119,7 @@ def nearest_neighbours(
     picked = base.orderBy(md5_int("pivot", F.col("row_id")), "row_id").limit(n_pivots).collect()
     pivots = np.array([r["vec"] for r in picked], dtype=float)
 
-    placed = settle(_assign(base, "vec", pivots, order))
+    placed = stored(_assign(base, "vec", pivots, order), "placed")
     cell_rows = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
     radius = np.full(n_pivots, -np.inf)
     t_blocks = [1] * n_pivots
@@ -136,7 +136,7 @@ def nearest_neighbours(
     )
     members = (near["cell"].to_numpy(int), near["grp"].to_numpy(int), near["reach"].to_numpy(float))
 
-    visits = settle(_visits(shape(query), pivots, radius, members, k, order))
+    visits = stored(_visits(shape(query), pivots, radius, members, k, order), "visits")
     q_blocks = [1] * n_pivots
     for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         q_blocks[r["cell"]] = math.ceil(r["n"] / block_rows)

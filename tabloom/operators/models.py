@@ -33,7 +33,7 @@ from tabloom.operators.scale import (
     target_stats,
     unlog_target,
 )
-from tabloom.session import settle
+from tabloom.session import stored
 
 # Scores whose boosting objective is the absolute error, and the
 # score fitted on log1p of the target.
@@ -283,7 +283,10 @@ def rf_selector(
 ) -> list[str]:
     """Recursive elimination: the least important feature goes, ``removed`` times."""
     left = list(features)
-    data = settle(train.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features], F.col(target).cast("double").alias("_y")))
+    data = stored(
+        train.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features], F.col(target).cast("double").alias("_y")),
+        "selector",
+    )
     for _ in range(min(removed, len(features) - 1)):
         x = VectorAssembler(inputCols=left, outputCol="_x").transform(data)
         est = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)

@@ -109,13 +109,20 @@ def _train_one(store: Store, task: Task, spec: Spec, submission: str, fold: int,
         F.col(task.id_col).cast("long").alias("row_id"),
         F.col(task.target).cast("double").alias("y"),
     ]
-    store.write(output_rows(model.predict(rows), task, keep), "predictions", submission, fold)
+    out = output_rows(model.predict(rows), task, keep)
+    store.write(out.where("split <> 'train'"), "predictions", submission, fold)
     seconds = time.monotonic() - start
     saved = store.spark.read.schema(ROWS).parquet(store.folder("predictions", submission, fold))
-    saved = saved if task.blocks else saved.drop("class")
-    scored = S.score(saved.where("y is not null"), task.score_name, ("split",))
     per_row = task.classes if task.blocks else 1
-    sizes = saved.groupBy("split").agg((F.count(F.lit(1)) / per_row).cast("long").alias("n_rows"))
+
+    def judged(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        df = df if task.blocks else df.drop("class")
+        sizes = df.groupBy("split").agg((F.count(F.lit(1)) / per_row).cast("long").alias("n_rows"))
+        return S.score(df.where("y is not null"), task.score_name, ("split",)), sizes
+
+    # the training part is ten times as large and only its score is wanted
+    parts = [judged(saved), judged(out.where("split = 'train'"))]
+    scored, sizes = (a.unionByName(b) for a, b in zip(*parts))
     table = scored.join(sizes, "split").select(
         F.col("split").alias("step"),
         F.lit(task.score_name).alias("score_name"),
