@@ -1,4 +1,7 @@
-"""Every query with an SQL twin must agree with it; the others must run."""
+"""Every query with an SQL twin must agree with it; the others must run.
+
+Larger settings of operators that have a twin are left to ``check_all.py``.
+"""
 
 import pytest
 
@@ -7,7 +10,6 @@ from tabloom.catalog import ORACLES, QUERIES
 from tests.compare import connect, differences
 
 
-
 @pytest.fixture(scope="module")
 def con(sf):
     return connect(sf)
@@ -26,6 +28,6 @@ def test_matches_sql(spark, sf, con, name):
     assert differences(QUERIES[name](spark, sf), con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) if not n.endswith("_large")))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
