@@ -3,7 +3,6 @@
 import random
 
 import xxhash
-from pyspark.sql import functions as F
 
 from tabloom.llm.components import components
 from tabloom.llm.simhash import (
