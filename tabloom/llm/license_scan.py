@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import table, text_or_empty
-from tabloom.llm.license_texts import SPELLINGS, known_texts
+from tabloom.llm.license_texts import SPELLINGS, full_texts, known_texts
 from tabloom.llm.registry import query
 
 COPYRIGHT = r"^[\s#*/;-]*(copyright|\(c\)|©).*(\d{4}|\(c\)|©|<year>|\[yyyy\]).*$"
@@ -44,15 +44,17 @@ def digest(canonical: Column) -> Column:
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of known texts; texts that agree in canonical form count once."""
+    own = digest(F.array_join(canonical_lines(F.col("k.text")), " ")).alias("digest")
     rows = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("text")) for a, b in texts or known_texts()])
+    known = spark.range(1).select(F.explode(rows).alias("k")).select(own, F.col("k.license").alias("license"))
+    if texts is None:
+        # the plan holds the digests of the long texts only
+        long = spark.createDataFrame([(x,) for x in full_texts()], "k struct<license:string,text:string>")
+        found = long.select(own, F.col("k.license").alias("license")).collect()
+        more = F.array(*[F.struct(F.lit(r["digest"]).alias("digest"), F.lit(r["license"]).alias("license")) for r in found])
+        known = known.unionByName(spark.range(1).select(F.explode(more).alias("k")).select("k.digest", "k.license"))
     return (
-        spark.range(1)
-        .select(F.explode(rows).alias("k"))
-        .select(
-            digest(F.array_join(canonical_lines(F.col("k.text")), " ")).alias("digest"),
-            F.col("k.license").alias("license"),
-        )
-        .groupBy("digest")
+        known.groupBy("digest")
         .agg(F.min("license").alias("license"))
     )
 

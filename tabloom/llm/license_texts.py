@@ -5,6 +5,12 @@ Fixed values: published wordings of licences and of their usual notices.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
+#: published texts, one file per identifier
+FOLDER = Path(__file__).parent / "licenses"
+
 #: words on the left are read as those on the right
 SPELLINGS = {
     "licence": "license",
@@ -160,3 +166,33 @@ def known_texts() -> list[tuple[str, str]]:
     ]
     tags = [(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in dict(NAMES)]
     return TEXTS + notices + tags
+
+
+#: titles that stand above the bodies in TEXTS
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Published texts with and without title and appendix, and short texts under their titles."""
+    titled = [(spdx, f"{title}\n{body}") for spdx, body in TEXTS for title in TITLES.get(spdx, ())]
+    out = []
+    for path in sorted(FOLDER.glob("*.txt")):
+        text = path.read_text("utf-8").strip()
+        # the terms may stand without what follows them, with or without the line that ends them
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        ends = [text] + ([text[: end.start()], text[: end.end()]] if end else [])
+        for x in ends:
+            heads = re.split(r"\n\s*\n", x, maxsplit=2)
+            if path.stem == "Unlicense":
+                out += [(path.stem, x), (path.stem, f"The Unlicense\n{x}"), (path.stem, f"Unlicense\n{x}")]
+            else:
+                # a title has one paragraph, that of CC0 two
+                out += [(path.stem, x), (path.stem, x[len(heads[0]) :])]
+                out += [(path.stem, heads[2])] if path.stem == "CC0-1.0" else []
+    return titled + list(dict.fromkeys(out))

@@ -1,7 +1,7 @@
 """Spellings, copyright lines and rows of all kinds."""
 
 from tabloom.llm.license_scan import known_digests, scan_licenses
-from tabloom.llm.license_texts import TEXTS
+from tabloom.llm.license_texts import FOLDER, TEXTS
 
 MIT = dict(TEXTS)["MIT"]
 
@@ -34,3 +34,16 @@ def test_whole_texts_and_lines(spark):
 
 def test_empty_table(spark):
     assert scan(spark, []) == []
+
+
+def test_whole_license_files(spark):
+    files = {p.stem: p.read_text("utf-8") for p in FOLDER.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(files)
+    wrapped = {k: "Copyright (c) 2020 A. Person\n" + "\n  ".join(t.upper().splitlines()) for k, t in files.items()}
+    cases = [*files.items(), *wrapped.items()]
+    cases += [("GPL-3.0-only", files["GPL-3.0-only"].split("29 June 2007")[1])]
+    cases += [("Apache-2.0", files["Apache-2.0"].split("APPENDIX:")[0])]
+    cases += [("MIT", f"{t}\n\nCopyright (c) 2019 A. Person\n\n{MIT}") for t in ("MIT License", "The MIT License (MIT)")]
+    cases += [(None, files["GPL-3.0-only"].replace("freedom", "servitude"))]
+    got = scan(spark, [(i, t, "x", "y") for i, (_, t) in enumerate(cases)])
+    assert {r[0]: r[1] for r in got} == {i: k for i, (k, _) in enumerate(cases)}
