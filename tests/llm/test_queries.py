@@ -8,7 +8,7 @@ from tests.compare import connect, differences
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 12)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 13)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
