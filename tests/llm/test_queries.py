@@ -8,7 +8,7 @@ from tests.compare import connect, differences
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 13)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
@@ -18,7 +18,7 @@ def test_matches_sql(spark, sf, name):
     assert differences(QUERIES[name](spark, sf), connect(sf), ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_packing"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_packing", "op13_whitening"}))
 def test_has_a_row_per_document(spark, sf, name):
     ids = [r["doc_id"] for r in QUERIES[name](spark, sf).select("doc_id").collect()]
     assert sorted(ids) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
