@@ -45,11 +45,12 @@ def bag(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "bag_ranks",
     f"""WITH {REPEAT_SQL}, r AS (SELECT submission, fold, row_id, y, rank() OVER (PARTITION BY submission, fold ORDER BY p) AS lo,
-          count(*) OVER (PARTITION BY submission, fold, p) AS n FROM preds)
-        SELECT submission, row_id, any_value(y) AS y, round(avg(lo + (n - 1) / 2.0::DOUBLE), 4) AS p FROM r GROUP BY 1, 2""",
+          count(*) OVER (PARTITION BY submission, fold, p) AS n, count(*) OVER (PARTITION BY submission, fold) AS size FROM preds)
+        SELECT submission, row_id, any_value(y) AS y, round(avg((lo + n / 2.0::DOUBLE - 1) / size), 6) AS p FROM r GROUP BY 1, 2""",
 )
 def bag_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    return B.bag_ranks(repeated_preds(spark, sf)).withColumn("p", F.round("p", 4))
+    """Folds differ in size, so ranks are shares of them."""
+    return B.bag_ranks(repeated_preds(spark, sf)).withColumn("p", F.round("p", 6))
 
 
 @query(

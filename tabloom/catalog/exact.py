@@ -171,7 +171,7 @@ def train_folds_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Stored predictions of one submission and fold."""
     store = _store(spark)
     T.train_folds(store, _task(spark, sf), {"deep": _tree({"maxDepth": 1})}, [1])
-    rows = store.read("predictions", T.PREDICTIONS).where("split <> 'train'")
+    rows = store.read("predictions", T.predictions_schema()).where("split <> 'train'")
     return rows.select("split", "row_id", F.round("p", 4).alias("p"))
 
 

@@ -114,30 +114,36 @@ def score_mcc_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "score_rmsle_holes",
-    f"""WITH {PRED_SQL}, bad AS (SELECT submission, fold, y, CASE WHEN row_id % 7 = 0 THEN -5 ELSE p END AS p, fold = 3 AND row_id % 5 = 0 AS hole FROM preds)
+    f"""WITH {PRED_SQL}, bad AS (SELECT submission, fold, y, CASE WHEN row_id % 7 = 0 THEN -5 ELSE p END AS p,
+          (fold = 3 AND row_id % 5 = 0) OR (fold = 5 AND row_id % 11 = 0) AS hole FROM preds)
         SELECT submission, fold, CASE WHEN count(*) FILTER (hole) = 0 THEN round(sqrt(avg(power(ln(1 + y) - ln(1 + greatest(p, 0)), 2))), 4) END AS score
         FROM bad GROUP BY 1, 2""",
 )
 def score_rmsle_holes(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions below zero count as zero; a fold that lacks some has no score."""
+    """Predictions below zero count as zero; a fold that lacks some, or has a target below -1, has no score."""
     hole = (F.col("fold") == 3) & (F.col("row_id") % 5 == 0)
+    low = (F.col("fold") == 5) & (F.col("row_id") % 11 == 0)
     p = F.when(F.col("row_id") % 7 == 0, F.lit(-5.0)).otherwise(F.col("p"))
-    return S.score(price_preds(spark, sf).withColumn("p", F.when(~hole, p)), "rmsle", digits=4)
+    preds = price_preds(spark, sf).withColumns({"p": F.when(~hole, p), "y": F.when(low, F.lit(-2.0)).otherwise(F.col("y"))})
+    return S.score(preds, "rmsle", digits=4)
 
 
 @query(
     "score_nll_multiclass",
     f"""WITH {ITEMS_SQL} SELECT 'q' AS submission, {sql_mod(10, "row_id || '_0'")} AS fold,
-        round(-avg(ln(CASE flag WHEN 'A' THEN 0.1 + q / 100 WHEN 'N' THEN 0.3 ELSE 0.6 - q / 100 END)), 4) AS score FROM items GROUP BY 2""",
+        CASE WHEN {sql_mod(10, "row_id || '_0'")} <> 4 OR count(*) FILTER (row_id % 9 = 0) = 0 THEN
+          round(-avg(ln(CASE flag WHEN 'A' THEN 0.1 + q / 100 WHEN 'N' THEN 0.3 ELSE 0.6 - q / 100 END)), 4) END AS score FROM items GROUP BY 2""",
 )
 def score_nll_multiclass(spark: SparkSession, sf: str) -> DataFrame:
+    """In fold 4 some rows lack their true class, so it has no score."""
     probs = F.create_map(
         F.lit("A"), 0.1 + F.col("q") / 100, F.lit("N"), F.lit(0.3), F.lit("R"), F.lit(0.6) - F.col("q") / 100
     )
     long = items(spark, sf).select(
-        F.lit("q").alias("submission"), fold_of(F.col("row_id"), 0).alias("fold"), F.col("flag").alias("y"),
+        F.lit("q").alias("submission"), fold_of(F.col("row_id"), 0).alias("fold"), "row_id", F.col("flag").alias("y"),
         F.explode(probs).alias("class", "p"),
     )
+    long = long.where((F.col("fold") != 4) | (F.col("row_id") % 9 != 0) | (F.col("y") != F.col("class")))
     return S.multiclass_nll(long).withColumn("score", F.round("score", 4))
 
 

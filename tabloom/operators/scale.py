@@ -80,7 +80,8 @@ def scale_quantile(train: DataFrame, other: DataFrame, cols: list[str], n: int =
     their range. A vectorised UDF does the search in the grid.
     """
     n = min(n, max(2, train.count()))
-    todo = [c for c in cols if c not in binary_columns(train, cols)]
+    passed = set(binary_columns(train, cols))
+    todo = [c for c in cols if c not in passed]
     if not todo:
         return other
     grids = quantile_grid(train, todo, n)

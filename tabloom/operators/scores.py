@@ -76,12 +76,14 @@ def lower_is_better(name: str) -> bool:
 def whole(value: Column, name: str) -> Column:
     """``value``, or null if a row of the group lacks a usable pair.
 
-    Averages skip nulls, so a missing prediction would better a score. Label
-    scores count a missing label as a miss instead.
+    Averages skip nulls, so a missing prediction, or a target that the score is
+    not defined for, would better a score. Label scores count a missing label as
+    a miss instead.
     """
     if name in LABEL_SCORES:
         return value
-    both = F.col("y").isNotNull() & F.col("p").isNotNull()
+    y = F.log1p("y") if name == "rmsle" else F.col("y")
+    both = y.isNotNull() & F.col("p").isNotNull()
     return F.when(F.count_if(both) == F.count(F.lit(1)), value)
 
 
@@ -142,12 +144,13 @@ def mcc(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 def multiclass_nll(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Mean negative log probability of the true class.
 
-    ``preds(keys, y, class, p)`` has one row per class; only the true one counts.
+    ``preds(keys, row_id, y, class, p)`` has one row per row and class; only the
+    true one counts. Null if a row has no probability of its true class.
     """
-    hit = preds.where(F.col("y") == F.col("class"))
-    return hit.groupBy(*keys).agg(
-        (-F.avg(F.log(F.least(F.greatest("p", F.lit(EPS)), F.lit(1.0))))).alias("score")
-    )
+    true = F.max(F.when(F.col("y") == F.col("class"), F.col("p"))).alias("p")
+    hit = preds.groupBy(*keys, "row_id").agg(true)
+    value = -F.avg(F.log(F.least(F.greatest("p", F.lit(EPS)), F.lit(1.0))))
+    return hit.groupBy(*keys).agg(F.when(F.count("p") == F.count(F.lit(1)), value).alias("score"))
 
 
 def _histogram(preds: DataFrame, keys: tuple[str, ...], value: Column, aggs: dict[str, Column]) -> DataFrame:
@@ -260,8 +263,9 @@ def score_table(preds: DataFrame, names: list[str], keys: tuple[str, ...] = KEYS
 
 
 def rank_rows(preds: DataFrame, keys: tuple[str, ...] = KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``preds`` with ``p`` replaced by its average rank within the key.
+    """``preds`` with ``p`` replaced by its average rank within the key, as a share.
 
+    Rank r of n becomes (r - 1/2) / n, so that keys of other sizes count alike.
     The predictions are computed once; their sizes and ranks read that file.
     While keys fit a task one window does it. Beyond that, ranks come from the
     distinct predictions; a value shared by very many rows is joined back by
@@ -269,11 +273,15 @@ def rank_rows(preds: DataFrame, keys: tuple[str, ...] = KEYS, block_rows: int =
     """
     cols, ks = preds.columns, list(keys)
     preds = stored(preds, "ranked")
-    if key_sizes(preds, ks).largest <= block_rows:
-        w = Window.partitionBy(*ks).orderBy("p")
-        peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        return preds.withColumn("p", F.rank().over(w) + (peers - 1) / 2.0).select(*cols)
+    sizes = key_sizes(preds, ks)
+    if sizes.largest <= block_rows:
+        w = Window.partitionBy(*ks)
+        by = w.orderBy("p")
+        peers = F.count(F.lit(1)).over(by.rangeBetween(Window.currentRow, Window.currentRow))
+        share = (F.rank().over(by) + peers / 2.0 - 1) / F.count(F.lit(1)).over(w)
+        return preds.withColumn("p", share).select(*cols)
     hist = _histogram(preds, keys, F.col("p"), {"_n": F.count(F.lit(1))})
     run = running(hist, ks, [F.col("_v")], {"_upto": ("sum", "_n")}, key_sizes(hist, ks), block_rows)
-    ranks = run.select(*keys, F.col("_v").alias("p"), "_n", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank"))
+    run = attach(run, Fitted(sizes.table, sizes.keys), ks, "inner", weight="_rows")
+    ranks = run.select(*keys, F.col("_v").alias("p"), "_n", ((F.col("_upto") - F.col("_n") / 2.0) / F.col("_rows")).alias("rank"))
     return attach(preds, ranks, [*keys, "p"], weight="_n").withColumn("p", F.col("rank")).select(*cols)

@@ -15,8 +15,15 @@ from tabloom.operators import scores as S
 from tabloom.operators.folds import held_out
 from tabloom.operators.models import Spec, fit
 
-ROWS = "split string, row_id long, y double, class int, p double"
-PREDICTIONS = f"submission string, fold int, {ROWS}"
+def rows_schema(id_kind: str = "bigint") -> str:
+    """Predictions of one submission and fold; rows keep the type of their id."""
+    return f"split string, row_id {id_kind}, y double, class int, p double"
+
+
+def predictions_schema(id_kind: str = "bigint") -> str:
+    return f"submission string, fold int, {rows_schema(id_kind)}"
+
+
 FAILURES = "submission string, fold int, error string"
 SCORES = "submission string, fold int, step string, score_name string, value double, seconds double, n_rows long"
 
@@ -33,6 +40,15 @@ class Task:
     score_name: str
     classes: int = 0
 
+    @property
+    def id_kind(self) -> str:
+        """Type of the row ids: whole numbers are long, anything else stays what it is."""
+        kind = dict(self.train.dtypes)[self.id_col]
+        return "bigint" if kind in ("tinyint", "smallint", "int") else kind
+
+    def row_id(self) -> Column:
+        return F.col(f"`{self.id_col}`").cast(self.id_kind).alias("row_id")
+
     @property
     def blocks(self) -> bool:
         """Whether a row has a prediction per class, so that averages keep them apart."""
@@ -67,7 +83,7 @@ class Store:
             return self.spark.createDataFrame([], schema)
 
     def predictions(self, task: Task, split: str = "valid") -> DataFrame:
-        rows = self.read("predictions", PREDICTIONS).where(F.col("split") == split).drop("split")
+        rows = self.read("predictions", predictions_schema(task.id_kind)).where(F.col("split") == split).drop("split")
         return rows if task.blocks else rows.drop("class")
 
     def scores(self) -> DataFrame:
@@ -106,13 +122,13 @@ def _train_one(store: Store, task: Task, spec: Spec, submission: str, fold: int,
     model = fit(spec, part, task.features, task.target, task.classes, task.id_col)
     keep = [
         F.col("split"),
-        F.col(task.id_col).cast("long").alias("row_id"),
+        task.row_id(),
         F.col(task.target).cast("double").alias("y"),
     ]
     out = output_rows(model.predict(rows), task, keep)
     store.write(out.where("split <> 'train'"), "predictions", submission, fold)
     seconds = time.monotonic() - start
-    saved = store.spark.read.schema(ROWS).parquet(store.folder("predictions", submission, fold))
+    saved = store.spark.read.schema(rows_schema(task.id_kind)).parquet(store.folder("predictions", submission, fold))
     per_row = task.classes if task.blocks else 1
 
     def judged(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +206,7 @@ def mean_valid(scores: DataFrame) -> DataFrame:
 def retrain_full(task: Task, spec: Spec) -> DataFrame:
     """``(row_id, class, p)`` for the test table from a fit on every training row."""
     model = fit(spec, task.train, task.features, task.target, task.classes, task.id_col)
-    keep = [F.col(task.id_col).cast("long").alias("row_id")]
+    keep = [task.row_id()]
     out = output_rows(model.predict(task.test), task, keep)
     return out if task.blocks else out.drop("class")
 

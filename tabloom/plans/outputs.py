@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tabloom.meta import Kit
 from tabloom.operators.training import Task
+from tabloom.sources.kits import ORDER
 from tabloom.sources.outputs import class_output, regression_output, write_predictions
 
-ORDER = "_order"
 
 
 def labelled(preds: DataFrame, labels: list[str]) -> DataFrame:
@@ -32,12 +32,15 @@ def prediction_table(kit: Kit, task: Task, preds: DataFrame) -> DataFrame:
     """``preds(row_id[, class], p)`` of the test rows in the shape that the score asks for.
 
     ``kit`` has been set up, so that its description lists the labels by code.
-    Rows and their order are those of the sample file where there is one; a row
-    without a prediction keeps a null.
+    Rows and their order are those of the sample file where there is one, else
+    those of the test table by id; a row without a prediction keeps a null.
     """
     meta, id_col, target = kit.meta, task.id_col, task.target
     source = kit.sample if kit.sample is not None else kit.test
-    ids = source.select(F.col(f"`{id_col}`").cast("long").alias(id_col)).withColumn(ORDER, F.monotonically_increasing_id())
+    place = F.col(ORDER) if ORDER in source.columns else F.col(id_col)
+    if kit.sample is not None and ORDER not in source.columns:
+        place = F.monotonically_increasing_id()  # a sample that was not read from a file
+    ids = source.select(F.col(f"`{id_col}`").cast(task.id_kind).alias(id_col), place.alias(ORDER))
     if meta.is_classification:
         labels = [str(v) for v in meta.target_values[target]]
         named = labelled(preds, labels).withColumnRenamed("row_id", id_col)

@@ -9,6 +9,19 @@ from tabloom.functions.names import feature_name
 from tabloom.meta import Kit, Meta, with_roles
 
 
+ORDER = "_order"
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Add the place of each row in its files: Spark deals splits to tasks by size."""
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.withColumn(ORDER, place)
+
+
 def _text(spark: SparkSession, path: str) -> str:
     """A small file as one string (the kit description)."""
     return spark.read.text(path, wholetext=True).first()[0]
@@ -40,7 +53,7 @@ def read_kit(
     train = with_roles(_table(spark, folder, "train", fmt, train_schema), roles)
     test = with_roles(_table(spark, folder, "test", fmt, test_schema), roles)
     train, test = cast_features(train, meta.casts), cast_features(test, meta.casts)
-    sample = _table(spark, folder, "sample_submission", fmt, None) if has_sample else None
+    sample = in_file_order(_table(spark, folder, "sample_submission", fmt, None)) if has_sample else None
     return Kit(train, test, meta, sample)
 
 

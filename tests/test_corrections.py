@@ -63,7 +63,7 @@ def test_rank_scores_bag_ranks(spark):
     df = preds(spark, rows)
     w = spark.createDataFrame([(0, "s", 1.0, 0.5), (1, "s", 1.0, 0.5)], B.WEIGHTS)
     ranked = {r["row_id"]: r["p"] for r in B.blend_then_bag(df, w, "auc").collect()}
-    assert ranked == {0: 2.5, 1: 2.5, 2: 2.5, 3: 2.5}
+    assert ranked == {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.5}
     plain = {r["row_id"]: r["p"] for r in B.blend_then_bag(df, w, "rmse").collect()}
     assert plain[0] > plain[3]
     assert {r["row_id"]: r["p"] for r in B.bag_for(df, "gini").collect()} == ranked
@@ -82,6 +82,29 @@ def test_rmsle_counts_predictions_below_zero_as_zero(spark):
     assert got == pytest.approx(math.log(2) / math.sqrt(2))
 
 
+def test_ranks_of_folds_of_unequal_size(spark):
+    rows = [("s", int(i >= 800), i, float(i % 5 == 0), float(i % 5 == 0) + i / 10_000) for i in range(1000)]
+    df = preds(spark, rows)
+    bagged = B.bag_ranks(df).withColumn("fold", F.lit(0))
+    assert S.score(bagged, "auc").first()["score"] == 1.0
+    ranked = {r["row_id"]: r["p"] for r in S.rank_rows(df).collect()}
+    assert 0 < min(ranked.values()) and max(ranked.values()) < 1
+    cut = {r["row_id"]: r["p"] for r in S.rank_rows(df, block_rows=50).collect()}
+    assert cut == pytest.approx(ranked)
+
+
+def test_a_row_without_its_true_class_leaves_no_score(spark):
+    rows = [("s", 0, 0, 1.0, 0, 0.1), ("s", 0, 0, 1.0, 1, 0.9), ("s", 0, 1, 0.0, 0, 0.01), ("s", 0, 1, 0.0, 1, 0.99)]
+    schema = "submission string, fold int, row_id long, y double, class int, p double"
+    got = S.score(spark.createDataFrame(rows, schema), "nll").first()["score"]
+    assert got == pytest.approx(-(math.log(0.9) + math.log(0.01)) / 2)
+    assert S.score(spark.createDataFrame(rows[:2] + rows[3:], schema), "nll").first()["score"] is None
+
+
+def test_rmsle_of_a_target_below_minus_one(spark):
+    assert S.score(preds(spark, [("s", 0, 0, -2.0, 5.0), ("s", 0, 1, 3.0, 3.0)]), "rmsle").first()["score"] is None
+
+
 def test_mcc_of_three_classes(spark):
     y = [0] * 5 + [1] * 5 + [2] * 5
     p = [0, 0, 0, 1, 2, 1, 1, 1, 1, 0, 2, 2, 2, 0, 1]

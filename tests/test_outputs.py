@@ -2,10 +2,15 @@
 
 import pytest
 
+import os
+
 from tabloom.meta import Kit, Meta
-from tabloom.operators.training import Task
+from tabloom.operators.models import Spec
+from tabloom.operators.training import Store, Task, retrain_full, train_folds
 from tabloom.plans.outputs import write_outputs
+from tabloom.plans.prepare import make_task, preprocess_chain, setup
 from tabloom.session import work_dir
+from tabloom.sources.kits import in_file_order, read_kit
 
 
 def kit_of(spark, kind, score, labels=(), positive=None, sample=None):
@@ -53,3 +58,33 @@ def test_probabilities_per_class(spark):
     preds = spark.createDataFrame([(1, c, p) for c, p in enumerate((0.2, 0.3, 0.5))], "row_id long, class int, p double")
     (path,) = write_outputs(kit, task, {"x": preds}, work_dir(spark, "out"))
     assert rows(spark, path)[0] == (1, 0.2, 0.3, 0.5)
+
+
+def test_text_ids_from_kit_to_file(spark, tmp_path):
+    """Ids such as ID_07 stay text; rows come in the order of the sample's files."""
+    folder = f"{tmp_path}/kit"
+    os.makedirs(f"{folder}/sample_submission.csv")
+    ids = [f"ID_{i:03d}" for i in range(300)]
+    row = lambda i, y: f"{ids[i]},{i % 7},{y}\n"
+    with open(f"{folder}/train.csv", "w") as f:
+        f.write("id,x,y\n" + "".join(row(i, 10 * (i % 7 > 3)) for i in range(200)))
+    with open(f"{folder}/test.csv", "w") as f:
+        f.write("id,x\n" + "".join(f"{ids[i]},{i % 7}\n" for i in range(200, 300)))
+    order = [200 + (37 * k) % 100 for k in range(100)]
+    for part, wanted in (("a.csv", order[:10]), ("b.csv", order[10:])):  # the second is larger, so it is dealt first
+        with open(f"{folder}/sample_submission.csv/{part}", "w") as f:
+            f.write("id,y\n" + "".join(f"{ids[i]},0\n" for i in wanted))
+    meta = Meta("t", "id", ["y"], "regression", "rmse", {"id": "num", "x": "num"})
+    with open(f"{folder}/metadata.json", "w") as f:
+        f.write(meta.to_json())
+    kit = setup(read_kit(spark, folder, has_sample=True))
+    task = make_task(preprocess_chain(kit))
+    store = Store(spark, work_dir(spark, "results"))
+    train_folds(store, task, {"s": Spec("rf", {"numTrees": 1, "maxDepth": 3, "bootstrap": False})}, [0, 1])
+    valid = store.predictions(task).collect()
+    assert valid and {r["row_id"] for r in valid} <= set(ids[:200])
+    out = retrain_full(task, Spec("rf", {"numTrees": 1, "maxDepth": 3, "bootstrap": False}))
+    (path,) = write_outputs(kit, task, {"x": out}, f"{tmp_path}/out")
+    got = spark.read.option("header", True).schema("id string, y double").csv(path)
+    got = [tuple(r) for r in in_file_order(got).orderBy("_order").select("id", "y").collect()]
+    assert got == [(ids[i], 10.0 * (i % 7 > 3)) for i in order]
