@@ -25,6 +25,7 @@ from bisect import insort
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ from tabloom.llm.common import table
 from tabloom.llm.registry import query
 from tabloom.session import stored
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+# fixed values: letters that are composed already and whose lower case is one letter (all of Latin but U+0130)
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+MARKS = ".,;:!?"
 
 
 @dataclass(frozen=True)
@@ -48,40 +52,88 @@ class PackSettings:
     end_id: int = 2  # put after each document
 
 
+class Parts:
+    """Ids of word parts by one tokenizer, kept for the parts to come up to ``most`` of them."""
+
+    def __init__(self, tokenizer, most: int = 250_000):
+        self.tokenizer, self.most = tokenizer, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def rows(self, parts: list[str], at_once: int = 20_000) -> np.ndarray:
+        """The number of each part; its ids are ``ids[first:first + size]`` of that row."""
+        new = [w for w in parts if w not in self.row]
+        if self.row and len(self.row) + len(new) > self.most:
+            self._clear()
+            new = parts
+        sizes, ids = [self.size], [self.ids]
+        for at in range(0, len(new), at_once):
+            some = new[at : at + at_once]
+            coded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(coded.ids, np.uint32))
+            sizes.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some)))
+        self.row.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        self.size, self.ids = np.concatenate(sizes), np.concatenate(ids)
+        return np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))
+
+
+@lru_cache(maxsize=4)
+def _loaded(path: str) -> tuple[Parts, Parts]:
+    """Per worker: parts by the whole tokenizer, and Latin letters by its model alone."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    letters = Tokenizer(whole.model)
+    letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return Parts(whole), Parts(letters)
+
+
 @dataclass(frozen=True)
 class WordTokenizer:
-    """A ``tokenizers`` file whose pre-tokenizer drops white space.
+    """A ``tokenizers`` file that lower-cases, drops white space and parts letters from punctuation.
 
-    Words between ASCII white space then have ids of their own, so each
-    distinct word of a slice of texts is encoded once.
+    Words between ASCII white space then have ids of their own, and so have the
+    letters of a word and the punctuation behind them. Each distinct part is
+    encoded once and kept for a while; Latin letters go straight to the model.
     """
 
     path: str
 
-    def load(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        return tokenizer
-
-
-def encode(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(token count of each text, ids of all texts in a row)."""
-    lists = pc.ascii_split_whitespace(texts)
-    words = lists.flatten().dictionary_encode()
-    n_words = np.asarray(pc.list_value_length(lists), np.int64)
-    known = words.dictionary.to_pylist()
-    code = np.asarray(words.indices, np.int64)
-    coded = tokenizer.encode(known, is_pretokenized=True, add_special_tokens=False)
-    ids = np.array(coded.ids, np.uint32)
-    size = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(known)) if len(ids) else np.zeros(len(known), np.int64)
-    first = np.cumsum(size) - size
-    sizes = size[code]
-    n_tokens = np.bincount(np.repeat(np.arange(len(texts)), n_words), weights=sizes, minlength=len(texts))
-    return n_tokens.astype(np.int64), ids[spread(first[code], sizes)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(token count of each text, ids of all texts in a row)."""
+        whole, letters = _loaded(self.path)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        known, code = coded.dictionary, np.asarray(coded.indices, np.int64)
+        plain = np.asarray(pc.match_substring_regex(known, f"^[{LATIN}]+[{MARKS}]*$"), bool)
+        simple = known.filter(pa.array(plain))
+        stem = pc.utf8_lower(pc.ascii_rtrim(simple, MARKS)).dictionary_encode()
+        tail = pc.replace_substring_regex(simple, f"[{LATIN}]+", "").dictionary_encode()
+        stem_row = letters.rows(stem.dictionary.to_pylist())[np.asarray(stem.indices, np.int64)]
+        # both lists at once: the second call may clear what the first has kept
+        odd = known.filter(pa.array(~plain)).to_pylist()
+        other = whole.rows(odd + tail.dictionary.to_pylist())
+        odd_row, tail_row = other[: len(odd)], other[len(odd) :][np.asarray(tail.indices, np.int64)]
+        # ids of each distinct word: those of its letters, then those of its marks
+        size = np.concatenate([letters.size, whole.size, [0]])
+        ids = np.concatenate([letters.ids, whole.ids])
+        first = np.cumsum(size) - size
+        two = np.full((len(known), 2), len(size) - 1)
+        two[plain, 0], two[plain, 1] = stem_row, len(letters.size) + tail_row
+        two[~plain, 0] = len(letters.size) + odd_row
+        ids = ids[spread(first[two.ravel()], size[two.ravel()])]
+        size = size[two].sum(axis=1)
+        first = np.cumsum(size) - size
+        sizes = size[code]
+        ends = np.r_[0, np.cumsum(sizes)][np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()]
+        return np.diff(ends), ids[spread(first[code], sizes)]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -104,14 +156,13 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _tokenised(tokenizer: WordTokenizer, settings: PackSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, part = None, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         before = np.zeros(settings.size, np.int64)  # documents per rest so far
         whole = 0
         for batch in batches:
-            library = library or tokenizer.load()
             texts = pc.fill_null(batch.column(1), "")
             for at, to in _slices(texts):
-                n, ids = encode(library, texts.slice(at, to - at))
+                n, ids = tokenizer.encode(texts.slice(at, to - at))
                 # the end id after each document
                 ids = np.insert(ids, np.cumsum(n), settings.end_id).astype("<u4")
                 n = n + 1

@@ -9,10 +9,11 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from tabloom.llm.catalog import QUERIES
-from tabloom.llm.packing import SPAN, PackSettings, WordTokenizer, encode, pack, pack_plan
+from tabloom.llm.packing import SPAN, PackSettings, WordTokenizer, pack, pack_plan
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(FILE)
+TOKENIZER = WordTokenizer(FILE)
 TEXTS = [
     None, "", " \n\t ", "a", "A\x0bb\x0cC\x1cd\x85e f g", "<|endoftext|> x<|startoftext|>y", "é ́x 한",
     "ΑΣ Σ, ΌΣΟΣ", "don't DON'T '''s 12345 ½", "\U0001f600\U0001f1e9\U0001f1ea � \x00", "word " * 30_000, "x" * 50_000, "a", "a",
@@ -85,13 +86,21 @@ def test_many_documents_of_one_length(spark):
 def test_words_are_encoded_as_in_the_text(text):
     import pyarrow as pa
 
-    n, ids = encode(WordTokenizer(FILE).load(), pa.array([text, "", text]))
+    n, ids = TOKENIZER.encode(pa.array([text, "", text]))
     one = ids_of(text)[:-1]
     assert n.tolist() == [len(one), 0, len(one)] and ids.tolist() == one + one
 
 
+def test_every_latin_letter_is_encoded_as_in_a_text():
+    import pyarrow as pa
+
+    for c in map(chr, range(0x21, 0x260)):
+        for text in (c, f"a{c}b", f"{c}{c}.", f"A{c},x"):
+            assert TOKENIZER.encode(pa.array([text]))[1].tolist() == ids_of(text)[:-1], text
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=40))
+@given(st.one_of(st.text(max_size=40), st.text("abcXYZ .,;!?'<|>éÉİıǅ1", max_size=40)))
 def test_any_text_is_encoded_by_words(text):
     import pyarrow as pa
 
@@ -99,7 +108,7 @@ def test_any_text_is_encoded_by_words(text):
         text.encode()
     except UnicodeEncodeError:
         return
-    assert encode(WordTokenizer(FILE).load(), pa.array([text], pa.string()))[1].tolist() == ids_of(text)[:-1]
+    assert TOKENIZER.encode(pa.array([text], pa.string()))[1].tolist() == ids_of(text)[:-1]
 
 
 @settings(max_examples=150, deadline=None)
