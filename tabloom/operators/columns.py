@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.names import stripped_name
@@ -97,6 +97,11 @@ def variance_threshold(df: DataFrame, cols: list[str], threshold: float = 0.0) -
     return [c for c in cols if row[c] is not None and row[c] > threshold]
 
 
+def _ratio(over: Column, under: Column) -> Column:
+    """An F value; infinite for a feature that leaves nothing unexplained."""
+    return F.when((under <= 0) & (over > 0), F.lit(float("inf"))).otherwise(F.try_divide(over, under))
+
+
 def correlation_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """``(feature, r, f)``: Pearson correlation and the F value of a linear fit.
 
@@ -112,7 +117,7 @@ def correlation_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame
     ]
     long = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     r2 = F.col("r") * F.col("r")
-    return long.select("feature", "r", F.try_divide(r2 * (F.col("_n") - 2), 1 - r2).alias("f"))
+    return long.select("feature", "r", _ratio(r2 * (F.col("_n") - 2), 1 - r2).alias("f"))
 
 
 def _per_class(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -151,10 +156,8 @@ def anova_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame:
         F.sum(F.col("n") * gap * gap).alias("ssb"),
         F.sum("v").alias("ssw"),
     )
-    return tot.select(
-        "feature",
-        F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))).alias("f"),
-    )
+    between, within = F.try_divide("ssb", F.col("k") - 1), F.try_divide("ssw", F.col("n") - F.col("k"))
+    return tot.select("feature", _ratio(between, within).alias("f"))
 
 
 def chi2_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame:

@@ -12,6 +12,7 @@ from tabloom.meta import Kit, Meta, as_role, columns_of, features_of, roles_of,
 from tabloom.operators import columns as C
 from tabloom.operators import encode as E
 from tabloom.operators import impute as I
+from tabloom.operators import models as M
 from tabloom.operators import profile as P
 from tabloom.operators.training import Task
 from tabloom.session import stored, work_dir
@@ -20,6 +21,9 @@ from tabloom.sources.kits import drop_null_targets, rename_kit
 # The default chain; ``columnwise`` stands for the per-column steps.
 DEFAULT_CHAIN = ("drop_id", "drop_columns", "col_in_train_only", "columnwise", "rm_constant_col")
 COLUMNWISE = ("text", "holidays", "date", "impute_cat", "impute_num", "encode_cat")
+SELECTORS = ("variance_threshold", "select_kbest", "l1_selector", "rf_selector")
+#: steps that only choose columns
+CHOOSERS = ("rm_constant_col", *SELECTORS)
 
 
 @dataclass
@@ -37,6 +41,7 @@ class ChainSettings:
     store_input: bool = True
     chain: tuple[str, ...] = DEFAULT_CHAIN
     max_categories: int = E.MAX_CATEGORIES  # a column with more train values is hashed, whatever was chosen
+    selectors: dict[str, dict] = field(default_factory=dict)  # parameters of the selectors named in ``chain``
 
 
 def _kept(kit: Kit, *roles: str) -> list[str]:
@@ -95,7 +100,34 @@ def _encode_cat(kit: Kit, s: ChainSettings) -> Kit:
     return kit
 
 
-def _step(kit: Kit, name: str, s: ChainSettings) -> Kit:
+def _select(kit: Kit, name: str, s: ChainSettings) -> Kit:
+    """Numeric features that a selector keeps; it is fitted on complete training rows."""
+    cols, p = numeric_features(kit), dict(s.selectors.get(name, {}))
+    if not cols:
+        return kit
+    target, classes = kit.meta.target_cols[0], 0
+    if kit.meta.is_classification:
+        classes = len(kit.meta.target_values.get(target, [])) or 2
+    if name == "variance_threshold":
+        kept = C.variance_threshold(kit.train, cols, **p)
+    elif name == "select_kbest":
+        best = C.select_kbest(kit.train, cols, target, bool(classes), **p)
+        kept = [r["feature"] for r in best.select("feature").collect()]  # a row per feature
+    elif not classes:
+        raise ValueError(f"{name} needs a classification target")
+    elif name == "l1_selector":
+        kept = M.l1_selector(kit.train, cols, target, classes=classes, **p)
+    else:
+        kept = M.rf_selector(kit.train, cols, target, **p)
+    return C.keep_features(kit, cols, kept or cols[:1])
+
+
+def steps(s: ChainSettings) -> list[str]:
+    """The chain's steps in order, ``columnwise`` written out."""
+    return [name for entry in s.chain for name in (COLUMNWISE if entry == "columnwise" else (entry,))]
+
+
+def step(kit: Kit, name: str, s: ChainSettings) -> Kit:
     keep = [kit.meta.id_col, *kit.meta.target_cols]
     if name == "drop_id":
         return kit  # the id keeps its key role and is not a feature
@@ -105,6 +137,8 @@ def _step(kit: Kit, name: str, s: ChainSettings) -> Kit:
         return kit.replace(*C.col_in_train_only(kit.train, kit.test, keep))
     if name == "rm_constant_col":
         return kit.replace(*C.rm_constant_col(kit.train, kit.test, features_of(kit.train)))
+    if name in SELECTORS:
+        return _select(kit, name, s)
     if name == "text":
         return _text(kit, s)
     if name == "holidays":
@@ -125,18 +159,22 @@ def stored_kit(kit: Kit) -> Kit:
 
 
 def preprocess_chain(kit: Kit, settings: ChainSettings | None = None) -> Kit:
-    """Run the ordered list of steps; the result is one lazy plan per table.
+    """Run the ordered list of steps; the resulting features are numbers.
 
     The fitting steps pass over the tables several times, so unless they are
-    plain scans already (``store_input`` off) they are stored once before.
-    The resulting features are numbers.
+    plain scans already (``store_input`` off) they are stored once before. The
+    steps that choose columns read all of them: what was made so far is stored
+    before the first of these, and their choice is a projection of that file.
     """
     s = settings or ChainSettings()
     if s.store_input:
         kit = stored_kit(kit)
-    for entry in s.chain:
-        for name in COLUMNWISE if entry == "columnwise" else (entry,):
-            kit = _step(kit, name, s)
+    made = False
+    for name in steps(s):
+        if name in CHOOSERS and made:
+            kit, made = stored_kit(kit), False
+        kit, before = step(kit, name, s), kit
+        made = made or (name in COLUMNWISE and (kit.train is not before.train or kit.test is not before.test))
     return kit
 
 
@@ -219,16 +257,21 @@ def setup(kit: Kit) -> Kit:
     return code_targets(profile_kit(stored_kit(clean_kit(kit))))
 
 
-def make_task(kit: Kit, target: str | None = None) -> Task:
-    """A prepared kit as a training task; tables are written once, then read per fold."""
+def make_task(kit: Kit, target: str | None = None, write: bool = True) -> Task:
+    """A prepared kit as a training task; tables are written once, then read per fold.
+
+    Without ``write`` they are projections of the kit's tables, for a kit that
+    lies in files already.
+    """
     t = target or kit.meta.target_cols[0]
     cols = numeric_features(kit)
-    shape = lambda df, have: stored(
-        df.select(
+
+    def shape(df: DataFrame, have: bool) -> DataFrame:
+        out = df.select(
             kit.meta.id_col, *([F.col(t).cast("double").alias(t)] if have else []),
             *[as_role(F.col(f"`{c}`").cast("double"), c) for c in cols],
-        ),
-        "task",
-    )
+        )
+        return stored(out, "task") if write else out
+
     classes = len(kit.meta.target_values.get(t, [])) if kit.meta.is_classification else 0
     return Task(shape(kit.train, True), shape(kit.test, t in kit.test.columns), kit.meta.id_col, t, cols, kit.meta.score_name, classes)

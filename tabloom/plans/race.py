@@ -21,7 +21,8 @@ from tabloom.operators import scores as S
 from tabloom.operators import space as H
 from tabloom.operators import trials as T
 from tabloom.operators.models import Spec
-from tabloom.operators.training import Store, Task, search, train_folds
+from tabloom.operators.training import Store, Task, mean_valid, train_folds
+from tabloom.plans.prepared import Preparation
 
 LOG = (
     "run string, action_id long, name string, base string, fold_lo int, fold_hi int, "
@@ -39,6 +40,13 @@ class Base:
     build: Callable[[dict], Spec]
 
 
+def with_preparation(base: Base, dims: list[H.Dim]) -> Base:
+    """The base with the dimensions of ``preparation_dims`` behind its own."""
+    names = {d.name for d in dims}
+    build = lambda values: base.build({n: v for n, v in values.items() if n not in names})
+    return Base(base.name, H.Space([*base.space.dims, *dims]), build)
+
+
 @dataclass
 class RaceSettings:
     n_rounds: int = 3
@@ -53,7 +61,8 @@ class RaceSettings:
     blend_steps: int | None = None  # until no candidate betters the score
     seed: int = 43
     parallel: int = 4
-    elements: tuple[str, ...] = ("predictor",)
+    elements: tuple[str, ...] = ("predictor",)  # what may move; steps of the preparation by the element of their dimensions
+    max_failures: int = 10  # draws in a row of which no trial could be trained
 
 
 @dataclass
@@ -63,6 +72,7 @@ class Race:
     bases: dict[str, Base]
     settings: RaceSettings = field(default_factory=RaceSettings)
     run: str = "race"
+    preparation: Preparation | None = None  # where given, trials bring their own features
 
     # -- state ----------------------------------------------------------------
 
@@ -132,11 +142,67 @@ class Race:
         rows = settings.select("submission", "indices").collect()  # the round's few trials
         return {r["submission"]: base.build(base.space.decode(r["indices"])) for r in rows}
 
-    def _specs_of(self, names: list[str]) -> dict[str, Spec]:
+    def _values_of(self, names: list[str]) -> dict[str, tuple[Base, dict]]:
+        """Base and values of known submissions; a row each comes to the driver."""
         rows = self.known().where(F.col("submission").isin(names)).select("submission", "base", "indices").collect()
-        return {r["submission"]: self.bases[r["base"]].build(self.bases[r["base"]].space.decode(r["indices"])) for r in rows}
-
-    def _trials(self, base: Base, parent: str | None, element: str, round_idx: int) -> DataFrame:
+        return {r["submission"]: (self.bases[r["base"]], self.bases[r["base"]].space.decode(r["indices"])) for r in rows}
+
+    def train(self, names: list[str], folds: list[int]) -> list[str]:
+        """Train known submissions, each on the features its settings ask for, and
+        return those with a score on every fold."""
+        groups: dict[str, tuple[Task, dict[str, Spec]]] = {}
+        for name, (base, values) in sorted(self._values_of(names).items()):
+            key, task = self.preparation.task(values) if self.preparation else ("", self.task)
+            groups.setdefault(key, (task, {}))[1][name] = base.build(values)
+        errors = []
+        for task, specs in groups.values():
+            try:
+                train_folds(self.store, task, specs, folds, parallel=self.settings.parallel)
+            except Exception as e:  # noqa: BLE001  every fit of a group failed, which the table of failures holds
+                errors.append(e)
+        if errors and self.store.scores().isEmpty():
+            raise errors[0]  # nothing was ever trained: not the fault of a trial's settings
+        scored = self.store.scores().where((F.col("step") == "valid") & F.col("submission").isin(names) & F.col("fold").isin(folds))
+        whole = scored.groupBy("submission").agg(F.count_distinct("fold").alias("n")).where(F.col("n") == len(folds))
+        return sorted(r["submission"] for r in whole.collect())
+
+    def _search(self, base: Base, parent: str | None, element: str, round_idx: int) -> list[str]:
+        """New trials, drawn again for those that fail, until there are as many as asked."""
+        good: list[str] = []
+        failures = attempt = 0
+        while len(good) < self.settings.n_trials and failures < self.settings.max_failures:
+            wanted = self.settings.n_trials - len(good)
+            fresh = self._trials(base, parent, element, round_idx + 100 * attempt, wanted).collect()
+            if not fresh:
+                break
+            self.store.append([tuple(r) for r in fresh], "settings", SETTINGS)
+            found = self.train([r["submission"] for r in fresh], self.search_folds)
+            failures = 0 if found else failures + 1
+            good, attempt = good + found, attempt + 1
+        return good
+
+    def hybrids(self, base_name: str, parent: str, element: str, from_names: list[str]) -> list[str]:
+        """Trials of ``parent`` with the settings of one element, a step of the
+        preparation say, taken from other submissions of any base; trained on the
+        search folds."""
+        base = self.bases[base_name]
+        start = list(self.known().where(F.col("submission") == parent).first()["indices"])
+        parts = []
+        for other in self.bases.values():
+            at = {n: i for i, n in enumerate(other.space.names())}
+            moved = [F.col("indices")[at[d.name]] if d.name in at else F.lit(d.default_index) for d in base.space.dims]
+            rows = self.known().where((F.col("base") == other.name) & F.col("submission").isin(from_names))
+            parts.append(rows.select("submission", H.index_array(moved).alias("indices")))
+        selected = parts[0]
+        for p in parts[1:]:
+            selected = selected.unionByName(p)
+        mixed = H.hybrid_trials(selected, start, base.space, element, base_name, self.known())
+        rows = mixed.select("submission", F.lit(base_name).alias("base"), H.trial_hash(F.col("indices")).alias("hash"), "indices").collect()
+        if rows:
+            self.store.append([tuple(r) for r in rows], "settings", SETTINGS)
+        return self.train([r["submission"] for r in rows], self.search_folds) if rows else []
+
+    def _trials(self, base: Base, parent: str | None, element: str, round_idx: int, n: int) -> DataFrame:
         """New settings around the parent: the chosen element's dimensions move."""
         start = base.space.defaults()
         if parent is not None:
@@ -149,7 +215,7 @@ class Race:
         free = [d.name for d in dims if d.element == element]
         done = self.known().where(F.col("base") == base.name).select("hash")
         drawn = H.random_trials(
-            self.store.spark, H.Space(dims), self.settings.n_trials, self.settings.seed + 1000 * round_idx, done, free
+            self.store.spark, H.Space(dims), n, self.settings.seed + 1000 * round_idx, done, free
         )
         return drawn.select(
             F.concat(F.lit(f"{base.name}_hyperopt_"), F.col("hash")).alias("submission"),
@@ -181,19 +247,17 @@ class Race:
         parent = self._draw(own, "parent", round_idx) if own else None
 
         start = datetime.now(timezone.utc)
-        fresh = self._trials(base, parent, element, round_idx).collect()
-        if fresh:
-            self.store.append([tuple(r) for r in fresh], "settings", SETTINGS)
-        specs = self._specs_of([r["submission"] for r in fresh])
+        trained = self._search(base, parent, element, round_idx)
         best = None
-        if specs:
-            means, top = search(self.store, self.task, specs, self.search_folds, self.settings.parallel)
-            best = means.where(F.col("submission") == top).collect()[0]["mean_valid"] if top else None
+        if trained:
+            scored = self.store.scores().where(F.col("submission").isin(trained) & F.col("fold").isin(self.search_folds))
+            lower = S.lower_is_better(self.task.score_name)
+            best = mean_valid(scored).agg((F.min if lower else F.max)("mean_valid")).first()[0]
         self._note("search", name, self.search_folds, start, best, None)
         if best is None:
             return
         start = datetime.now(timezone.utc)
-        totals, score, _ = self.blend_now(sorted(set(members) | set(specs)), self.search_folds, self.settings.blend)
+        totals, score, _ = self.blend_now(sorted(set(members) | set(trained)), self.search_folds, self.settings.blend)
         self._note(self.settings.blend, name, self.search_folds, start, score, totals)
 
     def n_done(self) -> int:
@@ -234,7 +298,7 @@ class Race:
         names = sorted(self.blended()) if round_idx is None else self.members_at(round_idx)
         if not names:
             return {}
-        train_folds(self.store, self.task, self._specs_of(names), self.final_folds, parallel=self.settings.parallel)
+        self.train(names, self.final_folds)
         pick = lambda split: self.store.predictions(self.task, split).where(
             F.col("submission").isin(names) & F.col("fold").isin(self.final_folds)
         )

@@ -24,6 +24,6 @@ def setup_and_start(
 
     Returns the training task and the starter's mean validation score.
     """
-    task = make_task(preprocess_chain(setup(kit), settings))
+    task = make_task(preprocess_chain(setup(kit), settings), write=False)
     spec = spec or Spec("gbt", {"maxIter": 100, "maxDepth": 5}, task.score_name)
     return task, train_folds(store, task, {STARTER: spec}, list(folds), force=force)
