@@ -24,6 +24,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators import ridge
 from tabloom.operators.folds import holdout
 from tabloom.operators.scale import (
     log_target,
@@ -67,10 +68,10 @@ class Model:
     def predict(self, df: DataFrame) -> DataFrame:
         keep = df.columns
         out = (df.withColumns(self.place) if self.place else df).withColumn(
-            "_fa", F.array(*self.features)
-        ).withColumn(
-            "_x", array_to_vector("_fa")
+            "_fa", F.array(*[c.cast("double") for c in self.features])
         )
+        if self.stages:
+            out = out.withColumn("_x", array_to_vector("_fa"))
         for s in self.stages:
             out = s.transform(out)
         name = "p" if self.n_out == 1 else "probs"
@@ -116,6 +117,14 @@ def fit(
     return (_fit_classifier if classes > 1 else _fit_regressor)(spec, train, features, target, classes, id_col)
 
 
+RIDGE_PENALTY = 0.01
+
+
+def fold_additive(spec: Spec, classes: int = 0) -> bool:
+    """Whether all folds can be fitted from one pass (``operators.ridge``)."""
+    return classes == 0 and spec.kind in ("spline", "ridge") and set(spec.params) <= {"knots", "regParam", "elasticNetParam"} and not spec.params.get("elasticNetParam")
+
+
 def _fit_regressor(spec: Spec, train, features, target, classes, id_col) -> Model:
     exprs, y = _doubles(features), F.col(target)
     undo = lambda p: p
@@ -136,12 +145,15 @@ def _fit_regressor(spec: Spec, train, features, target, classes, id_col) -> Mode
         y, undo = standardize_target(y, stats), lambda q: restore_target(q, stats)
         est = LinearRegression(featuresCol="_x", labelCol="_y", loss="huber", epsilon=1.35, **rest)
         extra = []
-    elif spec.kind == "spline":
-        place, groups = spline_exprs(train, features, p.pop("knots", 5))
-        exprs = [e.cast("double") for g in groups.values() for e in g]
+    elif spec.kind in ("spline", "ridge"):
+        basis = ridge.basis_of(train, features, spec.kind, p.pop("knots", 5))
+        reg = p.pop("regParam", RIDGE_PENALTY)
+        if fold_additive(spec):
+            found = ridge.fit_all(train, basis, target, reg)
+            return Model(basis.exprs, [], found.predict(F.col("_fa")), place=basis.place)
+        exprs, place = [e.cast("double") for e in basis.exprs], basis.place
         train = train.withColumns(place) if place else train
-        p.setdefault("regParam", 0.01)
-        est, extra = LinearRegression(featuresCol="_x", labelCol="_y", **p), []
+        est, extra = LinearRegression(featuresCol="_x", labelCol="_y", regParam=reg, **p), []
     else:
         raise ValueError(f"no regressor {spec.kind}")
     data = assembled(train, exprs, y, extra)

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators import scores as S
-from tabloom.operators.folds import held_out
-from tabloom.operators.models import Spec, fit
+from tabloom.operators import ridge
+from tabloom.operators.folds import fold_of, held_out
+from tabloom.operators.models import RIDGE_PENALTY, Spec, fit, fold_additive
 
 def rows_schema(id_kind: str = "bigint") -> str:
     """Predictions of one submission and fold; rows keep the type of their id."""
@@ -73,6 +74,11 @@ class Store:
     def write(self, df: DataFrame, table: str, submission: str, fold: int | str) -> None:
         df.write.mode("overwrite").parquet(self.folder(table, submission, fold))
 
+    def write_folds(self, df: DataFrame, table: str, submission: str) -> None:
+        """Rows of several folds (column ``fold``), each fold's folder replaced whole."""
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold")
+        writer.parquet(f"{self.path}/{table}/submission={submission}")
+
     def read(self, table: str, schema: str) -> DataFrame:
         """The table, empty while nothing was written; any other read error is raised."""
         try:
@@ -116,7 +122,49 @@ def _fold_rows(task: Task, fold: int, n_parts: int) -> tuple[DataFrame, DataFram
     return task.train.where(~out), tagged.select(*cols).unionByName(test.select(*cols))
 
 
-def _train_one(store: Store, task: Task, spec: Spec, submission: str, fold: int, n_parts: int) -> None:
+def _train_additive(
+    store: Store, task: Task, spec: Spec, submission: str, folds: list[int], n_parts: int, train_score: bool
+) -> None:
+    """All folds of a submission whose normal equations add up: one pass fits, one predicts, one scores.
+
+    A spline's knots span all training rows, so that folds share them.
+    """
+    start, spark = time.monotonic(), store.spark
+    basis = ridge.basis_of(task.train, task.features, spec.kind, spec.params.get("knots", 5))
+    fits = ridge.fit_folds(task.train, basis, task.id_col, task.target, folds, spec.params.get("regParam", RIDGE_PENALTY), n_parts)
+    table = [(f, m.intercept, m.weights.tolist()) for f, m in fits.items()]
+    # a row per fold: at most some thirty rows of weights
+    weights = F.broadcast(spark.createDataFrame(table, "fold int, _b double, _w array<double>"))
+    out_of = {r: fold_of(F.col(f"`{task.id_col}`"), r, n_parts) + r * n_parts for r in {f // n_parts for f in folds}}
+    held = F.array(*[c.cast("int") for c in out_of.values()])
+    every = F.array(*[F.lit(f) for f in folds])
+
+    def rows(df: DataFrame, split: str, which: Column) -> DataFrame:
+        y = F.col(task.target).cast("double") if task.target in df.columns else F.lit(None).cast("double")
+        wide = basis.apply(df).select(F.lit(split).alias("split"), task.row_id(), y.alias("y"), "_fa", F.explode(which).alias("fold"))
+        p = F.aggregate(F.zip_with("_fa", "_w", lambda a, b: a * b), F.col("_b"), lambda a, b: a + b)
+        return wide.join(weights, "fold").select("split", "row_id", "y", F.lit(None).cast("int").alias("class"), p.alias("p"), "fold")
+
+    out = rows(task.train, "valid", F.array_intersect(held, every)).unionByName(rows(task.test, "test", every))
+    store.write_folds(out, "predictions", submission)
+    seconds = (time.monotonic() - start) / len(folds)
+    saved = spark.read.schema(f"{rows_schema(task.id_kind)}, fold int").parquet(f"{store.path}/predictions/submission={submission}")
+    judged = saved.where(F.col("fold").isin(folds)).drop("class")
+    if train_score:
+        judged = judged.unionByName(rows(task.train, "train", F.array_except(every, held)).drop("class"))
+    sizes = judged.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    scored = S.score(judged.where("y is not null"), task.score_name, ("fold", "split"))
+    store.write_folds(_score_rows(scored.join(sizes, ["fold", "split"]), task, seconds, "fold").coalesce(1), "scores", submission)
+
+
+def _score_rows(scored: DataFrame, task: Task, seconds: float, *more: str) -> DataFrame:
+    return scored.select(
+        F.col("split").alias("step"), F.lit(task.score_name).alias("score_name"), F.col("score").alias("value"),
+        F.lit(seconds).alias("seconds"), "n_rows", *more,
+    )
+
+
+def _train_one(store: Store, task: Task, spec: Spec, submission: str, fold: int, n_parts: int, train_score: bool) -> None:
     start = time.monotonic()
     part, rows = _fold_rows(task, fold, n_parts)
     model = fit(spec, part, task.features, task.target, task.classes, task.id_col)
@@ -136,17 +184,11 @@ def _train_one(store: Store, task: Task, spec: Spec, submission: str, fold: int,
         sizes = df.groupBy("split").agg((F.count(F.lit(1)) / per_row).cast("long").alias("n_rows"))
         return S.score(df.where("y is not null"), task.score_name, ("split",)), sizes
 
-    # the training part is ten times as large and only its score is wanted
-    parts = [judged(saved), judged(out.where("split = 'train'"))]
-    scored, sizes = (a.unionByName(b) for a, b in zip(*parts))
-    table = scored.join(sizes, "split").select(
-        F.col("split").alias("step"),
-        F.lit(task.score_name).alias("score_name"),
-        F.col("score").alias("value"),
-        F.lit(seconds).alias("seconds"),
-        "n_rows",
-    )
-    store.write(table.coalesce(1), "scores", submission, fold)
+    scored, sizes = judged(saved)
+    if train_score:  # the training part is ten times as large and only its score is wanted
+        more = judged(out.where("split = 'train'"))
+        scored, sizes = scored.unionByName(more[0]), sizes.unionByName(more[1])
+    store.write(_score_rows(scored.join(sizes, "split"), task, seconds).coalesce(1), "scores", submission, fold)
 
 
 def pending(store: Store, wanted: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -166,10 +208,13 @@ def train_folds(
     force: bool = False,
     n_parts: int = 10,
     parallel: int = 4,
+    train_score: bool = True,
 ) -> DataFrame:
     """Train submissions on folds and return ``(submission, mean_valid)``.
 
-    Pairs already scored are skipped. Fits run as concurrent Spark jobs from a
+    Pairs already scored are skipped. Submissions whose folds add up are one
+    job for all their folds. ``train_score`` off saves a pass over the training
+    rows per fit. Fits run as concurrent Spark jobs from a
     few driver threads, which hold no data. A fit that fails is noted in the
     table ``failures`` and has no score; the others go on. If all fail, the
     first error is raised.
@@ -177,16 +222,27 @@ def train_folds(
     wanted = [(s, f) for s in specs for f in folds]
     todo = wanted if force else pending(store, wanted)
 
-    def run(pair: tuple[str, int]) -> Exception | None:
+    jobs: list[tuple[str, list[int]]] = []
+    for s in specs:
+        mine = [f for n, f in todo if n == s]
+        jobs += [(s, mine)] if mine and fold_additive(specs[s], task.classes) else [(s, [f]) for f in mine]
+
+    def run(job: tuple[str, list[int]]) -> Exception | None:
+        name, mine = job
         try:
-            _train_one(store, task, specs[pair[0]], pair[0], pair[1], n_parts)
+            if fold_additive(specs[name], task.classes):
+                _train_additive(store, task, specs[name], name, mine, n_parts, train_score)
+            else:
+                _train_one(store, task, specs[name], name, mine[0], n_parts, train_score)
         except Exception as e:  # noqa: BLE001  whatever a trial's settings bring about
             return e
         return None
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        errors = list(pool.map(inheritable_thread_target(store.spark)(run), todo))
-    failed = [(s, f, f"{type(e).__name__}: {e}"[:1000]) for (s, f), e in zip(todo, errors) if e is not None]
+        errors = list(pool.map(inheritable_thread_target(store.spark)(run), jobs))
+    failed = [
+        (s, f, f"{type(e).__name__}: {e}"[:1000]) for (s, mine), e in zip(jobs, errors) if e is not None for f in mine
+    ]
     if failed:
         store.append(failed, "failures", FAILURES)
     if todo and len(failed) == len(todo):
