@@ -11,8 +11,11 @@ Documents are cut into blocks of bounded size, stored with their words as
 numbers of the block. For each order, a block asks for the counts of its own
 n-grams: the requests are shuffled to shards, which sum them over all blocks
 and answer. A block's automaton then has all states and arcs that its texts
-can reach. Only contexts with answers that can matter are asked for: a context
-becomes a state once it has ``min_context`` occurrences in training.
+can reach. Only n-grams that another block can have are asked for: an answer
+also tells whether a block was the only one to ask, and an n-gram whose context
+or whose suffix only this block has is counted here, its context's shard being
+told just how many such followers there are. A context becomes a state once it
+has ``min_context`` occurrences in training.
 
 An n-gram is dealt by its context, so that the shard also knows the context's
 number of different followers; a context with more than ``hot_context``
@@ -51,27 +54,30 @@ BLOCKS = (
     "block long, doc_ids array<{id}>, held binary, lengths binary, codes binary, hashes binary, counts binary, "
     "n_train long, n_tokens long"
 )
-REQUESTS = "block long, shard long, contexts binary, followers binary, keys binary, counts binary"
+REQUESTS = "block long, shard long, contexts binary, followers binary, extra binary, keys binary, counts binary, n1 long, n2 long"
 REPLIES = "block long, shard long, totals binary, kinds binary, n1 long, n2 long, distinct_keys long"
 
 
 @dataclass(frozen=True)
 class LmSettings:
     order: int = 3
-    min_context: tuple[int, ...] = (2, 8)  # of the contexts of one word, two words, ...
+    min_context: tuple[int, ...] = (1, 1)  # of the contexts of one word, two words, ...
     held_out: int = 1  # remainder of crc32(doc_id) by folds that is not trained on
     folds: int = 5
-    block_bytes: int = 12 << 20
+    block_bytes: int = 8 << 20
     shard_keys: int = 1 << 20  # n-grams of all blocks that a shard gets, about
     hot_context: int = 1 << 19
 
 
 def packed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).tobytes())
+    """Compressed with equal bytes of all numbers side by side."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,13 +118,17 @@ def text_blocks(docs: DataFrame, settings: LmSettings) -> DataFrame:
         lengths = (before[at[1:]] - before[at[:-1]]).astype("<i4")
         coded = flat.filter(full).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
-        words = coded.dictionary.to_pylist()
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 0) for w in words] + [END]
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 0) for w in coded.dictionary.to_pylist()], "<u8")
+        # frequent words first, then by hash: both the codes and the gaps of the hashes pack better
+        order = np.lexsort((hashes, -np.bincount(codes, minlength=len(hashes))))
+        number_of = np.empty(len(order), "<i4")
+        number_of[order] = np.arange(len(order), dtype="<i4")
+        codes, hashes = number_of[codes], np.append(hashes[order], np.uint64(END))
         held = np.array([not in_training(i, settings) for i in ids.to_pylist()], bool)
         counts = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(hashes))
         counts[-1] = (~held).sum()
         return [
-            number, ids, held.tobytes(), lengths.tobytes(), packed(codes), np.array(hashes, "<u8").tobytes(),
+            number, ids, held.tobytes(), lengths.tobytes(), packed(codes), packed(np.diff(hashes, prepend=np.uint64(0))),
             packed(counts.astype("<i8")), int(counts.sum()), int(lengths.sum() + len(lengths)),
         ]
 
@@ -154,10 +164,13 @@ class Level:
     contexts: np.ndarray
     words: np.ndarray
     at: np.ndarray
-    counts: np.ndarray
-    keys: np.ndarray  # of the n-grams, to name them as contexts of the next order
+    suffix: np.ndarray | None  # the n-gram without its first word, at the level below
+    counts: np.ndarray | None
+    keys: np.ndarray | None  # of the n-grams, to name them as contexts of the next order
+    asked: np.ndarray | None = None  # the n-grams that other blocks can have
     totals: np.ndarray | None = None
-    kinds: np.ndarray | None = None  # different followers, per n-gram of the order below
+    alone: np.ndarray | None = None  # n-grams that no other block has
+    kinds: np.ndarray | None = None  # different followers, per n-gram as a context
 
 
 class Block:
@@ -165,34 +178,35 @@ class Block:
 
     def __init__(self, row: dict, settings: LmSettings, n_shards: int):
         self.settings, self.n_shards, self.row = settings, n_shards, row
-        self.hashes = np.frombuffer(row["hashes"], "<u8")
+        self.hashes = np.cumsum(unpacked(row["hashes"], "<u8"), dtype=np.uint64)
         self.held = np.frombuffer(row["held"], bool)
         lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
         self.sizes = lengths + 1
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         ends = self.starts + lengths
-        self.stream = np.full(int(self.sizes.sum()), len(self.hashes) - 1, np.int64)
+        self.stream = np.full(int(self.sizes.sum()), len(self.hashes) - 1, np.int32)
         inside = np.ones(len(self.stream), bool)
         inside[ends] = False
         self.stream[inside] = unpacked(row["codes"], "<i4")
         self.train = np.repeat(~self.held, self.sizes)
-        word = np.arange(len(self.hashes))
-        counts = unpacked(row["counts"], "<i8")
-        self.levels = [Level(np.zeros(len(word), np.int64), word, self.stream, counts, self.hashes)]
-        first = np.zeros(len(self.stream), bool)
-        first[self.starts] = True
-        self.first = first
-
-    def requests(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """Per shard: context keys, followers of each, follower hashes and training counts."""
+        word = np.arange(len(self.hashes), dtype=np.int32)
+        counts = unpacked(row["counts"], "<i8").astype(np.int32)
+        self.levels = [Level(np.zeros(len(word), np.int32), word, self.stream, None, counts, self.hashes)]
+        self.first = np.zeros(len(self.stream), bool)
+        self.first[self.starts] = True
+
+    def requests(self) -> Iterator[tuple]:
+        """Per shard: context keys, how many followers of each are listed and how many
+        more are known, hashes of those listed and their training counts. The first
+        also has the counts of counts of what only this block has."""
         top = self.levels[-1]
         if len(self.levels) == 1:  # words: the only context is the empty one, split by hash
             order, cuts = _deal((mixed(top.keys) % np.uint64(self.n_shards)).astype(np.int64), self.n_shards)
             for k in np.flatnonzero(np.diff(cuts)):
                 part = order[cuts[k] : cuts[k + 1]]
-                yield int(k), b"", b"", top.keys[part].astype("<u8").tobytes(), packed(top.counts[part])
+                yield int(k), b"", b"", b"", top.keys[part].astype("<u8").tobytes(), packed(top.counts[part].astype("<i4")), 0, 0
             return
-        context, follower, row_keys, row_context, _ = self._rows()
+        context, follower, row_keys, _, extra = self._rows()
         order, cuts = _deal((row_keys % np.uint64(self.n_shards)).astype(np.int64), self.n_shards)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -200,48 +214,64 @@ class Block:
         sizes = np.bincount(context, minlength=len(row_keys))[order]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         raw = follower[entry].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        counts = top.counts[entry]
+        counts = top.counts[top.asked][entry].astype("<i4")
+        own = top.counts[~top.asked]
+        news = [int((own == 1).sum()), int((own == 2).sum())]
         for k in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[k], cuts[k + 1]
             yield (
                 int(k), row_keys[order[a:b]].astype("<u8").tobytes(), packed(sizes[a:b].astype("<i4")),
-                np.ascontiguousarray(raw[ends[a] : ends[b]]).tobytes(), packed(counts[ends[a] : ends[b]]),
+                packed(extra[order[a:b]].astype("<i4")), np.ascontiguousarray(raw[ends[a] : ends[b]]).tobytes(),
+                packed(counts[ends[a] : ends[b]]), *news,
             )
+            news = [0, 0]
+        if any(news):  # nothing to ask, but something to tell
+            yield 0, b"", packed(sizes[:0].astype("<i4")), packed(sizes[:0].astype("<i4")), b"", packed(counts[:0]), *news
 
     def _rows(self):
-        """Rows (context, part of its followers): every part of a hot context is asked for."""
+        """Rows (context, part of its followers) that are asked for, and the row and
+        follower of each n-gram asked for: every part of a hot context is a row."""
         top, below = self.levels[-1], self.levels[-2]
-        present, local = np.unique(top.contexts, return_inverse=True)
+        there = np.zeros(len(below.totals), bool)
+        there[top.contexts] = True
+        present = np.flatnonzero(there & ~below.alone)
         parts = -(-below.totals[present] // self.settings.hot_context)
         base = np.concatenate([[0], np.cumsum(parts)])
-        follower = mixed(self.hashes[top.words]) & LOW48
-        row = base[local] + (follower % parts[local].astype(np.uint64)).astype(np.int64)
+        local = np.zeros(len(below.totals), np.int32)
+        local[present] = np.arange(len(present))
+        mine = local[top.contexts[top.asked]]
+        follower = mixed(self.hashes[top.words[top.asked]]) & LOW48
+        row = base[mine] + (follower % parts[mine].astype(np.uint64)).astype(np.int64)
         row_context = np.repeat(present, parts)
         part = np.arange(base[-1]) - np.repeat(base[:-1], parts)
         keys = mixed(below.keys[row_context] + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return row, follower, keys, row_context, parts
+        known = np.bincount(top.contexts[~top.asked & (top.counts > 0)], minlength=len(below.totals))
+        extra = np.where(part == 0, known[row_context], 0)
+        return row, follower, keys, row_context, extra
 
     def answer(self, replies: list[dict]) -> None:
         """Put the totals of the last level's n-grams in place."""
         top = self.levels[-1]
         replies = sorted(replies, key=lambda r: r["shard"])
-        totals = [unpacked(r["totals"], "<i8") for r in replies]
-        totals = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-        top.totals = np.zeros(len(top.keys), np.int64)
+        none = [np.zeros(0, np.int64)]
+        told = np.concatenate(none + [unpacked(r["totals"], "<i8") for r in replies])
         if len(self.levels) == 1:
             order, _ = _deal((mixed(top.keys) % np.uint64(self.n_shards)).astype(np.int64), self.n_shards)
-            top.totals[order] = totals
+            top.totals, top.alone = np.zeros(len(top.keys), np.int64), np.zeros(len(top.keys), bool)
+            top.totals[order], top.alone[order] = told >> 1, (told & 1).astype(bool)
             return
+        below = self.levels[-2]
         context, _, row_keys, row_context, _ = self._rows()
         order, _ = _deal((row_keys % np.uint64(self.n_shards)).astype(np.int64), self.n_shards)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        top.totals[np.argsort(rank[context], kind="stable")] = totals
-        kinds = [unpacked(r["kinds"], "<i8") for r in replies]
-        kinds = np.concatenate(kinds) if kinds else np.zeros(0, np.int64)
-        below = self.levels[-2]
-        below.kinds = np.zeros(len(below.keys), np.int64)
-        np.add.at(below.kinds, row_context[order], kinds)
+        place = np.flatnonzero(top.asked)[np.argsort(rank[context], kind="stable")]
+        top.totals, top.alone = top.counts.astype(np.int64), ~top.asked
+        top.totals[place], top.alone[place] = told >> 1, (told & 1).astype(bool)
+        below.kinds = np.bincount(top.contexts[top.counts > 0], minlength=len(below.totals))
+        below.kinds[row_context] = 0
+        np.add.at(below.kinds, row_context[order], np.concatenate(none + [unpacked(r["kinds"], "<i8") for r in replies]))
+        below.keys = below.counts = top.asked = None
 
     def state(self, n: int) -> np.ndarray:
         """Which n-grams of level n (from 1) are contexts."""
@@ -251,64 +281,73 @@ class Block:
     def grow(self) -> None:
         """The n-grams one word longer than those of the last level."""
         top, n_words = self.levels[-1], len(self.hashes)
-        context = np.concatenate([[-1], top.at[:-1]])
+        context = np.concatenate([[-1], top.at[:-1]]).astype(np.int32)
         context[self.first] = -1
         ok = context >= 0
         ok[ok] = self.state(len(self.levels))[context[ok]]
-        grams, local = np.unique(context[ok] * n_words + self.stream[ok], return_inverse=True)
-        at = np.full(len(self.stream), -1, np.int64)
+        grams, local = np.unique(context[ok].astype(np.int64) * n_words + self.stream[ok], return_inverse=True)
+        local = local.astype(np.int32)
+        at = np.full(len(self.stream), -1, np.int32)
         at[ok] = local
-        contexts, words = grams // n_words, grams % n_words
-        counts = np.bincount(local[self.train[ok]], minlength=len(grams)).astype(np.int64)
+        contexts, words = (grams // n_words).astype(np.int32), (grams % n_words).astype(np.int32)
+        counts = np.bincount(local[self.train[ok]], minlength=len(grams)).astype(np.int32)
         keys = mixed(mixed(top.keys[contexts]) + self.hashes[words])
-        self.levels.append(Level(contexts, words, at, counts, keys))
+        suffix = words
+        if len(self.levels) > 1:
+            suffix = np.zeros(len(grams), np.int32)
+            suffix[local] = top.at[ok]
+        asked = ~(top.alone[contexts] | top.alone[suffix])
+        self.levels.append(Level(contexts, words, at, suffix, counts, keys, asked))
 
 
-def requests_of(block: Block) -> list[pa.RecordBatch]:
-    names = ["block", "shard", "contexts", "followers", "keys", "counts"]
-    return [
-        pa.record_batch(
-            [pa.array([x], t) for x, t in zip((block.row["block"], *r), [pa.int64(), pa.int64(), *[pa.binary()] * 4])], names=names
-        )
-        for r in block.requests()
-    ]
+def requests_of(block: Block) -> Iterator[pa.RecordBatch]:
+    names = ["block", "shard", "contexts", "followers", "extra", "keys", "counts", "n1", "n2"]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+    for r in block.requests():
+        yield pa.record_batch([pa.array([x], t) for x, t in zip((block.row["block"], *r), kinds)], names=names)
 
 
 def _sum_shard(requests: pa.Table) -> pa.Table:
-    """Add up what all blocks counted of each key, and answer every block in its own order."""
+    """Add up what all blocks counted of each key, and answer every block in its own order.
+
+    A total is sent doubled, plus one where no other block asked for the key.
+    """
     rows = requests.to_pylist()
-    keys, counts, rows_of, contexts = [], [], [], []
+    keys, counts, rows_of, contexts, extra = [], [], [], [], []
+    words = not any(r["followers"] for r in rows)
     for r in rows:
-        counts.append(unpacked(r["counts"], "<i8"))
-        if r["contexts"]:
-            raw = np.zeros((len(counts[-1]), 8), np.uint8)
-            raw[:, :6] = np.frombuffer(r["keys"], np.uint8).reshape(-1, 6)
-            own = np.frombuffer(r["contexts"], "<u8")
-            spread = np.repeat(np.arange(len(own)), unpacked(r["followers"], "<i4"))
-            contexts.append(own)
-            rows_of.append(spread)
-            keys.append(mixed(own)[spread] + raw.view("<u8").ravel())
-        else:
+        counts.append(unpacked(r["counts"], "<i4"))
+        if words:
             keys.append(np.frombuffer(r["keys"], "<u8"))
+            continue
+        raw = np.zeros((len(counts[-1]), 8), np.uint8)
+        raw[:, :6] = np.frombuffer(r["keys"], np.uint8).reshape(-1, 6)
+        own = np.frombuffer(r["contexts"], "<u8")
+        spread = np.repeat(np.arange(len(own)), unpacked(r["followers"], "<i4"))
+        contexts.append(own)
+        rows_of.append(spread)
+        extra.append(unpacked(r["extra"], "<i4"))
+        keys.append(mixed(own)[spread] + raw.view("<u8").ravel())
     every = np.concatenate(keys)
     distinct, first, back = np.unique(every, return_index=True, return_inverse=True)
-    totals = np.zeros(len(distinct), np.int64)
-    np.add.at(totals, back, np.concatenate(counts))
-    if contexts:
+    totals = np.bincount(back, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    doubled = 2 * totals + (np.bincount(back, minlength=len(distinct)) == 1)
+    if not words:
         names, where = np.unique(np.concatenate(contexts), return_inverse=True)
         shift = np.cumsum([0] + [len(c) for c in contexts])[:-1]
         of_entry = where[np.concatenate([s + r for s, r in zip(shift, rows_of)])] if len(every) else np.zeros(0, np.int64)
-        kinds = np.bincount(of_entry[first][totals > 0], minlength=len(names)).astype("<i8")
+        kinds = np.bincount(of_entry[first][totals > 0], minlength=len(names))
+        kinds = kinds + np.bincount(where, weights=np.concatenate(extra), minlength=len(names)).astype(np.int64)
     out, at, ctx = [], 0, 0
     for i, r in enumerate(rows):
-        own = totals[back[at : at + len(keys[i])]]
+        own = doubled[back[at : at + len(keys[i])]]
         at += len(keys[i])
         told = np.zeros(0, "<i8")
-        if contexts:
-            told = kinds[where[ctx : ctx + len(contexts[i])]]
+        if not words:
+            told = kinds[where[ctx : ctx + len(contexts[i])]].astype("<i8")
             ctx += len(contexts[i])
         news = [int((totals == 1).sum()), int((totals == 2).sum()), int((totals > 0).sum())] if i == 0 else [0, 0, 0]
-        out.append((r["block"], r["shard"], packed(own), packed(told), *news))
+        out.append((r["block"], r["shard"], packed(own), packed(told), news[0] + r["n1"], news[1] + r["n2"], news[2]))
     kinds_ = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names_ = ["block", "shard", "totals", "kinds", "n1", "n2", "distinct_keys"]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], names=names_)
@@ -339,7 +378,7 @@ def automaton(block: Block, figures: Figures):
         back = np.where(state, cut * below.kinds / total, 1.0)
         fails.append(np.log10(np.maximum(back, 1e-300)))
         # the shorter n-gram of each: the same word after the context without its first word
-        shorter = level.words if n == 2 else _suffix(block, n)
+        shorter = level.suffix
         p = np.maximum(level.totals - cut, 0) / total[level.contexts] + back[level.contexts] * lower[shorter]
         seen = level.totals > 0
         arcs.append(np.where(seen, np.log10(np.maximum(p, 1e-300)), np.nan))
@@ -350,15 +389,6 @@ def automaton(block: Block, figures: Figures):
     return arcs, fails, depth
 
 
-def _suffix(block: Block, n: int) -> np.ndarray:
-    """For each n-gram of level n, the number of its last n - 1 words at the level below."""
-    level, below = block.levels[n - 1], block.levels[n - 2]
-    out = np.zeros(len(level.words), np.int64)
-    held = level.at >= 0
-    out[level.at[held]] = below.at[held]
-    return out
-
-
 def traverse(block: Block, arcs, fails, depth) -> np.ndarray:
     """Log10 probability of each text: all texts of the block are read in step, each with its state."""
     order = np.argsort(-block.sizes, kind="stable")

@@ -68,7 +68,8 @@ def check(spark, rows, settings):
     "settings",
     [
         LmSettings(),
-        LmSettings(order=3),
+        LmSettings(order=3, min_context=(2, 8), block_bytes=3000, shard_keys=2000),
+        LmSettings(order=4, min_context=(1, 1, 1), block_bytes=20_000, shard_keys=3000, hot_context=11),
         LmSettings(order=3, min_context=(1, 1), block_bytes=2000, shard_keys=500, hot_context=7),
         LmSettings(order=2, min_context=(3,), block_bytes=5000, shard_keys=10_000, hot_context=50),
     ],
