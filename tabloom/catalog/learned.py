@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query
-from tabloom.catalog.views import items, order_kit, sql_mod, table
+from tabloom.catalog.views import ITEMS_SQL, items, order_kit, sql_mod, table
 from tabloom.meta import Kit
 from tabloom.operators import impute as I
 from tabloom.operators import knn as K
@@ -99,7 +99,54 @@ _fit_query("rf_regressor_large", "rf", {"numTrees": 8, "maxDepth": 5}, "price")
 _fit_query("kernel_svm_classifier", "kernel_svm", {"components": 16, "gamma": 0.2, "maxIter": 10}, "is_r", 2)
 _fit_query("kernel_svm_regressor", "kernel_svm", {"components": 16, "gamma": 0.2, "maxIter": 20}, "price")
 _fit_query("spline_mlp_classifier", "spline", {"knots": 5, "hidden": (8,), "maxIter": 15}, "flag3", 3)
-_fit_query("spline_regressor", "spline", {"knots": 5}, "price")
+
+# --- the spline fit in SQL: basis, correlations, and Gauss-Jordan elimination row by row ---------
+
+KNOTS = 5
+
+
+def _bump_sql(t: str, j: int) -> str:
+    u = f"({t} - {float(j - 3)})"
+    v, w, z = f"({u} - 1)", f"({u} - 2)", f"(4 - {u})"
+    cube = lambda e: f"{e} * {e} * {e}"
+    return f"""CAST(CASE WHEN {u} < 0 OR {u} > 4 THEN 0 WHEN {u} < 1 THEN {cube(u)} / 6
+      WHEN {u} < 2 THEN (-3 * {cube(v)} + 3 * {v} * {v} + 3 * {v} + 1) / 6
+      WHEN {u} < 3 THEN (3 * {cube(w)} - 6 * {w} * {w} + 4) / 6 ELSE {cube(z)} / 6 END AS DOUBLE)"""
+
+
+def _spline_sql() -> str:
+    places = [(c, j) for c in NUM for j in range(KNOTS + 2)]
+    names = [f"x{i + 1}" for i in range(len(places))]
+    n = len(names)
+    ends = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}, (max({c}) - min({c})) / {KNOTS - 1}.0::DOUBLE AS step_{c}" for c in NUM)
+    at = ", ".join(f"(least(greatest({c}, lo_{c}), hi_{c}) - lo_{c}) / step_{c} AS t_{c}" for c in NUM)
+    basis = ", ".join(f"{_bump_sql('t_' + c, j)} AS {x}" for x, (c, j) in zip(names, places))
+    means = ", ".join(f"avg({x}) AS m_{x}" for x in [*names, "price"])
+    devs = ", ".join(f"sqrt(avg(({x} - m_{x}) * ({x} - m_{x}))) AS s_{x}" for x in [*names, "price"])
+
+    def cell(a: str, b: str) -> str:
+        r = f"avg(({a} - m_{a}) * ({b} - m_{b})) / (any_value(s_{a}) * any_value(s_{b}))"
+        return r + (" + 0.01 / any_value(s_price)" if a == b else "")
+
+    rows = ", ".join("[" + ", ".join(cell(a, b) for b in [*names, "price"]) + "]" for a in names)
+    fit = " + ".join(f"w[{i + 1}] * ({x} - m_{x}) / s_{x}" for i, x in enumerate(names))
+    return f"""WITH RECURSIVE {ITEMS_SQL}, r AS (SELECT row_id, price, q, d, tax, {sql_mod(10, "row_id || '_0'")} = 0 AS held FROM items),
+      ends AS (SELECT {ends} FROM r WHERE NOT held), t AS (SELECT row_id, held, price, {at} FROM r, ends),
+      x AS (SELECT row_id, held, price, {basis} FROM t),
+      m AS (SELECT {means} FROM x WHERE NOT held), s AS (SELECT {devs} FROM x, m WHERE NOT held),
+      a AS (SELECT [{rows}] AS a FROM x, m, s WHERE NOT held),
+      g AS (SELECT 0 AS k, unnest(range(1, {n + 1})) AS i, unnest(a) AS row FROM a
+        UNION ALL SELECT k + 1, i, CASE WHEN i = k + 1 THEN p ELSE list_transform(list_zip(row, p), lambda e: e[1] - row[k + 1] * e[2]) END
+        FROM (SELECT k, i, row, list_transform(p, lambda e: e / p[k + 1]) AS p FROM
+          (SELECT k, i, row, max(CASE WHEN i = k + 1 THEN row END) OVER () AS p FROM g) WHERE k < {n})),
+      w AS (SELECT list(row[{n + 1}] ORDER BY i) AS w FROM g WHERE k = {n})
+      SELECT row_id, held, price AS y, round(m_price + s_price * ({fit}), 2) AS p FROM x, m, s, w"""
+
+
+@query("spline_regressor", _spline_sql())
+def spline_regressor(spark: SparkSession, sf: str) -> DataFrame:
+    out = _holdout_predictions(spark, sf, M.Spec("spline", {"knots": KNOTS}, "rmse"), "price")
+    return out.withColumn("p", F.round("p", 2))
 
 
 @query("multi_target_regressor_large")

@@ -11,15 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.joins import attach
+from tabloom.operators import greedy as G
 from tabloom.operators import scores as S
 from tabloom.session import stored
 
 #: a step must better the score by this share of it
 MIN_GAIN = 1e-9
+#: predictions of one fold that a task may hold at once
+FOLD_CELLS = 16_000_000
 
 
 def _cell(preds: DataFrame) -> list[str]:
@@ -105,8 +109,8 @@ def wide_predictions(preds: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def complete_members(wide: DataFrame, names: list[str]) -> dict[int, list[int]]:
-    """Per fold, the places of the submissions that predict every cell of it.
+def complete_members(wide: DataFrame, names: list[str]) -> tuple[dict[int, list[int]], dict[int, int]]:
+    """Per fold, the places of the submissions that predict every cell of it, and its cells.
 
     A submission that lacks a prediction, or whose prediction is null or NaN,
     is no candidate in that fold: an average over other rows than those of its
@@ -114,7 +118,8 @@ def complete_members(wide: DataFrame, names: list[str]) -> dict[int, list[int]]:
     """
     has = [F.count_if(F.col("ps")[i].isNotNull() & ~F.isnan(F.col("ps")[i])).alias(f"_{i}") for i in range(len(names))]
     rows = wide.groupBy("fold").agg(F.count(F.lit(1)).alias("_n"), *has).collect()  # a row per fold
-    return {r["fold"]: [i for i in range(len(names)) if r[f"_{i}"] == r["_n"]] for r in rows}
+    members = {r["fold"]: [i for i in range(len(names)) if r[f"_{i}"] == r["_n"]] for r in rows}
+    return members, {r["fold"]: r["_n"] for r in rows}
 
 
 def residual_table(wide: DataFrame, m: int) -> DataFrame:
@@ -179,14 +184,17 @@ def blend(preds: DataFrame, name: str, max_steps: int | None = None) -> DataFram
     Selection is with replacement and goes on until no candidate betters the
     score; ``max_steps`` may end it earlier. Candidates of a fold are the
     submissions that predict all of it. For squared error one pass builds the
-    residual matrices and the choice is made on them; other scores run one job
-    per step over all folds and candidates.
+    residual matrices and the choice is made on them. For other scores, folds of
+    at most ``FOLD_CELLS`` predictions are walked through by a task each. Beyond
+    that each step is a job over the rows: means add up one number per fold and
+    candidate, and rank scores are first bounded by histograms, so that only
+    candidates which can still be best are sorted.
     """
     spark = preds.sparkSession
     pairs = preds.select("submission", "fold").distinct().collect()  # a row per submission and fold
     names, folds = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})
     wide = stored(wide_predictions(preds, names), "wide")
-    members = complete_members(wide, names)
+    members, sizes = complete_members(wide, names)
     rows: list[tuple] = []
     if name in ("rmse", "r2"):
         m = len(names)
@@ -196,6 +204,8 @@ def blend(preds: DataFrame, name: str, max_steps: int | None = None) -> DataFram
         for c in residual_table(filled, m).collect():  # members squared per fold
             grams[c["fold"]][c["i"], c["j"]] = grams[c["fold"]][c["j"], c["i"]] = c["v"]
         picked = {f: [names[k] for k in _greedy_on_residuals(grams[f], members[f], max_steps)] for f in folds}
+    elif name in G.SCORES and "class" not in wide.columns and max(sizes.values(), default=0) * len(names) <= FOLD_CELLS:
+        picked = _greedy_in_tasks(wide, name, names, members, max_steps)
     else:
         picked = _greedy_by_jobs(wide, name, names, members, max_steps)
     for f in folds:
@@ -203,21 +213,133 @@ def blend(preds: DataFrame, name: str, max_steps: int | None = None) -> DataFram
     return spark.createDataFrame(rows, WEIGHTS)
 
 
+def _greedy_in_tasks(
+    wide: DataFrame, name: str, names: list[str], members: dict[int, list[int]], max_steps: int | None
+) -> dict[int, list[str]]:
+    """A fold's matrix of predictions, of bounded size, is walked through by one task."""
+    lower = S.lower_is_better(name)
+
+    def walk(table: pa.Table) -> pa.Table:
+        fold = table.column("fold")[0].as_py()
+        y = np.asarray(table.column("y"), float)
+        ps = np.asarray(table.column("ps").combine_chunks().flatten(), float).reshape(len(y), -1)
+        mine = members[fold]
+        picks = G.greedy(name, lower, y, ps[:, mine], max_steps, MIN_GAIN)
+        return pa.table({"fold": pa.array([fold], pa.int32()), "picks": pa.array([[mine[k] for k in picks]], pa.list_(pa.int32()))})
+
+    rows = wide.select("fold", F.col("y").cast("double").alias("y"), "ps").groupBy("fold")
+    found = rows.applyInArrow(walk, "fold int, picks array<int>").collect()  # a row per fold
+    return {f: [] for f in members} | {r["fold"]: [names[i] for i in r["picks"]] for r in found}
+
+
+def _step_sums(wide: DataFrame, name: str, picks: dict[int, list[int]], m: int) -> dict[int, np.ndarray]:
+    """Scores of all candidates per open fold for a score that is a mean over rows."""
+    counts = {f: np.bincount(p, minlength=m).astype(float) for f, p in picks.items()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fold, y, ps in _by_fold(batch):
+                mixed = G.mixed(ps, counts[fold])
+                sums[fold] = sums.get(fold, 0.0) + G.sums(name, y, mixed)
+        for fold, s in sums.items():
+            yield pa.record_batch(
+                [pa.array([fold] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(s[0]), pa.array(s[1])],
+                names=["fold", "i", "s", "n"],
+            )
+
+    rows = wide.where(F.col("fold").isin(list(picks))).select("fold", F.col("y").cast("double").alias("y"), "ps")
+    found = rows.mapInArrow(add, "fold int, i int, s double, n double").groupBy("fold", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    out = {f: np.full(m, np.nan) for f in picks}
+    for r in found.collect():  # folds times members
+        out[r["fold"]][r["i"]] = G.finish(name, r["s"], r["n"])
+    return out
+
+
+def _by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    if not batch.num_rows:
+        return
+    folds = np.asarray(batch.column(0))
+    y = np.asarray(batch.column(1), float)
+    ps = np.asarray(batch.column(2).flatten(), float).reshape(len(y), -1)
+    for f in np.unique(folds):
+        mine = folds == f
+        yield int(f), y[mine], ps[mine]
+
+
+def rank_edges(wide: DataFrame, m: int, bins: int = 512) -> dict[int, np.ndarray]:
+    """Per fold, edges between bins that hold about as many mean predictions each."""
+    mean = F.aggregate(F.filter("ps", lambda p: p.isNotNull() & ~F.isnan(p)), F.lit(0.0), lambda a, p: a + p) / m
+    probs = [i / bins for i in range(1, bins)]
+    rows = wide.groupBy("fold").agg(F.percentile_approx(mean, probs, 10 * bins).alias("q")).collect()  # a row per fold
+    return {r["fold"]: np.unique(np.array(r["q"] or [], float)) for r in rows}
+
+
+def _rank_survivors(
+    wide: DataFrame, picks: dict[int, list[int]], members: dict[int, list[int]], m: int, edges: dict[int, np.ndarray]
+) -> dict[int, list[int]]:
+    """Per open fold the candidates whose area under the curve may be the greatest.
+
+    Pairs in different bins are counted, pairs in one bin leave an interval; the
+    histograms add up over tasks, whatever the number of rows.
+    """
+    counts = {f: np.bincount(p, minlength=m).astype(float) for f, p in picks.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hist: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fold, y, ps in _by_fold(batch):
+                mixed, size = G.mixed(ps, counts[fold]), len(edges[fold]) + 1
+                place = np.searchsorted(edges[fold], mixed, "right") + size * np.arange(m)
+                both = [np.bincount(place[y == k].ravel(), minlength=m * size).reshape(m, size) for k in (1, 0)]
+                hist[fold] = hist.get(fold, 0) + np.stack(both)
+        for fold, h in hist.items():
+            lists = [pa.array(x.tolist(), pa.list_(pa.int64())) for x in h]
+            yield pa.record_batch([pa.array([fold] * m, pa.int32()), pa.array(range(m), pa.int32()), *lists], names=["fold", "i", "pos", "neg"])
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [pa.array([np.array(table.column(c).to_pylist()).sum(axis=0).tolist()], pa.list_(pa.int64())) for c in ("pos", "neg")]
+        return pa.table([table.column("fold")[:1], table.column("i")[:1], *lists], names=["fold", "i", "pos", "neg"])
+
+    schema = "fold int, i int, pos array<bigint>, neg array<bigint>"
+    rows = wide.where(F.col("fold").isin(list(picks))).select("fold", F.col("y").cast("double").alias("y"), "ps")
+    found = rows.mapInArrow(count, schema).groupBy("fold", "i").applyInArrow(add, schema).collect()  # folds times members
+    low, high = ({f: np.full(m, -np.inf) for f in picks} for _ in range(2))
+    for r in found:
+        pos, neg = np.array(r["pos"], float), np.array(r["neg"], float)
+        sure = float((pos * (np.cumsum(neg) - neg)).sum())
+        low[r["fold"]][r["i"]], high[r["fold"]][r["i"]] = sure, sure + float((pos * neg).sum())
+    return {f: [i for i in members[f] if high[f][i] >= low[f][members[f]].max()] for f in picks}
+
+
 def _greedy_by_jobs(
     wide: DataFrame, name: str, names: list[str], members: dict[int, list[int]], max_steps: int | None
 ) -> dict[int, list[str]]:
-    """One job per step scores every candidate of every fold still open."""
+    """A job or two per step over all folds still open."""
     sign = 1.0 if S.lower_is_better(name) else -1.0
     picks: dict[int, list[str]] = {f: [] for f in members}
     best = {f: float("inf") for f in members}
     open_folds = {f for f, ms in members.items() if ms}
     cell = [c for c in wide.columns if c in ("row_id", "class")]
-    t = 0
+    blocks, m, t = "class" in wide.columns, len(names), 0
+    edges = rank_edges(wide, m) if name in ("auc", "gini") and not blocks else {}
     while open_folds and (max_steps is None or t < max_steps):
         t += 1
+        chosen = {f: [names.index(n) for n in picks[f]] for f in sorted(open_folds)}
+        if name in G.MEANS and not blocks:
+            for f, values in _step_sums(wide, name, chosen, m).items():
+                values = sign * values[members[f]]
+                k = int(np.argmin(np.where(np.isnan(values), np.inf, values)))
+                if not values[k] < best[f] - MIN_GAIN * abs(best[f] if best[f] != float("inf") else 0.0):
+                    open_folds.discard(f)
+                else:
+                    best[f] = float(values[k])
+                    picks[f].append(names[members[f][k]])
+            continue
+        able = _rank_survivors(wide, chosen, members, m, edges) if edges else members
         by_fold = lambda value: F.coalesce(*[F.when(F.col("fold") == f, value(f)) for f in sorted(open_folds)])
         times = by_fold(lambda f: F.array(*[F.lit(float(picks[f].count(n))) for n in names]))
-        slots = by_fold(lambda f: F.array(*[F.lit(i) for i in members[f]]))
+        slots = by_fold(lambda f: F.array(*[F.lit(i) for i in able[f]]))
         base = F.aggregate(
             F.zip_with("ps", times, lambda p, c: F.when(c > 0, p * c).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b
         )
