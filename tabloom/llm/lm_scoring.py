@@ -486,6 +486,7 @@ def score_texts(docs: DataFrame, settings: LmSettings = LmSettings()) -> DataFra
                 if n > 1:
                     block.grow()
                 yield from requests_of(block)
+                del block  # before the next is restored
 
         source = joined.select(*every, *[f"replies{k}" for k in range(1, n)])
         replies = stored(
