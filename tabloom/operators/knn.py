@@ -1,37 +1,108 @@
-"""Exact nearest neighbours by pivot cells.
-
-Training rows are assigned to the nearest of a few pivots. Distances from a
-query to the pivots, plus each cell's few smallest member distances, bound the
-k-th neighbour's distance from above; the triangle inequality then rules cells
-out. Queries meet only the remaining cells, in blocks of bounded size on both
-sides, and each block returns its k best, never all pairs. The result is exact
-for any metric used here.
+"""Exact nearest neighbours in two rounds over a metric tree.
+
+Pivots, as many as the table needs for leaves of about ``leaf_rows`` rows, are
+grouped below fewer tops; a row goes to its nearest top and there to its nearest
+pivot. In the first round a query meets its own leaf only, which gives the true
+distance of a k-th neighbour. In the second it meets those leaves that the ball
+of that radius cuts, by the triangle inequality.
+
+Leaves are packed into parts of bounded size. A query is sent once to a part,
+with the numbers of the leaves it has to see there, and not once to a leaf; the
+tables of visits that are planned and counted hold numbers and no vectors. A
+leaf larger than a part is dealt over several tasks, and each task returns the
+k best of what it has seen. The result is exact for any metric used here.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import md5_int
 from tabloom.session import stored
 
-MAX_PIVOTS = 512
-BLOCK_ROWS = 4_000
+LEAF_ROWS = 2_000
+PART_ROWS = 20_000
+#: pivots are sent to every task; beyond this size leaves grow instead
+PIVOT_BYTES = 32 << 20
+#: numbers of a block of differences that are held at once
+CELLS = 1 << 22
 METRICS = {"l1": 1.0, "l2": 2.0, "chebyshev": math.inf}
 
 
-def _distances(points: np.ndarray, q: np.ndarray, order: float) -> np.ndarray:
-    gap = np.abs(points - q)
-    if order == 1.0:
-        return gap.sum(axis=1)
-    if order == 2.0:
-        return np.sqrt(np.square(gap).sum(axis=1))
-    return gap.max(axis=1)
+def distances(q: np.ndarray, points: np.ndarray, order: float) -> np.ndarray:
+    """A row per query and a column per point, by blocks of queries."""
+    out = np.empty((len(q), len(points)))
+    step = max(1, CELLS // max(1, points.size))
+    for at in range(0, len(q), step):
+        gap = np.abs(q[at : at + step, None, :] - points[None, :, :])
+        if order == 1.0:
+            out[at : at + step] = gap.sum(axis=2)
+        elif order == 2.0:
+            out[at : at + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        else:
+            out[at : at + step] = gap.max(axis=2) if gap.shape[2] else 0.0
+    return out
+
+
+def vectors(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Pivots sorted by the top they hang under: those of top t are first[t] to first[t+1]."""
+
+    tops: np.ndarray
+    pivots: np.ndarray
+    first: np.ndarray
+    order: float
+
+    @staticmethod
+    def grow(sample: np.ndarray, order: float) -> Tree:
+        tops = sample[: max(1, math.isqrt(len(sample)))]
+        under = np.concatenate([distances(sample[i : i + 1024], tops, order).argmin(axis=1) for i in range(0, len(sample), 1024)])
+        by = np.argsort(under, kind="stable")
+        return Tree(tops, sample[by], np.searchsorted(under[by], np.arange(len(tops) + 1)), order)
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each row and the distance to its pivot."""
+        top = distances(x, self.tops, self.order).argmin(axis=1)
+        leaf, reach = np.zeros(len(x), np.int32), np.zeros(len(x))
+        for t in np.unique(top):
+            mine = np.flatnonzero(top == t)
+            d = distances(x[mine], self.pivots[self.first[t] : self.first[t + 1]], self.order)
+            leaf[mine] = self.first[t] + d.argmin(axis=1)
+            reach[mine] = d.min(axis=1)
+        return leaf, reach
+
+    def cut(self, x: np.ndarray, r: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for all leaves that the ball of radius ``r`` around a row cuts; NaN cuts all.
+
+        ``radius`` is that of the leaves. Tops out of reach rule out all below.
+        """
+        # slack for rounding; it can only add leaves
+        limit = np.where(np.isnan(r), np.inf, r * (1 + 1e-9) + 1e-9)
+        to_top = distances(x, self.tops, self.order)
+        rows, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in range(len(self.tops)):
+            below = np.arange(self.first[t], self.first[t + 1])
+            below = below[np.isfinite(radius[below])]
+            if not len(below):
+                continue
+            reach = (distances(self.tops[t : t + 1], self.pivots[below], self.order)[0] + radius[below]).max()
+            near = np.flatnonzero(to_top[:, t] - reach * (1 + 1e-9) <= limit)
+            a, b = np.nonzero(distances(x[near], self.pivots[below], self.order) - radius[below] <= limit[near][:, None])
+            rows.append(near[a])
+            leaves.append(below[b])
+        return np.concatenate(rows), np.concatenate(leaves)
 
 
 def standardize_vectors(train: DataFrame, df: DataFrame, col: str) -> DataFrame:
@@ -49,39 +120,164 @@ def standardize_vectors(train: DataFrame, df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.zip_with(centred, dev, lambda v, s: v / s))
 
 
-def _assign(df: DataFrame, vector: str, pivots: np.ndarray, order: float) -> DataFrame:
-    """Nearest pivot and the distance to it."""
-
-    @F.pandas_udf("cell int, reach double")
-    def nearest(vs: pd.Series) -> pd.DataFrame:
-        cells, reach = [], []
-        for v in vs:
-            d = _distances(pivots, np.asarray(v, dtype=float), order)
-            c = int(d.argmin())
-            cells.append(c)
-            reach.append(float(d[c]))
-        return pd.DataFrame({"cell": cells, "reach": reach})
-
-    return df.withColumn("_a", nearest(vector)).select("*", "_a.cell", "_a.reach").drop("_a")
-
-
-def _visits(query: DataFrame, pivots, radius, members, k: int, order: float) -> DataFrame:
-    """Cells a query has to visit, one row each."""
-    m_cell, m_grp, m_reach = members
-
-    @F.pandas_udf("array<int>")
-    def cells(vs: pd.Series, grp: pd.Series) -> pd.Series:
-        out = []
-        for v, g in zip(vs, grp):
-            d = _distances(pivots, np.asarray(v, dtype=float), order)
-            ok = m_grp != g
-            bounds = d[m_cell[ok]] + m_reach[ok]
-            limit = np.partition(bounds, k - 1)[k - 1] if len(bounds) >= k else np.inf
-            # slack for rounding; it can only add cells
-            out.append(np.flatnonzero(d - radius <= limit * (1 + 1e-9) + 1e-9).astype(int).tolist())
-        return pd.Series(out)
-
-    return query.withColumn("cell", F.explode(cells("vec", "grp")))
+def _with_leaf(df: DataFrame, tree: Tree) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                leaf, reach = tree.leaves(vectors(batch.column(batch.schema.get_field_index("vec"))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(reach)], names=[*batch.schema.names, "leaf", "reach"])
+
+    fields = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    return df.mapInArrow(run, f"{fields}, leaf int, reach double")
+
+
+def _best(rows: np.ndarray, cols: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least d per row; ``cols`` orders equal ones."""
+    by = np.lexsort((cols, d, rows))
+    r = rows[by]
+    opens = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+    rank = np.arange(len(r)) - np.repeat(opens, np.diff(np.r_[opens, len(r)]))
+    return by[rank < k]
+
+
+def _meet(k: int, order: float, schema: pa.Schema):
+    """Queries of a part against the leaves each has to see there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return schema.empty_table()
+        right = right.take(pc.sort_indices(right, sort_keys=[("row_id", "ascending")]))
+        points, leaf, grp = vectors(right.column("vec").combine_chunks()), np.asarray(right.column("leaf")), np.asarray(right.column("grp"))
+        q, q_grp = vectors(left.column("vec").combine_chunks()), np.asarray(left.column("grp"))
+        wants = left.column("leaves").combine_chunks()
+        owner = np.repeat(np.arange(len(q)), np.asarray(pc.list_value_length(wants)))
+        wanted = np.asarray(wants.flatten())
+        by = np.argsort(wanted, kind="stable")
+        owner, wanted = owner[by], wanted[by]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for leaf_no in np.unique(leaf):
+            a, b = np.searchsorted(wanted, [leaf_no, leaf_no + 1])
+            mine = np.flatnonzero(leaf == leaf_no)
+            # a block of distances is reduced to k per query before the next is made
+            step = max(1, CELLS // max(1, len(mine)))
+            for at in range(a, b, step):
+                rows = owner[at : min(b, at + step)]
+                d = distances(q[rows], points[mine], order)
+                d[q_grp[rows][:, None] == grp[mine][None, :]] = np.inf
+                if len(mine) > k:
+                    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    hit = np.nonzero((d <= limit) & np.isfinite(d))
+                else:
+                    hit = np.nonzero(np.isfinite(d))
+                found.append((rows[hit[0]], mine[hit[1]], d[hit]))
+        if not found:
+            return schema.empty_table()
+        rows, cols, d = (np.concatenate(c) for c in zip(*found))
+        best = _best(rows, cols, d, k)
+        rows, cols = pa.array(rows[best]), pa.array(cols[best])
+        return pa.table(
+            [left.column("row_id").take(rows), right.column("row_id").take(cols), pa.array(d[best]), right.column("y").take(cols)],
+            schema=schema,
+        )
+
+    return run
+
+
+@dataclass(frozen=True)
+class Index:
+    """Training rows with their leaves, and per leaf its pivot, size, radius and part."""
+
+    rows: DataFrame
+    tree: Tree
+    radius: np.ndarray
+    part: np.ndarray  # -1: nothing in the leaf
+    blocks: np.ndarray  # tasks that a part's rows are dealt over
+    kind: str
+
+    @property
+    def n_parts(self) -> int:
+        return len(self.blocks)
+
+
+def build_index(base: DataFrame, order: float, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS) -> Index | None:
+    """Over ``base(row_id, vec, grp, y)``; None without rows."""
+    first = base.agg(F.count(F.lit(1)).alias("n"), F.first(F.size("vec")).alias("d")).first()
+    if not first["n"]:
+        return None
+    n_pivots = max(1, min(math.ceil(first["n"] / leaf_rows), PIVOT_BYTES // (8 * max(1, first["d"]))))
+    picked = base.orderBy(md5_int("pivot", F.col("row_id").cast("string")), "row_id").limit(n_pivots).select("vec").toArrow()
+    tree = Tree.grow(vectors(picked.column(0).combine_chunks()), order)
+    rows = stored(_with_leaf(base, tree), "leaves")
+    sizes = np.zeros(len(tree.pivots), np.int64)
+    radius = np.full(len(sizes), -np.inf)
+    for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():  # a row per pivot
+        sizes[r["leaf"]], radius[r["leaf"]] = r["n"], r["r"]
+    # neighbouring leaves hang under one top and lie side by side: they share parts
+    part, at, filled = np.full(len(sizes), -1, np.int32), -1, part_rows
+    totals: list[int] = []
+    for i in np.flatnonzero(sizes):
+        if filled + sizes[i] > part_rows:
+            at, filled = at + 1, 0
+            totals.append(0)
+        part[i], filled = at, filled + sizes[i]
+        totals[at] += int(sizes[i])
+    blocks = np.maximum(1, np.ceil(np.array(totals) / part_rows)).astype(np.int64)
+    return Index(rows, tree, radius, part, blocks, dict(base.dtypes)["row_id"])
+
+
+def _visits(query: DataFrame, index: Index, own: bool) -> DataFrame:
+    """(row_id, grp, vec, part, leaves): own leaf only, or the others that the ball ``r`` cuts."""
+    tree, radius, part, n_parts = index.tree, index.radius, index.part, index.n_parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = lambda n: batch.column(batch.schema.get_field_index(n))
+            x = vectors(col("vec"))
+            seen = np.asarray(col("leaf"))
+            if own:
+                rows, leaf = np.arange(len(x)), seen
+            else:
+                rows, leaf = tree.cut(x, np.asarray(col("r"), float), radius)
+                other = leaf != seen[rows]
+                rows, leaf = rows[other], leaf[other]
+            key = rows * (n_parts + 1) + part[leaf]
+            by = np.argsort(key, kind="stable")
+            rows, leaf, key = rows[by], leaf[by].astype(np.int32), key[by]
+            opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            take = pa.array(rows[opens])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[opens, len(key)].astype(np.int32)), pa.array(leaf))
+            yield pa.record_batch(
+                [col("row_id").take(take), col("grp").take(take), col("vec").take(take), pa.array(part[leaf[opens]].astype(np.int32)), lists],
+                names=["row_id", "grp", "vec", "part", "leaves"],
+            )
+
+    kind = dict(query.dtypes)["row_id"]
+    return query.mapInArrow(run, f"row_id {kind}, grp int, vec array<double>, part int, leaves array<int>")
+
+
+def _round(query: DataFrame, index: Index, own: bool, k: int, part_rows: int) -> DataFrame:
+    """The k best per query, part and task."""
+    visits = stored(_visits(query, index, own), "visits")
+    q_blocks = np.ones(index.n_parts, np.int64)
+    for r in visits.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per part
+        q_blocks[r["part"]] = math.ceil(r["n"] / part_rows)
+    spark = query.sparkSession
+    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(index.blocks, q_blocks))]
+    cut = F.broadcast(spark.createDataFrame(rows, "part int, _t int, _q int"))  # a row per part
+    leaf_part = F.broadcast(spark.createDataFrame([(i, int(p)) for i, p in enumerate(index.part)], "leaf int, part int"))
+    salt = lambda name, n: F.pmod(md5_int(name, F.col("row_id").cast("string")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    t = index.rows.join(leaf_part, "leaf").join(cut, "part")
+    t = t.select("part", salt("t", "_t").alias("tb"), every("_q").alias("qb"), "row_id", "vec", "grp", "y", "leaf")
+    q = visits.join(cut, "part")
+    q = q.select("part", every("_t").alias("tb"), salt("q", "_q").alias("qb"), "row_id", "vec", "grp", "leaves")
+    q_kind = dict(query.dtypes)["row_id"]
+    out = f"row_id {q_kind}, neighbour {index.kind}, dist double, y double"
+    arrow = spark.createDataFrame([], out).toArrow().schema
+    by = ["part", "tb", "qb"]
+    return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(_meet(k, index.tree.order, arrow), out)
 
 
 def nearest_neighbours(
@@ -93,83 +289,47 @@ def nearest_neighbours(
     metric: str = "l2",
     group: str | None = None,
     label: str | None = None,
-    max_pivots: int = MAX_PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    leaf_rows: int = LEAF_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """``(row_id, neighbour, dist, y, rank)``: the k nearest training rows per query.
 
     Ties are settled by the neighbour's id. With ``group`` a query skips
     training rows of its own group (its own fold, say). ``label`` travels with
-    the training rows as ``y``, so votes need no join.
+    the training rows as ``y``, so votes need no join. Ids keep their type.
     """
     order = METRICS[metric]
-    shape = lambda df: df.select(
-        F.col(id_col).cast("long").alias("row_id"),
-        F.col(vector).cast("array<double>").alias("vec"),
-        (F.col(group).cast("int") if group else F.lit(-1)).alias("grp"),
-        (F.col(label).cast("double") if label and label in df.columns else F.lit(None).cast("double")).alias("y"),
-    )
+
+    def shape(df: DataFrame) -> DataFrame:
+        kind = dict(df.dtypes)[id_col]
+        whole = "bigint" if kind in ("tinyint", "smallint", "int") else kind
+        return df.select(
+            F.col(id_col).cast(whole).alias("row_id"),
+            F.col(vector).cast("array<double>").alias("vec"),
+            (F.col(group).cast("int") if group else F.lit(-1)).alias("grp"),
+            (F.col(label).cast("double") if label and label in df.columns else F.lit(None).cast("double")).alias("y"),
+        )
+
     base = shape(train)
     if not group:
         base = base.withColumn("grp", F.lit(-2))
-    n = base.count()
-    if n == 0:
-        return shape(query).limit(0).selectExpr("row_id", "row_id AS neighbour", "0D AS dist", "y", "0 AS rank")
-    n_pivots = min(max_pivots, max(1, math.isqrt(n)))
-    picked = base.orderBy(md5_int("pivot", F.col("row_id")), "row_id").limit(n_pivots).collect()
-    pivots = np.array([r["vec"] for r in picked], dtype=float)
-
-    placed = stored(_assign(base, "vec", pivots, order), "placed")
-    cell_rows = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
-    radius = np.full(n_pivots, -np.inf)
-    t_blocks = [1] * n_pivots
-    for r in cell_rows:
-        radius[r["cell"]] = r["r"]
-        t_blocks[r["cell"]] = math.ceil(r["n"] / block_rows)
-    w = Window.partitionBy("cell", "grp").orderBy("reach", "row_id")
-    near = (
-        placed.select("cell", "grp", "reach", "row_id")
-        .withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") <= k)
-        .select("cell", "grp", "reach")
-        .toPandas()  # at most pivots x groups x k rows
-    )
-    members = (near["cell"].to_numpy(int), near["grp"].to_numpy(int), near["reach"].to_numpy(float))
-
-    visits = stored(_visits(shape(query), pivots, radius, members, k, order), "visits")
-    q_blocks = [1] * n_pivots
-    for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        q_blocks[r["cell"]] = math.ceil(r["n"] / block_rows)
-
-    at = lambda sizes: F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("cell") + 1)
-    every = lambda sizes: F.explode(F.sequence(F.lit(0), at(sizes) - 1))
-    one_of = lambda sizes, salt: F.pmod(md5_int(salt, F.col("row_id")), at(sizes)).cast("int")
-    t = placed.select("cell", one_of(t_blocks, "t").alias("tb"), every(q_blocks).alias("qb"), "row_id", "vec", "grp", "y")
-    q = visits.select("cell", every(t_blocks).alias("tb"), one_of(q_blocks, "q").alias("qb"), "row_id", "vec", "grp")
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"row_id": [], "neighbour": [], "dist": [], "y": []}
-        if len(left) and len(right):
-            points = np.stack(right["vec"].to_numpy()).astype(float)
-            ids, grps, ys = (right[c].to_numpy() for c in ("row_id", "grp", "y"))
-            for qid, vec, g in zip(left["row_id"], left["vec"], left["grp"]):
-                d = _distances(points, np.asarray(vec, dtype=float), order)
-                ok = np.flatnonzero(grps != g)
-                best = ok[np.lexsort((ids[ok], d[ok]))[:k]]
-                out["row_id"] += [qid] * len(best)
-                out["neighbour"] += ids[best].tolist()
-                out["dist"] += d[best].tolist()
-                out["y"] += ys[best].tolist()
-        return pd.DataFrame(out).astype({"row_id": "int64", "neighbour": "int64", "dist": "float64", "y": "float64"})
-
-    by = ["cell", "tb", "qb"]
-    found = (
-        q.groupBy(*by)
-        .cogroup(t.groupBy(*by))
-        .applyInPandas(block, "row_id long, neighbour long, dist double, y double")
-    )
+    index = build_index(base, order, leaf_rows, part_rows)
+    asked = shape(query).drop("y")
+    if index is None:
+        return asked.limit(0).selectExpr("row_id", "row_id AS neighbour", "0D AS dist", "0D AS y", "0 AS rank")
+    placed = stored(_with_leaf(asked, index.tree), "queries")
     best = Window.partitionBy("row_id").orderBy("dist", "neighbour")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def top(df: DataFrame) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    # a query's own leaf may lie in several tasks
+    near = stored(top(_round(placed, index, True, k, part_rows)), "first_round")
+    if len(index.tree.pivots) == 1:
+        return near
+    kth = near.where(F.col("rank") == k).select("row_id", F.col("dist").alias("r"))
+    rest = _round(placed.join(kth, "row_id", "left"), index, False, k, part_rows)
+    return top(near.drop("rank").unionByName(rest))
 
 
 def _weights(neighbours: DataFrame, weights: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators import knn as K
 from tabloom.operators import ridge
 from tabloom.operators.folds import holdout
 from tabloom.operators.scale import (
@@ -78,6 +79,47 @@ class Model:
         return out.select(*keep, self.read.alias(name))
 
 
+#: names of distances, and of the general one by its exponent
+NEIGHBOUR_METRICS = {"euclidean": "l2", "manhattan": "l1", "chebyshev": "chebyshev", ("minkowski", 1): "l1", ("minkowski", 2): "l2"}
+
+
+@dataclass
+class NeighbourModel:
+    """Training rows to be searched; columns are standardised by them, gaps count as their mean."""
+
+    train: DataFrame
+    vector: Column
+    id_col: str
+    params: dict
+    classes: int
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        rows = stored(df.withColumn("_key", F.monotonically_increasing_id()), "asked")
+        p = self.params
+        metric = p.get("metric", "euclidean")
+        metric = NEIGHBOUR_METRICS[(metric, p.get("p", 2)) if metric == "minkowski" else metric]
+        asked = rows.select(F.col("_key").alias(self.id_col), self.vector.alias("vec"))
+        near = K.nearest_neighbours(self.train, asked, p.get("n_neighbors", 5), self.id_col, "vec", metric, label="_y")
+        weights = p.get("weights", "uniform")
+        if self.classes > 1:
+            shares = K.knn_classifier(near, weights).groupBy("row_id")
+            share = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("p"))), F.lit(0.0))
+            found = shares.agg(F.array(*[share(c) for c in range(self.classes)]).alias("probs"))
+        else:
+            found = K.knn_regressor(near, weights)
+        return rows.join(found.withColumnRenamed("row_id", "_key"), "_key").drop("_key")
+
+
+def _fit_neighbours(spec: Spec, train: DataFrame, features: list[str], target: str, classes: int, id_col: str | None) -> NeighbourModel:
+    x = [F.col(f"`{c}`").cast("double") for c in features]
+    stats = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).first()
+    scaled = [F.coalesce((c - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0), F.lit(0.0)) for i, c in enumerate(x)]
+    vector = F.array(*scaled)
+    key = F.col(f"`{id_col}`") if id_col else F.monotonically_increasing_id()
+    rows = train.select(key.alias("_id"), vector.alias("vec"), F.col(target).cast("double").alias("_y"))
+    return NeighbourModel(rows if id_col else stored(rows, "neighbours"), vector, "_id", spec.params, classes)
+
+
 def assembled(df: DataFrame, exprs: list[Column], label: Column, extra: list[Column] = ()) -> DataFrame:
     """``(_x, _y, extra)``: a projection; the fits cache what they iterate over."""
     arr = F.array(*[e.cast("double") for e in exprs])
@@ -112,8 +154,10 @@ def fit(
     target: str,
     classes: int = 0,
     id_col: str | None = None,
-) -> Model:
+) -> Model | NeighbourModel:
     """Fit on complete rows; ``classes`` > 1 makes it a classifier of codes 0..k-1."""
+    if spec.kind == "knn":
+        return _fit_neighbours(spec, train, features, target, classes, id_col)
     return (_fit_classifier if classes > 1 else _fit_regressor)(spec, train, features, target, classes, id_col)
 
 

@@ -41,6 +41,11 @@ SPACES: dict[tuple[str, bool], list[Dim]] = {
         Dim("regParam", (0.0001, 0.001, 0.01, 0.1), 0.01),
         Dim("elasticNetParam", (0.0, 0.5, 1.0), 0.0),
     ],
+    ("knn", False): [
+        Dim("n_neighbors", (1, 2, 3, 5, 7, 10, 15, 20, 25, 30), 5),
+        Dim("weights", ("uniform", "distance"), "uniform"),
+        Dim("metric", ("euclidean", "manhattan", "chebyshev"), "euclidean"),
+    ],
 }
 SPACES |= {(kind, True): dims for (kind, _), dims in list(SPACES.items())}
 SPACES[("spline", True)] = [
@@ -61,7 +66,7 @@ def builder(kind: str, score_name: str) -> Callable[[dict], Spec]:
 
 
 def default_bases(
-    score_name: str, classification: bool, kinds: tuple[str, ...] = ("gbt", "rf", "kernel_svm", "spline")
+    score_name: str, classification: bool, kinds: tuple[str, ...] = ("gbt", "rf", "kernel_svm", "spline", "knn")
 ) -> dict[str, Base]:
     """Bases of the given kinds for a race on one score."""
     return {

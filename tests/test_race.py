@@ -101,6 +101,7 @@ def test_drop_flags_use_priors():
     ("rf", {"numTrees": 5, "maxDepth": 4}),
     ("kernel_svm", {"components": 24, "gamma": 0.5, "maxIter": 20, "C": 10.0}),
     ("spline", {"knots": 5, "hidden": (6,), "maxIter": 60}),
+    ("knn", {"n_neighbors": 3, "weights": "distance", "metric": "manhattan"}),
 ])
 def test_classifiers_learn_and_probabilities_sum_to_one(spark, kind, params):
     df = spark.range(400).select("id", (F.col("id") % 20 / 10.0).alias("x"), (F.col("id") % 7 * 1.0).alias("z")).withColumn(
@@ -119,6 +120,7 @@ def test_classifiers_learn_and_probabilities_sum_to_one(spark, kind, params):
     ("rf", {"numTrees": 10, "maxDepth": 5}),
     ("kernel_svm", {"components": 48, "gamma": 0.5, "maxIter": 60, "C": 100.0}),
     ("spline", {"knots": 5, "regParam": 0.0001}),
+    ("knn", {"n_neighbors": 3, "metric": "minkowski", "p": 1}),
 ])
 @pytest.mark.parametrize("score", ["rmse", "mae", "rmsle"])
 def test_regressors_beat_the_mean(spark, kind, params, score):

@@ -102,7 +102,8 @@ def test_key_sizes(spark):
 
 @pytest.mark.parametrize("metric", ["l1", "l2", "chebyshev"])
 @pytest.mark.parametrize("grouped", [False, True])
-def test_neighbours_equal_brute_force(spark, metric, grouped):
+@pytest.mark.parametrize("leaf_rows", [3, 25, 1000])
+def test_neighbours_equal_brute_force(spark, metric, grouped, leaf_rows):
     rng = np.random.default_rng(11)
     # one dense cluster holds most rows, with exact copies
     pts = np.round(np.concatenate([rng.normal(0, 0.05, (120, 3)), rng.normal(0, 3, (60, 3))]), 2)
@@ -112,7 +113,7 @@ def test_neighbours_equal_brute_force(spark, metric, grouped):
         [(i, [float(x) for x in p], int(g)) for i, (p, g) in enumerate(zip(pts, grp))], "row_id long, vec array<double>, g int"
     )
     order = {"l1": 1, "l2": 2, "chebyshev": np.inf}[metric]
-    got = K.nearest_neighbours(df, df, 5, metric=metric, group="g" if grouped else None, max_pivots=7, block_rows=20)
+    got = K.nearest_neighbours(df, df, 5, metric=metric, group="g" if grouped else None, leaf_rows=leaf_rows, part_rows=20)
     found = {(r["row_id"], r["rank"]): (r["neighbour"], r["dist"]) for r in got.collect()}
     for i in range(180):
         d = np.linalg.norm(pts - pts[i], ord=order, axis=1)
@@ -123,6 +124,29 @@ def test_neighbours_equal_brute_force(spark, metric, grouped):
         assert len({x[0] for x in near}) == 5
 
 
+def test_few_leaves_are_visited(spark):
+    """Clustered rows: about as many parts per query in a table ten times as large."""
+    per_query = []
+    for n in (2000, 20_000):
+        rng = np.random.default_rng(5)
+        pts = rng.normal(0, 1, (n, 2)) + 40 * rng.integers(0, 30, (n, 2))
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "row_id long, vec array<double>").repartition(8)
+        base = df.selectExpr("row_id", "vec", "-2 AS grp", "CAST(null AS double) AS y")
+        index = K.build_index(base, 2.0, 50, 200)
+        asked = K._with_leaf(base.withColumn("grp", F.lit(-1)).drop("y"), index.tree).withColumn("r", F.lit(1.0))
+        seen = K._visits(asked, index, False)
+        per_query.append(seen.agg(F.sum(F.size("leaves"))).first()[0] / n)
+    assert per_query[1] < 1.5 * per_query[0] + 1 and per_query[1] < 20
+
+
+def test_neighbours_of_text_ids(spark):
+    rows = [(f"ID_{i}", [float(i), 0.0], float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "name string, vec array<double>, t double")
+    got = K.nearest_neighbours(df, df, 2, id_col="name", label="t", leaf_rows=5, part_rows=10).collect()
+    near = {(r["row_id"], r["rank"]): (r["neighbour"], r["y"]) for r in got}
+    assert len(got) == 100 and near["ID_7", 1] == ("ID_7", 7.0) and near["ID_0", 2][0] == "ID_1"
+
+
 def test_neighbours_with_too_few_rows(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "row_id long, vec array<double>")
     assert K.nearest_neighbours(df, df, 5).count() == 4
