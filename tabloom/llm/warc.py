@@ -15,6 +15,7 @@ rows were committed, so the archives survive lost and repeated tasks.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.joins import attach
 from tabloom.llm.common import table
 from tabloom.llm.registry import query
 from tabloom.session import stored, work_dir
@@ -48,6 +50,7 @@ class WarcSettings:
     file_bytes: int = 256 << 20  # an archive file is closed beyond this
     gap_bytes: int = 64 << 10  # unwanted bytes that a range may include
     range_bytes: int = 8 << 20  # a range is closed beyond this
+    task_bytes: int = 4 << 20  # of archives, compressed, that a reading task gets, about
     level: int = 6
     date: str = "1970-01-01T00:00:00Z"
 
@@ -122,11 +125,11 @@ def typed(pages: DataFrame, settings: WarcSettings) -> DataFrame:
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1 and first_id is not null")
-        .drop("_n")
     )
     again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
+    # payloads move only if there are more repeated ones than can be broadcast
     return (
-        keyed.join(firsts, "payload_digest", "left")
+        attach(keyed, firsts, ["payload_digest"], "left", weight="_n")
         .withColumn("record_type", F.when(again, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(again, F.col("first_id")))
         .select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
@@ -241,8 +244,11 @@ def read_warc(selected: DataFrame, path: str, settings: WarcSettings = WarcSetti
                 )
 
     ranges = byte_ranges(selected, settings)
-    # a range is dealt by its place, so that one large file is read by many tasks
-    return ranges.repartition("file", "start").mapInArrow(run, schema)
+    # a range is dealt by its place, so that one large file is read by many tasks; their
+    # number follows the bytes to be read, as a row per range says nothing about them
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    n_tasks = max(1, math.ceil(total / settings.task_bytes))
+    return ranges.repartition(n_tasks, "file", "start").mapInArrow(run, schema)
 
 
 @query(

@@ -86,3 +86,19 @@ def test_empty_table(spark):
     path = work_dir(spark, "warc")
     index = write_warc(spark.createDataFrame([], SCHEMA), path)
     assert index.count() == 0 and read_warc(index, path).count() == 0
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    """As many reading tasks as the archives' bytes need, and a payload of many MB comes back whole."""
+    import random
+
+    rnd = random.Random(1)
+    big = "".join(chr(rnd.randrange(32, 0x2FF)) for _ in range(3_000_000))
+    rows = [(i, f"http://{i}", f"{i} " * 2000 + str(rnd.random()), "k") for i in range(300)] + [(999, "http://big", big, "k")]
+    path, s = work_dir(spark, "warc"), WarcSettings(task_bytes=50_000, range_bytes=20_000)
+    index = write_warc(spark.createDataFrame(rows, SCHEMA).repartition(4), path, s)
+    read = read_warc(index, path, s)
+    used = {r["p"] for r in read.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(used) > 4
+    got = {r["page_id"]: r["payload"].decode() for r in read.collect()}
+    assert got == {i: html for i, _, html, _ in rows}
