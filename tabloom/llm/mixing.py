@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.joins import attach
+from tabloom.functions.running import running
 from tabloom.llm.common import table, text_or_empty, unhashed
 from tabloom.llm.registry import query
 from tabloom.session import settle, stored
@@ -38,6 +39,7 @@ class MixSettings:
     bucket_docs: int = 1000
     rounds: int = 16  # of the permutation
     task_slots: int = 100_000
+    task_shards: int = 10_000  # output shards that a task draws for
     seed: int = 7
 
 
@@ -114,8 +116,22 @@ def _shard_counts(sources: DataFrame, settings: MixSettings) -> DataFrame:
             }
         )
     )
-    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)).alias("shard")
-    sure = expected.where("_each >= 1").select("rank", shards, F.floor("_each").alias("n"))
+    expected = settle(expected)
+    figures = expected.select("_shards", "_all", "_n").first()
+    spark = sources.sparkSession
+    if figures is None:
+        return spark.createDataFrame([], "rank int, shard long, n long")
+    n_shards, all_parts, n_sources = int(figures["_shards"]), figures["_all"], figures["_n"]
+    # few rows that become many: dealt out by runs of shards before they are written out
+    step = settings.task_shards
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_shards - 1) // step).cast("long"))).alias("_run")
+    n_runs = max(1, math.ceil(n_shards / step))
+    sure = (
+        expected.where("_each >= 1")
+        .select("rank", F.floor("_each").alias("n"), runs)
+        .repartition(n_runs, "rank", "_run")
+        .select("rank", F.explode(F.sequence(F.col("_run") * step, F.least((F.col("_run") + 1) * step, F.lit(n_shards)) - 1)).alias("shard"), "n")
+    )
     # the interval of a source on the line of parts, cut into cells to be joined by
     cell = lambda x: F.floor(x * F.col("_n") / F.col("_all"))
     start = F.col("_to") - F.col("_part")
@@ -127,10 +143,9 @@ def _shard_counts(sources: DataFrame, settings: MixSettings) -> DataFrame:
     )
     u = lambda *x: unhashed(F.xxhash64(F.lit(settings.seed), *x))
     draws = (
-        expected.select("_shards", "_all", "_n")
-        .limit(1)
+        spark.range(0, n_shards, 1, n_runs)
+        .select(F.lit(all_parts).alias("_all"), F.lit(n_sources).alias("_n"), F.col("id").alias("shard"))
         .where("_all > 0")
-        .select("_all", "_n", shards)
         .withColumn("_k", F.floor(F.col("_all") + u(F.lit("draws"), F.col("shard"))))
         .where("_k > 0")
         .select("_all", "_n", "shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("_d"))
@@ -177,11 +192,9 @@ def plan_mix(docs: DataFrame, settings: MixSettings = MixSettings(), text_col: s
         weight="n_docs",
         max_rows=MAX_BROADCAST_SOURCES,
     ).withColumn("_bucket", F.pmod("_key", F.col("n_buckets")))
-    earlier = Window.partitionBy("rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_starts = (
-        placed.groupBy("rank", "_bucket")
-        .agg(F.sum("size").alias("_size"))
-        .select("rank", "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
+    buckets = placed.groupBy("rank", "_bucket").agg(F.sum("size").alias("_size"))
+    bucket_starts = running(stored(buckets, "buckets"), ["rank"], [F.col("_bucket")], {"_upto": ("sum", "_size")}).select(
+        "rank", "_bucket", (F.col("_upto") - F.col("_size")).alias("_base")
     )
     within = (
         Window.partitionBy("rank", "_bucket")
@@ -194,10 +207,8 @@ def plan_mix(docs: DataFrame, settings: MixSettings = MixSettings(), text_col: s
         .withColumn("start", F.col("_base") + F.col("_before"))
         .select("doc_id", "source", "rank", "size", "source_size", "target", "start")
     )
-    done = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counted = _shard_counts(sources, settings).withColumn(
-        "_from", F.coalesce(F.sum("n").over(done), F.lit(0))
-    )
+    counts = stored(_shard_counts(sources, settings), "shard_counts")
+    counted = running(counts, ["rank"], [F.col("shard")], {"_to": ("sum", "n")}).withColumn("_from", F.col("_to") - F.col("n"))
     expected = F.sum(F.col("target") / F.col("source_size") * F.col("n_blocks"))
     n_slots = sources.where("source_size > 0").agg(expected).first()[0] or 0
     # few rows that become many: dealt to as many tasks as their slots need
