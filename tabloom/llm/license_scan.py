@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table, text_or_empty
+from tabloom.llm.common import let, table, text_or_empty
 from tabloom.llm.license_texts import SPELLINGS, full_texts, known_texts
 from tabloom.llm.registry import query
+from tabloom.session import stored
 
 COPYRIGHT = r"^[\s#*/;-]*(copyright|\(c\)|©).*(\d{4}|\(c\)|©|<year>|\[yyyy\]).*$"
 _VARIANT = r"\b(" + "|".join(SPELLINGS) + r")\b"
@@ -68,15 +69,24 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text_col: str = "text") ->
     matches nothing; its digest is that of the empty string. Rows with equal id
     and text get equal results; a null id is an id like any other.
     """
-    lined = docs.select(
-        "doc_id",
-        F.xxhash64("doc_id", text_col).alias("_key"),
-        canonical_lines(text_or_empty(text_col)).alias("_lines"),
+    # the known texts are a bounded table: their digests pick the lines that can match
+    listed = [r["digest"] for r in known.select("digest").distinct().collect()]
+    canonical = canonical_lines(text_or_empty(text_col))
+    found = let(
+        canonical,
+        lambda lines: F.struct(
+            digest(F.array_join(lines, " ")).alias("digest"),
+            F.filter(F.transform(lines, digest), lambda d: d.isin(listed)).alias("_lines"),
+        ),
+    )
+    # canonical lines are the costly part: made once, and only digests are kept
+    lined = stored(
+        docs.select("doc_id", F.xxhash64("doc_id", text_col).alias("_key"), found.alias("f")).select("doc_id", "_key", "f.*"),
+        "lines",
     )
     hits = (
         # rows that agree in id and text have the same lines; a position counts once
-        lined.select("doc_id", "_key", F.posexplode("_lines").alias("_pos", "_line"))
-        .withColumn("digest", digest(F.col("_line")))
+        lined.select("doc_id", "_key", F.posexplode("_lines").alias("_pos", "digest"))
         .join(F.broadcast(known), "digest")
         .groupBy("doc_id", "_key", "_pos")
         .agg(F.first("license").alias("license"))
@@ -86,7 +96,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text_col: str = "text") ->
             F.count(F.lit(1)).alias("n_license_lines"),
         )
     )
-    whole = lined.withColumn("digest", digest(F.array_join("_lines", " "))).drop("_lines")
+    whole = lined.drop("_lines")
     return (
         whole.join(F.broadcast(known.withColumnRenamed("license", "text_license")), "digest", "left")
         .alias("w")
