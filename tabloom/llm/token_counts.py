@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions.joins import BROADCAST_ROWS
 from tabloom.llm.common import table
 from tabloom.llm.registry import query
 from tabloom.session import stored, work_dir
@@ -127,11 +128,17 @@ def token_counts(docs: DataFrame, tokenizer: TokenizerFile, cache_path: str, lim
     cached = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     # appends of two runs at once may both hold a digest
     cached = cached.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    texts = docs.select("text").mapInArrow(lambda b: _digests(b, True), "digest binary, text string")
-    # dealt once by digest: the join with the cache and the encoder share this shuffle
-    misses = texts.repartition("digest").join(cached.select("digest"), "digest", "left_anti")
+    # digests meet the cache first; texts are read again, and moved, for the misses only
+    misses = stored(marked.select("digest").distinct().join(cached.select("digest"), "digest", "left_anti"), "misses")
+    n_misses = misses.count()
+    texts = docs.limit(0) if n_misses == 0 else docs
+    texts = texts.select("text").mapInArrow(lambda b: _digests(b, True), "digest binary, text string")
+    if n_misses <= BROADCAST_ROWS:
+        missed = texts.join(F.broadcast(misses), "digest", "left_semi").repartition("digest")
+    else:  # as many as the encoder's shuffle moves anyway
+        missed = texts.repartition("digest").join(misses, "digest", "left_semi")
     new = stored(
-        misses.sortWithinPartitions("digest")
+        missed.sortWithinPartitions("digest")
         .mapInArrow(_encoder(tokenizer.path), "digest binary, n_tokens long"),
         "new_counts",
     )
