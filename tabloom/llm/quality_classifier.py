@@ -98,7 +98,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: QualitySetting
     The sample is chosen by key; texts are only fetched for the chosen keys,
     whose number is bounded, so they are not shuffled. Repeated rows count once.
     A text of more than ``long_share`` of the characters follows all shorter ones
-    and gives its beginning only, so that no text can keep the others out.
+    and gives one piece of that size, drawn by hash from all its pieces, so that
+    no text can keep the others out and no part of a text is preferred.
     """
     key = F.xxhash64(F.lit(settings.seed), "doc_id", "text").alias("_h")
     most = max(int(settings.long_share * settings.max_training_chars), 1)
@@ -115,7 +116,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: QualitySetting
     )
     chosen = settle(chosen.withColumn("_sum", so_far).where(F.col("_sum") <= settings.max_training_chars))
     found = docs.select("doc_id", "text", key).join(F.broadcast(chosen.select("doc_id", "_h")), ["doc_id", "_h"])
-    return found.dropDuplicates(["doc_id", "_h"]).select("doc_id", F.left("text", F.lit(most)).alias("text"))
+    return found.dropDuplicates(["doc_id", "_h"]).select("doc_id", _piece(F.col("text"), F.col("_h"), most).alias("text"))
+
+
+def _piece(text: Column, draw: Column, most: int) -> Column:
+    """The text, or one of its pieces of ``most`` characters."""
+    n = F.greatest(F.ceil(F.length(text) / most), F.lit(1))
+    return F.substring(text, (F.pmod(draw, n) * most + 1).cast("int"), F.lit(most))
 
 
 def count_grams(texts: DataFrame, settings: QualitySettings) -> DataFrame:

@@ -113,3 +113,14 @@ def test_odd_rows_and_missing_labels(spark):
     none = classify_quality(docs, labels.limit(0)).collect()
     assert len(none) == 5 and all(r["kept"] for r in none)
     assert classify_quality(docs.limit(0), labels).count() == 0
+
+
+def test_a_long_text_gives_a_piece_drawn_by_hash(spark):
+    from tabloom.llm.quality_classifier import _piece
+
+    text = "".join(f"{k:04d}" for k in range(250))  # 1000 characters
+    rows = spark.range(200).select(F.lit(text).alias("t"), F.xxhash64("id").alias("h"))
+    pieces = {r["p"] for r in rows.select(_piece(F.col("t"), F.col("h"), 300).alias("p")).collect()}
+    assert pieces == {text[k : k + 300] for k in range(0, 1000, 300)}
+    odd = spark.createDataFrame([(None, 1), ("", -7), ("abc", -1)], "t string, h long")
+    assert [r["p"] for r in odd.select(_piece(F.col("t"), F.col("h"), 3).alias("p")).collect()] == [None, "", "abc"]
