@@ -93,16 +93,24 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return punctuation | (bars > rules.max_bars) | phrase
 
 
+OUTPUTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "base_failed", "n_lost_chars", "kept",
+)
+
+
 def quality_rules(
     docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()
 ) -> DataFrame:
     """Add measures, ``clean_text`` and ``kept``; every row of ``docs`` comes back.
 
     A null text counts as empty: no words, ``base_failed``, not kept. Columns
-    of ``docs`` named like an output are replaced; others pass through.
-    Repeated rows are judged alike, and an empty table gives an empty table.
+    of ``docs`` named like an output are replaced; others pass through,
+    whatever their names. Repeated rows are judged alike, and an empty table
+    gives an empty table.
     """
-    text = text_or_empty(text_col)
+    names = docs.columns
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    text = text_or_empty("_text")
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     measured = (
         docs.withColumn("_words", words(text))
@@ -119,10 +127,10 @@ def quality_rules(
             }
         )
     )
-    clean = F.when(F.size("_good") == F.size("_lines"), F.col(text_col)).otherwise(
+    clean = F.when(F.size("_good") == F.size("_lines"), F.col("_text")).otherwise(
         F.array_join("_good", "\n")
     )
-    return (
+    judged = (
         measured.withColumn("clean_text", clean)
         .withColumn(
             "base_failed",
@@ -136,8 +144,8 @@ def quality_rules(
             ~F.col("base_failed")
             & (F.col("n_lost_chars") <= F.col("word_chars") * F.lit(rules.max_lost_share)),
         )
-        .drop("_words", "_lines", "_full", "_good")
     )
+    return judged.select(*[F.col("_row")[c].alias(c) for c in names if c not in OUTPUTS], *OUTPUTS)
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:

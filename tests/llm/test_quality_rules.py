@@ -71,3 +71,13 @@ def test_lines_and_verdicts(spark):
     assert staged.columns == df.columns
     assert {(r["doc_id"], r["text"], r["clean_text"]) for r in staged.collect()} == {(1, prose, "a"), (2, prose, "b")}
     assert quality_stage(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["_lines", "_words", "_full", "_good", "_row", "_text", "n_words", "plain"]
+    df = spark.createDataFrame([(1, GOOD + " Once more.", *names)], ["doc_id", "text", *names])
+    out = quality_rules(df)
+    assert out.columns.count("n_words") == 1
+    row = out.first()
+    assert [row[n] for n in names if n != "n_words"] == [n for n in names if n != "n_words"] and row["n_words"] == 21
+    assert quality_stage(df).first().asDict() == df.first().asDict()
