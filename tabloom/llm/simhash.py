@@ -257,12 +257,12 @@ def dedup_stage(docs: DataFrame, settings: SimHashSettings = SimHashSettings())
         F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key")),
     )
     single = found.where("c.n = 1").select("d._doc")
-    # rows that share id and text: the first by their other columns
+    # rows that share id and text: the first by their other columns as text, kept as it is
     many = (
         found.where("c.n > 1")
         .groupBy("d.doc_id", "d.text_key")
-        .agg(F.min(F.to_json("d._doc")).alias("j"))
-        .select(F.from_json("j", work.schema["_doc"].dataType).alias("_doc"))
+        .agg(F.min_by("d._doc", F.col("d._doc").cast("string")).alias("_doc"))
+        .select("_doc")
     )
     return single.unionByName(many).select("_doc.*")
 

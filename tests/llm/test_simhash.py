@@ -108,3 +108,16 @@ def test_stage_keeps_one_row_of_each_group(spark):
     kept = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert len(kept) == len({w[2] for w in want(EDGES)})
     assert {i for i, _ in kept} == {w[2] for w in want(EDGES)}
+
+
+def test_stage_keeps_rows_as_they_are(spark):
+    """Repeated ids and texts: microseconds, decimals, maps and nulls of the kept row are not touched."""
+    import datetime
+    from decimal import Decimal
+
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 123456)
+    rows = [(1, "same text here", at, Decimal("1.10"), {"a": None}, (None, 2)), (1, "same text here", at, Decimal("1.20"), {"a": None}, (None, 2))]
+    kind = "doc_id long, text string, at timestamp, price decimal(38,18), m map<string,int>, s struct<x:int,y:int>"
+    df = spark.createDataFrame(rows, kind)
+    (kept,) = dedup_stage(df).collect()
+    assert kept in df.collect()
