@@ -28,8 +28,8 @@ HEADLINE = [
     "spline_basis",
     "repeated_kfold",
     "knn_classifier",
-    "gbt_regressor_large",
-    "rf_classifier_large",
+    "gbt_regressor",
+    "rf_classifier",
     "score_rmse",
     "score_medae",
     "score_auc",

@@ -2,7 +2,8 @@
 
 One tree of depth one on a single 0/1 feature predicts the mean, or the class
 shares, of the training rows with the same feature value; depth zero predicts
-those of all training rows. Every fold is held out once and predicted.
+those of all training rows. Every fold is held out once and predicted. The same
+operators in their real settings are in ``catalog.learned``.
 """
 
 from __future__ import annotations
@@ -62,20 +63,20 @@ MEAN_SQL = f"""WITH {ROWS_SQL}, {_others_sql('price')}
         SELECT row_id, round(v / n, 4) AS p FROM r JOIN s USING (big, fold)"""
 
 
-@query("rf_regressor", MEAN_SQL)
+@query("rf_regressor_exact", MEAN_SQL)
 def rf_regressor(spark: SparkSession, sf: str) -> DataFrame:
     out = _all_folds(spark, sf, M.Spec("rf", TREE), "price")
     return out.select("row_id", F.round("p", 4).alias("p"))
 
 
-@query("gbt_regressor", MEAN_SQL)
+@query("gbt_regressor_exact", MEAN_SQL)
 def gbt_regressor(spark: SparkSession, sf: str) -> DataFrame:
     out = _all_folds(spark, sf, M.Spec("gbt", STUMP), "price")
     return out.select("row_id", F.round("p", 4).alias("p"))
 
 
 @query(
-    "rf_classifier",
+    "rf_classifier_exact",
     f"""WITH {ROWS_SQL}, c AS (SELECT big, fold, flag3, count(*) AS n FROM r GROUP BY 1, 2, 3),
         s AS (SELECT a.big, f.fold, flag3, sum(a.n) AS n FROM c a JOIN (SELECT DISTINCT fold FROM r) f ON a.fold <> f.fold GROUP BY 1, 2, 3),
         top AS (SELECT fold, count(DISTINCT c) AS tops FROM (SELECT big, fold, arg_max(flag3, n) AS c FROM s GROUP BY 1, 2) GROUP BY 1),
@@ -90,7 +91,7 @@ def rf_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "gbt_classifier",
+    "gbt_classifier_exact",
     f"""WITH {ROWS_SQL}, {_others_sql('2 * is_r - 1')}
         SELECT row_id, round(1 / (1 + exp(-2 * CAST(v AS DOUBLE) / n)), 6) AS p FROM r JOIN s USING (big, fold)""",
 )
@@ -101,7 +102,7 @@ def gbt_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "multi_target_regressor",
+    "multi_target_regressor_exact",
     """WITH t AS (SELECT doc_id, lang = 'en' AS en, quality, toxic FROM labels JOIN documents USING (doc_id))
         SELECT doc_id, round(avg(quality) OVER (PARTITION BY en), 6) AS p_quality, round(avg(toxic) OVER (PARTITION BY en), 6) AS p_toxic FROM t""",
 )
@@ -151,7 +152,7 @@ def _valid(store: T.Store) -> DataFrame:
 
 
 @query(
-    "train_folds",
+    "train_folds_exact",
     f"""WITH {PLAN_SQL} SELECT CASE depth WHEN 0 THEN 'flat' ELSE 'deep' END AS submission, CAST(fold AS INTEGER) AS fold, round(value, 4) AS value, n_rows
         FROM e WHERE fold < 3""",
 )
@@ -163,7 +164,7 @@ def train_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "train_folds_predictions",
+    "train_folds_predictions_exact",
     f"""WITH {PLAN_SQL} SELECT 'valid' AS split, row_id, round(p, 4) AS p FROM t JOIN one USING (big, fold) WHERE fold = 1
         UNION ALL SELECT 'test', row_id, round(p, 4) FROM test JOIN one USING (big) WHERE one.fold = 1""",
 )
@@ -176,7 +177,7 @@ def train_folds_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "retrain_full",
+    "retrain_full_exact",
     f"""WITH {PLAN_SQL}, m AS (SELECT big, avg(price) AS p FROM t GROUP BY 1) SELECT row_id, round(p, 4) AS p FROM test JOIN m USING (big)""",
 )
 def retrain_full(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +188,7 @@ SPACE = H.Space([H.Dim("maxDepth", (0, 1), 0)])
 
 
 @query(
-    "search",
+    "search_exact",
     f"""WITH {PLAN_SQL}, m AS (SELECT 'tree_hyperopt_' || substr(sha256(CAST(depth AS VARCHAR)), 1, 10) AS submission, avg(value) AS value FROM e WHERE fold < 2 GROUP BY 1)
         SELECT submission, round(value, 4) AS mean_valid, value = min(value) OVER () AS best FROM m""",
 )
@@ -200,7 +201,7 @@ def search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select_and_train",
+    "select_and_train_exact",
     f"""WITH {PLAN_SQL}, b AS (SELECT arg_min(depth, value) AS depth FROM e WHERE fold = 0)
         SELECT CASE depth WHEN 0 THEN 'flat' ELSE 'deep' END AS submission, round(avg(value), 4) AS mean_valid FROM e JOIN b USING (depth) WHERE fold < 3 GROUP BY 1""",
 )
@@ -213,7 +214,7 @@ def select_and_train_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "growing_folds",
+    "growing_folds_exact",
     f"""WITH {PLAN_SQL}, b AS (SELECT arg_min(depth, m) AS depth FROM (SELECT depth, avg(value) AS m FROM e WHERE fold < 2 GROUP BY 1))
         SELECT CASE depth WHEN 0 THEN 'flat' ELSE 'deep' END AS submission, CAST(fold AS INTEGER) AS fold, round(value, 4) AS value, n_rows
         FROM e LEFT JOIN b USING (depth) WHERE fold < 2 OR (fold = 2 AND depth IN (SELECT depth FROM b))""",

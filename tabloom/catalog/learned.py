@@ -89,13 +89,13 @@ def _fit_query(name: str, kind: str, params: dict, target: str, classes: int = 0
     query(name)(run)
 
 
-_fit_query("gbt_classifier_large", "gbt", {"maxIter": 5, "maxDepth": 3, "early_stop": True}, "is_r", 2)
+_fit_query("gbt_classifier", "gbt", {"maxIter": 5, "maxDepth": 3, "early_stop": True}, "is_r", 2)
 _fit_query("gbt_classifier_multiclass", "gbt", {"maxIter": 3, "maxDepth": 3}, "flag3", 3)
-_fit_query("gbt_regressor_large", "gbt", {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}, "price")
+_fit_query("gbt_regressor", "gbt", {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}, "price")
 _fit_query("gbt_regressor_absolute", "gbt", {"maxIter": 4, "maxDepth": 3}, "price", score="mae")
 _fit_query("gbt_regressor_log", "gbt", {"maxIter": 4, "maxDepth": 3}, "price", score="rmsle")
-_fit_query("rf_classifier_large", "rf", {"numTrees": 8, "maxDepth": 4}, "flag3", 3)
-_fit_query("rf_regressor_large", "rf", {"numTrees": 8, "maxDepth": 5}, "price")
+_fit_query("rf_classifier", "rf", {"numTrees": 8, "maxDepth": 4}, "flag3", 3)
+_fit_query("rf_regressor", "rf", {"numTrees": 8, "maxDepth": 5}, "price")
 _fit_query("kernel_svm_classifier", "kernel_svm", {"components": 16, "gamma": 0.2, "maxIter": 10}, "is_r", 2)
 _fit_query("kernel_svm_regressor", "kernel_svm", {"components": 16, "gamma": 0.2, "maxIter": 20}, "price")
 _fit_query("spline_mlp_classifier", "spline", {"knots": 5, "hidden": (8,), "maxIter": 15}, "flag3", 3)
@@ -149,7 +149,7 @@ def spline_regressor(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("p", F.round("p", 2))
 
 
-@query("multi_target_regressor_large")
+@query("multi_target_regressor")
 def multi_target_regressor(spark: SparkSession, sf: str) -> DataFrame:
     """Quality and toxicity of the labelled documents from their length and language."""
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", (F.col("lang") == "en").cast("double").alias("en"))
@@ -215,41 +215,50 @@ def _store(spark: SparkSession) -> T.Store:
     return T.Store(spark, work_dir(spark, "results"))
 
 
-@query("train_folds_large")
+def _predictions(store: T.Store) -> DataFrame:
+    """Everything the store holds, a row per submission, fold, split and row."""
+    return store.read("predictions", T.predictions_schema()).drop("class")
+
+
+@query("train_folds")
 def train_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out and test predictions of two submissions on two folds."""
     store = _store(spark)
     specs = {"a": _spec({"maxIter": 2, "maxDepth": 2}), "b": M.Spec("spline", {"knots": 3}, "rmse")}
-    return T.train_folds(store, _task(spark, sf), specs, [0, 1])
+    T.train_folds(store, _task(spark, sf), specs, [0, 1])
+    return _predictions(store)
 
 
-@query("retrain_full_large")
+@query("retrain_full")
 def retrain_full(spark: SparkSession, sf: str) -> DataFrame:
     return T.retrain_full(_task(spark, sf), _spec({"maxIter": 3, "maxDepth": 3}))
 
 
-@query("search_large")
+@query("search")
 def search(spark: SparkSession, sf: str) -> DataFrame:
     drawn = H.random_trials(spark, SPACE, 3, seed=5).collect()
     specs = {f"gbt_hyperopt_{r['hash']}": _spec(SPACE.decode(r["indices"])) for r in drawn}
-    means, _ = T.search(_store(spark), _task(spark, sf), specs, [0, 1])
-    return means
+    store = _store(spark)
+    _, best = T.search(store, _task(spark, sf), specs, [0, 1])
+    return _predictions(store).withColumn("best", F.col("submission") == best)
 
 
-@query("select_and_train_large")
+@query("select_and_train")
 def select_and_train_query(spark: SparkSession, sf: str) -> DataFrame:
     """Two settings on one fold; the better one goes on to a second."""
     store, task = _store(spark), _task(spark, sf)
     specs = {"deep": _forest({"maxDepth": 5}), "flat": _forest({"maxDepth": 1})}
     T.train_folds(store, task, specs, [0])
-    return select_and_train(store, task, specs, [0], [0, 1], top_n=1)
+    select_and_train(store, task, specs, [0], [0, 1], top_n=1)
+    return _predictions(store)
 
 
-@query("growing_folds_large")
+@query("growing_folds")
 def growing_folds(spark: SparkSession, sf: str) -> DataFrame:
     store, task = _store(spark), _task(spark, sf)
     specs = {"deep": _forest({"maxDepth": 5}), "flat": _forest({"maxDepth": 1})}
     names = grow_folds(store, task, specs, first=0, start=2, stop=3, top_n=1, n_sigma=1.0)
-    return store.scores().where(F.col("submission").isin(names) & (F.col("step") == "valid"))
+    return _predictions(store).withColumn("kept", F.col("submission").isin(names))
 
 
 def _race(spark: SparkSession, sf: str) -> Race:
@@ -289,7 +298,8 @@ def setup_and_start_query(spark: SparkSession, sf: str) -> DataFrame:
     kit.meta.roles.pop("place")
     kit = Kit(kit.train.drop("place"), kit.test.drop("place"), kit.meta)
     spec = M.Spec("gbt", {"maxIter": 2, "maxDepth": 3}, "rmse")
-    _, means = setup_and_start(kit, _store(spark), spec=spec)
-    return means
+    store = _store(spark)
+    setup_and_start(kit, store, spec=spec)
+    return _predictions(store)
 
 
