@@ -40,11 +40,31 @@ def scale_minmax(spark: SparkSession, sf: str) -> DataFrame:
     return _r(N.scale_minmax(kit.train, kit.both().select("id", "balance"), ["balance"]), "balance")
 
 
-@query("scale_quantile")
+def _uniform_sql(c: str) -> str:
+    """The mean of the interpolations on the grid ``g_c`` from below and from above."""
+    ref = lambda k: f"({k} - 1) / (len(g_{c}) - 1)::DOUBLE"
+    part = f"({c} - g_{c}[j_{c}]) / (g_{c}[j_{c} + 1] - g_{c}[j_{c}])"
+    up = f"CASE WHEN j_{c} = 0 THEN 0 WHEN j_{c} = len(g_{c}) THEN 1 ELSE {ref(f'j_{c}')} + {part} / (len(g_{c}) - 1) END"
+    part = f"(g_{c}[k_{c}] - {c}) / (g_{c}[k_{c}] - g_{c}[k_{c} - 1])"
+    down = f"CASE WHEN k_{c} = 1 THEN 0 WHEN k_{c} > len(g_{c}) THEN 1 ELSE {ref(f'k_{c}')} - {part} / (len(g_{c}) - 1) END"
+    return f"CASE WHEN {c} IS NOT NULL THEN round(({up} + {down}) / 2, 6) END AS {c}"
+
+
+_SCALED = ("balance", "nationkey")
+
+
+@query(
+    "scale_quantile",
+    f"""WITH {KIT_SQL}, n AS (SELECT least(1000, greatest(2, count(*))) AS n FROM train),
+        p AS (SELECT list_transform(range(n), lambda i: i / (n - 1)::DOUBLE) AS p FROM n),
+        g AS (SELECT {', '.join(f"(SELECT list(q ORDER BY i) FROM (SELECT i, lo + (hi - lo) * (h - floor(h)) AS q FROM (SELECT i, h, s[CAST(floor(h) AS BIGINT) + 1] AS lo, s[CAST(ceil(h) AS BIGINT) + 1] AS hi FROM (SELECT i, i * (len(s) - 1) / (n - 1)::DOUBLE AS h, s FROM (SELECT list(CAST({c} AS DOUBLE) ORDER BY {c}) FILTER ({c} IS NOT NULL) AS s FROM train), (SELECT n, unnest(range(n)) AS i FROM n))))) AS g_{c}" for c in _SCALED)}),
+        x AS (SELECT id, {', '.join(f"CAST({c} AS DOUBLE) AS {c}, g_{c}, len(list_filter(g_{c}, lambda q: q <= CAST({c} AS DOUBLE))) AS j_{c}, len(list_filter(g_{c}, lambda q: q < CAST({c} AS DOUBLE))) + 1 AS k_{c}" for c in _SCALED)} FROM kit, g)
+        SELECT id, {', '.join(_uniform_sql(c) for c in _SCALED)} FROM x""",
+)
 def scale_quantile(spark: SparkSession, sf: str) -> DataFrame:
     kit = order_kit(spark, sf)
-    both = kit.both().select("id", "balance", "nationkey")
-    return N.scale_quantile(kit.train, both, ["balance", "nationkey"])
+    both = kit.both().select("id", *_SCALED)
+    return _r(N.scale_quantile(kit.train, both, list(_SCALED)), *_SCALED)
 
 
 def _spline_sql(j: int) -> str:
