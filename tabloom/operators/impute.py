@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,10 +142,14 @@ def impute_cat_model(
     trees: int = 40,
     depth: int = 7,
     seed: int = 61,
+    max_classes: int = 64,
 ) -> Kit:
     """Fill a categorical column by a forest over the other columns.
 
-    A column with a single label gets the literal ``missing`` instead.
+    A column with a single label gets the literal ``missing`` instead. Beyond
+    ``max_classes`` labels a forest would hold a number per label in every node;
+    then each label gets a code word, a small forest learns each of its bits,
+    and a gap gets the label whose code word is the likeliest.
     """
     counts = value_counts(kit.train, [col]).where("value is not null")
     # numbered by value; the forest knows the numbers, and a table gives the labels back
@@ -151,12 +161,83 @@ def impute_cat_model(
     )
     if codes.rows <= 1:
         return _fill_both(kit, {col: "missing"})
+    if codes.rows > max_classes:
+        return _impute_by_bits(kit, col, num, [c for c in cat if c != col], codes, max(1, trees // 4), depth, seed)
     model = RandomForestClassifier(
         featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees, maxDepth=depth, seed=seed
     )
     return _impute_model(kit, col, num, [c for c in cat if c != col], model, codes)
 
 
+def code_bits(labels: int) -> int:
+    """Twice the bits that tell the labels apart, so that code words differ in several."""
+    return 2 * math.ceil(math.log2(max(labels, 2))) + 2
+
+
+def code_words(codes: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """A pseudorandom 0/1 row per label number."""
+    state = codes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, bits + 1, dtype=np.uint64) * np.uint64(
+        0xBF58476D1CE4E5B9
+    ) + np.uint64(seed)
+    state = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    state = (state ^ (state >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((state ^ (state >> np.uint64(31))) >> np.uint64(40) & np.uint64(1)).astype(np.int8)
+
+
+def _impute_by_bits(kit: Kit, col: str, num: list[str], cat: list[str], codes: Fitted, trees: int, depth: int, seed: int) -> Kit:
+    """One forest of two classes per bit of the code words; the driver holds no label."""
+    if not kit.both().agg(F.max(is_missing(kit.train, col).cast("int"))).first()[0]:
+        return kit
+    bits, n_labels = code_bits(codes.rows), codes.rows
+    stages, inputs = _neighbours(kit.both(), num, cat)
+    known = kit.train.where(~is_missing(kit.train, col)).select(F.col(f"`{col}`").cast("string").alias("_label"), *inputs)
+    prep = Pipeline(stages=stages).fit(kit.train.limit(0).select(*inputs))
+
+    @F.pandas_udf("array<double>")
+    def word(code: pd.Series) -> pd.Series:
+        return pd.Series(list(code_words(code.to_numpy().astype(np.int64), bits, seed).astype(float)))
+
+    coded = attach(known, codes, ["_label"], "inner").withColumn("_w", word("_code"))
+    data = stored(prep.transform(coded).select("_x", "_w"), "known")
+    forests = [
+        RandomForestClassifier(
+            featuresCol="_x", labelCol="_y", probabilityCol=f"_q{b}", predictionCol=f"_p{b}", rawPredictionCol=f"_r{b}",
+            numTrees=trees, maxDepth=depth, maxBins=128, seed=seed + b,
+        ).fit(data.select("_x", F.col("_w")[b].alias("_y")))
+        for b in range(bits)
+    ]
+
+    def likeliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = np.arange(n_labels)
+        for pdf in batches:
+            p = np.clip(np.stack(pdf["_q"].to_numpy()).astype(float), 1e-6, 1 - 1e-6) if len(pdf) else np.zeros((0, bits))
+            best = np.full(len(p), -np.inf)
+            code = np.zeros(len(p))
+            for at in range(0, n_labels, 4096):  # labels in blocks, so memory does not grow with them
+                words = code_words(numbers[at : at + 4096], bits, seed).astype(float)
+                fit = np.log(p) @ words.T + np.log(1 - p) @ (1 - words).T
+                k = fit.argmax(axis=1)
+                top = fit[np.arange(len(p)), k]
+                code = np.where(top > best, at + k, code)
+                best = np.maximum(best, top)
+            yield pdf.drop(columns=["_q"]).assign(_code=code)
+
+    def apply(df: DataFrame) -> DataFrame:
+        gap = is_missing(df, col)
+        gaps = stored(df.where(gap).withColumn("_row", F.monotonically_increasing_id()), "gaps")
+        out = prep.transform(gaps.select("_row", *inputs)).select("_row", "_x")
+        for f in forests:
+            out = f.transform(out)
+        out = out.select("_row", F.array(*[vector_to_array(f"_q{b}")[1] for b in range(bits)]).alias("_q"))
+        guess = attach(out.mapInPandas(likeliest, "_row long, _code double"), codes, ["_code"], "inner")
+        label = F.col("_label").cast(df.schema[col].dataType).alias(col, metadata=df.schema[col].metadata)
+        filled = gaps.drop(col).join(guess, "_row")
+        filled = filled.select(*[label if c == col else F.col(f"`{c}`") for c in df.columns])
+        return df.where(~gap).unionByName(filled)
+
+    return kit.replace(apply(kit.train), apply(kit.test))
+
+
 def _impute_model(kit: Kit, col: str, num: list[str], cat: list[str], model, codes: Fitted | None) -> Kit:
     gaps = kit.both().agg(F.max(is_missing(kit.train, col).cast("int"))).first()[0]
     if not gaps:

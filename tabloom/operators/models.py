@@ -8,6 +8,7 @@ probabilities in the order of ``classes``.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -65,6 +66,7 @@ class Model:
     read: object
     n_out: int = 1
     place: dict[str, Column] = field(default_factory=dict)
+    iterations: int | None = None  # of a fit in stages
 
     def predict(self, df: DataFrame) -> DataFrame:
         keep = df.columns
@@ -217,11 +219,14 @@ def _fit_classifier(spec: Spec, train, features, target, classes, id_col) -> Mod
         exprs = [e.cast("double") for g in groups.values() for e in g]
         train = train.withColumns(place) if place else train
         layers = [len(exprs), *p.pop("hidden", (20,)), classes]
-        p.setdefault("maxIter", 50)
-        est = MultilayerPerceptronClassifier(
-            featuresCol="_x", labelCol="_y", layers=layers, seed=spec.seed, **p
+        most, early = p.pop("maxIter", 50), p.pop("early_stop", True)
+        make = lambda **more: MultilayerPerceptronClassifier(
+            featuresCol="_x", labelCol="_y", layers=layers, seed=spec.seed, **p, **more
         )
-        model = _one_model(est, train, exprs, y, classes)
+        if early and id_col is not None:
+            model = _staged_network(make, train, exprs, y, classes, id_col, most)
+        else:
+            model = _one_model(make(maxIter=most), train, exprs, y, classes)
         model.place = place
         return model
     if spec.kind == "gbt":
@@ -235,11 +240,48 @@ def _fit_classifier(spec: Spec, train, features, target, classes, id_col) -> Mod
             LinearSVC(featuresCol="_x", labelCol="_y", **rest),
             None,
         ]
+        by = [F.col(f"`{id_col}`")] if id_col else [F.col(f"`{c}`") for c in features]
+        extra = [F.pmod(F.xxhash64(F.lit(spec.seed), *by), F.lit(CALIBRATION_PARTS)).alias("_part")]
     else:
         raise ValueError(f"no classifier {spec.kind}")
     return _per_class(make, train, exprs, y, classes, extra)
 
 
+#: iterations between two looks at the rows kept aside, and looks without gain before a stop
+STAGE_ITERATIONS = 10
+STAGE_PATIENCE = 2
+#: parts of the rows whose margins calibrate a margin-only model
+CALIBRATION_PARTS = 3
+
+
+def _staged_network(make, train: DataFrame, exprs, y, classes: int, id_col: str, most: int) -> Model:
+    """Fits in stages, each from the weights of the one before, until the log loss
+    on a tenth of the rows that no stage sees has not got better for a while.
+
+    The weights of the best stage are kept.
+    """
+    data = stored(assembled(train, exprs, y, [holdout(F.col(f"`{id_col}`")).alias("_stop")]), "network")
+    seen, aside = data.where("not _stop"), data.where("_stop")
+    if aside.isEmpty() or seen.select("_y").distinct().count() < 2:
+        return _one_model(make(maxIter=most), train, exprs, y, classes)
+    best, weights, worse, done = (float("inf"), None), None, 0, 0
+    while done < most and worse < STAGE_PATIENCE:
+        step = min(STAGE_ITERATIONS, most - done)
+        est = _renamed(make(maxIter=step, **({} if weights is None else {"initialWeights": weights})), 0)
+        model = est.fit(seen)
+        weights, done = model.weights, done + step
+        true = F.get(vector_to_array("_probabilityCol0"), F.col("_y").cast("int"))
+        loss = model.transform(aside).agg(-F.avg(F.log(F.greatest(true, F.lit(1e-15))))).first()[0]
+        if loss is not None and loss < best[0] * (1 - 1e-4):
+            best, worse = (loss, model), 0
+        else:
+            worse += 1
+    chosen = best[1] or model
+    out = Model(exprs, [PipelineModel(stages=[chosen])], vector_to_array("_probabilityCol0"), classes)
+    out.iterations = done
+    return out
+
+
 def _one_model(est, train, exprs, y, classes) -> Model:
     fitted = Pipeline(stages=[_renamed(est, 0)]).fit(assembled(train, exprs, y))
     return Model(exprs, [fitted], vector_to_array("_probabilityCol0"), classes)
@@ -248,7 +290,11 @@ def _one_model(est, train, exprs, y, classes) -> Model:
 def _per_class(make, train, exprs, y, classes: int, extra: list[Column]) -> Model:
     """Binary models, one per class beyond two, with normalised probabilities.
 
-    A margin-only model gets a logistic fit on its margin for probabilities.
+    A margin-only model gets a logistic fit on its margin for probabilities. The
+    margins are those of rows that the margin's own fit has not seen: the model
+    is fitted once more without each of a few parts of the rows, whose margins
+    are then taken and stored. Margins of a model's own rows lie too far apart
+    and would make the probabilities too sure.
     """
     data = assembled(train, exprs, y, extra)
     wanted = [1] if classes == 2 else list(range(classes))
@@ -260,7 +306,15 @@ def _per_class(make, train, exprs, y, classes: int, extra: list[Column]) -> Mode
         stages.append(model)
         col = f"_probabilityCol{i}"
         if len(kinds) > 1:
-            margins = model.transform(part)
+            data_parts = stored(part, "calibration")
+            seen = [data_parts.where(F.col("_part") != k) for k in range(CALIBRATION_PARTS)]
+            cross = [
+                Pipeline(stages=[_renamed(make()[0], i)]).fit(rows).transform(data_parts.where(F.col("_part") == k))
+                for k, rows in enumerate(seen)
+                if rows.select("_y").distinct().count() == 2  # a part may leave one class only
+            ]
+            margins = reduce(DataFrame.unionByName, cross) if cross else model.transform(part)
+            margins = stored(margins.select(f"_rawPredictionCol{i}", "_y"), "margins")
             calib = LogisticRegression(featuresCol=f"_rawPredictionCol{i}", labelCol="_y", regParam=1e-3)
             calib = calib._set(
                 predictionCol=f"_cp{i}", probabilityCol=f"_probabilityCol{i}", rawPredictionCol=f"_cr{i}"
