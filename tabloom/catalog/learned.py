@@ -217,7 +217,7 @@ def _store(spark: SparkSession) -> T.Store:
 
 def _predictions(store: T.Store) -> DataFrame:
     """Everything the store holds, a row per submission, fold, split and row."""
-    return store.read("predictions", T.predictions_schema()).drop("class")
+    return store.read("predictions", T.predictions_schema()).drop("class", "target")
 
 
 @query("train_folds")

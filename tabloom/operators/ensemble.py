@@ -27,8 +27,8 @@ FOLD_CELLS = 16_000_000
 
 
 def _cell(preds: DataFrame) -> list[str]:
-    """What a single number is predicted for: a row, or a row and class."""
-    return ["row_id", "class"] if "class" in preds.columns else ["row_id"]
+    """What a single number is predicted for: a row, a row and class, or a row and target."""
+    return ["row_id", *[c for c in ("class", "target") if c in preds.columns]]
 
 
 def bag(preds: DataFrame, keys: tuple[str, ...] = ("submission",)) -> DataFrame:
@@ -42,7 +42,17 @@ def bag(preds: DataFrame, keys: tuple[str, ...] = ("submission",)) -> DataFrame:
 
 def bag_ranks(preds: DataFrame) -> DataFrame:
     """Bag of the ranks within submission and fold, for rank-based scores."""
-    return bag(S.rank_rows(preds))
+    return bag(S.rank_rows(preds, _ranked_by(preds, ("submission", "fold"))))
+
+
+def _ranked_by(preds: DataFrame, keys: tuple[str, ...]) -> tuple[str, ...]:
+    """Ranks are those of one target."""
+    return (*keys, "target") if "target" in preds.columns else keys
+
+
+def score_of(preds: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """The score per key; with several targets the mean of theirs."""
+    return (S.combined if "target" in preds.columns else S.score)(preds, name, keys)
 
 
 def bagged_scores(preds: DataFrame, name: str, folds: list[int]) -> DataFrame:
@@ -58,7 +68,7 @@ def bagged_scores(preds: DataFrame, name: str, folds: list[int]) -> DataFrame:
     rows = upto.groupBy("submission", "n_folds", *_cell(preds)).agg(
         F.first("y").alias("y"), F.avg("p").alias("p")
     )
-    return S.score(rows, name, ("submission", "n_folds"))
+    return score_of(rows, name, ("submission", "n_folds"))
 
 
 # --- one greedy step -------------------------------------------------------
@@ -81,7 +91,7 @@ def blend_step(
     row = Window.partitionBy(*keys, *_cell(preds))
     base = F.sum(F.col("p") * times).over(row)
     mixed = preds.withColumn("p", (base + F.col("p")) / F.lit(len(chosen) + 1.0))
-    return S.score(mixed, name, (*keys, "submission"))
+    return score_of(mixed, name, (*keys, "submission"))
 
 
 def best_candidate(step: DataFrame, name: str, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
@@ -196,7 +206,8 @@ def blend(preds: DataFrame, name: str, max_steps: int | None = None) -> DataFram
     wide = stored(wide_predictions(preds, names), "wide")
     members, sizes = complete_members(wide, names)
     rows: list[tuple] = []
-    if name in ("rmse", "r2"):
+    several = "target" in wide.columns
+    if name in ("rmse", "r2") and not several:
         m = len(names)
         known = [F.when(F.col("fold").isin([f for f in folds if i in members[f]]), F.col("ps")[i]) for i in range(m)]
         filled = wide.withColumn("ps", F.array(*[F.coalesce(k, F.col("y").cast("double")) for k in known]))
@@ -219,15 +230,18 @@ def _greedy_in_tasks(
     """A fold's matrix of predictions, of bounded size, is walked through by one task."""
     lower = S.lower_is_better(name)
 
+    several = "target" in wide.columns
+
     def walk(table: pa.Table) -> pa.Table:
         fold = table.column("fold")[0].as_py()
+        target = np.asarray(table.column("target").combine_chunks().dictionary_encode().indices) if several else None
         y = np.asarray(table.column("y"), float)
         ps = np.asarray(table.column("ps").combine_chunks().flatten(), float).reshape(len(y), -1)
         mine = members[fold]
-        picks = G.greedy(name, lower, y, ps[:, mine], max_steps, MIN_GAIN)
+        picks = G.greedy(name, lower, y, ps[:, mine], max_steps, MIN_GAIN, target)
         return pa.table({"fold": pa.array([fold], pa.int32()), "picks": pa.array([[mine[k] for k in picks]], pa.list_(pa.int32()))})
 
-    rows = wide.select("fold", F.col("y").cast("double").alias("y"), "ps").groupBy("fold")
+    rows = wide.select("fold", F.col("y").cast("double").alias("y"), "ps", *["target"] * several).groupBy("fold")
     found = rows.applyInArrow(walk, "fold int, picks array<int>").collect()  # a row per fold
     return {f: [] for f in members} | {r["fold"]: [names[i] for i in r["picks"]] for r in found}
 
@@ -320,8 +334,8 @@ def _greedy_by_jobs(
     picks: dict[int, list[str]] = {f: [] for f in members}
     best = {f: float("inf") for f in members}
     open_folds = {f for f, ms in members.items() if ms}
-    cell = [c for c in wide.columns if c in ("row_id", "class")]
-    blocks, m, t = "class" in wide.columns, len(names), 0
+    cell = _cell(wide)
+    blocks, m, t = len(cell) > 1, len(names), 0
     edges = rank_edges(wide, m) if name in ("auc", "gini") and not blocks else {}
     while open_folds and (max_steps is None or t < max_steps):
         t += 1
@@ -352,7 +366,7 @@ def _greedy_by_jobs(
                 ((F.col("_base") + F.col("ps")[F.col("_i")]) / F.lit(float(t))).alias("p"),
             )
         )
-        scored = S.score(mixed, name, ("fold", "submission")).where("score is not null")
+        scored = score_of(mixed, name, ("fold", "submission")).where("score is not null")
         found = {r["fold"]: r for r in best_candidate(scored, name).collect()}  # a row per fold
         for f in sorted(open_folds):
             value = sign * found[f]["score"] if f in found else float("inf")
@@ -388,7 +402,7 @@ def blend_then_bag(preds: DataFrame, weights: DataFrame, name: str | None = None
     folds whose predictions lie on other scales then count alike.
     """
     blended = apply_blend(preds, weights)
-    return bag(S.rank_rows(blended, ("fold",)) if name in S.RANK_SCORES else blended, ())
+    return bag(S.rank_rows(blended, _ranked_by(blended, ("fold",))) if name in S.RANK_SCORES else blended, ())
 
 
 def bag_for(preds: DataFrame, name: str) -> DataFrame:

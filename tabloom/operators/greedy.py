@@ -91,7 +91,18 @@ def _ngini(y: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.array([np.nan if np.isnan(c).any() else _lorenz(y, c) / best for c in p.T])
 
 
+def _rmse(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(((y[:, None] - p) ** 2).mean(axis=0))
+
+
+def _r2(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    spread = y.var()
+    return 1 - ((y[:, None] - p) ** 2).mean(axis=0) / spread if spread else np.full(p.shape[1], np.nan)
+
+
 SCORES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "rmse": _rmse,
+    "r2": _r2,
     **{n: _mean(n) for n in MEANS},
     "medae": _medae,
     "auc": _auc,
@@ -106,13 +117,22 @@ def mixed(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ((p[:, have] @ counts[have])[:, None] + p) / (counts.sum() + 1)
 
 
-def greedy(name: str, lower: bool, y: np.ndarray, p: np.ndarray, steps: int | None, min_gain: float) -> list[int]:
+def of_targets(name: str, y: np.ndarray, p: np.ndarray, target: np.ndarray | None) -> np.ndarray:
+    """The score per column, the mean over the targets if rows have one."""
+    if target is None:
+        return SCORES[name](y, p)
+    return np.mean([SCORES[name](y[target == t], p[target == t]) for t in np.unique(target)], axis=0)
+
+
+def greedy(
+    name: str, lower: bool, y: np.ndarray, p: np.ndarray, steps: int | None, min_gain: float, target: np.ndarray | None = None
+) -> list[int]:
     """Columns chosen with replacement while the best next one betters the score."""
     sign, best = (1.0 if lower else -1.0), np.inf
     counts = np.zeros(p.shape[1])
     picks: list[int] = []
     while len(counts) and (steps is None or len(picks) < steps):
-        values = sign * SCORES[name](y, mixed(p, counts))
+        values = sign * of_targets(name, y, mixed(p, counts), target)
         k = int(np.argmin(np.where(np.isnan(values), np.inf, values)))
         if not values[k] < best - min_gain * abs(best if np.isfinite(best) else 0.0):
             break

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
@@ -18,7 +20,7 @@ from tabloom.operators.models import RIDGE_PENALTY, Spec, fit, fold_additive
 
 def rows_schema(id_kind: str = "bigint") -> str:
     """Predictions of one submission and fold; rows keep the type of their id."""
-    return f"split string, row_id {id_kind}, y double, class int, p double"
+    return f"split string, row_id {id_kind}, y double, class int, p double, target string"
 
 
 def predictions_schema(id_kind: str = "bigint") -> str:
@@ -40,6 +42,17 @@ class Task:
     features: list[str]
     score_name: str
     classes: int = 0
+    targets: tuple[str, ...] = ()  # of a regression with several
+
+    @property
+    def several(self) -> bool:
+        """Whether rows have a prediction per target, which is part of what is predicted."""
+        return len(self.targets) > 1
+
+    @property
+    def cell(self) -> list[str]:
+        """What one number is predicted for."""
+        return ["row_id"] + ["class"] * self.blocks + ["target"] * self.several
 
     @property
     def id_kind(self) -> str:
@@ -90,7 +103,7 @@ class Store:
 
     def predictions(self, task: Task, split: str = "valid") -> DataFrame:
         rows = self.read("predictions", predictions_schema(task.id_kind)).where(F.col("split") == split).drop("split")
-        return rows if task.blocks else rows.drop("class")
+        return _used(rows, task)
 
     def scores(self) -> DataFrame:
         return self.read("scores", SCORES)
@@ -99,6 +112,26 @@ class Store:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}")
 
 
+def _used(rows: DataFrame, task: Task) -> DataFrame:
+    """Without the columns that tell apart what this task does not have."""
+    return rows.drop(*["class"] * (not task.blocks), *["target"] * (not task.several))
+
+
+def task_score(preds: DataFrame, task: Task, keys: tuple[str, ...]) -> DataFrame:
+    """The task's score per key; with several targets the mean of theirs."""
+    return (S.combined if task.several else S.score)(preds, task.score_name, keys)
+
+
+def fit_predict(spec: Spec, task: Task, part: DataFrame, rows: DataFrame, keep: Callable[[str], list[Column]]) -> DataFrame:
+    """``rows`` predicted by fits on ``part``: one, or one per target."""
+    outs = []
+    for t in task.targets if task.several else (task.target,):
+        model = fit(spec, part, task.features, t, task.classes, task.id_col)
+        out = output_rows(model.predict(rows), task, keep(t))
+        outs.append(out.withColumn("target", F.lit(t if task.several else None).cast("string")))
+    return reduce(DataFrame.unionByName, outs)
+
+
 def output_rows(out: DataFrame, task: Task, keep: list[Column]) -> DataFrame:
     """The kept columns with ``class`` and ``p``.
 
@@ -116,9 +149,11 @@ def _fold_rows(task: Task, fold: int, n_parts: int) -> tuple[DataFrame, DataFram
     out = held_out(task.id_col, fold, n_parts)
     tagged = task.train.withColumn("split", F.when(out, F.lit("valid")).otherwise(F.lit("train")))
     test = task.test.withColumn("split", F.lit("test"))
-    if task.target not in test.columns:
-        test = test.withColumn(task.target, F.lit(None).cast("double"))
-    cols = [task.id_col, task.target, *task.features, "split"]
+    targets = task.targets if task.several else (task.target,)
+    for t in targets:
+        if t not in test.columns:
+            test = test.withColumn(t, F.lit(None).cast("double"))
+    cols = [task.id_col, *targets, *task.features, "split"]
     return task.train.where(~out), tagged.select(*cols).unionByName(test.select(*cols))
 
 
@@ -149,7 +184,7 @@ def _train_additive(
     store.write_folds(out, "predictions", submission)
     seconds = (time.monotonic() - start) / len(folds)
     saved = spark.read.schema(f"{rows_schema(task.id_kind)}, fold int").parquet(f"{store.path}/predictions/submission={submission}")
-    judged = saved.where(F.col("fold").isin(folds)).drop("class")
+    judged = saved.where(F.col("fold").isin(folds)).drop("class", "target")
     if train_score:
         judged = judged.unionByName(rows(task.train, "train", F.array_except(every, held)).drop("class"))
     sizes = judged.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -167,22 +202,17 @@ def _score_rows(scored: DataFrame, task: Task, seconds: float, *more: str) -> Da
 def _train_one(store: Store, task: Task, spec: Spec, submission: str, fold: int, n_parts: int, train_score: bool) -> None:
     start = time.monotonic()
     part, rows = _fold_rows(task, fold, n_parts)
-    model = fit(spec, part, task.features, task.target, task.classes, task.id_col)
-    keep = [
-        F.col("split"),
-        task.row_id(),
-        F.col(task.target).cast("double").alias("y"),
-    ]
-    out = output_rows(model.predict(rows), task, keep)
+    keep = lambda t: [F.col("split"), task.row_id(), F.col(t).cast("double").alias("y")]
+    out = fit_predict(spec, task, part, rows, keep)
     store.write(out.where("split <> 'train'"), "predictions", submission, fold)
     seconds = time.monotonic() - start
     saved = store.spark.read.schema(rows_schema(task.id_kind)).parquet(store.folder("predictions", submission, fold))
-    per_row = task.classes if task.blocks else 1
+    per_row = task.classes if task.blocks else max(1, len(task.targets))
 
     def judged(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        df = df if task.blocks else df.drop("class")
+        df = _used(df, task)
         sizes = df.groupBy("split").agg((F.count(F.lit(1)) / per_row).cast("long").alias("n_rows"))
-        return S.score(df.where("y is not null"), task.score_name, ("split",)), sizes
+        return task_score(df.where("y is not null"), task, ("split",)), sizes
 
     scored, sizes = judged(saved)
     if train_score:  # the training part is ten times as large and only its score is wanted
@@ -222,15 +252,16 @@ def train_folds(
     wanted = [(s, f) for s in specs for f in folds]
     todo = wanted if force else pending(store, wanted)
 
+    additive = lambda spec: not task.several and fold_additive(spec, task.classes)
     jobs: list[tuple[str, list[int]]] = []
     for s in specs:
         mine = [f for n, f in todo if n == s]
-        jobs += [(s, mine)] if mine and fold_additive(specs[s], task.classes) else [(s, [f]) for f in mine]
+        jobs += [(s, mine)] if mine and additive(specs[s]) else [(s, [f]) for f in mine]
 
     def run(job: tuple[str, list[int]]) -> Exception | None:
         name, mine = job
         try:
-            if fold_additive(specs[name], task.classes):
+            if additive(specs[name]):
                 _train_additive(store, task, specs[name], name, mine, n_parts, train_score)
             else:
                 _train_one(store, task, specs[name], name, mine[0], n_parts, train_score)
@@ -260,11 +291,8 @@ def mean_valid(scores: DataFrame) -> DataFrame:
 
 
 def retrain_full(task: Task, spec: Spec) -> DataFrame:
-    """``(row_id, class, p)`` for the test table from a fit on every training row."""
-    model = fit(spec, task.train, task.features, task.target, task.classes, task.id_col)
-    keep = [task.row_id()]
-    out = output_rows(model.predict(task.test), task, keep)
-    return out if task.blocks else out.drop("class")
+    """``(row_id[, class][, target], p)`` for the test table from a fit on every training row."""
+    return _used(fit_predict(spec, task, task.train, task.test, lambda t: [task.row_id()]), task)
 
 
 def search(

@@ -29,7 +29,7 @@ def labelled(preds: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def prediction_table(kit: Kit, task: Task, preds: DataFrame) -> DataFrame:
-    """``preds(row_id[, class], p)`` of the test rows in the shape that the score asks for.
+    """``preds(row_id[, class][, target], p)`` of the test rows in the shape that the score asks for.
 
     ``kit`` has been set up, so that its description lists the labels by code.
     Rows and their order are those of the sample file where there is one, else
@@ -45,6 +45,10 @@ def prediction_table(kit: Kit, task: Task, preds: DataFrame) -> DataFrame:
         labels = [str(v) for v in meta.target_values[target]]
         named = labelled(preds, labels).withColumnRenamed("row_id", id_col)
         out = class_output(ids, named, id_col, target, labels, meta.score_name, meta.positive_values.get(target))
+    elif task.several:
+        one = lambda t: F.max(F.when(F.col("target") == t, F.col("p"))).alias(t)
+        wide = preds.groupBy(F.col("row_id").alias(id_col)).agg(*[one(t) for t in task.targets])
+        out = ids.select(id_col).join(wide, id_col, "left")
     else:
         out = regression_output(ids.select(id_col), preds.withColumnRenamed("row_id", id_col), id_col, target)
     return out.join(ids, id_col)

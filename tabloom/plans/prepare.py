@@ -264,14 +264,16 @@ def make_task(kit: Kit, target: str | None = None, write: bool = True) -> Task:
     lies in files already.
     """
     t = target or kit.meta.target_cols[0]
+    # a regression of several targets holds them all, unless one is asked for
+    several = () if target or kit.meta.is_classification or len(kit.meta.target_cols) < 2 else tuple(kit.meta.target_cols)
     cols = numeric_features(kit)
 
     def shape(df: DataFrame, have: bool) -> DataFrame:
         out = df.select(
-            kit.meta.id_col, *([F.col(t).cast("double").alias(t)] if have else []),
+            kit.meta.id_col, *([F.col(c).cast("double").alias(c) for c in several or (t,)] if have else []),
             *[as_role(F.col(f"`{c}`").cast("double"), c) for c in cols],
         )
         return stored(out, "task") if write else out
 
     classes = len(kit.meta.target_values.get(t, [])) if kit.meta.is_classification else 0
-    return Task(shape(kit.train, True), shape(kit.test, t in kit.test.columns), kit.meta.id_col, t, cols, kit.meta.score_name, classes)
+    return Task(shape(kit.train, True), shape(kit.test, t in kit.test.columns), kit.meta.id_col, t, cols, kit.meta.score_name, classes, several)

@@ -234,7 +234,7 @@ class Race:
             weights = B.blend(rows, metric, steps)
             out = B.blend_then_bag(rows, weights, metric)
         totals = {r["submission"]: r["contributivity"] for r in B.contributivity_totals(weights).collect()}
-        score = S.score(out.withColumn("_k", F.lit(0)), metric, ("_k",)).collect()[0]["score"]
+        score = B.score_of(out.withColumn("_k", F.lit(0)), metric, ("_k",)).collect()[0]["score"]
         return totals, score, weights
 
     def round(self, round_idx: int) -> None:
@@ -303,7 +303,7 @@ class Race:
             F.col("submission").isin(names) & F.col("fold").isin(self.final_folds)
         )
         valid, test = pick("valid"), pick("test")
-        cell = ["row_id", "class"] if self.task.blocks else ["row_id"]
+        cell = self.task.cell
         start = datetime.now(timezone.utc)
         totals, score, weights = self.blend_now(names, self.final_folds, "blend")
         self._note("final_blend_then_bag", None, self.final_folds, start, score, totals)
@@ -311,7 +311,7 @@ class Race:
 
         start = datetime.now(timezone.utc)
         w2, bagged = B.bag_then_blend(valid, self.task.score_name, self.settings.blend_steps)
-        score2 = S.score(bagged.withColumn("_k", F.lit(0)), self.task.score_name, ("_k",)).collect()[0]["score"]
+        score2 = B.score_of(bagged.withColumn("_k", F.lit(0)), self.task.score_name, ("_k",)).collect()[0]["score"]
         self._note("final_bag_then_blend", None, self.final_folds, start, score2, None)
         out["bag_then_blend"] = B.apply_blend(
             B.bag_for(test, self.task.score_name).withColumn("fold", F.lit(0)), w2

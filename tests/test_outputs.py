@@ -88,3 +88,38 @@ def test_text_ids_from_kit_to_file(spark, tmp_path):
     got = spark.read.option("header", True).schema("id string, y double").csv(path)
     got = [tuple(r) for r in in_file_order(got).orderBy("_order").select("id", "y").collect()]
     assert got == [(ids[i], 10.0 * (i % 7 > 3)) for i in order]
+
+
+def test_two_targets_from_kit_to_files(spark, tmp_path):
+    """A race on two targets: one blend for both, a column each in the files."""
+    from tabloom.operators import space as H
+    from tabloom.plans.race import Base, Race, RaceSettings
+
+    folder = f"{tmp_path}/kit"
+    os.makedirs(folder)
+    with open(f"{folder}/train.csv", "w") as f:
+        f.write("id,x,a,b\n" + "".join(f"{i},{i % 7},{10 * (i % 7 > 3) + i % 3},{-1000 * (i % 7 > 1) - 300 * (i % 7 > 4) - i % 5}\n" for i in range(400)))
+    with open(f"{folder}/test.csv", "w") as f:
+        f.write("id,x\n" + "".join(f"{i},{i % 7}\n" for i in range(400, 450)))
+    meta = Meta("t", "id", ["a", "b"], "regression", "rmse", {"id": "num", "x": "num"})
+    with open(f"{folder}/metadata.json", "w") as f:
+        f.write(meta.to_json())
+    kit = setup(read_kit(spark, folder))
+    task = make_task(preprocess_chain(kit))
+    assert task.several and task.cell == ["row_id", "target"]
+    build = lambda v: Spec("rf", {"numTrees": 1, "bootstrap": False, **v})
+    bases = {"rf": Base("rf", H.Space([H.Dim("maxDepth", (0, 1, 3), 1)]), build)}
+    store = Store(spark, work_dir(spark, "results"))
+    race = Race(store, task, bases, RaceSettings(n_rounds=1, n_trials=3, n_search_folds=2, n_final_folds=2))
+    outputs = race.go()
+    # the mean of the two errors is what is compared: the deepest tree is best on both
+    means = {r["submission"]: r["value"] for r in store.scores().where("step = 'valid' AND fold = 0").collect()}
+    best = min(means, key=means.get)
+    assert race._values_of([best])[best][1] == {"maxDepth": 3} and race.blended().get(best, 0) > 0
+    paths = write_outputs(kit, task, outputs, f"{tmp_path}/out")
+    for path in paths:
+        got = spark.read.option("header", True).schema("id long, a double, b double").csv(path).collect()
+        assert [r["id"] for r in sorted(got, key=lambda r: r["id"])] == list(range(400, 450))
+        for r in got:
+            x = r["id"] % 7
+            assert abs(r["a"] - (10 * (x > 3) + 1)) < 1 and abs(r["b"] + 1000 * (x > 1) + 300 * (x > 4) + 2) < 3
