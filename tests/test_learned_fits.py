@@ -3,8 +3,6 @@
 import math
 
 import numpy as np
-import pytest
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
