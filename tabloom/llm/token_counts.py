@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.joins import BROADCAST_ROWS
 from tabloom.llm.common import table
 from tabloom.llm.registry import query
 from tabloom.session import stored, work_dir
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 LIMIT = 4096
+#: digests of 32 bytes that are broadcast; with more misses the texts are shuffled to them
+BROADCAST_MISSES = 100_000
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,7 @@ def token_counts(docs: DataFrame, tokenizer: TokenizerFile, cache_path: str, lim
     n_misses = misses.count()
     texts = docs.limit(0) if n_misses == 0 else docs
     texts = texts.select("text").mapInArrow(lambda b: _digests(b, True), "digest binary, text string")
-    if n_misses <= BROADCAST_ROWS:
+    if n_misses <= BROADCAST_MISSES:
         missed = texts.join(F.broadcast(misses), "digest", "left_semi").repartition("digest")
     else:  # as many as the encoder's shuffle moves anyway
         missed = texts.repartition("digest").join(misses, "digest", "left_semi")

@@ -57,3 +57,12 @@ def test_another_tokenizer_has_its_own_counts(spark):
     want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
     assert {r[0]: r[2] for r in counted(token_counts(docs, TokenizerFile(file), path))} == want
     assert token_counts(docs.limit(0), TokenizerFile(MODEL), path).count() == 0
+
+
+def test_many_misses_are_shuffled(spark, sf, monkeypatch):
+    from tabloom.llm import token_counts as module
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = counted(token_counts(docs, TokenizerFile(MODEL), work_dir(spark, "cache")))
+    monkeypatch.setattr(module, "BROADCAST_MISSES", 3)
+    assert counted(token_counts(docs, TokenizerFile(MODEL), work_dir(spark, "cache"))) == few
