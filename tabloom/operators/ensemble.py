@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.joins import attach
+from tabloom.functions.spread import spread
 from tabloom.operators import greedy as G
 from tabloom.operators import scores as S
 from tabloom.session import stored
@@ -58,15 +59,27 @@ def score_of(preds: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
 def bagged_scores(preds: DataFrame, name: str, folds: list[int]) -> DataFrame:
     """``(submission, n_folds, score)``: the bag after each added fold.
 
-    A prediction of fold f belongs to every prefix that reaches f; prefixes are
-    exploded from an array as long as the fold list.
+    The predictions of a cell are brought together once, in the order of the
+    fold list. Its bag changes only where a fold has one, so it is a number per
+    such step; a step is repeated for the prefixes it holds for behind the
+    shuffle, on its way into the scores.
     """
-    place = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col("fold"))
-    upto = preds.where(F.col("fold").isin(folds)).withColumn(
-        "n_folds", F.explode(F.sequence(place.cast("int"), F.lit(len(folds))))
+    cell = _cell(preds)
+    place = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col("fold")).cast("int")
+    mine = F.collect_list(F.struct(place.alias("at"), F.col("p").cast("double").alias("p")))
+    cells = preds.where(F.col("fold").isin(folds)).groupBy("submission", *cell).agg(
+        F.first("y").alias("y"), F.sort_array(mine).alias("_mine")
     )
-    rows = upto.groupBy("submission", "n_folds", *_cell(preds)).agg(
-        F.first("y").alias("y"), F.avg("p").alias("p")
+
+    def step(x: Column, i: Column) -> Column:
+        known = F.filter(F.transform(F.slice("_mine", F.lit(1), i + 1), lambda e: e["p"]), lambda p: p.isNotNull())
+        mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, p: a + p), F.size(known))
+        after = F.coalesce(F.get("_mine", i + 1)["at"], F.lit(len(folds) + 1))
+        return F.struct(x["at"].alias("first"), (after - 1).alias("last"), mean.alias("p"))
+
+    steps = F.filter(F.transform("_mine", step), lambda s: s["first"] <= s["last"])
+    rows = cells.select("submission", *cell, "y", F.explode(steps).alias("_step")).select(
+        "submission", *cell, "y", "_step.p", F.explode(F.sequence("_step.first", "_step.last")).alias("n_folds")
     )
     return score_of(rows, name, ("submission", "n_folds"))
 
@@ -413,6 +426,7 @@ def bag_for(preds: DataFrame, name: str) -> DataFrame:
 def bag_then_blend(preds: DataFrame, name: str, max_steps: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Bag each submission, then one greedy blend of the bags: (weights, output)."""
     bags = stored(bag_for(preds, name).withColumn("fold", F.lit(0)), "bags")
+    bags = spread(bags, bags.count(), "row_id")
     weights = blend(bags, name, max_steps)
     return weights, apply_blend(bags, weights).drop("fold")
 
