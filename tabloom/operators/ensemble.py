@@ -23,8 +23,8 @@ from tabloom.session import stored
 
 #: a step must better the score by this share of it
 MIN_GAIN = 1e-9
-#: predictions of one fold that a task may hold at once
-FOLD_CELLS = 16_000_000
+#: predictions of one fold that a task may hold at once, beside the copies and orders its scores make of them
+FOLD_CELLS = 1_000_000
 
 
 def _cell(preds: DataFrame) -> list[str]:

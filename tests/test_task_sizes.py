@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.catalog import views
 from tabloom.functions import spread as P
 from tabloom.operators import ensemble as B
+from tabloom.operators import models as M
 
 
 def test_prefixes_are_not_multiplied_before_the_bags(spark):
@@ -48,3 +50,38 @@ def test_bags_are_blended_in_tasks_of_bounded_size(spark, monkeypatch):
     _, got = B.bag_then_blend(df, "rmse")
     assert got.rdd.getNumPartitions() >= 30
     assert {r["row_id"]: pytest.approx(r["p"]) for r in got.collect()} == {r["row_id"]: r["p"] for r in want.collect()}
+
+
+def test_trees_are_fitted_in_tasks_of_bounded_size(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id", "id % 7 AS x", "double(id % 7 > 3) AS y").coalesce(1)
+    parts = []
+    whole = M.assembled
+    monkeypatch.setattr(M, "assembled", lambda rows, *a: parts.append(rows.rdd.getNumPartitions()) or whole(rows, *a))
+    monkeypatch.setattr(P, "TASK_ROWS", 100)
+    for kind, classes in (("gbt", 0), ("rf", 0), ("gbt", 2), ("rf", 2)):
+        params = {"maxDepth": 1, **({"maxIter": 1} if kind == "gbt" else {"numTrees": 1})}
+        model = M.fit(M.Spec(kind, params), df, ["x"], "y", classes, "id")
+        assert model.predict(df).count() == 2000
+    assert min(parts) >= 20
+
+
+def test_a_fold_of_millions_is_not_walked_by_one_task():
+    # three candidates on the line items at sixty times sf0.1: 3.6 million rows a fold
+    assert B.FOLD_CELLS < 3 * 3_600_000
+
+
+def test_gaps_are_left_out_of_the_sums_in_batches(spark):
+    from tabloom.operators import ridge
+
+    rows = [(float(i), float(i * i % 7), 2.0 * i + 1) for i in range(40)] + [(None, 1.0, 9.0), (float("nan"), 1.0, 9.0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(1)
+    fit = ridge.fit_all(df, ridge.basis_of(df, ["a", "b"], "ridge"), "y", 0.0)
+    assert fit.intercept == pytest.approx(1.0) and list(fit.weights) == pytest.approx([2.0, 0.0], abs=1e-9)
+    row = df.withColumn("_fa", fit_array()).withColumn("p", fit.predict(F.col("_fa")))
+    assert [r["p"] for r in row.limit(3).collect()] == pytest.approx([1.0, 3.0, 5.0])
+    # a sum of columns, not a lambda per row
+    assert "lambda" not in row._jdf.queryExecution().optimizedPlan().toString()
+
+
+def fit_array():
+    return F.array(F.col("a"), F.col("b"))
