@@ -5,7 +5,7 @@ recall generators then propose further spans, which may overlap, in the text
 that the base rules left. Boosted trees score a proposal by its format and its
 context, and thresholds calibrated on held-out candidates decide.
 
-The trees are fitted on a bounded sample of candidates whose label the base
+The trees are fitted on all distinct candidates whose label the base
 checks or the format decide, and on rewritten copies of them; proposals that
 nothing decides are only scored. They are then compiled to one
 SQL expression, so scoring is a projection over rows: texts are not shuffled
@@ -20,9 +20,11 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions.running import running
+from tabloom.functions.spread import spread
 from tabloom.llm.common import let, table, text_or_empty
 from tabloom.llm.registry import query
 from tabloom.session import stored
@@ -75,7 +77,7 @@ FEATURES = [
 
 @dataclass(frozen=True)
 class PiiSettings:
-    max_training: int = 20_000  # candidates of the fitting sample, the least by hash
+    max_training: int | None = None  # fit on so many candidates only, the least by hash
     holdout: int = 4  # every so manieth of them calibrates the thresholds
     precision: float = 0.98  # that a threshold must keep on held-out candidates
     trees: int = 10
@@ -286,12 +288,13 @@ def _proposable(s: Column) -> Column:
 
 
 def fit_pii(spanned: DataFrame, settings: PiiSettings = PiiSettings()) -> PiiModel:
-    """Fit on a bounded sample of candidates from all rows of ``with_spans``.
+    """Fit on the distinct candidates of all rows of ``with_spans``.
 
     Of the proposals only those are taught as wrong whose format disproves them:
     the others are not verified and may be what the model is to find. Thresholds
     are calibrated on spans that a generator can propose. Without both labels
-    there is nothing to learn: the model then adds no span.
+    there is nothing to learn: the model then adds no span. Only the trees and a
+    threshold per kind reach the driver.
     """
     label = lambda col, y: F.transform(
         col, lambda s: F.struct(s.alias("s"), F.lit(float(y)).alias("label"))
@@ -302,33 +305,37 @@ def fit_pii(spanned: DataFrame, settings: PiiSettings = PiiSettings()) -> PiiMod
     )
     order = F.xxhash64(F.lit(settings.seed), "c.s.kind", "c.s.m", "c.s.before")
     # a candidate counts once, however often it stands in the corpus
-    distinct = seen.groupBy(order.alias("_h"), F.col("c.label").alias("_l")).agg(F.min("c").alias("c")).drop("_l")
-    sample = distinct.orderBy("_h", "c").limit(settings.max_training).coalesce(1)
+    taught = seen.groupBy(order.alias("_h"), F.col("c.label").alias("_l")).agg(F.min("c").alias("c")).drop("_l")
+    if settings.max_training is not None:
+        taught = taught.orderBy("_h", "c").limit(settings.max_training)
     pairs = F.when(F.col("c.label") == 1, F.concat(F.array("c"), _rewritten(F.col("c.s")))).otherwise(F.array("c"))
     rows = stored(
-        sample.select("_h", F.explode(pairs).alias("c")).select(
+        taught.select("_h", F.explode(pairs).alias("c")).select(
             F.col("c.s.kind").alias("kind"),
             features(F.col("c.s")).alias("f"),
             F.col("c.label").alias("label"),
             (F.pmod("_h", F.lit(settings.holdout)) == 0).alias("held"),
             _proposable(F.col("c.s")).alias("proposable"),
         ),
-        "pii_sample",
-    ).coalesce(1)
-    train = rows.where("not held").select(array_to_vector("f").alias("features"), "label")
-    if train.select("label").distinct().count() < 2:
+        "pii_candidates",
+    )
+    labels = rows.where("not held").groupBy("label").count().collect()  # two rows at most
+    if len(labels) < 2:
         return PiiModel([], {})
+    # trees read their rows again for every level
+    part = spread(rows.where("not held"), sum(r["count"] for r in labels))
+    train = part.select(array_to_vector("f").alias("features"), "label")
     fitted = GBTClassifier(
         maxIter=settings.trees, maxDepth=settings.depth, seed=settings.seed, minInstancesPerNode=5
     ).fit(train)
     trees = [(float(w), _node(t._call_java("rootNode"))) for w, t in zip(fitted.treeWeights, fitted.trees)]
     model = PiiModel(trees, {})
-    # bounded by the sample: the lowest margin from which a kind keeps its precision
-    best_first = Window.partitionBy("kind").orderBy(F.desc("x"))
+    # the lowest margin from which a kind keeps its precision: a row per margin, not per candidate
     held = rows.where("held and proposable").withColumn("x", margin(model, F.col("f")))
+    margins = stored(held.groupBy("kind", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")), "pii_margins")
+    upto = running(margins, ["kind"], [F.desc("x")], {"_n": ("sum", "n"), "_s": ("sum", "s")})
     good = (
-        held.withColumn("p", F.avg("label").over(best_first))
-        .where((F.col("p") >= settings.precision) & (F.col("x") > 0))
+        upto.where((F.col("_s") / F.col("_n") >= settings.precision) & (F.col("x") > 0))
         .groupBy("kind")
         .agg(F.min("x").alias("t"))
     )

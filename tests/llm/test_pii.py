@@ -167,3 +167,15 @@ def test_copies_of_one_span_leave_room_for_others(spark):
     model = fit_pii(spanned, PiiSettings(max_training=600))
     few = fit_pii(with_spans(docs.where("doc_id % 20 = 0")), PiiSettings(max_training=600))
     assert set(model.thresholds) == set(few.thresholds)
+
+
+def test_all_candidates_are_taught(spark, monkeypatch):
+    from tabloom.llm import pii
+
+    kept = {}
+    store = pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, label="table": kept.setdefault(label, store(df, label)))
+    n = 21_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('mail user', id, '@host', id, '.example now') AS text")
+    fit_pii(with_spans(docs), PiiSettings(trees=1))
+    assert kept["pii_candidates"].where("label = 1").count() >= n
