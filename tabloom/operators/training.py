@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -13,10 +13,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions import spread as P
 from tabloom.operators import scores as S
 from tabloom.operators import ridge
 from tabloom.operators.folds import fold_of, held_out
 from tabloom.operators.models import RIDGE_PENALTY, Spec, fit, fold_additive
+from tabloom.session import stored
 
 def rows_schema(id_kind: str = "bigint") -> str:
     """Predictions of one submission and fold; rows keep the type of their id."""
@@ -43,6 +45,7 @@ class Task:
     score_name: str
     classes: int = 0
     targets: tuple[str, ...] = ()  # of a regression with several
+    parts: dict[int, str] = field(default_factory=dict)  # columns of ``train`` with the part held out, by repeat
 
     @property
     def several(self) -> bool:
@@ -144,9 +147,22 @@ def output_rows(out: DataFrame, task: Task, keep: list[Column]) -> DataFrame:
     return out.select(*keep, F.lit(None).cast("int").alias("class"), p.alias("p"))
 
 
+def _marked(task: Task, folds: list[int], n_parts: int) -> Task:
+    """The task with the parts of its training rows stored, so that no pass of a fit hashes the ids anew.
+
+    A table that fits one task is left as it is.
+    """
+    if len(folds) < 2 or task.train.count() <= P.TASK_ROWS:
+        return task
+    parts = {r: f"_part_{r}" for r in sorted({f // n_parts for f in folds})}
+    marks = {c: fold_of(F.col(task.id_col), r, n_parts) for r, c in parts.items()}
+    return replace(task, train=stored(task.train.withColumns(marks), "marked"), parts=parts)
+
+
 def _fold_rows(task: Task, fold: int, n_parts: int) -> tuple[DataFrame, DataFrame]:
     """Training part, and all rows to predict tagged by split."""
-    out = held_out(task.id_col, fold, n_parts)
+    part = task.parts.get(fold // n_parts)
+    out = F.col(part) == fold % n_parts if part else held_out(task.id_col, fold, n_parts)
     tagged = task.train.withColumn("split", F.when(out, F.lit("valid")).otherwise(F.lit("train")))
     test = task.test.withColumn("split", F.lit("test"))
     targets = task.targets if task.several else (task.target,)
@@ -258,13 +274,15 @@ def train_folds(
         mine = [f for n, f in todo if n == s]
         jobs += [(s, mine)] if mine and additive(specs[s]) else [(s, [f]) for f in mine]
 
+    marked = _marked(task, [f for s, mine in jobs if not additive(specs[s]) for f in mine], n_parts)
+
     def run(job: tuple[str, list[int]]) -> Exception | None:
         name, mine = job
         try:
             if additive(specs[name]):
                 _train_additive(store, task, specs[name], name, mine, n_parts, train_score)
             else:
-                _train_one(store, task, specs[name], name, mine[0], n_parts, train_score)
+                _train_one(store, marked, specs[name], name, mine[0], n_parts, train_score)
         except Exception as e:  # noqa: BLE001  whatever a trial's settings bring about
             return e
         return None

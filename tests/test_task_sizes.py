@@ -85,3 +85,23 @@ def test_gaps_are_left_out_of_the_sums_in_batches(spark):
 
 def fit_array():
     return F.array(F.col("a"), F.col("b"))
+
+
+def test_the_parts_of_training_rows_are_hashed_once(spark, tmp_path, monkeypatch):
+    from tabloom.operators import training as T
+
+    rows = spark.range(3000).selectExpr("id", "double(id % 2) AS x", "double(id % 7 + 3 * (id % 2)) AS y")
+    specs = {d: M.Spec("rf", {"numTrees": 1, "bootstrap": False, "maxDepth": int(d)}) for d in "01"}
+    task = T.Task(rows.where("id % 4 > 0"), rows.where("id % 4 = 0"), "id", "y", ["x"], "rmse")
+
+    def scores(name):
+        store = T.Store(spark, str(tmp_path / name))
+        T.train_folds(store, task, specs, [0, 11])
+        return {(r["submission"], r["fold"], r["step"]): (pytest.approx(r["value"]), r["n_rows"]) for r in store.scores().collect()}
+
+    want, hashed = scores("whole"), []
+    plain = T.held_out
+    monkeypatch.setattr(T, "held_out", lambda *a: hashed.append(a) or plain(*a))
+    monkeypatch.setattr(P, "TASK_ROWS", 100)
+    assert scores("parts") == want and len(want) == 12
+    assert not hashed
