@@ -105,3 +105,20 @@ def test_the_parts_of_training_rows_are_hashed_once(spark, tmp_path, monkeypatch
     monkeypatch.setattr(P, "TASK_ROWS", 100)
     assert scores("parts") == want and len(want) == 12
     assert not hashed
+
+
+def test_a_spline_basis_is_no_long_expression_per_row(spark):
+    from tabloom.operators import scale as N
+
+    rows = [(float(i) / 7, i) for i in range(50)] + [(None, 50), (float("-inf"), 51)]
+    df = spark.createDataFrame(rows, "x double, id int")
+    train = df.where("id < 50")
+    place, exprs = N.spline_exprs(train, ["x"], 5)
+    out = df.withColumns(place).select("id", *[e.alias(f"b{j}") for j, e in enumerate(exprs["x"])])
+    assert "CASE" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: np.array(r[1:]) for r in out.collect()}
+    assert all(v.sum() == pytest.approx(1.0) and (v >= 0).all() for v in got.values())
+    # ends, and the row in the middle: a knot
+    assert got[0] == pytest.approx([1 / 6, 4 / 6, 1 / 6, 0, 0, 0, 0]) and got[49] == pytest.approx([0, 0, 0, 0, 1 / 6, 4 / 6, 1 / 6])
+    # a gap and what lies below the range count as its lower end
+    assert (got[50] == got[0]).all() and (got[51] == got[0]).all()
