@@ -213,14 +213,15 @@ def gini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return auc(preds, keys).withColumn("score", 2 * F.col("score") - 1)
 
 
-def _lorenz(hist: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
+def _lorenz(rows: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
     """``(keys, _area)``: area between the curve of captured ``y`` and the diagonal.
 
     Rows are taken from the highest ``by`` down; equal values form one straight
     segment.
     """
-    part = hist.groupBy(*keys, F.col(by).alias("_v")).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    run = running(part, list(keys), [F.col("_v").desc()], {"_cum": ("sum", "_s")}, key_sizes(hist, list(keys)))
+    aggs = {"_n": F.count(F.lit(1)), "_s": F.sum(F.col("y").cast("double"))}
+    part = _stored_histogram(rows, keys, F.col(by), aggs)
+    run = running(part, list(keys), [F.col("_v").desc()], {"_cum": ("sum", "_s")}, key_sizes(part, list(keys)))
     strip = F.col("_n") * (F.col("_cum") - F.col("_s") / 2.0)
     area = F.try_divide(F.sum(strip), F.sum("_n") * F.sum("_s")) - 0.5
     return run.groupBy(*keys).agg(F.when(F.count_if(F.col("_v").isNull()) == 0, area).alias("_area"))
@@ -229,12 +230,12 @@ def _lorenz(hist: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
 def ngini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Gini of the predicted order over gini of the perfect order.
 
-    Both curves read one histogram of the pairs (prediction, target).
+    Both curves read the stored pairs (prediction, target); each combines equal
+    values once.
     """
-    aggs = {"_n": F.count(F.lit(1)), "_s": F.sum(F.col("y").cast("double"))}
-    hist = stored(preds.groupBy(*keys, "p", "y").agg(*[e.alias(n) for n, e in aggs.items()]), "histogram")
-    got = _lorenz(hist, keys, "p")
-    best = _lorenz(hist, keys, "y").withColumnRenamed("_area", "_best")
+    pairs = stored(preds.select(*keys, "p", "y"), "pairs")
+    got = _lorenz(pairs, keys, "p")
+    best = _lorenz(pairs, keys, "y").withColumnRenamed("_area", "_best")
     return got.join(best, list(keys)).select(
         *keys, F.try_divide(F.col("_area"), F.col("_best")).alias("score")
     )

@@ -122,3 +122,31 @@ def test_a_spline_basis_is_no_long_expression_per_row(spark):
     assert got[0] == pytest.approx([1 / 6, 4 / 6, 1 / 6, 0, 0, 0, 0]) and got[49] == pytest.approx([0, 0, 0, 0, 1 / 6, 4 / 6, 1 / 6])
     # a gap and what lies below the range count as its lower end
     assert (got[50] == got[0]).all() and (got[51] == got[0]).all()
+
+
+def test_curves_combine_equal_values_once(spark, monkeypatch):
+    from tabloom.operators import scores as S
+
+    rows = [("a", f, i, float(i % 5), float(i * 7 % 11)) for f in range(2) for i in range(60)] + [("b", 0, 1, 2.0, None), ("b", 0, 2, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "submission string, fold int, row_id long, y double, p double")
+    made, sized = [], []
+    whole, sizes = S.stored, S.key_sizes
+    monkeypatch.setattr(S, "stored", lambda t, *a: made.append(whole(t, *a)) or made[-1])
+    monkeypatch.setattr(S, "key_sizes", lambda t, *a: sized.append(t) or sizes(t, *a))
+    got = {(r["submission"], r["fold"]): r["score"] for r in S.ngini(df).collect()}
+
+    def area(pairs):
+        cum = strip = 0.0
+        for v in sorted({v for v, _ in pairs}, reverse=True):
+            ys = [y for u, y in pairs if u == v]
+            strip += len(ys) * (cum + sum(ys) / 2)
+            cum += sum(ys)
+        return strip / (len(pairs) * cum) - 0.5
+
+    want = {("b", 0): None}
+    for f in range(2):
+        mine = [(p, y) for s, g, _, y, p in rows if (s, g) == ("a", f)]
+        want["a", f] = area(mine) / area([(y, y) for _, y in mine])
+    assert {k: v if v is None else pytest.approx(v) for k, v in want.items()} == got
+    # sizes and running sums read a file, not the shuffle of the predictions again
+    assert len(sized) == 2 and all(any(t is m for m in made) for t in sized)
