@@ -9,13 +9,14 @@ its probability; label scores then compare the most probable class.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.joins import Fitted, attach
 from tabloom.functions.running import BLOCK_ROWS, key_sizes, running
-from tabloom.session import stored
+from tabloom.session import settle, stored
 
 KEYS = ("submission", "fold")
 EPS = 1e-15
@@ -227,16 +228,34 @@ def _lorenz(rows: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
     return run.groupBy(*keys).agg(F.when(F.count_if(F.col("_v").isNull()) == 0, area).alias("_area"))
 
 
+def _same_targets(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``(keys, _as)``: the first of the keys that hold the same targets, as a struct.
+
+    Targets are the same if their number and four sums of 28 bits of two hashes
+    agree, which do not depend on the order of rows. Keys with a null are left out.
+    """
+    hashes = [F.xxhash64("y"), F.xxhash64("y", F.lit("again"))]
+    bits = [F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 28) - 1)) for h in hashes for at in (0, 32)]
+    marks = {"_n": F.count(F.lit(1)), **{f"_m{i}": F.sum(b) for i, b in enumerate(bits)}}
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    marked = pairs.where(known).groupBy(*keys).agg(*[m.alias(n) for n, m in marks.items()])
+    first = F.min(F.struct(*keys)).over(Window.partitionBy(*marks))
+    return settle(marked.select(*keys, first.alias("_as")))
+
+
 def ngini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Gini of the predicted order over gini of the perfect order.
 
     Both curves read the stored pairs (prediction, target); each combines equal
-    values once.
+    values once. Submissions with the same targets share one perfect order.
     """
     pairs = stored(preds.select(*keys, "p", "y"), "pairs")
+    same = _same_targets(pairs, keys)
+    firsts = same.where(F.struct(*keys) == F.col("_as")).select(*keys)
     got = _lorenz(pairs, keys, "p")
-    best = _lorenz(pairs, keys, "y").withColumnRenamed("_area", "_best")
-    return got.join(best, list(keys)).select(
+    best = _lorenz(attach(pairs, firsts, list(keys), "inner"), keys, "y")
+    best = best.select(F.struct(*keys).alias("_as"), F.col("_area").alias("_best"))
+    return got.join(same, list(keys)).join(best, "_as").select(
         *keys, F.try_divide(F.col("_area"), F.col("_best")).alias("score")
     )
 

@@ -150,3 +150,56 @@ def test_curves_combine_equal_values_once(spark, monkeypatch):
     assert {k: v if v is None else pytest.approx(v) for k, v in want.items()} == got
     # sizes and running sums read a file, not the shuffle of the predictions again
     assert len(sized) == 2 and all(any(t is m for m in made) for t in sized)
+
+
+def test_submissions_with_the_same_targets_share_a_perfect_order(spark, monkeypatch):
+    from tabloom.operators import scores as S
+
+    y = [float(i * i % 17) for i in range(40)]
+    mine = {
+        ("a", 0): list(zip(y, y[1:] + y[:1])),
+        ("b", 0): list(zip(y[::-1], y)),  # the same targets in another order of rows
+        ("c", 0): list(zip(y[:-1], y)),  # one row less
+        ("d", 0): list(zip(y[:-1] + [99.0], y)),  # one target differs
+        ("e", 0): list(zip(y[:-1] + [None], y)),
+        ("f", 0): list(zip(y, y[:-1] + [None])),
+        ("a", 1): list(zip([2 * v for v in y], y)),
+        ("b", None): list(zip(y, y)),
+    }
+    rows = [(s, f, i, a, b) for (s, f), pairs in mine.items() for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "submission string, fold int, row_id long, y double, p double")
+
+    def area(pairs):
+        pairs = sorted(pairs, key=lambda q: -q[0])
+        cum = strip = 0.0
+        for v in dict.fromkeys(q[0] for q in pairs):
+            ys = [t for u, t in pairs if u == v]
+            strip += len(ys) * (cum + sum(ys) / 2)
+            cum += sum(ys)
+        return strip / (len(pairs) * cum) - 0.5
+
+    want = {}
+    for key, pairs in mine.items():
+        if key[1] is not None:
+            gap = any(None in q for q in pairs)
+            want[key] = None if gap else pytest.approx(area([(p, t) for t, p in pairs]) / area([(t, t) for t, _ in pairs]))
+    sized = []
+    sizes = S.key_sizes
+    monkeypatch.setattr(S, "key_sizes", lambda t, *a: sized.append(t) or sizes(t, *a))
+    got = S.ngini(df)
+    assert {(r["submission"], r["fold"]): r["score"] for r in got.collect()} == want and got.count() == len(want)
+    best = {tuple(r) for r in sized[1].select("submission", "fold").distinct().collect()}
+    assert best == {("a", 0), ("c", 0), ("d", 0), ("e", 0), ("a", 1)}
+
+
+def test_a_fold_is_hashed_once_per_row_and_not_per_submission(spark, tmp_path):
+    rows = [(k, n, float(k % 50), 100.0 * k + n, n / 100, 0.0, "ANR"[k % 3]) for k in range(1, 30) for n in range(1, 4)]
+    names = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for preds in (views.price_preds, views.share_preds):
+        df = preds(spark, str(tmp_path))
+        assert df.columns == ["submission", "fold", "row_id", "y", "p"] and df.count() == 3 * len(rows)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1 and plan.index("Generate") < plan.index("md5(")
+    # folds of its own: this one needs none
+    assert "md5(" not in views._long(views.items(spark, str(tmp_path)), F.col("price"), views.PRICE_FORMULAS)._jdf.queryExecution().optimizedPlan().toString()
