@@ -13,6 +13,7 @@ from tabloom.catalog.views import (
     PRED_SQL,
     SHARE_SQL,
     items,
+    kept_price_preds,
     label_preds,
     order_kit,
     price_preds,
@@ -40,9 +41,9 @@ PRICE_SCORES = {
 }
 
 
-def _register(name: str, metric: str, preds, sql: str) -> None:
+def _register(name: str, metric: str, preds, sql: str, kept: bool = False) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return S.score(preds(spark, sf), metric, digits=4)
+        return S.score(preds(spark, sf), metric, digits=4, kept=kept)
 
     query(name, sql)(run)
 
@@ -70,8 +71,9 @@ def _area_sql(name: str, by: str) -> str:
 
 
 _register(
-    "score_ngini", "ngini", price_preds,
+    "score_ngini", "ngini", kept_price_preds,
     f"WITH {PRED_SQL}, {_area_sql('got', 'p')}, {_area_sql('best', 'y')} SELECT submission, fold, round(got.area / best.area, 4) AS score FROM got JOIN best USING (submission, fold)",
+    kept=True,
 )
 HITS = f"WITH {LABEL_SQL} SELECT submission, fold, round(avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0 END), 4) AS score FROM preds GROUP BY 1, 2"
 _register("score_accuracy", "accuracy", label_preds, HITS)

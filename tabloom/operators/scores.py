@@ -8,6 +8,7 @@ its probability; label scores then compare the most probable class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.joins import Fitted, attach
-from tabloom.functions.running import BLOCK_ROWS, key_sizes, running
+from tabloom.functions.running import BLOCK_ROWS, MAX_PIECES, key_sizes, running
 from tabloom.session import settle, stored
 
 KEYS = ("submission", "fold")
 EPS = 1e-15
+#: ranges of a curve per block of rows that one window may take: even work for the cores
+PIECES_PER_BLOCK = 4
 
 
 def _rmse(y: Column, p: Column) -> Column:
@@ -93,14 +96,18 @@ def simple(name: str) -> Column:
     return whole(SIMPLE[name](F.col("y"), F.col("p")), name)
 
 
-def score(preds: DataFrame, name: str, keys: tuple[str, ...] = KEYS, digits: int | None = None) -> DataFrame:
-    """``(keys, score)``; null where a prediction or target is missing."""
+def score(
+    preds: DataFrame, name: str, keys: tuple[str, ...] = KEYS, digits: int | None = None, kept: bool = False
+) -> DataFrame:
+    """``(keys, score)``; null where a prediction or target is missing. ``kept`` as in ``ngini``."""
     if "class" in preds.columns:
         out = _score_blocks(preds, name, keys)
     elif name in SIMPLE:
         out = preds.groupBy(*keys).agg(simple(name).alias("score"))
+    elif name == "ngini":
+        out = ngini(preds, keys, kept)
     else:
-        out = {"mcc": mcc, "medae": medae, "auc": auc, "gini": gini, "ngini": ngini}[name](preds, keys)
+        out = {"mcc": mcc, "medae": medae, "auc": auc, "gini": gini}[name](preds, keys)
     return out.withColumn("score", F.round("score", digits)) if digits is not None else out
 
 
@@ -218,14 +225,32 @@ def _lorenz(rows: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
     """``(keys, _area)``: area between the curve of captured ``y`` and the diagonal.
 
     Rows are taken from the highest ``by`` down; equal values form one straight
-    segment.
+    segment. Large keys are cut into ranges of ``by``: each gives the strips below
+    its own part of the curve, and its rows then stand on what the ranges before
+    it captured. One row per range remains, so no row is read again.
     """
     aggs = {"_n": F.count(F.lit(1)), "_s": F.sum(F.col("y").cast("double"))}
     part = _stored_histogram(rows, keys, F.col(by), aggs)
-    run = running(part, list(keys), [F.col("_v").desc()], {"_cum": ("sum", "_s")}, key_sizes(part, list(keys)))
+    sizes = key_sizes(part, list(keys))
+    fall = F.col("_v").desc()
+    if sizes.largest > BLOCK_ROWS:
+        n = min(MAX_PIECES, math.ceil(PIECES_PER_BLOCK * sizes.total / BLOCK_ROWS))
+        part = part.repartitionByRange(n, *keys, fall).withColumn("_piece", F.spark_partition_id())
+    else:
+        part = part.withColumn("_piece", F.lit(0))
+    down = Window.partitionBy(*keys, "_piece").orderBy(fall).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strip = F.col("_n") * (F.col("_cum") - F.col("_s") / 2.0)
-    area = F.try_divide(F.sum(strip), F.sum("_n") * F.sum("_s")) - 0.5
-    return run.groupBy(*keys).agg(F.when(F.count_if(F.col("_v").isNull()) == 0, area).alias("_area"))
+    pieces = part.withColumn("_cum", F.sum("_s").over(down)).groupBy(*keys, "_piece").agg(
+        F.sum(strip).alias("_strip"),
+        F.sum(F.when(F.col("_s").isNotNull(), F.col("_n"))).alias("_known"),
+        F.sum("_n").alias("_n"),
+        F.sum("_s").alias("_s"),
+        F.count_if(F.col("_v").isNull()).alias("_holes"),
+    )
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_strip") + F.col("_known") * F.coalesce(F.sum("_s").over(before), F.lit(0.0))
+    area = F.try_divide(F.sum("_below"), F.sum("_n") * F.sum("_s")) - 0.5
+    return pieces.withColumn("_below", below).groupBy(*keys).agg(F.when(F.sum("_holes") == 0, area).alias("_area"))
 
 
 def _same_targets(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -243,13 +268,16 @@ def _same_targets(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return settle(marked.select(*keys, first.alias("_as")))
 
 
-def ngini(preds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def ngini(preds: DataFrame, keys: tuple[str, ...] = KEYS, kept: bool = False) -> DataFrame:
     """Gini of the predicted order over gini of the perfect order.
 
     Both curves read the stored pairs (prediction, target); each combines equal
-    values once. Submissions with the same targets share one perfect order.
+    values once. Submissions with the same targets share one perfect order. With
+    ``kept``, the predictions are formulas over a stored table, which takes fewer
+    rows than their pairs would, and are read from there.
     """
-    pairs = stored(preds.select(*keys, "p", "y"), "pairs")
+    pairs = preds.select(*keys, "p", "y")
+    pairs = pairs if kept else stored(pairs, "pairs")
     same = _same_targets(pairs, keys)
     firsts = same.where(F.struct(*keys) == F.col("_as")).select(*keys)
     got = _lorenz(pairs, keys, "p")

@@ -203,3 +203,56 @@ def test_a_fold_is_hashed_once_per_row_and_not_per_submission(spark, tmp_path):
         assert plan.count("md5(") == 1 and plan.index("Generate") < plan.index("md5(")
     # folds of its own: this one needs none
     assert "md5(" not in views._long(views.items(spark, str(tmp_path)), F.col("price"), views.PRICE_FORMULAS)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_normalised_gini_stores_line_items_once_and_not_each_submission(spark, tmp_path, monkeypatch):
+    from tabloom import catalog
+    from tabloom import session
+    from tabloom.operators import scores as S
+
+    rows = [(k, n, float(k % 50), 100.0 * (k % 9) + n, n / 100, 0.0, "ANR"[k % 3]) for k in range(1, 90) for n in (1, 2, 3, 3)]
+    names = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {tuple(r) for r in S.score(views.price_preds(spark, str(tmp_path)), "ngini", digits=4).collect()}
+    made = {}
+
+    def keep(df, label="table"):
+        made.setdefault(label, []).append(session.stored(df, label))
+        return made[label][-1]
+
+    monkeypatch.setattr(S, "stored", keep)
+    monkeypatch.setattr(views, "stored", keep, raising=False)
+    got = {tuple(r) for r in catalog.QUERIES["score_ngini"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 30
+    assert {k: len(v) for k, v in made.items()} == {"items": 1, "histogram": 2}
+    assert made["items"][0].count() == len(rows) * 3 // 4
+
+
+def test_curves_of_large_keys_add_up_ranges_without_a_table_of_pieces(spark, monkeypatch):
+    from tabloom.functions import running as R
+    from tabloom.operators import scores as S
+
+    rows = [("a", f, float(i * i % (40 + f)), float(i * 7 % 31)) for f in range(3) for i in range(200)]
+    rows += [("b", 0, float(i % 3), None if i % 5 else 2.0 * i) for i in range(60)] + [("c", 0, None if i == 7 else 1.0 * i, 3.0) for i in range(50)]
+    rows += [("d", 0, 1.0 * i, float("nan") if i % 9 == 0 else -1.0 * i) for i in range(90)] + [("e", 0, 0.0, 1.0 * i) for i in range(40)]
+    rows += [("f", 0, -2.0, 1.0), ("f", 1, 5.0, 5.0), ("g", None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "submission string, fold int, y double, p double")
+    curve = lambda by: {(r["submission"], r["fold"]): r["_area"] for r in S._lorenz(df, S.KEYS, by).collect()}
+    want = {by: curve(by) for by in "py"}
+    scores = {(r["submission"], r["fold"]): r["score"] for r in S.ngini(df).collect()}
+    labels = []
+    for module in (S, R):
+        whole = module.stored
+        monkeypatch.setattr(module, "stored", lambda t, label="table", whole=whole: labels.append(label) or whole(t, label))
+    monkeypatch.setattr(S, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(R.running, "__defaults__", (None, 10))
+    for by in "py":
+        got = curve(by)
+        assert got.keys() == want[by].keys()
+        assert all(v is None and got[k] is None or got[k] == pytest.approx(v, nan_ok=True) for k, v in want[by].items())
+    assert want["p"]["a", 0] is not None and want["p"]["b", 0] is None and want["y"]["c", 0] is None
+    got = {(r["submission"], r["fold"]): r["score"] for r in S.ngini(df).collect()}
+    assert got.keys() == scores.keys()
+    assert all(v is None and got[k] is None or got[k] == pytest.approx(v, nan_ok=True) for k, v in scores.items())
+    # ranges are summed where they are made
+    assert "histogram" in labels and "pieces" not in labels
