@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tabloom.llm import decontamination as D
 from tabloom.llm.decontamination import LeakSettings, blocks, common_words, decontaminate_stage, find_leaks, tokens, verdict
 
 
@@ -123,3 +124,46 @@ def test_recall_with_a_sampled_basis(spark, sf, basis):
     found = {d for d, r in got.items() if r["contaminated"]}
     assert set(leaked) <= found
     assert found <= {d for d, _ in exact(rows, items, LeakSettings())}
+
+
+def weighted_passages(seed, n_words=60, n=150):
+    """Passages as code sequences, their triples, and the same as a dense matrix."""
+    rnd = np.random.default_rng(seed)
+    codes = [rnd.zipf(1.3, size=rnd.integers(0, 12)).clip(0, n_words).astype(np.int32) * (rnd.random() < 0.9) for _ in range(n)]
+    counts = np.bincount(np.concatenate([np.unique(c) for c in codes]), minlength=n_words + 1)
+    idf = np.log((n + 2) / (counts + 1.0))
+    idf[0] = 0.0
+    triples = D._weighted(*D._passages(codes, 64, n_words, idf > 0)[:3], idf)
+    dense = np.zeros((n, n_words + 1))
+    dense[triples[0], triples[1]] = triples[2]
+    return codes, idf, triples, dense
+
+
+@pytest.mark.parametrize("most, chunk", [(4096, 2048), (60, 7), (12, 1), (1, 50)])
+def test_word_pairs_give_the_products_of_all_passages(most, chunk):
+    for seed in range(5):
+        _, idf, triples, dense = weighted_passages(seed)
+        omega = D._random(60, 9, 1)
+        pairs, got = D.PairSums(idf, most), np.zeros((61, 9), np.float32)
+        rest = pairs.add(triples, chunk)
+        D._gram_times(rest, omega, got)
+        pairs.times(omega, got)
+        assert np.allclose(got, dense.T @ (dense @ omega), atol=1e-3)
+        assert set(rest[0][rest[3]]) == {p for p, c in zip(triples[0], triples[1]) if pairs.rank[c] < 0}
+    pairs = D.PairSums(idf, most)
+    empty = D._weighted(*D._passages([], 64, 60, idf > 0)[:3], idf)
+    assert not len(pairs.add(empty)[0]) and not pairs.upper.any()
+    one = tuple(x[: triples[3][1]] for x in triples[:3]) + (np.zeros(1, np.int64),)
+    left = pairs.add(one)
+    assert len(left[0]) == len(one[0]) or pairs.upper.any()
+
+
+def test_the_basis_is_fitted_on_all_passages(spark):
+    codes, idf, _, dense = weighted_passages(8)
+    block = D.Block([1], [np.array([1, 2, 3], np.int32)], pa.array([f"w{k}" for k in range(60)]))
+    rows = [(k, k * 977, bytearray(c.astype("<u2").tobytes())) for k, c in enumerate(codes)]
+    coded = spark.createDataFrame(rows, "doc_id long, text_key long, codes binary").repartition(3)
+    s = LeakSettings(item_weight=0.0, spare_rank=4, oversampling=55)  # as many columns as words: the fit is exact
+    got = D.latent_basis(coded, block, idf, 1_000_000, s).astype(float)
+    want = np.linalg.svd(dense.T, full_matrices=False)[0][:, :5]
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-2)
