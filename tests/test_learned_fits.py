@@ -1,10 +1,11 @@
 """Early stopping, calibration and code words."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.meta import Kit, Meta, with_roles
@@ -39,6 +40,51 @@ def test_network_stops_before_its_most_iterations(spark):
     assert log_loss(early.predict(test)) < log_loss(whole.predict(test))
 
 
+class Stage:
+    """A fitted network whose probability of the second class is given."""
+
+    def __init__(self, p):
+        self.weights, self.p = [p], p
+
+    def transform(self, df):
+        return df.withColumn("_probabilityCol0", array_to_vector(F.array(F.lit(1 - self.p), F.lit(self.p))))
+
+
+def staged(spark, monkeypatch, shares, most):
+    """Iterations, the chosen stage's share, and (iterations, starting weights) of each stage, all rows kept aside being of class 1."""
+    asked, left = [], list(shares)
+
+    def make(maxIter, initialWeights=None):
+        asked.append((maxIter, initialWeights))
+        return SimpleNamespace(hasParam=lambda p: False, fit=lambda df: Stage(left.pop(0)))
+
+    monkeypatch.setattr(M, "PipelineModel", lambda stages: stages)
+    y = F.when(M.holdout(F.col("id")), 1.0).otherwise(F.col("id") % 2)
+    rows = spark.range(100).select("id", F.lit(0.5).alias("x"), y.cast("double").alias("y"))
+    out = M._staged_network(make, rows, [F.col("x")], F.col("y"), 2, "id", most)
+    return out.iterations, out.stages[0][0].p, asked
+
+
+def test_short_network_can_stop(spark, monkeypatch):
+    done, chosen, asked = staged(spark, monkeypatch, [0.6, 0.5, 0.4, 0.9], 15)
+    assert (done, chosen) == (12, 0.6)
+    assert asked == [(6, None), (3, [0.6]), (3, [0.5])]
+
+
+def test_the_best_stage_is_kept_however_small_its_gain(spark, monkeypatch):
+    done, chosen, asked = staged(spark, monkeypatch, [0.6, 0.600001, 0.59, 0.9], 15)
+    assert (done, chosen) == (12, 0.600001)
+    done, chosen, asked = staged(spark, monkeypatch, [0.6, 0.5, 0.7, 0.71], 15)
+    assert (done, chosen) == (15, 0.71)
+    assert [n for n, _ in asked] == [6, 3, 3, 3]
+
+
+def test_stages_of_any_length_make_up_the_most(spark, monkeypatch):
+    for most in (1, 2, 3, 4, 7, 50):
+        done, _, asked = staged(spark, monkeypatch, [0.1 + 0.01 * k for k in range(60)], most)
+        assert done == most == sum(n for n, _ in asked)
+
+
 def test_margins_of_unseen_rows_calibrate_better(spark):
     train, test = noisy(spark, 220, 3), noisy(spark, 500, 4)
     spec = M.Spec("kernel_svm", {"components": 96, "gamma": 0.3, "C": 100.0, "maxIter": 60})
