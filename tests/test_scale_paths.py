@@ -124,6 +124,74 @@ def test_neighbours_equal_brute_force(spark, metric, grouped, leaf_rows):
         assert len({x[0] for x in near}) == 5
 
 
+SHAPES = {
+    "even": lambda rng: rng.normal(size=(600, 16)),
+    "copies": lambda rng: np.round(3 * rng.normal(size=(600, 2))),
+    "outliers": lambda rng: rng.standard_cauchy((600, 5)) ** 3,
+    "far from zero": lambda rng: 1e9 + rng.normal(size=(600, 4)),
+    "tiny": lambda rng: 1e-25 * rng.normal(size=(600, 4)),
+    "huge": lambda rng: 1e200 * rng.normal(size=(600, 4)),
+    "one value": lambda rng: np.full((600, 3), 0.7),
+    "one column moves": lambda rng: np.c_[np.zeros((600, 3)), np.where(rng.random(600) < 0.002, 5.0, 0.0)],
+    "long": lambda rng: rng.normal(size=(600, 5000)).round(1),
+}
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "chebyshev"])
+@pytest.mark.parametrize("shape", SHAPES)
+def test_screens_lose_no_neighbour(metric, shape):
+    order, k = K.METRICS[metric], 4
+    pts = SHAPES[shape](np.random.default_rng(2))
+    q, p = pts[:100], pts[100:]
+    q_grp, grp = np.arange(100) % 3, np.arange(500) % 3
+    limits = {"open": np.full(100, np.inf)}
+    with np.errstate(over="ignore"):
+        full = K.distances(q, p, order)
+    full[q_grp[:, None] == grp[None, :]] = np.inf
+    limits["known"] = np.sort(full, axis=1)[:, k + 10]
+    for limit in limits.values():
+        near = K.Nearest(q, q_grp, limit.copy(), k, order)
+        for at in range(0, 500, 125):
+            near.meet(np.arange(100), p[at : at + 125], grp[at : at + 125], np.arange(at, at + 125))
+        rows, cols, d = near.found()
+        for i in range(100):
+            want = np.sort(full[i][np.isfinite(full[i])])[:k]
+            mine = cols[rows == i]
+            assert np.allclose(np.sort(d[rows == i]), want, rtol=1e-9, atol=0) and len(set(mine)) == len(mine)
+            assert (grp[mine] != q_grp[i]).all()
+            if shape in ("copies", "one value"):  # ties go to the earlier place
+                assert mine.tolist() == np.argsort(full[i], kind="stable")[:k].tolist()
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+def test_few_distances_are_computed_in_full(monkeypatch, metric):
+    pts, order = np.random.default_rng(4).normal(size=(4200, 64)), K.METRICS[metric]
+    seen = []
+    monkeypatch.setattr(K, "between", lambda q, p, o, run=K.between: seen.append(len(q)) or run(q, p, o))
+    monkeypatch.setattr(K, "distances", None)
+    near = K.Nearest(pts[:200], np.zeros(200, int), np.full(200, np.inf), 5, order)
+    for at in (200, 2200):
+        near.meet(np.arange(200), pts[at : at + 2000], np.ones(2000, int), np.arange(at, at + 2000))
+    assert sum(seen) < 0.03 * 200 * 4000 and len(near.found()[0]) == 1000
+
+
+def test_vectors_with_gaps_have_no_neighbours(spark):
+    gap = float("nan")
+    rows = [(i, [float(i), 1.0]) for i in range(200)] + [(200, [gap, 1.0]), (201, [float("inf"), 1.0]), (202, [3.0, None])]
+    df = spark.createDataFrame(rows, "row_id long, vec array<double>")
+    got = K.nearest_neighbours(df, df, 2, metric="l1").collect()
+    assert {r["row_id"] for r in got} == set(range(200)) == {r["neighbour"] for r in got}
+    assert len(got) == 400
+
+
+def test_parts_give_each_core_tasks(spark):
+    base = spark.range(3000).selectExpr("id AS row_id", "array(cast(id % 97 AS double)) AS vec", "-2 AS grp", "0D AS y")
+    index = K.build_index(base, 1.0, leaf_rows=20)
+    cores = spark.sparkContext.defaultParallelism
+    assert index.n_parts * -(-3000 // index.part_rows) >= K.TASKS_PER_CORE * cores
+    assert K.build_index(base, 1.0, leaf_rows=20, part_rows=500).part_rows == 500
+
+
 def test_few_leaves_are_visited(spark):
     """Clustered rows: about as many parts per query in a table ten times as large."""
     per_query = []
